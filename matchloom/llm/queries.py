@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output
-from .storage import read, scratch
+from . import mpeg_audio, token_counts, token_output
+from .storage import read, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,17 @@ ORACLES: dict[str, str] = {}
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an MPEG audio stream, and what the stored stream holds."""
+    stored, _ = written(mpeg_audio.encode(read(spark, sf_dir, "documents")), "media")
+    return mpeg_audio.probe(stored)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as directly addressable codes, and read back."""
     path = scratch(spark, "tokens")
@@ -23,4 +34,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+QUERIES["op4_token_counts"] = op4_token_counts
+QUERIES["op7_mpeg_audio"] = op7_mpeg_audio
 QUERIES["op10_token_output"] = op10_token_output
