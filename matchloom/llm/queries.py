@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mpeg_audio, token_counts, token_output
+from . import langid, mpeg_audio, token_counts, token_output
 from .storage import read, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -21,6 +23,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def language_model(docs: DataFrame) -> langid.Model | None:
+    """A model of the labelled documents outside the held-out quarter."""
+    return langid.fit(docs.filter(_quarter() != 2), PIECE_BPE)
+
+
+def _quarter() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of three quarters of them."""
+    docs = read(spark, sf_dir, "documents")
+    kept = docs.select("doc_id", "text", (_quarter() == 2).alias("held_out"))
+    return langid.predict(kept, language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an MPEG audio stream, and what the stored stream holds."""
     stored, _ = written(mpeg_audio.encode(read(spark, sf_dir, "documents")), "media")
@@ -35,5 +53,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_token_counts"] = op4_token_counts
+QUERIES["op6_language_id"] = op6_language_id
 QUERIES["op7_mpeg_audio"] = op7_mpeg_audio
 QUERIES["op10_token_output"] = op10_token_output
