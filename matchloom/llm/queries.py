@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mpeg_audio, token_counts, token_output
+from . import decontaminate, langid, mpeg_audio, token_counts, token_output
 from .storage import read, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,31 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document holds of the benchmark."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search_benchmark(docs, read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op1_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, k, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+            FROM (SELECT item, k, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+starts AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM p, sizes WHERE i + n - 1 <= len(w)),
+occ AS (SELECT s.doc_id, s.i, s.n, x.item, x.k FROM starts s JOIN windows x ON x.n = s.n AND x.win = s.win),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, k, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_BPE)
@@ -52,6 +77,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 QUERIES["op4_token_counts"] = op4_token_counts
 QUERIES["op6_language_id"] = op6_language_id
 QUERIES["op7_mpeg_audio"] = op7_mpeg_audio
