@@ -28,6 +28,7 @@ from .textbytes import _CODES, _LOWER, _STEP, mixed, text_bytes, word_hashes
 UNKNOWN = "und"
 _STRETCH = 48
 _LONGEST = 16
+_AT_ONCE = 8192
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -193,11 +194,11 @@ class Scorer:
 
     def words(self, body: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         out = np.zeros((len(first), len(self.model.langs)))
-        for a in range(0, len(first), 50_000):
-            owner, words = stretches(body, first[a : a + 50_000], last[a : a + 50_000])
+        for a in range(0, len(first), _AT_ONCE):
+            owner, words = stretches(body, first[a : a + _AT_ONCE], last[a : a + _AT_ONCE])
             got = Lattice(self.index, words).log_probability(self.model.p)
             for k in range(out.shape[1]):
-                out[a : a + 50_000, k] = np.bincount(owner, got[:, k], len(first[a : a + 50_000]))
+                out[a : a + _AT_ONCE, k] = np.bincount(owner, got[:, k], len(first[a : a + _AT_ONCE]))
         return out
 
 
@@ -230,7 +231,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_lang: int = 2000, most_words: int = 200_000, rounds: int = 3) -> Model | None:
+def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_lang: int = 2000, most_words: int = 100_000, rounds: int = 3) -> Model | None:
     """Fit the piece probabilities on labelled rows.
 
     The fit takes a bounded sample: about rows_per_lang rows of each language, chosen by a hash of
@@ -261,14 +262,14 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
 
 
 def _maximise(pieces: list[bytes], words: list[bytes], counts: np.ndarray, rounds: int) -> np.ndarray:
-    index = Pieces(pieces)
-    body, offsets = _joined(words)
-    owner, parts = stretches(body, offsets[:-1], offsets[1:])
-    lattice = Lattice(index, parts) if words else None
-    sizes = np.array([len(p) for p in pieces])
+    index, sizes = Pieces(pieces), np.array([len(p) for p in pieces])
     p = np.repeat((0.1**sizes / np.sum(0.1**sizes))[:, None], counts.shape[1], axis=1)
     for _ in range(rounds if words else 0):
-        uses = lattice.expected(p, counts[owner]) + 0.01
+        uses = np.full(p.shape, 0.01)
+        for a in range(0, len(words), _AT_ONCE):
+            body, offsets = _joined(words[a : a + _AT_ONCE])
+            owner, parts = stretches(body, offsets[:-1], offsets[1:])
+            uses += Lattice(index, parts).expected(p, counts[a : a + _AT_ONCE][owner])
         p = uses / uses.sum(0)
     return p
 
