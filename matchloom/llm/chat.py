@@ -49,7 +49,7 @@ def parse(formatted: Column) -> Column:
     def turn(chunk: Column) -> Column:
         colon = F.locate(": ", chunk, 5)
         role, text = F.substr(chunk, F.lit(5), colon - 5), F.substr(chunk, colon + 2)
-        good = chunk.startswith("### ") & (colon > 0) & ~text.rlike(r"(?<!\\)(###|</turn>)")
+        good = chunk.startswith("### ") & (colon > 0) & ~F.regexp_replace(text, _ESCAPED, ".").rlike("###|</turn>")
         return F.when(good, F.struct(_unrole(role).alias("role"), unescape(text).alias("text")))
 
     return F.transform(F.slice(chunks, F.lit(1), F.size(chunks) - 1), turn)
