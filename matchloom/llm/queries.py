@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, mpeg_audio, token_counts, token_output
+from . import chat, decontaminate, langid, line_dedup, minhash, mixing, mpeg_audio, token_counts, token_output
 from .storage import read, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,11 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.probe(stored)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.classes(minhash.near_duplicates(read(spark, sf_dir, "documents")))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as directly addressable codes, and read back."""
     path = scratch(spark, "tokens")
@@ -150,4 +155,5 @@ QUERIES["op4_token_counts"] = op4_token_counts
 QUERIES["op5_line_dedup"] = op5_line_dedup
 QUERIES["op6_language_id"] = op6_language_id
 QUERIES["op7_mpeg_audio"] = op7_mpeg_audio
+QUERIES["op8_minhash_near_dedup"] = op8_minhash_near_dedup
 QUERIES["op10_token_output"] = op10_token_output
