@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, minhash, mixing, mpeg_audio, token_counts, token_output
+from . import chat, decontaminate, langid, line_dedup, minhash, mixing, mpeg_audio, suffix_dedup, token_counts, token_output
 from .storage import read, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(minhash.near_duplicates(read(spark, sf_dir, "documents")))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that are found elsewhere."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as directly addressable codes, and read back."""
     path = scratch(spark, "tokens")
@@ -156,4 +161,5 @@ QUERIES["op5_line_dedup"] = op5_line_dedup
 QUERIES["op6_language_id"] = op6_language_id
 QUERIES["op7_mpeg_audio"] = op7_mpeg_audio
 QUERIES["op8_minhash_near_dedup"] = op8_minhash_near_dedup
+QUERIES["op9_suffix_array_dedup"] = op9_suffix_array_dedup
 QUERIES["op10_token_output"] = op10_token_output

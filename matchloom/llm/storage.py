@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -63,3 +64,9 @@ def written(df: DataFrame, name: str, sort: list[str] | None = None) -> tuple[Da
     path = scratch(spark, name)
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
