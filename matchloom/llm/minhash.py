@@ -31,7 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
 _BLOCK = 512
-_SKETCH = 128
+_BINS = 512
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -141,44 +141,43 @@ def _verify(least: float, size: int):
 def linked_in_block(texts: pa.Array, classes: list, side: list[int], least: float, size: int) -> list[tuple[int, int]]:
     """Links between texts of different classes, as places; side 0 is compared with side 1, or 2 with itself.
 
-    Classes that a link joins are not compared again. Pairs whose sketches (the smallest hashes) agree in
-    less than half are passed over: at the similarity asked for, that is more than eight standard
-    deviations off.
+    Classes that a link joins are not compared again, nor is the largest class with itself. A text is first
+    compared with all others by sketches: the smallest hash in each of 512 bins. Pairs whose estimate is
+    more than six standard deviations under the similarity asked for are passed over; of the rest, the
+    shingle sets are compared.
     """
     keys, text, _ = shingles(texts, size)
-    n = len(texts)
+    n, sides = len(texts), np.array(side)
     cuts = np.searchsorted(text, np.arange(n + 1))
-    sets = [keys[a:z] for a, z in zip(cuts, cuts[1:])]
     sizes = np.diff(cuts)
-    root = list(range(n))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    first: dict = {}
-    for k, c in enumerate(classes):
-        root[find(k)] = find(first.setdefault(c, k))
-    links, sides = [], np.array(side)
-    for k in range(n):
-        if sides[k] == 1 or not sizes[k]:
+    sketch = np.full((n, _BINS), 0xFFFFFFFF, np.uint32)
+    np.minimum.at(sketch, (text, (keys % np.uint64(_BINS)).astype(np.int64)), (keys >> np.uint64(32)).astype(np.uint32))
+    filled = sketch != 0xFFFFFFFF
+    floor = least - 6 * np.sqrt(least * (1 - least) / _BINS)
+    names: dict = {}
+    group = np.array([names.setdefault(c, len(names)) for c in classes])
+    largest = np.bincount(group).argmax()
+    links = []
+    for k in np.flatnonzero(group != largest).tolist() if (sides == 2).all() else np.flatnonzero(sides == 0).tolist():
+        far = (group != group[k]) & (sizes * least <= sizes[k]) & (sizes >= sizes[k] * least)
+        if sides[k] != 2:
+            far &= sides == 1
+        others = np.flatnonzero(far)
+        if not len(others):
             continue
-        own = find(k)
-        others = np.flatnonzero((sides == 1) if sides[k] == 0 else (np.arange(n) > k))
-        ratio = np.minimum(sizes[others], sizes[k]) / np.maximum(sizes[others], sizes[k])
-        for j in others[ratio >= least].tolist():
-            if find(j) == own:
+        both = filled[others] | filled[k]
+        alike = ((sketch[others] == sketch[k]) & both).sum(1) / np.maximum(both.sum(1), 1)
+        others = others[alike >= floor]
+        mine = keys[cuts[k] : cuts[k + 1]]
+        for j in others[np.argsort(-alike[alike >= floor], kind="stable")].tolist():
+            if group[j] == group[k]:
                 continue
-            small = np.union1d(sets[k][:_SKETCH], sets[j][:_SKETCH])[:_SKETCH]
-            if (np.isin(small, sets[k]) & np.isin(small, sets[j])).mean() < least / 1.6:
-                continue
-            common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-            if common >= least * (sizes[k] + sizes[j] - common):
+            theirs = keys[cuts[j] : cuts[j + 1]]
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = int((mine[at] == theirs).sum())
+            if common >= least * (len(mine) + len(theirs) - common):
                 links.append((k, j))
-                root[find(j)] = own
-                own = find(own)
+                group[group == group[j]] = group[k]
     return links
 
 
