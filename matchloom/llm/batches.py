@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .memory import trimmed
 from .storage import prepare
 
 
@@ -31,4 +32,4 @@ def add_columns(df: DataFrame, inputs: list[str], start: Callable[[], Callable[.
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(*(batch.column(k) for k in at))], names=plain)
 
     prepare(df.sparkSession)
-    return df.toDF(*plain[: len(names)]).mapInArrow(run, schema).toDF(*names, *new.names)
+    return df.toDF(*plain[: len(names)]).mapInArrow(trimmed(run), schema).toDF(*names, *new.names)

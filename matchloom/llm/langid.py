@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import add_columns
+from .memory import trimmed
 from .storage import prepare
-from .textbytes import _CODES, _LOWER, _STEP, mixed, text_bytes, word_hashes
+from .textbytes import _CODES, _LOWER, _STEP, chunks, mixed, text_bytes, word_hashes
 
 UNKNOWN = "und"
 _STRETCH = 48
@@ -182,15 +183,18 @@ class Scorer:
 
     def texts(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log probability of each text in each language, and its number of words."""
-        hashes, first, last, before = word_hashes(body, offsets)
-        out = np.zeros((len(offsets) - 1, len(self.model.langs)))
-        if len(hashes):
+        out, words = np.zeros((len(offsets) - 1, len(self.model.langs))), np.zeros(len(offsets) - 1, np.int64)
+        for a, z in chunks(offsets, 8 << 20):
+            hashes, first, last, before = word_hashes(body[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+            words[a:z] = np.diff(before)
+            if not len(hashes):
+                continue
             _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-            scores = self.words(body, first[where], last[where])
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
+            scores = self.words(body[offsets[a] : offsets[z]], first[where], last[where])
+            text = np.repeat(np.arange(z - a), words[a:z])
             for k in range(out.shape[1]):
-                out[:, k] = np.bincount(text, scores[which, k], len(out))
-        return out, np.diff(before)
+                out[a:z, k] = np.bincount(text, scores[which, k], z - a)
+        return out, words
 
     def words(self, body: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         out = np.zeros((len(first), len(self.model.langs)))
@@ -250,7 +254,7 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, rows_per_lang / n)).otherwise(share)
     sample = rows.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).select("text", "lang")
-    counts = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(trimmed(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "lang", "word").limit(most_words).toArrow().to_pydict()
     langs = sorted(sizes)
     words = {w: k for k, w in enumerate(dict.fromkeys(top["word"]))}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import trimmed
 from .storage import prepare, written
 from .textbytes import chunks, mixed, text_bytes, word_hashes
 
@@ -206,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed, _ = written(plain.mapInArrow(_sign(bands, rows, size), "doc_id long, text_hash long, node binary, bands array<long>"), "signed")
+    signed, _ = written(plain.mapInArrow(trimmed(_sign(bands, rows, size)), "doc_id long, text_hash long, node binary, bands array<long>"), "signed")
     nodes = signed.filter("node is not null").dropDuplicates(["node"])
     banded, _ = written(nodes.select("node", F.explode("bands").alias("bucket")), "banded")
     # tables that a join meets by bucket are written first: a join of tables as they are can be split by skew
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, _ = written(texts, "texts")
     held = pairs.join(texts, "node").withColumnRenamed("text", "near")
     held = held.join(texts.withColumnRenamed("node", "hub"), "hub").select("node", "hub", "near", "text")
-    links, _ = written(held.mapInArrow(_verify(least, size), "a binary, b binary"), "verified")
+    links, _ = written(held.mapInArrow(trimmed(_verify(least, size)), "a binary, b binary"), "verified")
 
     # buckets that are still in several classes, each set of members once
     roots = components(links)

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import trimmed
 from .storage import prepare
 
 END_ID = 1
@@ -31,7 +32,7 @@ _SEGMENT_SCHEMA = "part int, segment int, first long, n_ids long, doc_ids array<
 #: Texts of these characters alone split into pieces the same way whether seen whole or piece by piece.
 _PLAIN = re.compile("[\\x20-\\x7e\\n\\t\\rÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ԯ]*")
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x00-\x200-9a-z\x80-\xff]+")
-_MOST_KNOWN = 400_000
+_MOST_KNOWN = 200_000
 
 
 class Encoder:
@@ -189,7 +190,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", "salt", "text"]
     dealt = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange("doc_id", "salt").sortWithinPartitions(*order)
-    out = dealt.select("doc_id", "text").mapInArrow(_segments(tokenizer, end_id), _SEGMENT_SCHEMA)
+    out = dealt.select("doc_id", "text").mapInArrow(trimmed(_segments(tokenizer, end_id)), _SEGMENT_SCHEMA)
     out.write.option("compression", "zstd").parquet(path)
 
 
