@@ -235,7 +235,7 @@ def test_reports_and_files(spark, mirrors, tmp_path):
     rows = canonical_names(mirrors).collect()
     assert [r.category for r in rows if r.heading] == ["", "Кузов и оптика", "Подвеска"]
     lines = [r.line for r in canonical_lines(mirrors).collect()]
-    assert lines[3] == "> 7 parts · 5 leaves." and lines[-1] == "| AS-017 | Traves arxa |" and "### Güzgülər / Kənar" in lines
+    assert lines[3] == "> 8 parts · 5 leaves." and lines[-1] == "| AS-017 | Traves arxa |" and "### Güzgülər / Kənar" in lines
     write_text(canonical_lines(mirrors), f"file://{tmp_path}/report")
     back = read_report(spark, f"file://{tmp_path}/report")
     assert [(r.part_id, r.name_az) for r in back.orderBy("part_ord").collect()] == [(r.part_id, r.name_az) for r in rows]
@@ -252,7 +252,7 @@ def test_reports_and_files(spark, mirrors, tmp_path):
     write_results(results, f"file://{tmp_path}/results")
     assert spark.read.json(f"file://{tmp_path}/results").count() == 2
     (tmp_path / "catalogue.txt").write_text(MIRRORS, encoding="utf-8")
-    assert parse_file(spark, f"file://{tmp_path}/catalogue.txt").parts.count() == mirrors.parts.count() == 7
+    assert parse_file(spark, f"file://{tmp_path}/catalogue.txt").parts.count() == mirrors.parts.count() == 8
 
 
 def test_stream(spark, mirrors, tmp_path):
