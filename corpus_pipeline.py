@@ -20,11 +20,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: a text that is null, has no letter, or is in doubt between languages goes."""
+    """Documents with a language: a text that is null, has no letter, or is in doubt between languages goes.
+
+    Where no document is labelled, no language can be learned, and all texts with a letter stay.
+    """
     prepare(spark)
-    model = langid.fit(docs, PIECE_BPE)
-    sure = langid.predict(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
-    return sure.select(docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    of = {c: f"c{names.index(c)}" for c in ("doc_id", "text", "lang")}
+    model = langid.fit(plain, PIECE_BPE, of["text"], of["lang"], of["doc_id"])
+    if model is None:
+        kept = plain.filter(F.col(of["text"]).rlike("\\p{L}"))
+    else:
+        kept = langid.predict(plain, model, of["text"]).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
+    return kept.select(*plain.columns).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

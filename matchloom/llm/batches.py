@@ -16,12 +16,10 @@ def add_columns(df: DataFrame, inputs: list[str], start: Callable[[], Callable[.
     """df with the columns of a DDL string added.
 
     start() runs once in each task and gives a function from the input columns of a batch to the added
-    ones. Every row and column stays, and columns of df may even share a name (the first one is read); the
-    added names must be new.
+    ones. Every row stays. So does every column, even if some share a name (the first one is read), but a
+    column of an added name gives way to the new one.
     """
     names, new = df.columns, T._parse_datatype_string(added)
-    if clash := {*names} & {*new.names}:
-        raise ValueError(f"{', '.join(sorted(clash))}: a column already; name others")
     at = [names.index(c) for c in inputs]
     plain = [f"c{k}" for k in range(len(names) + len(new.names))]
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, [*df.schema.fields, *new.fields])])
@@ -32,4 +30,6 @@ def add_columns(df: DataFrame, inputs: list[str], start: Callable[[], Callable[.
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(*(batch.column(k) for k in at))], names=plain)
 
     prepare(df.sparkSession)
-    return df.toDF(*plain[: len(names)]).mapInArrow(trimmed(run), schema).toDF(*names, *new.names)
+    stay = [k for k, c in enumerate(names) if c not in new.names]
+    kept = [plain[k] for k in stay] + plain[len(names) :]
+    return df.toDF(*plain[: len(names)]).mapInArrow(trimmed(run), schema).select(*kept).toDF(*(names[k] for k in stay), *new.names)

@@ -307,6 +307,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
 
     A text that is null or has no letter is "und" with score 0; so is every text without a model. Equal
     probabilities go to the first language by name. All rows and columns stay (repeated rows, ties, null
-    ids); an empty table stays empty. pred_col and score_col must be new names.
+    ids); an empty table stays empty. A column called pred_col or score_col gives way.
     """
     return add_columns(docs, [text_col], _predict(model), f"{pred_col} string, {score_col} double")
