@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import trimmed
 from .storage import prepare, release, remove, written
 from .suffixes import common_prefixes, search, suffix_array
 from .textbytes import _CODES, _STEP, chunks, mixed, text_bytes
@@ -267,14 +268,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     segments that share an anchor with a different segment.
     """
     spark = docs.sparkSession
-    every, every_at = written(docs.select("doc_id", "text_hash", "text").mapInArrow(_read_off(window, gram), _SEGMENT), "segments")
+    every, every_at = written(docs.select("doc_id", "text_hash", "text").mapInArrow(trimmed(_read_off(window, gram)), _SEGMENT), "segments")
     often, often_at = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
     met, met_at = written(every.join(often, "anchor"), "met")
     remove(spark, every_at)
     remove(spark, often_at)
     release(spark)
     distinct, distinct_at = written(met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")), "distinct")
-    many = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds")
+    # written first, so that the join can be split where an anchor has very many kinds
+    many, _ = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds"), "many")
     asked, asked_at = written(distinct.join(many, "anchor"), "asked")
     release(spark)
 
