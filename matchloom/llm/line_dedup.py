@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import remove, scratch
+from .storage import remove, scratch, written
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,7 +112,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(batches.filter(F.col("batch") == k).drop("batch"))
     remove(spark, path)
 
-    dropped = runs.lines().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    # written first: a join of two tables as they are can be split where a line is in very many documents
+    dropped, _ = written(runs.lines().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "dropped")
     row = [F.coalesce("doc_id", low).alias("row_id"), F.xxhash64("text").alias("row_hash")]
     placed = rows.select(*row, F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("at", "key")).filter(F.char_length("key") >= min_chars)
     placed = placed.select("row_id", "row_hash", "at", line_hash(F.col("key")).alias("h")).select("row_id", "row_hash", "at", "h.h1", "h.h2")
