@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import passthrough
 from ..functions.text import match_key, round3
-from ..sources.catalogue import Catalogue
+from ..sources.catalogue import Catalogue, key_sizes
 from .matching import PAIR, near_keys, small, with_parameters
 
 # Fixed value: the question that goes with an ambiguous category.
@@ -37,7 +37,7 @@ def index_meta(index: DataFrame) -> DataFrame:
     return words.join(index.agg(F.array_sort(F.collect_set("category")).alias("categories")))
 
 
-def contained(keys: DataFrame, grouped: DataFrame) -> DataFrame:
+def contained(keys: DataFrame, grouped: DataFrame, rows: int) -> DataFrame:
     """key and the categories of all index keys that contain it (keys of three characters or more).
 
     The first three characters of a key are one of an index key's trigrams, so the two meet by trigram and
@@ -48,7 +48,7 @@ def contained(keys: DataFrame, grouped: DataFrame) -> DataFrame:
     index = grouped.select(F.col("key").alias("found"), "categories").filter(F.length("found") >= LEAST_CONTAINED)
     index = index.withColumn("gram", F.explode(F.array_distinct(grams)))
     asked = keys.filter(F.length("key") >= LEAST_CONTAINED).select("key", F.substring("key", 1, LEAST_CONTAINED).alias("gram")).distinct()
-    met = asked.join(small(index), "gram").filter(F.contains("found", "key"))
+    met = asked.join(small(index, rows), "gram").filter(F.contains("found", "key"))
     return met.select("key", F.explode("categories").alias("category")).groupBy("key").agg(F.array_sort(F.collect_set("category")).alias("contained"))
 
 
@@ -60,14 +60,15 @@ def resolve_categories(words: DataFrame, index: DataFrame) -> DataFrame:
     contains the word is always ambiguous, even with one category. Null words are unknown.
     """
     rows = with_parameters(words).withColumn("key", match_key(F.coalesce("word", F.lit("")))).drop("restrict_category")
-    grouped = grouped_index(index)
+    grouped = grouped_index(index).persist()
+    size = tuple(key_sizes(grouped).first()[1:])
     pairs = rows.filter("word is not null").select(*PAIR).distinct().persist()
-    exact = pairs.join(small(grouped), "key").select(*PAIR, F.lit(1.0).alias("score"), "categories")
-    rest = pairs.join(small(grouped.select("key")), "key", "left_anti")
-    found = near_keys(rest, grouped.select("key", F.lit(0).alias("key_ord"))).join(small(grouped.withColumnRenamed("key", "found")), "found")
+    exact = pairs.join(small(grouped, size[0]), "key").select(*PAIR, F.lit(1.0).alias("score"), "categories")
+    rest = pairs.join(small(grouped.select("key"), size[0]), "key", "left_anti")
+    found = near_keys(rest, grouped.select("key", F.lit(0).alias("key_ord")), size).join(small(grouped.withColumnRenamed("key", "found"), size[0]), "found")
     near = found.select(*PAIR, "score", F.explode("categories").alias("category")).groupBy(*PAIR, "score").agg(F.array_sort(F.collect_set("category")).alias("categories")).persist()
     rest = rest.join(near, PAIR, "left_anti")
-    inside = rest.join(contained(rest, grouped), "key").select(*PAIR, F.lit(None).cast("double").alias("score"), F.col("contained").alias("categories"))
+    inside = rest.join(contained(rest, grouped, size[0] * max(1, size[2])), "key").select(*PAIR, F.lit(None).cast("double").alias("score"), F.col("contained").alias("categories"))
     known = exact.unionByName(near).unionByName(inside)
     out = rows.join(known, PAIR, "left")
     cats, by_score = F.when(F.col("word").isNotNull(), F.col("categories")), F.col("score").isNotNull()

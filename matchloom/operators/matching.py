@@ -21,9 +21,9 @@ BROADCAST_ROWS = 200_000
 PAIR = ["key", "threshold"]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A catalogue table with a broadcast hint if a count of its rows allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A table with a broadcast hint if its rows, as counted, allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def with_parameters(phrases: DataFrame) -> DataFrame:
@@ -33,24 +33,25 @@ def with_parameters(phrases: DataFrame) -> DataFrame:
     return out.withColumn("threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(THRESHOLD)))
 
 
-def near_keys(pairs: DataFrame, index: DataFrame) -> DataFrame:
+def near_keys(pairs: DataFrame, index: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     """key, threshold, found, key_ord, score: the index keys most similar to each key, ties kept.
 
-    pairs are distinct (key, threshold), index has key and key_ord. A key of n characters can only reach
+    pairs are distinct (key, threshold); index has key and key_ord, and size its rows and the lengths of its
+    shortest and longest key. A key of n characters can only reach
     the threshold t with one of t * n to n / t, so it is joined by length, each length of the band a row;
     a threshold of 0 or less has the band of all lengths. The band is one wider than need be at both ends,
     and the similarity itself decides.
     """
     keys = index.select(F.col("key").alias("found"), "key_ord").distinct().withColumn("n", F.length("found"))
-    spans = keys.agg(F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(F.max("n"), F.lit(-1)).alias("most")).first()
+    rows, least, longest_key = size
     n, t = F.length("key"), F.col("threshold")
-    low = F.when(t > 0, F.greatest(F.lit(spans["least"]), F.ceil(n * t).cast("int") - 1)).otherwise(F.lit(spans["least"]))
-    high = F.when(t > 0, F.least(F.lit(float(spans["most"])), F.floor(n / F.nullif(t, F.lit(0.0))) + 1).cast("int")).otherwise(F.lit(spans["most"]))
+    low = F.when(t > 0, F.greatest(F.lit(least), F.ceil(n * t).cast("int") - 1)).otherwise(F.lit(least))
+    high = F.when(t > 0, F.least(F.lit(float(longest_key)), F.floor(n / F.nullif(t, F.lit(0.0))) + 1).cast("int")).otherwise(F.lit(longest_key))
     bands = pairs.select(*PAIR, low.alias("low"), high.alias("high")).filter("low <= high").withColumn("n", F.explode(F.sequence("low", "high")))
     # beyond this many edits the threshold is out of reach, and counting them can stop
     longest = F.greatest(F.length("key"), F.col("n"))
     most = F.when(t > 0, F.least(longest, F.ceil(longest * (1 - t)).cast("int") + 1)).otherwise(longest)
-    met = bands.join(small(keys), "n").withColumn("distance", F.call_function("levenshtein", F.col("key"), F.col("found"), F.greatest(most, F.lit(0))))
+    met = bands.join(small(keys, rows), "n").withColumn("distance", F.call_function("levenshtein", F.col("key"), F.col("found"), F.greatest(most, F.lit(0))))
     scored = met.filter("distance >= 0").withColumn("score", similarity(F.col("key"), F.col("found"), F.col("distance"))).filter("score >= threshold")
     best = scored.groupBy(*PAIR).agg(F.max("score").alias("best"), F.collect_list(F.struct("score", "found", "key_ord")).alias("hits"))
     # equal scores are equal doubles: a quotient of whole numbers is rounded one way
@@ -65,21 +66,23 @@ def _order(*parts: Column | str) -> Column:
 
 def hits(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
     """key, threshold, tier (1 to 4), score, part_id, at (the order of candidates)."""
-    names, synonyms, members = small(catalogue.names), small(catalogue.synonyms), small(catalogue.members)
+    sizes = catalogue.sizes()
+    n_names, n_synonyms, n_parts = (sizes[t][0] for t in ("names", "synonyms", "parts"))
+    names, synonyms, members = (small(df, sizes[t][0]) for t, df in (("names", catalogue.names), ("synonyms", catalogue.synonyms), ("members", catalogue.members)))
     one, zero = F.lit(1.0), F.lit(0)
     named = pairs.join(names, "key")
     by_name = named.select(*PAIR, F.lit(1).alias("tier"), one.alias("score"), "part_id", _order(zero, "ref_ord", zero))
     # an exact name that is a synonym of other leaves as well brings in their parts
-    owners = named.join(small(catalogue.parts.select("part_id", "leaf_code")), "part_id").select("key", "leaf_code").distinct()
+    owners = named.join(small(catalogue.parts.select("part_id", "leaf_code"), n_parts), "part_id").select("key", "leaf_code").distinct()
     others = pairs.join(names.select("key").distinct(), "key", "left_semi").join(synonyms, "key").join(owners, ["key", "leaf_code"], "left_anti")
     guarded = others.join(members, "leaf_code").select(*PAIR, F.lit(1).alias("tier"), one.alias("score"), "part_id", _order(one, "ref_ord", "pos"))
     rest = pairs.join(names.select("key"), "key", "left_anti")
     by_synonym = rest.join(synonyms, "key").join(members, "leaf_code").select(*PAIR, F.lit(2).alias("tier"), one.alias("score"), "part_id", _order(zero, "ref_ord", "pos"))
     rest = rest.join(synonyms, "key", "left_anti")
-    near = near_keys(rest, catalogue.names).persist().join(small(catalogue.names.select(F.col("key").alias("found"), "part_id", "ref_ord")), "found")
+    near = near_keys(rest, catalogue.names, sizes["names"]).persist().join(small(catalogue.names.select(F.col("key").alias("found"), "part_id", "ref_ord"), n_names), "found")
     by_near_name = near.select(*PAIR, F.lit(3).alias("tier"), "score", "part_id", _order("key_ord", "ref_ord", zero))
     rest = rest.join(near.select(*PAIR).distinct(), PAIR, "left_anti")
-    near = near_keys(rest, catalogue.synonyms).join(small(catalogue.synonyms.select(F.col("key").alias("found"), "leaf_code", "ref_ord")), "found")
+    near = near_keys(rest, catalogue.synonyms, sizes["synonyms"]).join(small(catalogue.synonyms.select(F.col("key").alias("found"), "leaf_code", "ref_ord"), n_synonyms), "found")
     by_near_synonym = near.join(members, "leaf_code").select(*PAIR, F.lit(4).alias("tier"), "score", "part_id", _order("key_ord", "ref_ord", "pos"))
     out = by_name
     for more in (guarded, by_synonym, by_near_name, by_near_synonym):
@@ -90,7 +93,7 @@ def hits(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
 def candidates(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
     """key, threshold, tier, score, parts: each pair's candidates in order, each part once, with its columns."""
     found = hits(pairs, catalogue).groupBy(*PAIR, "tier", "score", "part_id").agg(F.min("at").alias("at"))
-    full = found.join(small(catalogue.parts), "part_id")
+    full = found.join(small(catalogue.parts, catalogue.sizes()["parts"][0]), "part_id")
     fields = ["at", "part_id", "name_ru", "name_az", "category", "subcategory", "side_flag", "position_flag"]
     return full.groupBy(*PAIR, "tier", "score").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
 

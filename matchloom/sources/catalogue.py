@@ -5,7 +5,8 @@ Order means something in a catalogue (candidates come in it), so every table car
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,21 @@ class Catalogue:
     names: DataFrame
     synonyms: DataFrame
     rejects: DataFrame | None = None
+    _sizes: dict | None = field(default=None, repr=False)
 
     def persist(self) -> Catalogue:
         for table in (self.parts, self.leaves, self.members, self.names, self.synonyms):
             table.persist()
         return self
 
+    def sizes(self) -> dict[str, tuple[int, int, int]]:
+        """Rows, and shortest and longest key, of each table; one job, run once for a catalogue."""
+        if self._sizes is None:
+            tables = {"parts": self.parts, "members": self.members, "names": self.names, "synonyms": self.synonyms}
+            rows = [key_sizes(df, name) for name, df in tables.items()]
+            self._sizes = {r[0]: tuple(r[1:]) for r in reduce(DataFrame.union, rows).collect()}
+        return self._sizes
+
     def counts(self) -> DataFrame:
         """One row: n_parts, n_leaves, n_categories."""
         parts = self.parts.agg(F.count(F.lit(1)).alias("n_parts"))
@@ -50,6 +60,12 @@ class Catalogue:
         return parts.join(leaves)
 
 
+def key_sizes(table: DataFrame, name: str = "") -> DataFrame:
+    """One row: name, rows, and the lengths of the shortest and the longest key (0 and -1 without keys)."""
+    length = F.length("key") if "key" in table.columns else F.lit(None).cast("int")
+    return table.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.min(length), F.lit(0)).alias("least"), F.coalesce(F.max(length), F.lit(-1)).alias("most"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no and line of a catalogue file, line ends as in the grammar."""
     return _lines(spark.read.text(path, wholetext=True).select("value"))
