@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.attributes import passthrough
 from ..functions.text import match_key, round3
 from ..sources.catalogue import Catalogue, key_sizes
-from .matching import PAIR, near_keys, small, with_parameters
+from .matching import PAIR, distinct_pairs, near_keys, small, with_parameters
 
 # Fixed value: the question that goes with an ambiguous category.
 QUESTION = "К какой категории относится деталь?"
@@ -52,7 +52,7 @@ def contained(keys: DataFrame, grouped: DataFrame, rows: int) -> DataFrame:
     return met.select("key", F.explode("categories").alias("category")).groupBy("key").agg(F.array_sort(F.collect_set("category")).alias("contained"))
 
 
-def resolve_categories(words: DataFrame, index: DataFrame) -> DataFrame:
+def resolve_categories(words: DataFrame, index: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Add result, a category_result struct, to a table of words.
 
     words has qid and word, and may have raw_text and threshold; index has key and category. An exact key
@@ -62,7 +62,7 @@ def resolve_categories(words: DataFrame, index: DataFrame) -> DataFrame:
     rows = with_parameters(words).withColumn("key", match_key(F.coalesce("word", F.lit("")))).drop("restrict_category")
     grouped = grouped_index(index).persist()
     size = tuple(key_sizes(grouped).first()[1:])
-    pairs = rows.filter("word is not null").select(*PAIR).distinct().persist()
+    pairs = distinct_pairs(words, "word") if pairs is None else pairs
     exact = pairs.join(small(grouped, size[0]), "key").select(*PAIR, F.lit(1.0).alias("score"), "categories")
     rest = pairs.join(small(grouped.select("key"), size[0]), "key", "left_anti")
     found = near_keys(rest, grouped.select("key", F.lit(0).alias("key_ord")), size).join(small(grouped.withColumnRenamed("key", "found"), size[0]), "found")

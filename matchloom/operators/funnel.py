@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.catalogue import Catalogue
 from .categories import resolve_categories
-from .matching import match
+from .matching import distinct_pairs, match
 
 EVENTS = ("cat", "cat-other", "part", "part-other", "side", "pos", "restart")
 
@@ -30,8 +30,9 @@ def funnel(phrases: DataFrame, catalogue: Catalogue, index: DataFrame) -> DataFr
     An unresolved word is matched without a restriction, a resolved one within its category, and where the
     category is ambiguous the question comes first (the match within no category is still there).
     """
-    layer = resolve_categories(phrases.withColumn("word", F.col("phrase")).drop("restrict_category"), index).withColumnRenamed("result", "category_result")
-    found = match(layer.drop("word").withColumn("restrict_category", F.col("category_result")["category"]), catalogue)
+    pairs = distinct_pairs(phrases)
+    layer = resolve_categories(phrases.withColumn("word", F.col("phrase")).drop("restrict_category"), index, pairs).withColumnRenamed("result", "category_result")
+    found = match(layer.drop("word").withColumn("restrict_category", F.col("category_result")["category"]), catalogue, pairs)
     return found.withColumn("next_question", next_question(F.col("category_result"), F.col("result")))
 
 

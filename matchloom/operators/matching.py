@@ -98,15 +98,22 @@ def candidates(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
     return full.groupBy(*PAIR, "tier", "score").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
 
 
-def match(phrases: DataFrame, catalogue: Catalogue) -> DataFrame:
+def distinct_pairs(phrases: DataFrame, column: str = "phrase") -> DataFrame:
+    """The distinct (key, threshold) of a table of phrases, persisted, as every tier reads them."""
+    rows = with_parameters(phrases).filter(F.col(column).isNotNull())
+    return rows.select(match_key(F.col(column)).alias("key"), "threshold").distinct().persist()
+
+
+def match(phrases: DataFrame, catalogue: Catalogue, pairs: DataFrame | None = None) -> DataFrame:
     """Add result, a match_result struct, and tier (null without a match) to a table of phrases.
 
     phrases has qid and phrase, and may have raw_text, threshold (0.9) and restrict_category. The
     restriction comes after the choice of the tier: a phrase whose tier has no part of the category is
-    no_match. Null phrases match nothing. Every row stays, repeated qids too.
+    no_match. Null phrases match nothing. Every row stays, repeated qids too. pairs are those of
+    distinct_pairs(), if they are known already.
     """
     rows = with_parameters(phrases).withColumn("key", match_key(F.coalesce("phrase", F.lit(""))))
-    pairs = rows.filter("phrase is not null").select(*PAIR).distinct().persist()
+    pairs = distinct_pairs(phrases) if pairs is None else pairs
     joined = rows.join(candidates(pairs, catalogue), PAIR, "left")
     empty = F.array().cast(joined.schema["parts"].dataType)
     wanted = F.filter("parts", lambda p: F.col("restrict_category").isNull() | (p["category"] == F.col("restrict_category")))

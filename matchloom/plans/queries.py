@@ -291,6 +291,14 @@ def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categories.index_meta(_index(spark, sf_dir)).withColumn("categories", _joined("categories"))
 
 
+_CATEGORY_SQL = """e AS (SELECT p.key, p.threshold, 1.0 AS score, i.category, NULL AS how FROM pairs p JOIN index i USING (key)),
+s AS (SELECT p.key, p.threshold, i.category, 1.0 - CAST(levenshtein(p.key, i.key) AS DOUBLE) / greatest(length(p.key), length(i.key)) AS score FROM pairs p, index i WHERE p.key NOT IN (SELECT key FROM index)),
+n AS (SELECT DISTINCT key, threshold, score, category, NULL AS how FROM (SELECT * FROM s WHERE score >= threshold QUALIFY rank() OVER (PARTITION BY key, threshold ORDER BY score DESC) = 1)),
+c AS (SELECT DISTINCT p.key, p.threshold, NULL AS score, i.category, 'containment' AS how FROM pairs p, index i WHERE length(p.key) >= 3 AND contains(i.key, p.key) AND p.key NOT IN (SELECT key FROM index) AND NOT EXISTS (SELECT 1 FROM n WHERE n.key = p.key AND n.threshold = p.threshold)),
+u AS (SELECT key, threshold, any_value(score) AS score, any_value(how) AS how, count(*) AS m, string_agg(category, ',' ORDER BY category) AS categories
+      FROM (SELECT key, threshold, score, category, how FROM e UNION ALL SELECT key, threshold, score, category, how FROM n UNION ALL SELECT key, threshold, score, category, how FROM c) GROUP BY key, threshold)"""
+
+
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = phrases(spark, sf_dir).withColumn("word", F.when(F.pmod("qid", F.lit(10)) == 9, F.substring("phrase", 2, 4)).otherwise(F.col("phrase")))
     found = categories.resolve_categories(rows.drop("phrase", "restrict_category"), _index(spark, sf_dir))
@@ -302,12 +310,7 @@ _RESOLVE_SQL = f"""WITH {CATALOGUE_SQL}, {PHRASES_SQL},
 asked AS (SELECT qid, CASE WHEN qid % 10 = 9 THEN substr(phrase, 2, 4) ELSE phrase END AS word, raw_text, threshold FROM phrases),
 k AS (SELECT *, array_to_string(regexp_extract_all(lower(translate(word, 'İIƏÇŞĞÖÜ', 'iıəçşğöü')), '[0-9a-zçğıəöüşЀ-ӿ]+'), ' ') AS key FROM asked),
 pairs AS (SELECT DISTINCT key, threshold FROM k),
-e AS (SELECT p.key, p.threshold, 1.0 AS score, i.category, NULL AS how FROM pairs p JOIN index i USING (key)),
-s AS (SELECT p.key, p.threshold, i.category, 1.0 - CAST(levenshtein(p.key, i.key) AS DOUBLE) / greatest(length(p.key), length(i.key)) AS score FROM pairs p, index i WHERE p.key NOT IN (SELECT key FROM index)),
-n AS (SELECT DISTINCT key, threshold, score, category, NULL AS how FROM (SELECT * FROM s WHERE score >= threshold QUALIFY rank() OVER (PARTITION BY key, threshold ORDER BY score DESC) = 1)),
-c AS (SELECT DISTINCT p.key, p.threshold, NULL AS score, i.category, 'containment' AS how FROM pairs p, index i WHERE length(p.key) >= 3 AND contains(i.key, p.key) AND p.key NOT IN (SELECT key FROM index) AND NOT EXISTS (SELECT 1 FROM n WHERE n.key = p.key AND n.threshold = p.threshold)),
-u AS (SELECT key, threshold, any_value(score) AS score, any_value(how) AS how, count(*) AS m, string_agg(category, ',' ORDER BY category) AS categories
-      FROM (SELECT key, threshold, score, category, how FROM e UNION ALL SELECT key, threshold, score, category, how FROM n UNION ALL SELECT key, threshold, score, category, how FROM c) GROUP BY key, threshold),
+{_CATEGORY_SQL},
 res AS (SELECT qid, CASE WHEN m IS NULL THEN 'category_unknown' WHEN m = 1 AND how IS NULL THEN 'category_resolved' ELSE 'category_ambiguous' END AS status, coalesce(categories, '') AS categories,
         round(score, 3) AS match_score, coalesce(nullif(raw_text, ''), word) AS forwarded, how AS matched_by FROM k LEFT JOIN u USING (key, threshold))"""
 
@@ -332,7 +335,21 @@ def category_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).filter("matched_by = 'containment'").select("qid", "status", "categories")
 
 
-@query("funnel", None)
+_FUNNEL_SQL = _MATCH_SQL.format(keep="k.only_category IS NULL OR m.category = k.only_category").replace("FROM keyed k JOIN hits", "FROM cat k JOIN hits").replace(
+    "cand AS (",
+    f"""{_CATEGORY_SQL},
+cat AS (SELECT k.*, CASE WHEN m IS NULL THEN 'category_unknown' WHEN m = 1 AND how IS NULL THEN 'category_resolved' ELSE 'category_ambiguous' END AS category_status, CASE WHEN m = 1 AND how IS NULL THEN categories END AS only_category
+        FROM keyed k LEFT JOIN u USING (key, threshold)),
+cand AS (""",
+)
+
+
+@query(
+    "funnel",
+    f"""{_FUNNEL_SQL} SELECT qid, category_status, only_category AS category, status,
+       CASE WHEN category_status = 'category_ambiguous' THEN 'category' WHEN status = 'ambiguous' THEN 'part' WHEN needs LIKE 'side%' THEN 'side' WHEN needs = 'position' THEN 'position' ELSE 'none' END AS next_question
+FROM res JOIN cat USING (qid)""",
+)
 def funnel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = phrases(spark, sf_dir).drop("restrict_category")
     found = funnel.funnel(rows, catalogue(spark, sf_dir), _index(spark, sf_dir))
