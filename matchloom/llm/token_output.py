@@ -32,7 +32,7 @@ _SEGMENT_SCHEMA = "part int, segment int, first long, n_ids long, doc_ids array<
 #: Texts of these characters alone split into pieces the same way whether seen whole or piece by piece.
 _PLAIN = re.compile("[\\x20-\\x7e\\n\\t\\rÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ԯ]*")
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x00-\x200-9a-z\x80-\xff]+")
-_MOST_KNOWN = 200_000
+_MOST_KNOWN = 300_000
 
 
 class Encoder:
@@ -50,10 +50,10 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.control = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before known grew too large
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.known) > _MOST_KNOWN:
-            self.known.clear()
+        """Encode pieces that are not known, many in one call; each is a word of its own to the library."""
         for i in range(0, len(pieces), 2000):
             part = pieces[i : i + 2000]
             got = self.model.encode(b" ".join(part).decode(), add_special_tokens=False)
@@ -66,17 +66,29 @@ class Encoder:
                 for p in part:
                     self.known[p] = np.array(self.model.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. What is not known yet is encoded for all of them together."""
+        split = [None if not self._plain(t) else _PIECE.findall(t.encode().lower()) for t in texts]
+        if len(self.known) > _MOST_KNOWN:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for p in {p for pieces in split if pieces for p in pieces}:
+            if p not in known:
+                if (ids := older.get(p)) is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+        self._learn(new)
+        return [
+            np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4") if pieces is None else np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+            for text, pieces in zip(texts, split)
+        ]
+
+    def _plain(self, text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(c in text for c in self.control)
+
     def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text) or any(c in text for c in self.control):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
-        pieces = _PIECE.findall(text.encode().lower())
-        try:
-            return np.frombuffer(b"".join([self.known[p] for p in pieces]), "<u4")
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-            if any(p not in self.known for p in pieces):
-                self._learn(list(dict.fromkeys(pieces)))
-            return np.frombuffer(b"".join([self.known[p] for p in pieces]), "<u4")
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -159,17 +171,17 @@ def _segments(path: str, end_id: int):
             )
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for doc, text in zip(ids, texts):
-                got = model.encode(text.as_py() or "")
-                docs.append(doc)
-                starts.append(size)
-                held += [got, end]
-                size += len(got) + 1
-                if size >= _SEGMENT:
-                    yield flush()
-                    number, done = number + 1, done + size
-                    docs, starts, held, size = [], [], [], 0
+            for k in range(0, batch.num_rows, 512):
+                ids, texts = (c.to_pylist() for c in batch.slice(k, 512).columns)
+                for doc, got in zip(ids, model.encode_many([t or "" for t in texts])):
+                    docs.append(doc)
+                    starts.append(size)
+                    held += [got, end]
+                    size += len(got) + 1
+                    if size >= _SEGMENT:
+                        yield flush()
+                        number, done = number + 1, done + size
+                        docs, starts, held, size = [], [], [], 0
         if docs:
             yield flush()
 
