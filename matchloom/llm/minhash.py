@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .memory import trimmed
-from .storage import prepare, written
+from .storage import prepare, remove, written
 from .textbytes import chunks, mixed, text_bytes, word_hashes
 
 SHINGLE = 5
@@ -206,39 +206,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     those in buckets of two or more; these are kept in the shared folder.
     """
     prepare(docs.sparkSession)
+    paths: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        paths.append(path)
+        return table
+
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed, _ = written(plain.mapInArrow(trimmed(_sign(bands, rows, size)), "doc_id long, text_hash long, node binary, bands array<long>"), "signed")
     nodes = signed.filter("node is not null").dropDuplicates(["node"])
-    banded, _ = written(nodes.select("node", F.explode("bands").alias("bucket")), "banded")
+    banded = kept(nodes.select("node", F.explode("bands").alias("bucket")), "banded")
     # tables that a join meets by bucket are written first: a join of tables as they are can be split by skew
-    full, _ = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "full")
-    dense, _ = written(banded.join(full, "bucket"), "dense")
-    central, _ = written(dense.groupBy("node").agg(F.sum("n").alias("central")), "central")
+    full = kept(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "full")
+    dense = kept(banded.join(full, "bucket"), "dense")
+    central = kept(dense.groupBy("node").agg(F.sum("n").alias("central")), "central")
 
     ranked = dense.join(central, "node")
-    hubs, _ = written(ranked.groupBy("bucket").agg(F.max(F.struct("central", "node"))["node"].alias("hub")), "hubs")
+    hubs = kept(ranked.groupBy("bucket").agg(F.max(F.struct("central", "node"))["node"].alias("hub")), "hubs")
     pairs = dense.join(hubs, "bucket").filter("node <> hub").select("node", "hub").distinct()
 
     wanted = nodes.join(central, "node").select("node", "doc_id", "text_hash").withColumnRenamed("doc_id", "own")
     texts = plain.join(wanted, (plain["text_hash"] == wanted["text_hash"]) & plain["doc_id"].eqNullSafe(wanted["own"])).select("node", "text").dropDuplicates(["node"])
-    texts, _ = written(texts, "texts")
+    texts = kept(texts, "texts")
     held = pairs.join(texts, "node").withColumnRenamed("text", "near")
     held = held.join(texts.withColumnRenamed("node", "hub"), "hub").select("node", "hub", "near", "text")
-    links, _ = written(held.mapInArrow(trimmed(_verify(least, size)), "a binary, b binary"), "verified")
+    links = kept(held.mapInArrow(trimmed(_verify(least, size)), "a binary, b binary"), "verified")
 
     # buckets that are still in several classes, each set of members once
     roots = components(links)
     seen = dense.join(roots, "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
     torn = seen.groupBy("bucket", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
-    torn, _ = written(torn.filter("n > 2 and low <> high").groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "torn")
+    torn = kept(torn.filter("n > 2 and low <> high").groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "torn")
     parts = F.ceil(F.col("n") / _BLOCK)
     split = seen.join(torn.select("bucket"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), parts))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     block = split.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "root", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
     more = block.join(texts, "node").groupBy("bucket", "p", "q").applyInArrow(_blocks(least, size), "a binary, b binary")
-    more, _ = written(more, "more")
+    more = kept(more, "more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
+    for path in paths:
+        remove(docs.sparkSession, path)
     return signed.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import prepare, written
+from .storage import prepare, remove, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 8192
@@ -168,9 +168,10 @@ def mix(tape: DataFrame, wanted: DataFrame, block_words: int = BLOCK_WORDS, most
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_REPEATS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The tape and the targets of documents. Both are written, as later steps read them more than once."""
     prepare(docs.sparkSession)
-    sizes, _ = written(sized(docs, id_col, text_col, source_col, seed), "sizes")
+    sizes, sizes_at = written(sized(docs, id_col, text_col, source_col, seed), "sizes")
     wanted, _ = written(targets(sizes, weights, most), "targets")
     tape, _ = written(taped(sizes, wanted), "tape")
+    remove(docs.sparkSession, sizes_at)
     return tape, wanted
 
 

@@ -276,7 +276,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     release(spark)
     distinct, distinct_at = written(met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")), "distinct")
     # written first, so that the join can be split where an anchor has very many kinds
-    many, _ = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds"), "many")
+    many, many_at = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds"), "many")
     asked, asked_at = written(distinct.join(many, "anchor"), "asked")
     release(spark)
 
@@ -297,16 +297,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
         "anchor", "seg", "weight", "body",
     )
-    found, _ = written(placed.groupBy("shard", "hot", "p", "q").applyInArrow(_search_shard(window), _FOUND), "found")
+    found, found_at = written(placed.groupBy("shard", "hot", "p", "q").applyInArrow(_search_shard(window), _FOUND), "found")
     remove(spark, bodies_at)
     release(spark)
 
     single = distinct.filter("weight = 1").select("anchor", "seg", "at.doc_id", "at.text_hash", "at.first").join(found, ["anchor", "seg"])
-    equal, _ = written(distinct.filter("weight > 1").select("anchor", "seg"), "equal")
+    equal, equal_at = written(distinct.filter("weight > 1").select("anchor", "seg"), "equal")
     copies = met.join(equal, ["anchor", "seg"]).select("doc_id", "text_hash", F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + window).alias("end"))
     single = single.select("doc_id", "text_hash", (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high") + window).alias("end"))
     spans, _ = written(copies.unionByName(single), "spans")
-    for path in (met_at, distinct_at, asked_at):
+    for path in (met_at, distinct_at, asked_at, many_at, found_at, equal_at):
         remove(spark, path)
     release(spark)
     return spans
