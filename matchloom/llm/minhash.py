@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and verification.
 
-Shingles are five consecutive words, weighted by 1 + ln(times). Each shingle is a Poisson process whose
-rate is its weight: its arrivals, from a generator seeded by its hash, each fall on one register of the
+Shingles are five consecutive words. Each shingle of a text is a Poisson process of rate 1, however often
+it stands there: its arrivals, from a generator seeded by its hash, each fall on one register of the
 signature, and a register keeps the shingle with the earliest arrival. A shingle stops as soon as its next
 arrival is later than all registers hold. Two signatures agree in a register with the probability
-Jaccard similarity of their weighted shingles. Documents that agree in all registers of a band are
-candidates; a link is verified on the whole shingle sets.
+Jaccard similarity of their shingles, which for equal weights is the Jaccard similarity of the sets: what
+candidates are searched by is what links are verified by. Documents that agree in all registers of a band
+are candidates; a link is verified on the whole shingle sets.
 
 Documents with the same shingles are one node from the start. A bucket of candidates is not paired out:
 its members are checked against one hub, the member that shares most buckets with others. Buckets whose
@@ -105,8 +106,8 @@ def _sign(bands: int, rows: int, size: int):
             _, offsets = text_bytes(batch.column(2))
             for a, z in chunks(offsets, 8 << 20):
                 part = batch.slice(a, z - a)
-                keys, text, counts = shingles(part.column(2), size)
-                signed = signatures(keys, text, 1 + np.log(counts), z - a, bands * rows)
+                keys, text, _ = shingles(part.column(2), size)
+                signed = signatures(keys, text, np.ones(len(keys)), z - a, bands * rows)
                 cuts, raw = np.searchsorted(text, np.arange(z - a + 1)) * 8, keys.tobytes()
                 node = [hashlib.blake2b(raw[x:y], digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:])]
                 found = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a) * bands + 1, bands, dtype=np.int32)), pa.array(band_keys(signed, bands, rows).ravel()))
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared and null ids are fine, an empty table gives none, and other columns are left out.
 
     With 28 bands of 5 registers, a pair of similarity 0.8 fails to meet in a bucket with a probability of
-    1.5e-5; no bucket, class or number of partners is capped. Texts are shuffled once, to bring together
+    1.5e-5, whatever repeats within the two texts; a node's buckets follow from its shingles alone. No bucket, class or number of partners is capped. Texts are shuffled once, to bring together
     those in buckets of two or more; these are kept in the shared folder.
     """
     prepare(docs.sparkSession)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from matchloom.llm.components import components
-from matchloom.llm.minhash import classes, jaccard, keep_one, linked_in_block, near_duplicates, shingles, signatures
+from matchloom.llm.minhash import _sign, classes, jaccard, keep_one, linked_in_block, near_duplicates, shingles, signatures
 from matchloom.llm.textbytes import words_of
 
 
@@ -97,6 +97,28 @@ def test_classes_against_all_pairs(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(groups)
 
 
+def test_copies_with_a_line_repeated_many_times(spark):
+    rows = []
+    for g in range(80):
+        base = [f"w{g}x{k}" for k in range(60)]
+        a, z, times = [(0, 20, 50), (20, 40, 20), (40, 52, 50), (10, 30, 200)][g % 4]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:a] + base[a:z] * times + base[z:]))]
+        a, b = sets_of([rows[-2][1], rows[-1][1]])
+        assert len(a & b) >= 0.8 * len(a | b)
+    # the same shingles, each as often as it likes: one node with one set of buckets
+    ring = "a b c d e f g h "
+    rows += [(200 + k, ring * (2 + 7 * k) + "a b c d") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in classes(near_duplicates(df)).collect()}
+    assert got == {k: (k - k % 2, 2) if k < 200 else (200, 6) for k, _ in rows}
+    signed = list(_sign(28, 5, 5)(iter([pa.record_batch([pa.array([k for k, _ in rows]), pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text_hash", "text"])])))
+    buckets = defaultdict(set)
+    for batch in signed:
+        for node, bands in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            buckets[node].add(tuple(bands))
+    assert len(buckets) == 161 and all(len(b) == 1 for b in buckets.values())
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (5, "q w e r t y"), (6, None)], "doc_id long, text string")
     got = classes(near_duplicates(df)).collect()
