@@ -235,12 +235,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_lang: int = 2000, most_words: int = 100_000, rounds: int = 3) -> Model | None:
+def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_lang: int = 2000, rounds: int = 3) -> Model | None:
     """Fit the piece probabilities on labelled rows.
 
     The fit takes a bounded sample: about rows_per_lang rows of each language, chosen by a hash of
-    key_col and the text, and of their words the most_words most frequent (language, word) pairs. Only
-    those reach the driver. Rows with a null text or language are passed over. Without any labelled row
+    key_col and the text, and all words of those rows. Each language is fitted by itself, in one task, and
+    only its probabilities reach the driver. Rows with a null text or language are passed over. Without any labelled row
     there is no model (None). More than 500 languages are refused, as the model is sent to every task.
     """
     prepare(labelled.sparkSession)
@@ -255,14 +255,22 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
         share = F.when(F.col("lang") == lang, min(1.0, rows_per_lang / n)).otherwise(share)
     sample = rows.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).select("text", "lang")
     counts = sample.mapInArrow(trimmed(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(most_words).toArrow().to_pydict()
-    langs = sorted(sizes)
-    words = {w: k for k, w in enumerate(dict.fromkeys(top["word"]))}
-    table = np.zeros((len(words), len(langs)))
-    for lang, word, n in zip(top["lang"], top["word"], top["n"]):
-        table[words[word], langs.index(lang)] = n
-    pieces = public_pieces(vocabulary)
-    return Model(langs, pieces, _maximise(pieces, list(words), table, rounds))
+    langs, pieces = sorted(sizes), public_pieces(vocabulary)
+    fitted = counts.groupBy("lang").applyInArrow(_fit_language(pieces, rounds), "lang string, p array<double>").toArrow()
+    p = np.full((len(pieces), len(langs)), 1 / len(pieces))  # a language without words stays at this
+    for lang, column in zip(fitted.column("lang").to_pylist(), fitted.column("p")):
+        p[:, langs.index(lang)] = column.values.to_numpy()
+    return Model(langs, pieces, p)
+
+
+def _fit_language(pieces: list[bytes], rounds: int):
+    def run(table: pa.Table) -> pa.Table:
+        pairs = sorted(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
+        counts = np.array([n for _, n in pairs], float)[:, None]
+        p = _maximise(pieces, [w for w, _ in pairs], counts, rounds)[:, 0]
+        return pa.table({"lang": table.column("lang").slice(0, 1), "p": pa.array([p], pa.list_(pa.float64()))})
+
+    return run
 
 
 def _maximise(pieces: list[bytes], words: list[bytes], counts: np.ndarray, rounds: int) -> np.ndarray:

@@ -2,12 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from matchloom.llm import queries
-from matchloom.llm.langid import Lattice, Model, Pieces, _joined, fit, predict
+from matchloom.llm.langid import Lattice, Model, Pieces, _joined, _maximise, fit, predict
+from matchloom.llm.textbytes import words_of
 
 
 def enumerated(word, p):
@@ -52,3 +54,20 @@ def test_nulls_empty_long_and_clashing(spark):
     assert fit(df.limit(0), queries.PIECE_BPE) is None
     assert {r.lang_pred for r in predict(df, None).collect()} == {"und"}
     assert isinstance(model, Model) and predict(df.limit(0), model).count() == 0
+
+
+def test_a_rare_language_keeps_its_words_beside_large_ones(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(7))
+    texts = [" ".join(word("abcdefgh") for _ in range(4000)) for _ in range(15)] * 2 + [" ".join(word("abcdefgh") for _ in range(4000)) for _ in range(13)]
+    rare = [" ".join(word("qrstuvwx") for _ in range(60))]
+    rows = [(k, t, "aa") for k, t in enumerate(texts)] + [(1000, rare[0], "zz")]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.PIECE_BPE)
+    assert model.langs == ["aa", "zz"]
+    for k, held in enumerate((texts, rare)):
+        counts = Counter(w.encode() for t in held for w in words_of(t))
+        want = _maximise(model.pieces, list(counts), np.array([*counts.values()], float)[:, None], 3)
+        assert np.allclose(model.p[:, k], want[:, 0], rtol=1e-9, atol=0)
+    fresh = [(1, " ".join(word("qrstuvwx") for _ in range(30))), (2, " ".join(word("abcdefgh") for _ in range(30)))]
+    got = {r.doc_id: r.lang_pred for r in predict(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert got == {1: "zz", 2: "aa"}
