@@ -6,7 +6,8 @@ silence. Each carries one unit of 576 payload bytes as ancillary data behind its
 
 The parser takes any MPEG 1, 2 or 2.5 stream of Layers I to III: it skips tags, resynchronises on frame
 headers (one counts only if another header, a tag or the end follows where it says), reads Xing, Info and
-VBRI tables, and verifies the CRC of Layer III frames that have one.
+VBRI tables with their seek entries, and verifies the CRC of every frame that has one. Free-format frames
+(without a bitrate in their header) are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ class Header:
     rate: int
     mono: bool
     size: int
+    joint: int  # subbands from here on share their bit allocation between channels; 32: none does
 
     @property
     def samples(self) -> int:
@@ -76,7 +78,7 @@ def header_at(raw: bytes, at: int) -> Header | None:
         size = (12000 * kbps // hz + pad) * 4
     else:
         size = (72000 if layer == 3 and version != 3 else 144000) * kbps // hz + pad
-    return Header(version, layer, not b1 & 1, kbps, hz, b3 >> 6 == 3, size)
+    return Header(version, layer, not b1 & 1, kbps, hz, b3 >> 6 == 3, size, 4 + 4 * (b3 >> 4 & 3) if b3 >> 6 == 1 else 32)
 
 
 def _crc_table() -> np.ndarray:
@@ -97,6 +99,43 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _allocation_bits(head: Header) -> list[int]:
+    """Bits of the allocation of each subband in a Layer II frame, as the standard's tables have them."""
+    if head.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = head.kbps if head.mono else head.kbps // 2
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if head.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if each <= 80 or head.rate == 48000 else 7)
+
+
+def _wrong(rows: np.ndarray, head: Header) -> int:
+    """How many of some protected frames, a row each, have another checksum than they say.
+
+    It covers half the header and what follows the checksum: side information (Layer III), bit allocation
+    (I), or bit allocation and scale factor selection (II), whose bits depend on the allocation.
+    """
+    said = rows[:, 4] * np.uint32(256) + rows[:, 5]
+    if head.layer != 2:
+        covered = head.side if head.layer == 3 else 16 if head.mono else (32 + head.joint) // 2
+        if 6 + covered > head.size:
+            return len(rows)
+        return int((crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + covered]], axis=1)) != said).sum())
+    bits = np.unpackbits(rows[:, 6 : 6 + 64], axis=1)  # 308 are the most that are covered
+    at, used = 0, np.zeros(len(rows), np.int64)
+    for band, n in enumerate(_allocation_bits(head)):
+        shared = not head.mono and band >= head.joint
+        for _ in range(1 if head.mono or shared else 2):
+            used += bits[:, at : at + n].any(1) * (2 if shared else 1)
+            at += n
+    length = at + 2 * used
+    crc = crc16(rows[:, 2:4])
+    for k in range(min(int(length.max()), bits.shape[1])):
+        step = (crc << np.uint32(1) ^ ((crc >> np.uint32(15) ^ bits[:, k]) & np.uint32(1)) * np.uint32(0x8005)) & np.uint32(0xFFFF)
+        crc = np.where(k < length, step, crc)
+    return int(((crc != said) | (length > bits.shape[1])).sum())
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -140,6 +179,8 @@ class Stream:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
+    toc_bytes: tuple[int, ...] = ()  # VBRI: bytes of each stretch of toc_frames frames
+    toc_frames: int = 0
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     samples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -196,6 +237,9 @@ def _vbr(raw: bytes, at: int, head: Header, out: Stream) -> bool:
     if raw[at + 36 : at + 40] == b"VBRI":
         out.table = "VBRI"
         out.table_bytes, out.table_frames = (int.from_bytes(raw[at + k : at + k + 4]) for k in (46, 50))
+        entries, scale, width, out.toc_frames = (int.from_bytes(raw[at + k : at + k + 2]) for k in (54, 56, 58, 60))
+        table = raw[at + 62 : at + min(62 + entries * width, head.size)]
+        out.toc_bytes = tuple(scale * int.from_bytes(table[k : k + width]) for k in range(0, len(table) - width + 1, width)) if width else ()
         return True
     return False
 
@@ -243,11 +287,9 @@ def parse(raw: bytes) -> Stream:
     out.sizes = np.concatenate([np.full(n, h.size, np.int64) for _, n, h in runs])
     out.samples = np.concatenate([np.full(n, h.samples, np.int64) for _, n, h in runs])
     for a, n, h in runs:
-        if h.protected and h.layer == 3:
-            rows = body[a : a + n * h.size].reshape(n, h.size)
-            crc = crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + h.side]], axis=1))
+        if h.protected:
             out.checked += n
-            out.wrong += int((crc != rows[:, 4] * np.uint32(256) + rows[:, 5]).sum())
+            out.wrong += _wrong(body[a : a + n * h.size].reshape(n, h.size), h)
     return out
 
 
@@ -307,7 +349,7 @@ def _probe(seek_every: int):
                     doc, int(got.tags["bytes"]) if "bytes" in got.tags else None,
                     *((None,) * 3 if held is None else (len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]))),
                     len(raw), hashlib.sha256(raw).hexdigest(), feature(got), len(got.offsets),
-                    float(got.seconds * 1000), got.wrong == 0, got.offsets[::seek_every].tolist(),
+                    float(got.seconds * 1000), got.wrong == 0 if got.checked else None, got.offsets[::seek_every].tolist(),
                 ))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64())]
             names = [f.split()[0] for f in _PROBED.split(", ")]
@@ -321,7 +363,7 @@ def probe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", se
     """Parse stored streams: what is in them, exact durations, checksums, and frame seek offsets.
 
     seek_offsets has the byte offset of every seek_every-th frame (38 are about a second). Streams that
-    build() did not make have null payload columns; null media give nulls; bytes without any frame give
+    build() did not make have null payload columns; crc_ok is null where no frame has a checksum; null media give nulls; bytes without any frame give
     no frames and a duration of 0.
     """
     prepare(media.sparkSession)

@@ -1,6 +1,7 @@
 """Streams built, damaged and parsed."""
 
 import hashlib
+import struct
 import zlib
 from fractions import Fraction
 
@@ -54,6 +55,54 @@ def test_crc_of_known_value():
     assert crc16(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0xAEE7
 
 
+def plain_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ b) & 1 else 0)) & 0xFFFF
+    return crc
+
+
+# header, bits of the allocation, and scale factor selections if everything is allocated
+@pytest.mark.parametrize("head, alloc, selected", [
+    ([0xFF, 0xFE, 0x80, 0xC0], 128, 0), ([0xFF, 0xFE, 0x80, 0x00], 256, 0), ([0xFF, 0xFE, 0x80, 0x50], 160, 0),
+    ([0xFF, 0xFC, 0xA4, 0xC0], 88, 27), ([0xFF, 0xFC, 0xA4, 0x00], 176, 54), ([0xFF, 0xFC, 0xA0, 0xC0], 94, 30),
+    ([0xFF, 0xFC, 0x20, 0xC0], 26, 8), ([0xFF, 0xFC, 0x28, 0xC0], 38, 12), ([0xFF, 0xFC, 0xA4, 0x50], 120, 54),
+    ([0xFF, 0xF4, 0xA4, 0x00], 150, 60),
+])
+def test_checksums_of_layers_1_and_2(head, alloc, selected):
+    size = header_at(bytes(head), 0).size
+    for ones in (0, 1):  # nothing allocated, and everything
+        covered = [ones] * alloc + [k // 2 & 1 for k in range(2 * selected * ones)]
+        crc = plain_crc([b >> k & 1 for b in head[2:] for k in range(7, -1, -1)] + covered)
+        bits = (covered + [1, 0] * 8)[: (len(covered) + 15) // 8 * 8]
+        raw = bytes(head) + crc.to_bytes(2) + bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits) // 8 * 8, 8))
+        frame = raw.ljust(size, b"\x55")[:size]
+        got = parse(frame * 4)
+        assert (len(got.offsets), got.checked, got.wrong) == (4, 4, 0)
+        for place in (6, 5 + len(covered) // 8):
+            bad = bytearray(frame * 4)
+            bad[size + place] ^= 0x80
+            assert parse(bytes(bad)).wrong == 1
+
+
+def test_vbri_table():
+    head = bytes([0xFF, 0xFB, 0x90, 0x00])
+    size = header_at(head, 0).size
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 7 * size, 6, 3, 2, 2, 2) + struct.pack(">HHH", *[size] * 3)
+    got = parse((head + bytes(32) + vbri).ljust(size, b"\0") + (head + bytes(size - 4)) * 6)
+    assert (got.table, got.table_frames, got.table_bytes, len(got.offsets)) == ("VBRI", 6, 7 * size, 6)
+    assert got.toc_bytes == (2 * size,) * 3 and got.toc_frames == 2
+
+
+def test_checks_nothing_without_checksums(spark):
+    head = bytes([0xFF, 0xFD, 0xA4, 0x00])
+    bad = bytes([0xFF, 0xFC, 0xA4, 0x00])
+    size = header_at(head, 0).size
+    rows = [(1, bytearray((head + bytes(size - 4)) * 3)), (2, bytearray((bad + bytes(size - 4)) * 3)), (3, bytearray(build(b"x")))]
+    got = {r.doc_id: r.crc_ok for r in probe(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got == {1: None, 2: False, 3: True}
+
+
 def test_table(spark):
     rows = [(1, None, 0), (2, "", 0), (None, "é\n" * 3000, 0), (3, "abc", 1), (3, "abc", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, media int")
