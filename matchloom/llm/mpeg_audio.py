@@ -359,10 +359,10 @@ def _probe(seek_every: int):
     return run
 
 
-def probe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 38) -> DataFrame:
+def probe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 1) -> DataFrame:
     """Parse stored streams: what is in them, exact durations, checksums, and frame seek offsets.
 
-    seek_offsets has the byte offset of every seek_every-th frame (38 are about a second). Streams that
+    seek_offsets has the byte offset of every frame, or of every seek_every-th. Streams that
     build() did not make have null payload columns; crc_ok is null where no frame has a checksum; null media give nulls; bytes without any frame give
     no frames and a duration of 0.
     """

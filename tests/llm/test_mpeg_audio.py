@@ -116,3 +116,11 @@ def test_table(spark):
         assert r.crc_ok and r.n_frames == len(want) // 576
     assert probe(encode(df.limit(0))).count() == 0
     assert probe(spark.createDataFrame([(1, None), (2, bytearray(b"zz"))], "doc_id long, media binary")).count() == 2
+
+
+def test_every_frame_can_be_sought(spark):
+    slow, fast = bytes([0xFF, 0xFB, 0x50, 0x00]), bytes([0xFF, 0xFB, 0xB0, 0x00])
+    frames = [(h + bytes(header_at(h, 0).size - 4)) for h in [slow, fast, fast, slow, fast] * 20]
+    raw = b"".join(frames)
+    row = probe(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, media binary")).collect()[0]
+    assert row.n_frames == 100 and row.seek_offsets == [sum(map(len, frames[:k])) for k in range(100)]
