@@ -110,6 +110,13 @@ def match_shard(block: Block, numbers: np.ndarray, before: np.ndarray) -> Found:
     out = Found(none, none, none, np.zeros(docs, np.int64), np.full(docs, -1), np.full(docs, -1))
     if not len(numbers) or not len(block.order):
         return out
+    # a document's first benchmark word is its match where no stretch gives two words
+    known = np.flatnonzero(numbers)
+    doc = np.searchsorted(before, known, side="right") - 1
+    known = known[np.r_[True, doc[1:] != doc[:-1]]] if len(known) else known
+    doc = np.searchsorted(before, known, side="right") - 1
+    heads = block.order[np.searchsorted(block.codes[block.order], numbers[known])]
+    out.longest[doc], out.longest_item[doc], out.longest_at[doc] = 1, block.item[heads], known - before[doc]
     last = np.zeros(len(numbers) + 1, bool)
     last[before[1:]] = True
     keep = np.zeros(len(numbers), bool)
@@ -158,6 +165,7 @@ def match_shard(block: Block, numbers: np.ndarray, before: np.ndarray) -> Found:
     doc = np.searchsorted(before, where, side="right") - 1
     rank = np.lexsort((where, -longest, doc))
     lead = rank[np.r_[True, doc[rank][1:] != doc[rank][:-1]]]
+    lead = lead[longest[lead] > 1]
     out.longest[doc[lead]], out.longest_item[doc[lead]] = longest[lead], block.item[which[lead]]
     out.longest_at[doc[lead]] = where[lead] - before[doc[lead]]
 

@@ -100,3 +100,14 @@ def test_against_plain_search(spark, block_words):
     assert kept.columns == df.columns and kept.count() == sum(r.n_hit == 0 for r in got)
     assert search_benchmark(df.limit(0), b).count() == 0 and search_benchmark(df, b.limit(0)).filter("n_hit > 0").count() == 0
     assert items_digest([]) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 3])
+def test_single_words_are_matches_of_one(spark, block_words):
+    bench = [(1, "alpha beta gamma"), (2, "delta"), (3, "beta epsilon zeta")]
+    docs = [(1, "x gamma y alpha"), (2, "x y"), (3, "x delta zeta"), (4, "zeta alpha beta"), (5, None), (6, "x epsilon")]
+    got = search_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_words=block_words)
+    got = {r.doc_id: (r.longest_match, r.longest_at, r.longest_item, r.n_hit) for r in got.collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 0, 3: 1, 4: 2, 5: 0, 6: 1}
+    assert got[1] == (1, 1, "1", 0) and got[2] == (0, -1, None, 0) and got[4][1:3] == (1, "1") and got[6] == (1, 1, "3", 0)
+    assert got[3][3] == 1 and got[3][1:3] in ((1, "2"), (2, "3"))
