@@ -1,31 +1,7 @@
-"""python -m matchloom PHRASE --dict CATALOGUE: one phrase's result as JSON."""
+"""python -m matchloom PHRASE | audit | names | index: see commands."""
 
-from __future__ import annotations
-
-import argparse
-import json
 import sys
 
+from .commands import main
 
-def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="matchloom", description="Match one phrase against a catalogue.")
-    parser.add_argument("phrase")
-    parser.add_argument("--raw", default=None, help="raw text in which side and position are looked for")
-    parser.add_argument("--threshold", type=float, default=0.90, help="least similarity of a near match; 1.0 is exact only")
-    parser.add_argument("--dict", required=True, dest="path", help="the catalogue file")
-    parser.add_argument("--category", default=None, help="keep candidates of this category only")
-    args = parser.parse_args(argv)
-
-    from pyspark.sql import SparkSession
-
-    from .operators.matching import match_one
-    from .sources.catalogue import parse_file
-
-    spark = SparkSession.builder.getOrCreate()
-    result = match_one(parse_file(spark, args.path).persist(), args.phrase, args.raw, args.threshold, args.category)
-    print(json.dumps(result, ensure_ascii=False, indent=2))
-    return 0
-
-
-if __name__ == "__main__":
-    sys.exit(main())
+sys.exit(main(sys.argv[1:]))

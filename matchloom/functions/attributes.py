@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from .text import words
 
 # The words of each direction.
-LEFT = "sol sola soldan soldakı soldaki left lh лево левый левая левое левых левого слева".split()
-RIGHT = "sağ sag sağa sağdan sagdan sağdakı sagdaki right rh право правый правая правое правых правого справа".split()
-FRONT = "ön öndeki öndəki önki qabaq qabağ qabaqdakı qabaqdaki qabağdakı front fr перед передний передняя переднее передних переднего спереди speredi".split()
-REAR = "arxa arxadakı arxadaki arxadan arxadaku rear back зад задний задняя заднее задних заднего сзади".split()
+LEFT = [
+    "sol", "sola", "soldan", "soldakı", "soldaki", "left", "lh", "лево", "левый", "левая", "левое", "левых", "левого", "слева",
+]
+RIGHT = [
+    "sağ", "sag", "sağa", "sağdan", "sagdan", "sağdakı", "sagdaki", "right", "rh", "право", "правый", "правая", "правое", "правых", "правого", "справа",
+]
+FRONT = [
+    "ön", "öndeki", "öndəki", "önki", "qabaq", "qabağ", "qabaqdakı", "qabaqdaki", "qabağdakı", "front", "fr", "перед", "передний", "передняя", "переднее", "передних", "переднего", "спереди", "speredi",
+]
+REAR = [
+    "arxa", "arxadakı", "arxadaki", "arxadan", "arxadaku", "rear", "back", "зад", "задний", "задняя", "заднее", "задних", "заднего", "сзади",
+]
 
 
 def _found(text: Column, first: list[str], first_name: str, second: list[str], second_name: str) -> Column:

@@ -10,22 +10,32 @@ AZ_UPPER = "İIƏÇŞĞÖÜ"
 AZ_LOWER = "iıəçşğöü"
 
 # Fixed value: the letters and digits of a word (Latin, Azerbaijani, Cyrillic).
-WORD = "[0-9a-zçğıəöüşA-ZÇĞİIƏÖÜŞ\\u0400-\\u04FF]+"
+_LETTERS = "0-9a-zçğıəöüşA-ZÇĞİIƏÖÜŞ\\u0400-\\u04FF"
 
 
 def lower_az(text: Column) -> Column:
-    """Lower case with dotted and dotless i told apart. (`lower` alone turns İ into two code points.)"""
-    return F.lower(F.translate(text, AZ_UPPER, AZ_LOWER))
+    """Lower case with dotted and dotless i told apart. (`lower` alone turns İ into two code points.)
 
+    The other capitals of AZ_UPPER are lowered by `lower` as they are.
+    """
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
 
-def words(text: Column) -> Column:
-    """The lower-cased words of a text; everything else separates."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), lower_az)
+
+def _spaced(text: Column) -> Column:
+    return lower_az(F.regexp_replace(text, f"[^{_LETTERS}]+", " "))
 
 
 def match_key(text: Column) -> Column:
-    """The form under which names and phrases are compared: the words, one space between."""
-    return F.array_join(words(text), " ")
+    """The form under which names and phrases are compared: the words, lower-cased, one space between.
+
+    Whatever is no word becomes a space first, so one pass lowers the whole string.
+    """
+    return F.btrim(_spaced(text))
+
+
+def words(text: Column) -> Column:
+    """The lower-cased words of a text; everything else separates."""
+    return F.array_remove(F.split(_spaced(text), " "), "")
 
 
 def similarity(a: Column, b: Column, distance: Column | None = None) -> Column:

@@ -60,16 +60,16 @@ def resolve_categories(words: DataFrame, index: DataFrame, pairs: DataFrame | No
     contains the word is always ambiguous, even with one category. Null words are unknown.
     """
     rows = with_parameters(words).withColumn("key", match_key(F.coalesce("word", F.lit("")))).drop("restrict_category")
-    grouped = grouped_index(index).persist()
+    grouped = grouped_index(index)
     size = tuple(key_sizes(grouped).first()[1:])
     pairs = distinct_pairs(words, "word") if pairs is None else pairs
     exact = pairs.join(small(grouped, size[0]), "key").select(*PAIR, F.lit(1.0).alias("score"), "categories")
     rest = pairs.join(small(grouped.select("key"), size[0]), "key", "left_anti")
-    found = near_keys(rest, grouped.select("key", F.lit(0).alias("key_ord")), size).join(small(grouped.withColumnRenamed("key", "found"), size[0]), "found")
-    near = found.select(*PAIR, "score", F.explode("categories").alias("category")).groupBy(*PAIR, "score").agg(F.array_sort(F.collect_set("category")).alias("categories")).persist()
-    rest = rest.join(near, PAIR, "left_anti")
-    inside = rest.join(contained(rest, grouped, size[0] * max(1, size[2])), "key").select(*PAIR, F.lit(None).cast("double").alias("score"), F.col("contained").alias("categories"))
-    known = exact.unionByName(near).unionByName(inside)
+    found = near_keys(rest, grouped.select("key", F.lit(0).alias("key_ord"), F.lit(3).alias("tier")), size).join(small(grouped.withColumnRenamed("key", "found"), size[0]), "found")
+    near = found.select(*PAIR, "score", F.explode("categories").alias("category")).groupBy(*PAIR, "score").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    # what contains a key counts only where nothing is near it
+    inexact = rest.join(near, PAIR, "left").join(contained(rest, grouped, size[0] * max(1, size[2])), "key", "left")
+    known = exact.unionByName(inexact.select(*PAIR, "score", F.coalesce("categories", "contained").alias("categories")).filter("categories is not null"))
     out = rows.join(known, PAIR, "left")
     cats, by_score = F.when(F.col("word").isNotNull(), F.col("categories")), F.col("score").isNotNull()
     one = by_score & (F.size(cats) == 1)

@@ -37,7 +37,10 @@ def funnel(phrases: DataFrame, catalogue: Catalogue, index: DataFrame) -> DataFr
 
 
 def fold_answers(answers: DataFrame) -> DataFrame:
-    """The state of each session after its answers: session, category, part_id, side, position, n_answers.
+    """The state of each session after its answers.
+
+    session, category, part_id, side, position, category_said (a category was chosen, or none of them),
+    part_refused (none of the parts was it), n_answers.
 
     answers has session, step, event and value. "cat-other" and "part-other" clear what they answer, a new
     category clears the part, a new part its attributes, and "restart" everything. Steps of a session are
@@ -50,26 +53,39 @@ def fold_answers(answers: DataFrame) -> DataFrame:
         "part_id": (("part",), ("part-other", "cat", "cat-other", "restart")),
         "side": (("side",), ("part", "part-other", "cat", "cat-other", "restart")),
         "position": (("pos",), ("part", "part-other", "cat", "cat-other", "restart")),
+        "category_said": (("cat", "cat-other"), ("restart",)),
+        "part_refused": (("part-other",), ("part", "cat", "cat-other", "restart")),
     }
     found = {}
     for name, (sets, clears) in fields.items():
         last = F.max(F.when(if_event(*sets, *clears), F.struct("step", if_event(*sets).alias("set"), "value")))
-        found[name] = F.when(last["set"], last["value"]).alias(name)
+        flag = name in ("category_said", "part_refused")
+        found[name] = (F.coalesce(last["set"], F.lit(False)) if flag else F.when(last["set"], last["value"])).alias(name)
     return answers.groupBy("session").agg(*found.values(), F.count(F.lit(1)).alias("n_answers"))
 
 
-def answered(phrases: DataFrame, catalogue: Catalogue, state: DataFrame) -> DataFrame:
-    """Phrases (with session) matched under what their sessions have answered, with what is still to be asked."""
-    rows = phrases.join(state.select("session", "category", "part_id", F.col("side").alias("said_side"), F.col("position").alias("said_position")), "session", "left")
-    out = match(rows.drop("restrict_category").withColumn("restrict_category", F.col("category")), catalogue)
+def answered(phrases: DataFrame, catalogue: Catalogue, state: DataFrame, index: DataFrame) -> DataFrame:
+    """Phrases (with session) matched under what their sessions have answered, with what is still to be asked.
+
+    Adds category_result, result, chosen (a part_id) and next_question: "category" while the category is
+    ambiguous and nothing was said of it, "phrase" once all parts were refused (another phrase is needed),
+    then "part", "side", "position", "none". A category that was chosen restricts the match, as does one
+    that is resolved; after "cat-other" nothing does.
+    """
+    said = state.select("session", F.col("category").alias("said_category"), "part_id", F.col("side").alias("said_side"), F.col("position").alias("said_position"), "category_said", "part_refused")
+    pairs = distinct_pairs(phrases)
+    layer = resolve_categories(phrases.withColumn("word", F.col("phrase")).drop("restrict_category"), index, pairs).withColumnRenamed("result", "category_result")
+    rows = layer.drop("word").join(said, "session", "left")
+    category = F.when(F.col("category_said"), F.col("said_category")).otherwise(F.col("category_result.category"))
+    out = match(rows.withColumn("restrict_category", category), catalogue, pairs)
     pick = F.filter(F.col("result.candidates"), lambda c: c["part_id"] == F.col("part_id"))
     single = (F.col("result.status") == "single_match") | (F.size(pick) == 1)
     chosen = F.when(F.col("result.status") == "single_match", F.col("result.part_id")).otherwise(F.get(pick, F.lit(0))["part_id"])
     flags = catalogue.parts.select(F.col("part_id").alias("chosen"), "side_flag", "position_flag")
     out = out.withColumn("chosen", F.when(single, chosen)).join(flags, "chosen", "left")
     ask = lambda flag, said, got: F.col(flag) & F.col(said).isNull() & F.col(got).isNull()
-    question = F.when(F.col("chosen").isNull() & (F.col("result.status") == "ambiguous"), "part").when(ask("side_flag", "said_side", "result.attributes.side"), "side")
-    question = question.when(ask("position_flag", "said_position", "result.attributes.position"), "position").otherwise("none")
-    return out.withColumn("next_question", question).drop("side_flag", "position_flag")
-
-
+    open_category = (F.col("category_result.status") == "category_ambiguous") & ~F.coalesce("category_said", F.lit(False))
+    question = F.when(open_category, "category").when(F.coalesce("part_refused", F.lit(False)), "phrase")
+    question = question.when(F.col("chosen").isNull() & (F.col("result.status") == "ambiguous"), "part")
+    question = question.when(ask("side_flag", "said_side", "result.attributes.side"), "side").when(ask("position_flag", "said_position", "result.attributes.position"), "position")
+    return out.withColumn("next_question", question.otherwise("none")).drop("side_flag", "position_flag", "said_category")

@@ -3,17 +3,18 @@
 A phrase is looked up as an exact name, then an exact synonym, then a near name, then a near synonym; the
 first tier that gives anything decides. All distinct (key, threshold) pairs are matched once; a pair's
 candidates become one array, and phrases are joined to that one row. So phrases are never regrouped, and
-the arrays are bounded by the catalogue. The distinct pairs are persisted, as every tier reads them.
+the arrays are bounded by the catalogue. Nothing is persisted here: all tiers read the distinct pairs behind
+one exchange, which Spark reuses, so streams and repeated calls leave nothing behind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attributes import position, search_space, side
 from ..functions.text import match_key, round3, similarity
-from ..sources.catalogue import Catalogue
+from ..sources.catalogue import Catalogue, ordinals
 
 THRESHOLD = 0.90
 #: Rows of a catalogue table up to which it is sent to all tasks; larger ones are joined by shuffle.
@@ -33,61 +34,68 @@ def with_parameters(phrases: DataFrame) -> DataFrame:
     return out.withColumn("threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(THRESHOLD)))
 
 
+def _pieces(n: Column, count: Column, k: Column) -> tuple[Column, Column]:
+    """Where piece k (from 0) of a key of n characters begins (from 0), and its length; longer pieces come last."""
+    short, longer = F.floor(n / count).cast("int"), (n % count).cast("int")
+    ahead = F.greatest(F.lit(0), k - (count - longer))
+    return k * short + ahead, short + (k >= count - longer).cast("int")
+
+
 def near_keys(pairs: DataFrame, index: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """key, threshold, found, key_ord, score: the index keys most similar to each key, ties kept.
+    """key, threshold, tier, found, key_ord, score: the index keys most similar to each key, ties kept.
+
+    pairs are distinct (key, threshold); index has key, key_ord and tier, and size its rows and the lengths of
+    its shortest and longest key. The lowest tier that reaches the threshold decides.
 
-    pairs are distinct (key, threshold); index has key and key_ord, and size its rows and the lengths of its
-    shortest and longest key. A key of n characters can only reach
-    the threshold t with one of t * n to n / t, so it is joined by length, each length of the band a row;
-    a threshold of 0 or less has the band of all lengths. The band is one wider than need be at both ends,
-    and the similarity itself decides.
+    A key of n characters can only reach the threshold t with one of t * n to n / t, and with at most e edits.
+    An index key cut into e + 1 pieces then has a piece that stands in the key unchanged, so the two meet by
+    length, number of edits, number of the piece, and the piece itself. That piece can be chosen to have
+    at most as many edits before it as its number, and no more behind it than are left, which bounds the
+    places it is looked for at. Where e is not below the length (low thresholds, short keys) all keys of that length
+    meet. Bands and e are one wider than need be; the similarity itself decides.
     """
-    keys = index.select(F.col("key").alias("found"), "key_ord").distinct().withColumn("n", F.length("found"))
+    keys = index.select(F.col("key").alias("found"), "key_ord", "tier").withColumn("m", F.length("found"))
     rows, least, longest_key = size
-    n, t = F.length("key"), F.col("threshold")
+    n, m, t, e = F.length("key"), F.col("m"), F.col("threshold"), F.col("e")
     low = F.when(t > 0, F.greatest(F.lit(least), F.ceil(n * t).cast("int") - 1)).otherwise(F.lit(least))
     high = F.when(t > 0, F.least(F.lit(float(longest_key)), F.floor(n / F.nullif(t, F.lit(0.0))) + 1).cast("int")).otherwise(F.lit(longest_key))
-    bands = pairs.select(*PAIR, low.alias("low"), high.alias("high")).filter("low <= high").withColumn("n", F.explode(F.sequence("low", "high")))
+    bands = pairs.select(*PAIR, low.alias("low"), high.alias("high")).filter("low <= high").withColumn("m", F.explode(F.sequence("low", "high")))
     # beyond this many edits the threshold is out of reach, and counting them can stop
-    longest = F.greatest(F.length("key"), F.col("n"))
-    most = F.when(t > 0, F.least(longest, F.ceil(longest * (1 - t)).cast("int") + 1)).otherwise(longest)
-    met = bands.join(small(keys, rows), "n").withColumn("distance", F.call_function("levenshtein", F.col("key"), F.col("found"), F.greatest(most, F.lit(0))))
+    longest = F.greatest(n, m)
+    most = F.when(t > 0, F.least(longest, F.floor(longest * (1 - t) + 1e-9).cast("int"))).otherwise(longest)
+    bands = bands.withColumn("most", F.greatest(most, F.lit(0))).filter(F.abs(n - m) <= F.col("most")).withColumn("e", F.least("most", "m"))
+    whole = e >= m
+
+    pieces = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), e))
+    square = max(1, longest_key * longest_key // 2)  # no more (m, e), nor pieces of one key, than that
+    cut = keys.join(small(bands.select("m", "e").distinct(), square), "m").withColumn("piece", F.explode(pieces))
+    at, wide = _pieces(m, e + 1, F.col("piece"))
+    cut = cut.withColumn("part", F.when(whole, F.lit("")).otherwise(F.substring("found", at + 1, wide)))
+
+    asked = bands.withColumn("piece", F.explode(pieces))
+    longer = n - m
+    first = F.greatest(F.lit(0), at - F.col("piece"), at + longer - (e - F.col("piece")))
+    last = F.least(n - wide, at + F.col("piece"), at + longer + (e - F.col("piece")))
+    starts = F.when(whole, F.array(F.lit(0))).when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    asked = asked.withColumn("start", F.explode(starts)).withColumn("part", F.when(whole, F.lit("")).otherwise(F.substring("key", F.col("start") + 1, wide)))
+    met = asked.join(small(cut, rows * square), ["m", "e", "piece", "part"])
+    met = met.withColumn("distance", F.call_function("levenshtein", F.col("key"), F.col("found"), F.col("most")))
     scored = met.filter("distance >= 0").withColumn("score", similarity(F.col("key"), F.col("found"), F.col("distance"))).filter("score >= threshold")
-    best = scored.groupBy(*PAIR).agg(F.max("score").alias("best"), F.collect_list(F.struct("score", "found", "key_ord")).alias("hits"))
+    scored = scored.select(*PAIR, "tier", "score", "found", "key_ord").distinct()
     # equal scores are equal doubles: a quotient of whole numbers is rounded one way
-    top = best.select(*PAIR, F.col("best").alias("score"), F.explode(F.filter("hits", lambda h: h["score"] == F.col("best"))).alias("hit"))
-    return top.select(*PAIR, "hit.found", "hit.key_ord", "score")
-
-
-def _order(*parts: Column | str) -> Column:
-    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.array(*[c.cast("long") for c in columns]).alias("at")
+    best = F.rank().over(Window.partitionBy(*PAIR).orderBy("tier", F.desc("score")))
+    return scored.withColumn("best", best).filter("best = 1").drop("best")
 
 
 def hits(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
     """key, threshold, tier (1 to 4), score, part_id, at (the order of candidates)."""
     sizes = catalogue.sizes()
-    n_names, n_synonyms, n_parts = (sizes[t][0] for t in ("names", "synonyms", "parts"))
-    names, synonyms, members = (small(df, sizes[t][0]) for t, df in (("names", catalogue.names), ("synonyms", catalogue.synonyms), ("members", catalogue.members)))
-    one, zero = F.lit(1.0), F.lit(0)
-    named = pairs.join(names, "key")
-    by_name = named.select(*PAIR, F.lit(1).alias("tier"), one.alias("score"), "part_id", _order(zero, "ref_ord", zero))
-    # an exact name that is a synonym of other leaves as well brings in their parts
-    owners = named.join(small(catalogue.parts.select("part_id", "leaf_code"), n_parts), "part_id").select("key", "leaf_code").distinct()
-    others = pairs.join(names.select("key").distinct(), "key", "left_semi").join(synonyms, "key").join(owners, ["key", "leaf_code"], "left_anti")
-    guarded = others.join(members, "leaf_code").select(*PAIR, F.lit(1).alias("tier"), one.alias("score"), "part_id", _order(one, "ref_ord", "pos"))
-    rest = pairs.join(names.select("key"), "key", "left_anti")
-    by_synonym = rest.join(synonyms, "key").join(members, "leaf_code").select(*PAIR, F.lit(2).alias("tier"), one.alias("score"), "part_id", _order(zero, "ref_ord", "pos"))
-    rest = rest.join(synonyms, "key", "left_anti")
-    near = near_keys(rest, catalogue.names, sizes["names"]).persist().join(small(catalogue.names.select(F.col("key").alias("found"), "part_id", "ref_ord"), n_names), "found")
-    by_near_name = near.select(*PAIR, F.lit(3).alias("tier"), "score", "part_id", _order("key_ord", "ref_ord", zero))
-    rest = rest.join(near.select(*PAIR).distinct(), PAIR, "left_anti")
-    near = near_keys(rest, catalogue.synonyms, sizes["synonyms"]).join(small(catalogue.synonyms.select(F.col("key").alias("found"), "leaf_code", "ref_ord"), n_synonyms), "found")
-    by_near_synonym = near.join(members, "leaf_code").select(*PAIR, F.lit(4).alias("tier"), "score", "part_id", _order("key_ord", "ref_ord", "pos"))
-    out = by_name
-    for more in (guarded, by_synonym, by_near_name, by_near_synonym):
-        out = out.unionByName(more)
-    return out
+    lookup = small(catalogue.lookup, sizes["lookup"][0])
+    exact = pairs.join(lookup, "key").select(*PAIR, "tier", F.lit(1.0).alias("score"), "part_id", "at")
+    rest = pairs.join(small(catalogue.lookup.select("key"), sizes["lookup"][0]), "key", "left_anti")
+    # both near tiers in one pass: a pair's hits are those of the lower tier that has any
+    near = near_keys(rest, catalogue.near_index, sizes["near_index"]).join(small(catalogue.near_refs, sizes["near_refs"][0]), ["found", "tier"])
+    return exact.unionByName(near.select(*PAIR, "tier", "score", "part_id", ordinals("key_ord", "ref_ord", "pos")))
 
 
 def candidates(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
@@ -99,9 +107,9 @@ def candidates(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
 
 
 def distinct_pairs(phrases: DataFrame, column: str = "phrase") -> DataFrame:
-    """The distinct (key, threshold) of a table of phrases, persisted, as every tier reads them."""
+    """The distinct (key, threshold) of a table of phrases."""
     rows = with_parameters(phrases).filter(F.col(column).isNotNull())
-    return rows.select(match_key(F.col(column)).alias("key"), "threshold").distinct().persist()
+    return rows.select(match_key(F.col(column)).alias("key"), "threshold").distinct()
 
 
 def match(phrases: DataFrame, catalogue: Catalogue, pairs: DataFrame | None = None) -> DataFrame:

@@ -30,14 +30,14 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
         F.col("p_name").alias("part_id"), F.concat(F.lit("RU "), "p_name").alias("name_ru"), F.col("p_name").alias("name_az"),
         category.alias("category"), F.initcap(noun).alias("subcategory"), noun.alias("leaf_code"),
         noun.isin(*HEAVY, "bolt").alias("side_flag"), noun.isin("gear", "ring").alias("position_flag"), order.alias("part_ord"),
-    ).persist()
+    )
     leaves = parts.groupBy("leaf_code", "category", "subcategory").agg(F.min("part_ord").alias("leaf_ord"))
     members = parts.select("leaf_code", "part_id", F.col("part_ord").alias("pos"))
     keys = parts.select(match_key(F.col("name_az")).alias("key"), "part_id", F.col("part_ord").alias("key_ord"), F.lit(1).alias("ref_ord"))
     own = parts.groupBy("leaf_code").agg(F.min("part_ord").alias("ref_ord")).select(F.col("leaf_code").alias("key"), "leaf_code", F.col("ref_ord").alias("key_ord"), "ref_ord")
     more = leaves.select("leaf_code", "leaf_ord").join(spark.createDataFrame([("old", "bolt"), ("old", "ring"), ("steel widget", "gear"), ("red bolt", "anvil")], "key string, leaf_code string"), "leaf_code")
     more = more.select("key", "leaf_code", F.when(F.col("key") == "old", 1000).when(F.col("key") == "steel widget", 1001).otherwise(1002).alias("key_ord"), F.col("leaf_ord").alias("ref_ord"))
-    return Catalogue(parts, leaves, members, keys, own.unionByName(more))
+    return Catalogue(parts, leaves, members, keys, own.unionByName(more)).persist()
 
 
 #: The same tables in DuckDB.

@@ -405,4 +405,7 @@ def catalogue_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("busiest_keys", f"WITH {PHRASES_SQL}, n AS (SELECT key, count(*) AS n FROM keyed GROUP BY key) SELECT key, n, rank() OVER (ORDER BY n DESC) AS place FROM n")
 def busiest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = phrases(spark, sf_dir).select(match_key(F.col("phrase")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
+    # keys with more than n rows, summed over the distinct counts, which are few
+    more = F.coalesce(F.sum("keys").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).select("n", (more + 1).alias("place"))
+    return counts.join(places, "n").select("key", "n", "place")

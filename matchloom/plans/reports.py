@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,16 @@ def canonical_lines(catalogue: Catalogue, title: str = "# Canonical names", note
     return whole.filter(F.col("line_no") <= end).orderBy("line_no")
 
 
+def report_text(catalogue: Catalogue, **names) -> str:
+    """The report as one text, with a line end behind the last line."""
+    return "".join(f"{line}\n" for (line,) in canonical_lines(catalogue, **names).select("line").collect())
+
+
+def index_text(index: DataFrame) -> str:
+    """The category index as its file has it: an indent of one, and a line end behind the last line."""
+    return json.dumps(json.loads(index_document(index).first()["value"]), ensure_ascii=False, indent=1) + "\n"
+
+
 def index_document(index: DataFrame) -> DataFrame:
     """One row, value: the category index as a JSON text {index, ambiguous_words, meta}.
 

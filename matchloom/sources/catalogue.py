@@ -5,10 +5,11 @@ Order means something in a catalogue (candidates come in it), so every table car
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
@@ -38,20 +39,70 @@ class Catalogue:
     names: DataFrame
     synonyms: DataFrame
     rejects: DataFrame | None = None
-    _sizes: dict | None = field(default=None, repr=False)
+    _derived: dict = field(default_factory=dict, repr=False)
 
     def persist(self) -> Catalogue:
-        for table in (self.parts, self.leaves, self.members, self.names, self.synonyms):
+        """Keep all tables until unpersist(); nothing else here persists anything."""
+        for table in self._tables():
             table.persist()
         return self
 
+    def unpersist(self) -> None:
+        for table in self._tables():
+            table.unpersist()
+
+    def _tables(self) -> list[DataFrame]:
+        return [self.parts, self.leaves, self.members, self.names, self.synonyms, self.lookup, self.near_index, self.near_refs]
+
+    def _once(self, name: str, make: Callable):
+        if name not in self._derived:
+            self._derived[name] = make()
+        return self._derived[name]
+
+    @property
+    def lookup(self) -> DataFrame:
+        """key, tier (1: a name, 2: a synonym), part_id, at: the parts of every key that is looked up as it is.
+
+        A name that is a synonym of other leaves as well brings in their parts, behind its own. A synonym
+        that is no name brings in the parts of its leaves.
+        """
+
+        def make() -> DataFrame:
+            named = self.names.select("key", F.lit(1).alias("tier"), "part_id", ordinals(F.lit(0), "ref_ord", F.lit(0)))
+            owners = self.names.join(self.parts.select("part_id", "leaf_code"), "part_id").select("key", "leaf_code", F.lit(True).alias("own")).distinct()
+            is_name = self.names.select("key", F.lit(True).alias("named")).distinct()
+            said = self.synonyms.join(is_name, "key", "left").join(owners, ["key", "leaf_code"], "left").filter("own is null").join(self.members, "leaf_code")
+            tier = F.when(F.col("named").isNull(), 2).otherwise(1)
+            return named.unionByName(said.select("key", tier.alias("tier"), "part_id", ordinals(F.lit(2) - tier, "ref_ord", "pos")))
+
+        return self._once("lookup", make)
+
+    @property
+    def near_index(self) -> DataFrame:
+        """key, key_ord and tier (3: a name, 4: a synonym), each once: what near matching compares with."""
+        of = lambda table, tier: table.select("key", "key_ord", F.lit(tier).alias("tier"))
+        return self._once("near_index", lambda: of(self.names, 3).unionByName(of(self.synonyms, 4)).distinct())
+
+    @property
+    def near_refs(self) -> DataFrame:
+        """found (a key), tier, part_id, ref_ord, pos: the parts that a near key stands for."""
+
+        def make() -> DataFrame:
+            names = self.names.select(F.col("key").alias("found"), F.lit(3).alias("tier"), "part_id", "ref_ord", F.lit(0).cast("long").alias("pos"))
+            leaves = self.synonyms.join(self.members, "leaf_code").select(F.col("key").alias("found"), F.lit(4).alias("tier"), "part_id", "ref_ord", F.col("pos").cast("long"))
+            return names.unionByName(leaves)
+
+        return self._once("near_refs", make)
+
     def sizes(self) -> dict[str, tuple[int, int, int]]:
         """Rows, and shortest and longest key, of each table; one job, run once for a catalogue."""
-        if self._sizes is None:
-            tables = {"parts": self.parts, "members": self.members, "names": self.names, "synonyms": self.synonyms}
+
+        def make() -> dict:
+            tables = {"parts": self.parts, "lookup": self.lookup, "near_index": self.near_index, "near_refs": self.near_refs}
             rows = [key_sizes(df, name) for name, df in tables.items()]
-            self._sizes = {r[0]: tuple(r[1:]) for r in reduce(DataFrame.union, rows).collect()}
-        return self._sizes
+            return {r[0]: tuple(r[1:]) for r in reduce(DataFrame.union, rows).collect()}
+
+        return self._once("sizes", make)
 
     def counts(self) -> DataFrame:
         """One row: n_parts, n_leaves, n_categories."""
@@ -60,6 +111,12 @@ class Catalogue:
         return parts.join(leaves)
 
 
+def ordinals(*parts: Column | str) -> Column:
+    """The place of a candidate among the others of its key."""
+    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.array(*[c.cast("long") for c in columns]).alias("at")
+
+
 def key_sizes(table: DataFrame, name: str = "") -> DataFrame:
     """One row: name, rows, and the lengths of the shortest and the longest key (0 and -1 without keys)."""
     length = F.length("key") if "key" in table.columns else F.lit(None).cast("int")
@@ -105,7 +162,7 @@ def parse(lines: DataFrame) -> Catalogue:
     last definition, and the names of both. Parts and synonyms without a current leaf are left out, and so
     is every line that the grammar does not know (those in the section are in rejects).
     """
-    known = classified(lines).persist()
+    known = classified(lines)
     leaf = known.filter("kind = 'leaf'").select("leaf_code", "line_no", "category", subcategory_of(F.regexp_extract("line", LEAF, 1)).alias("subcategory"))
     leaves = leaf.groupBy("leaf_code").agg(F.min(F.struct("line_no", "category", "subcategory")).alias("first")).select("leaf_code", "first.category", "first.subcategory", F.col("first.line_no").alias("leaf_ord"))
 

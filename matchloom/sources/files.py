@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _INDEX = "index map<string,array<string>>"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; without one, on a local master, in a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
+def write_category_index(index: DataFrame, path: str) -> None:
+    """The category index as a folder with one JSON file."""
+    from ..plans.reports import index_text
+
+    text = index_text(index).removesuffix("\n")
+    index.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
 def read_category_index(spark: SparkSession, path: str) -> DataFrame:
     """key and category of a JSON category index; its other fields are not needed."""
     whole = spark.read.schema(_INDEX).json(path, multiLine=True)

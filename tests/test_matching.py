@@ -8,12 +8,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.commands import main
 from matchloom.functions.attributes import FRONT, LEFT, REAR, RIGHT
 from matchloom.functions.text import AZ_LOWER, AZ_UPPER, match_key, round3, similarity, words
 from matchloom.functions.variants import name_variants, slash_expansion, subcategory_of
 from matchloom.operators.categories import ambiguous_words, category_index, index_meta, resolve_categories, resolve_one
 from matchloom.operators.funnel import answered, fold_answers, funnel
-from matchloom.operators.matching import match, match_one
+from matchloom.operators.matching import match, match_one, near_keys
 from matchloom.operators.quality import collisions, require, stale
 from matchloom.plans.reports import canonical_lines, canonical_names, export, index_document
 from matchloom.sources.catalogue import parse_file, parse_text
@@ -227,8 +228,14 @@ def test_funnel(spark, mirrors):
     state = fold_answers(spark.createDataFrame(answers, "session string, step int, event string, value string"))
     held = {r.session: (r.category, r.part_id, r.side) for r in state.collect()}
     assert held == {"s": ("Подвеска", "AS-017", None), "t": (None, None, None), "u": ("c", None, None)}
-    asked = answered(spark.createDataFrame([(1, "traves", "s")], "qid long, phrase string, session string"), mirrors, state).first()
+    asked = answered(spark.createDataFrame([(1, "traves", "s")], "qid long, phrase string, session string"), mirrors, state, index).first()
     assert asked.chosen == "AS-017" and asked.next_question == "none"
+    answers = [("b", 1, "cat", "Кузов и оптика"), ("c", 1, "cat-other", None), ("d", 1, "part-other", None), ("e", 1, "part-other", None), ("e", 2, "part", "AS-016")]
+    state = fold_answers(spark.createDataFrame(answers, "session string, step int, event string, value string"))
+    said = [(1, "raves", "a"), (2, "raves", "b"), (3, "raves", "c"), (4, "traves", "d"), (5, "traves", "e"), (6, "yan güzgü", "x")]
+    asked = {r.qid: r for r in answered(spark.createDataFrame(said, "qid long, phrase string, session string"), mirrors, state, index).collect()}
+    assert [asked[k].next_question for k in range(1, 7)] == ["category", "none", "none", "phrase", "none", "side"]
+    assert asked[2].restrict_category == "Кузов и оптика" and asked[3].restrict_category is None and asked[5].chosen == "AS-017"
 
 
 def test_reports_and_files(spark, mirrors, tmp_path):
@@ -255,6 +262,50 @@ def test_reports_and_files(spark, mirrors, tmp_path):
     assert parse_file(spark, f"file://{tmp_path}/catalogue.txt").parts.count() == mirrors.parts.count() == 8
 
 
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "c.txt").write_text(MIRRORS, encoding="utf-8")
+    (tmp_path / "w.txt").write_text(WIDGETS, encoding="utf-8")
+    at = ["--dict", f"file://{tmp_path}/c.txt"]
+    assert main(["yan güzgü", "--raw", "sol", *at]) == 0 and json.loads(capsys.readouterr().out)["attributes"]["side"] == "sol"
+    assert main(["audit", *at]) == 0 and main(["audit", "--dict", f"file://{tmp_path}/w.txt"]) == 1
+    for name in ("names", "index"):
+        out = [name, *at, "--out", str(tmp_path / name)]
+        assert main([*out, "--check"]) == 1 and main(out) == 0 and main([*out, "--check"]) == 0
+        text = (tmp_path / name).read_bytes()
+        assert text.endswith(b"\n") and not text.endswith(b"\n\n")
+        (tmp_path / name).write_bytes(text[:-1])
+        assert main([*out, "--check"]) == 1
+    assert (tmp_path / "index").read_text().startswith('{\n "index": {\n  "')
+    back = read_category_index(spark, f"file://{tmp_path}/index")
+    assert not stale(back, category_index(parse_file(spark, at[1])))
+
+
+def test_nothing_stays_persisted(spark, mirrors):
+    rows = spark.createDataFrame([(1, "fara"), (2, "farra dest")], "qid long, phrase string")
+    held = []
+    for _ in range(3):
+        match(rows, mirrors).collect()
+        resolve_categories(rows.withColumnRenamed("phrase", "word"), category_index(mirrors)).collect()
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+    assert held[0] == held[2]
+
+
+def test_near_keys_against_all_pairs(spark):
+    rng = random.Random(11)
+    letters = "abcdeü"
+    keys = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(300)})
+    asked = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) if rng.random() < 0.3 else rng.choice(keys)[rng.randint(0, 2) :] + rng.choice(["", "a", "bb"]), rng.choice([0.9, 0.8, 0.7, 0.55, 0.3, 1.0, 0.0])) for _ in range(150)]
+    pairs = spark.createDataFrame(sorted(set(asked)), "key string, threshold double")
+    index = spark.createDataFrame([(k, n, 3 + n % 2) for n, k in enumerate(keys)], "key string, key_ord int, tier int")
+    got = {}
+    for r in near_keys(pairs, index, (len(keys), 1, 14)).collect():
+        got.setdefault((r.key, r.threshold), set()).add((r.tier, r.score, r.found))
+    for key, t in set(asked):
+        hits = [(3 + n % 2, alike(key, k), k) for n, k in enumerate(keys) if alike(key, k) >= t]
+        best = min(((tier, -score) for tier, score, _ in hits), default=None)
+        assert got.get((key, t), set()) == {h for h in hits if (h[0], -h[1]) == best}
+
+
 def test_stream(spark, mirrors, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"qid": 1, "phrase": "traves"}\n{"qid": 2, "phrase": "yan güzgü"}\n', encoding="utf-8")
