@@ -16,8 +16,9 @@ def _match(spark: SparkSession, args: argparse.Namespace) -> int:
     from .operators.matching import match_one
     from .sources.catalogue import parse_file
 
-    found = match_one(parse_file(spark, args.path), args.phrase, args.raw, args.threshold, args.category)
-    print(json.dumps(found, ensure_ascii=False, indent=2))
+    catalogue = parse_file(spark, args.path).persist()
+    print(json.dumps(match_one(catalogue, args.phrase, args.raw, args.threshold, args.category), ensure_ascii=False, indent=2))
+    catalogue.unpersist()
     return 0
 
 

@@ -76,6 +76,9 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("qid"), phrase.alias("phrase"), raw.alias("raw_text"), threshold.alias("threshold"), restrict.alias("restrict_category"))
 
 
+KEYED_SQL = """
+keyed AS (SELECT *, array_to_string(regexp_extract_all(lower(translate(phrase, 'İIƏÇŞĞÖÜ', 'iıəçşğöü')), '[0-9a-zçğıəöüşЀ-ӿ]+'), ' ') AS key FROM phrases)"""
+
 PHRASES_SQL = """
 phrases AS (SELECT p_partkey AS qid,
   CASE p_partkey % 10 WHEN 0 THEN '(' || p_name || ').' WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN left(p_name, length(p_name) - 1) WHEN 3 THEN 'b' || p_name
@@ -83,4 +86,35 @@ phrases AS (SELECT p_partkey AS qid,
   CASE p_partkey % 10 WHEN 0 THEN 'sol arxa' WHEN 8 THEN 'Right, front' WHEN 9 THEN 'on' END AS raw_text,
   CAST(CASE p_partkey % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS threshold,
   CASE WHEN p_partkey % 3 = 0 THEN 'heavy' END AS restrict_category FROM part),
-keyed AS (SELECT *, array_to_string(regexp_extract_all(lower(translate(phrase, 'İIƏÇŞĞÖÜ', 'iıəçşğöü')), '[0-9a-zçğıəöüşЀ-ӿ]+'), ' ') AS key FROM phrases)"""
+""" + KEYED_SQL
+
+
+def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_no and line of a catalogue text over the part table: a leaf for each noun, its synonyms last."""
+    names = table(spark, sf_dir, "part").select("p_name").filter("p_name is not null").distinct()
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    category = F.when(noun.isin(*HEAVY), "heavy").when(noun.isin(*SMALL), "small").otherwise("other")
+    rows = names.select("p_name", noun.alias("noun"), category.alias("category"))
+    rows = rows.withColumn("k", F.row_number().over(Window.orderBy("category", "noun", "p_name")))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("k")) == 1
+    last = F.row_number().over(Window.partitionBy("noun").orderBy(F.desc("k"))) == 1
+    code = F.concat(F.lit("PA-"), F.lpad(F.col("k").cast("string"), 5, "0"))
+    part = F.concat(F.lit("  "), code, F.lit("  RU "), "p_name", F.lit(" | "), "p_name", F.lit("  [side:"), F.col("noun").isin(*HEAVY).cast("string"), F.lit("|position:"), F.col("noun").isin("gear", "ring").cast("string"), F.lit("]"))
+    lines = F.array(
+        F.when(F.col("k") == 1, F.lit("ДЕТАЛИЗАЦИЯ")),
+        F.when(first("category"), F.concat(F.lit("###### "), "category", F.lit(" ######"))),
+        F.when(first("noun"), F.concat(F.lit("▸ "), F.initcap("noun"), F.lit(" / Деталь ["), "noun", F.lit("]"))),
+        part,
+        F.when(last, F.concat(F.lit("  синонимы: "), "noun", F.lit(", a "), "noun")),
+    )
+    every = rows.select("k", lines.alias("lines")).select("k", F.posexplode("lines").alias("at", "line")).filter("line is not null")
+    return every.select((F.row_number().over(Window.orderBy("k", "at")) - 1).cast("int").alias("line_no"), "line")
+
+
+#: What that text holds, in DuckDB.
+LINES_SQL = """
+WITH n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 2) AS noun FROM part WHERE p_name IS NOT NULL),
+c AS (SELECT *, CASE WHEN noun IN ('anvil', 'plate', 'gear') THEN 'heavy' WHEN noun IN ('bolt', 'ring') THEN 'small' ELSE 'other' END AS category FROM n),
+k AS (SELECT *, row_number() OVER (ORDER BY category, noun, p_name) AS k FROM c),
+file_parts AS (SELECT 'PA-' || lpad(CAST(k AS VARCHAR), 5, '0') AS part_id, 'RU ' || p_name AS name_ru, p_name AS name_az, category, upper(left(noun, 1)) || substr(noun, 2) AS subcategory, noun AS leaf_code,
+                noun IN ('anvil', 'plate', 'gear') AS side_flag, noun IN ('gear', 'ring') AS position_flag, k FROM k)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,10 +14,11 @@ from ..functions.attributes import passthrough, position, search_space, side
 from ..functions.text import match_key, similarity, words
 from ..functions.variants import name_variants, slash_expansion, subcategory_of
 from ..operators import categories, funnel, matching, quality
-from ..sources.catalogue import classified, parse, text_lines
-from ..sources.files import result_json
+from .. import commands
+from ..sources.catalogue import classified, parse, parse_file, text_lines
+from ..sources.files import read_category_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
 from . import reports
-from .demo import CATALOGUE_SQL, PHRASES_SQL, catalogue, phrases, table
+from .demo import CATALOGUE_SQL, KEYED_SQL, LINES_SQL, PHRASES_SQL, catalogue, catalogue_lines, phrases, table
 from .registry import ORACLES, QUERIES
 
 
@@ -234,9 +238,40 @@ _CATALOGUE_TEXT = """intro
 """
 
 
-@query("catalogue_parse", "SELECT * FROM (VALUES ('LO-001', 'Bir', '', 'Loose', 'loose', false, false), ('AA-001', 'Iki yeni', 'Cat A', 'First', 'one', false, false), ('AA-002', 'Üç (3/III)', 'Cat A', 'First', 'one', false, true), ('BB-001', 'Dörd', 'Cat B', 'Second', 'two', false, false), ('AA-003', 'Beş/Altı say', 'Cat A', 'First', 'one', false, false)) t(part_id, name_az, category, subcategory, leaf_code, side_flag, position_flag)")
+@query("catalogue_parse", "SELECT * FROM (VALUES ('LO-001', 'Раз', 'Bir', '', 'Loose', 'loose', false, false, 3), ('AA-001', 'Два снова', 'Iki yeni', 'Cat A', 'First', 'one', false, false, 7), ('AA-002', 'Три', 'Üç (3/III)', 'Cat A', 'First', 'one', false, true, 8), ('BB-001', 'Четыре', 'Dörd', 'Cat B', 'Second', 'two', false, false, 12), ('AA-003', 'Пять', 'Beş/Altı say', 'Cat A', 'First', 'one', false, false, 14)) t(part_id, name_ru, name_az, category, subcategory, leaf_code, side_flag, position_flag, part_ord)")
 def catalogue_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).parts.drop("name_ru", "part_ord")
+    return parse(text_lines(spark, _CATALOGUE_TEXT)).parts
+
+
+def _file_catalogue(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_path(spark, "catalogue")
+    write_text(catalogue_lines(spark, sf_dir), path)
+    return path
+
+
+@query("catalogue_file", f"{LINES_SQL} SELECT part_id, name_ru, name_az, category, subcategory, leaf_code, side_flag, position_flag FROM file_parts")
+def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_file(spark, _file_catalogue(spark, sf_dir)).parts.drop("part_ord")
+
+
+@query("catalogue_file_keys", f"{LINES_SQL} SELECT key, ref, kind FROM (SELECT p_name AS key, 'PA-' || lpad(CAST(k AS VARCHAR), 5, '0') AS ref, 'name' AS kind FROM k UNION ALL SELECT 'ru ' || p_name, 'PA-' || lpad(CAST(k AS VARCHAR), 5, '0'), 'name' FROM k UNION ALL SELECT DISTINCT noun, noun, 'synonym' FROM k UNION ALL SELECT DISTINCT 'a ' || noun, noun, 'synonym' FROM k)")
+def catalogue_file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parse_file(spark, _file_catalogue(spark, sf_dir))
+    names = found.names.select("key", F.col("part_id").alias("ref"), F.lit("name").alias("kind"))
+    return names.unionByName(found.synonyms.select("key", F.col("leaf_code").alias("ref"), F.lit("synonym").alias("kind")))
+
+
+@query("cli_match", f"{LINES_SQL}, asked AS (SELECT min(p_name) AS phrase FROM k UNION ALL SELECT max(p_name) FROM k) SELECT phrase, 'single_match' AS status, part_id, category, CASE WHEN side_flag THEN 'sol' END AS side FROM asked JOIN file_parts ON name_az = phrase UNION ALL SELECT 'nothing like it', 'no_match', NULL, NULL, NULL")
+def cli_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file_catalogue(spark, sf_dir)
+    ends = table(spark, sf_dir, "part").agg(F.min("p_name"), F.max("p_name")).first()
+    rows = []
+    for phrase in (*ends, "nothing like it"):
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            commands.main([phrase, "--raw", "sol", "--dict", path])
+        got = json.loads(said.getvalue())
+        rows.append((phrase, got["status"], got["part_id"], got["category"], got["attributes"]["side"]))
+    return spark.createDataFrame(rows, "phrase string, status string, part_id string, category string, side string")
 
 
 _LINES_SQL = "WITH l AS (SELECT k - 1 AS line_no, line FROM (SELECT unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS k FROM (SELECT '" + _CATALOGUE_TEXT + "' AS x)))"
@@ -252,14 +287,14 @@ def leaf_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(text_lines(spark, _CATALOGUE_TEXT)).leaves.drop("leaf_ord")
 
 
-@query("part_last_wins", "SELECT * FROM (VALUES ('ıki', 'AA-001'), ('ıki yeni', 'AA-001'), ('bir', 'LO-001'), ('üç 3 ııı', 'AA-002'), ('3 ııı', 'AA-002'), ('3', 'AA-002'), ('ııı', 'AA-002'), ('dörd', 'BB-001'), ('beş altı say', 'AA-003'), ('beş say', 'AA-003'), ('altı say', 'AA-003')) t(key, part_id)")
+@query("part_last_wins", "SELECT * FROM (VALUES ('ıki', 'AA-001'), ('ıki yeni', 'AA-001'), ('bir', 'LO-001'), ('üç 3 ııı', 'AA-002'), ('3 ııı', 'AA-002'), ('3', 'AA-002'), ('ııı', 'AA-002'), ('dörd', 'BB-001'), ('beş altı say', 'AA-003'), ('beş say', 'AA-003'), ('altı say', 'AA-003'), ('раз', 'LO-001'), ('два', 'AA-001'), ('два снова', 'AA-001'), ('три', 'AA-002'), ('четыре', 'BB-001'), ('пять', 'AA-003')) t(key, part_id)")
 def part_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).names.select("key", "part_id").filter(~F.col("key").rlike("[а-яё]"))
+    return parse(text_lines(spark, _CATALOGUE_TEXT)).names.select("key", "part_id")
 
 
-@query("synonym_index", "SELECT * FROM (VALUES ('two', 'one'), ('three', 'one'), ('five', 'one')) t(key, leaf_code)")
+@query("synonym_index", "SELECT * FROM (VALUES ('two', 'one', 1, 1), ('three', 'one', 2, 1), ('five', 'one', 3, 1)) t(key, leaf_code, key_ord, ref_ord)")
 def synonym_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).synonyms.select("key", "leaf_code")
+    return parse(text_lines(spark, _CATALOGUE_TEXT)).synonyms
 
 
 @query("catalogue_counts", f"WITH {CATALOGUE_SQL} SELECT (SELECT count(*) FROM parts) AS n_parts, (SELECT count(*) FROM leaves) AS n_leaves, (SELECT count(DISTINCT category) FROM leaves) AS n_categories")
@@ -299,11 +334,11 @@ u AS (SELECT key, threshold, any_value(score) AS score, any_value(how) AS how, c
       FROM (SELECT key, threshold, score, category, how FROM e UNION ALL SELECT key, threshold, score, category, how FROM n UNION ALL SELECT key, threshold, score, category, how FROM c) GROUP BY key, threshold)"""
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     rows = phrases(spark, sf_dir).withColumn("word", F.when(F.pmod("qid", F.lit(10)) == 9, F.substring("phrase", 2, 4)).otherwise(F.col("phrase")))
     found = categories.resolve_categories(rows.drop("phrase", "restrict_category"), _index(spark, sf_dir))
     cats = F.when(F.col("result.category").isNotNull(), F.col("result.category")).otherwise(F.coalesce(_joined("result.candidates"), F.lit("")))
-    return found.select("qid", "result.status", cats.alias("categories"), F.round("result.match_score", 3).alias("match_score"), F.col("result.raw_text_passthrough").alias("forwarded"), "result.matched_by")
+    return found.select("qid", "result.status", cats.alias("categories"), F.round("result.match_score", 3).alias("match_score"), F.col("result.raw_text_passthrough").alias("forwarded"), "result.matched_by", *more)
 
 
 _RESOLVE_SQL = f"""WITH {CATALOGUE_SQL}, {PHRASES_SQL},
@@ -320,6 +355,40 @@ def category_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir)
 
 
+@query("category_question", f"{_RESOLVE_SQL} SELECT qid, CASE WHEN status = 'category_ambiguous' THEN 'К какой категории относится деталь?' END AS question FROM res")
+def category_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, "result.question").select("qid", "question")
+
+
+@query("index_source", f"{_INDEX_SQL} SELECT DISTINCT key, category FROM index")
+def index_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "index")
+    write_category_index(_index(spark, sf_dir), path)
+    return read_category_index(spark, path)
+
+
+_ASKED_SQL = "phrases AS (SELECT * FROM (VALUES (1, 'Steel widget', 'sol', 0.9::DOUBLE, NULL::VARCHAR), (2, 'old', NULL, 0.9, NULL), (3, 'no such thing', NULL, 0.9, NULL), (4, 'bolts', NULL, 0.75, NULL)) t(qid, phrase, raw_text, threshold, restrict_category)), " + KEYED_SQL
+_ASKED = [("Steel widget", "sol", 0.9), ("old", None, 0.9), ("no such thing", None, 0.9), ("bolts", None, 0.75)]
+
+
+@query("one_shot_match", _KEPT_SQL.replace(PHRASES_SQL, _ASKED_SQL) + " SELECT phrase, status, res.ids, match_score FROM res JOIN keyed USING (qid)")
+def one_shot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows = catalogue(spark, sf_dir), []
+    for phrase, raw, threshold in _ASKED:
+        got = matching.match_one(found, phrase, raw, threshold)
+        rows.append((phrase, got["status"], got["part_id"] or ",".join(c["part_id"] for c in got["candidates"]), got.get("match_score")))
+    return spark.createDataFrame(rows, "phrase string, status string, ids string, match_score double")
+
+
+@query("one_shot_resolve", _RESOLVE_SQL.replace(PHRASES_SQL, _ASKED_SQL).replace("CASE WHEN qid % 10 = 9 THEN substr(phrase, 2, 4) ELSE phrase END", "phrase") + " SELECT asked.word, status, res.categories, forwarded FROM res JOIN asked USING (qid)")
+def one_shot_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, rows = _index(spark, sf_dir), []
+    for word, raw, threshold in _ASKED:
+        got = categories.resolve_one(index, word, raw, threshold)
+        rows.append((word, got["status"], got.get("category") or ",".join(got.get("candidates", [])), got["raw_text_passthrough"]))
+    return spark.createDataFrame(rows, "word string, status string, categories string, forwarded string")
+
+
 @query("category_exact", f"{_RESOLVE_SQL} SELECT qid, status, categories FROM res WHERE match_score = 1.0")
 def category_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).filter("match_score = 1.0").select("qid", "status", "categories")
@@ -376,28 +445,82 @@ def canonical_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.canonical_names(catalogue(spark, sf_dir)).select(F.col("leaf_ord").cast("long"), F.col("part_ord").cast("long"), "category", "part_id", "name_az", "heading")
 
 
-@query("report_lines")
+_REPORT_SQL = f"""WITH {CATALOGUE_SQL},
+h AS (SELECT leaf_ord, leaf_code, category, lag(category) OVER (ORDER BY leaf_ord) AS before FROM leaves),
+body AS (SELECT leaf_ord, s, 0 AS o, CASE s WHEN 0 THEN '## ' || category WHEN 1 THEN '' WHEN 2 THEN '### ' || upper(left(leaf_code, 1)) || substr(leaf_code, 2) WHEN 3 THEN '' WHEN 4 THEN '| ID | Canonical Name (AZ) |' WHEN 5 THEN '|----|---------------------|' ELSE '' END AS line
+         FROM h, (SELECT unnest([0, 1, 2, 3, 4, 5, 7]) AS s) WHERE s > 1 OR before IS NULL OR before <> category
+         UNION ALL SELECT leaf_ord, 6, part_ord, '| ' || part_id || ' | ' || name_az || ' |' FROM parts JOIN h USING (leaf_code)),
+every AS (SELECT k AS line_no, line FROM (VALUES (0, '# Canonical names'), (1, ''), (2, '> Generated; do not edit by hand.'), (4, '')) t(k, line)
+          UNION ALL SELECT 3, '> ' || (SELECT count(*) FROM parts) || ' parts · ' || (SELECT count(*) FROM leaves) || ' leaves.'
+          UNION ALL SELECT row_number() OVER (ORDER BY leaf_ord, s, o) + 4, line FROM body)"""
+
+
+@query("report_lines", f"{_REPORT_SQL} SELECT CAST(line_no AS INTEGER) AS line_no, line FROM every WHERE line_no <= (SELECT max(line_no) FROM every WHERE line <> '')")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.canonical_lines(catalogue(spark, sf_dir))
 
 
-@query("report_is_fresh", "SELECT false AS stale")
-def report_is_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    return spark.range(1).select(F.lit(quality.stale(index, categories.category_index(catalogue(spark, sf_dir)))).alias("stale"))
+@query("report_file", f"{LINES_SQL} SELECT category, subcategory, part_id, name_az FROM file_parts")
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "report")
+    write_text(reports.canonical_lines(parse_file(spark, _file_catalogue(spark, sf_dir))), path)
+    return read_report(spark, path).drop("part_ord")
 
 
-@query("result_json")
+@query("report_is_fresh", f"WITH {CATALOGUE_SQL} SELECT 'as written' AS held, (SELECT count(*) FROM index) <> (SELECT count(*) FROM index) AS stale UNION ALL SELECT 'without one word', (SELECT count(*) FROM index WHERE key <> (SELECT min(key) FROM index)) <> (SELECT count(*) FROM index)")
+def report_is_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    path = shared_path(spark, "index")
+    write_category_index(index, path)
+    held = read_category_index(spark, path)
+    less = held.join(held.agg(F.min("key").alias("key")), "key", "left_anti")
+    rows = [("as written", quality.stale(held, index)), ("without one word", quality.stale(less, index))]
+    return spark.createDataFrame(rows, "held string, stale boolean")
+
+
+_JSON_SQL = f"""{_KEPT_SQL},
+per_qid AS (SELECT c.qid, list({{'part_id': c.part_id, 'name_ru': c.name_ru, 'name_az': c.name_az}} ORDER BY spot, c.part_id) AS candidates, any_value(name_ru) AS name_ru, any_value(name_az) AS name_az, any_value(category) AS category,
+                any_value(upper(left(leaf_code, 1)) || substr(leaf_code, 2)) AS subcategory, any_value(part_id) AS part_id FROM cand c GROUP BY c.qid),
+one AS (SELECT r.qid, r.status, r.match_score, r.needs, r.side, r.position, r.status = 'single_match' AS single, s.* EXCLUDE (qid) FROM res r LEFT JOIN per_qid s USING (qid))"""
+_JSON_VALUE = """'{"status":"' || status || '",' || concat_ws(',', list_value(
+    '"part_id":' || CASE WHEN single THEN to_json(part_id) ELSE 'null' END, '"name_ru":' || CASE WHEN single THEN to_json(name_ru) ELSE 'null' END, '"name_az":' || CASE WHEN single THEN to_json(name_az) ELSE 'null' END,
+    '"category":' || CASE WHEN single THEN to_json(category) ELSE 'null' END, '"subcategory":' || CASE WHEN single THEN to_json(subcategory) ELSE 'null' END).list_aggregate('string_agg', ','))
+    || ',"attributes":{"side":' || coalesce(to_json(side), 'null') || ',"position":' || coalesce(to_json(position), 'null') || '},"needs_clarification":' || CASE WHEN needs = '' THEN '[]' ELSE to_json(string_split(needs, ',')) END
+    || ',"candidates":' || CASE WHEN status = 'ambiguous' THEN to_json(candidates) ELSE '[]' END || CASE WHEN status = 'no_match' THEN '' ELSE ',"match_score":' || to_json(match_score) END || '}'"""
+
+
+@query("result_json", f"{_JSON_SQL} SELECT qid, {_JSON_VALUE} AS value FROM one")
 def results_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(phrases(spark, sf_dir), catalogue(spark, sf_dir)).select("qid", result_json(F.col("result")).alias("value"))
 
 
-@query("index_document")
+@query("result_file", f"{_KEPT_SQL} SELECT qid, status, match_score FROM res")
+def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "results")
+    write_results(matching.match(phrases(spark, sf_dir), catalogue(spark, sf_dir)).select("qid", "result"), path)
+    back = spark.read.schema("qid long, result struct<status: string, match_score: double>").json(path)
+    return back.select("qid", "result.status", F.round("result.match_score", 3).alias("match_score"))
+
+
+@query(
+    "index_document",
+    f"""{_INDEX_SQL}, g AS (SELECT key, n, '"' || key || '":["' || replace(categories, ',', '","') || '"]' AS entry FROM words)
+SELECT '{{"index":{{' || (SELECT string_agg(entry, ',' ORDER BY key) FROM g) || '}},"ambiguous_words":{{' || coalesce((SELECT string_agg(entry, ',' ORDER BY key) FROM g WHERE n > 1), '') || '}},"meta":{{"total_words":' || (SELECT count(*) FROM g)
+       || ',"ambiguous_count":' || (SELECT count(*) FROM g WHERE n > 1) || ',"categories":["' || (SELECT string_agg(DISTINCT category, '","' ORDER BY category) FROM index) || '"]}}}}' AS value""",
+)
 def index_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.index_document(_index(spark, sf_dir))
 
 
-@query("catalogue_export")
+@query(
+    "catalogue_export",
+    f"""WITH {CATALOGUE_SQL}, t AS (SELECT *, '"' || part_id || '":{{"name_ru":"' || name_ru || '","name_az":"' || name_az || '","category":"' || category || '","subcategory":"' || upper(left(leaf_code, 1)) || substr(leaf_code, 2)
+       || '","leaf_code":"' || leaf_code || '","side":' || side_flag || ',"position":' || position_flag || '}}' AS entry FROM parts),
+g AS (SELECT leaf_code, min(leaf_ord) AS leaf_ord, '"' || leaf_code || '":{{"part_ids":["' || string_agg(part_id, '","' ORDER BY part_ord) || '"]}}' AS entry FROM parts JOIN leaves USING (leaf_code) GROUP BY leaf_code),
+s AS (SELECT key, key_ord, '"' || key || '":["' || string_agg(leaf_code, '","' ORDER BY leaf_ord) || '"]' AS entry FROM (SELECT DISTINCT synonyms.key, synonyms.key_ord, leaf_code, leaf_ord FROM synonyms JOIN leaves USING (leaf_code)) GROUP BY key, key_ord)
+SELECT '{{"parts":{{' || (SELECT string_agg(entry, ',' ORDER BY part_ord) FROM t) || '}},"groups":{{' || (SELECT string_agg(entry, ',' ORDER BY leaf_ord) FROM g) || '}},"name_index":{{' || (SELECT string_agg('"' || key || '":["' || part_id || '"]', ',' ORDER BY key_ord) FROM names)
+       || '}},"synonym_index":{{' || (SELECT string_agg(entry, ',' ORDER BY key_ord) FROM s) || '}}}}' AS value""",
+)
 def catalogue_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.export(catalogue(spark, sf_dir))
 
