@@ -6,13 +6,13 @@ their pieces' probabilities, which a forward pass over the word's bytes adds up;
 over its words. The model is fitted by expectation maximisation (forward and backward passes) on word
 counts of labelled texts.
 
-Words are those of textbytes (ASCII letters lower-cased). A word of more than 48 bytes is scored in
-stretches of 48, which bounds the products; nothing of it is left out.
+Words are those of textbytes (ASCII letters lower-cased), of any length. The passes over words of at most 48
+bytes work on probabilities; over longer ones, which would leave the range of doubles, on their logarithms.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +27,9 @@ from .storage import prepare
 from .textbytes import _CODES, _LOWER, _STEP, chunks, mixed, text_bytes, word_hashes
 
 UNKNOWN = "und"
-_STRETCH = 48
-_LONGEST = 16
+_SHORT = 48
 _AT_ONCE = 8192
-_LETTER = re.compile(r"[^\W\d_]")
+_BYTES_AT_ONCE = 1 << 19
 
 
 def public_pieces(path: str) -> list[bytes]:
@@ -42,7 +41,7 @@ def public_pieces(path: str) -> list[bytes]:
     for k in range(model.get_piece_size()):
         if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
             raw = model.id_to_piece(k).replace("▁", "").encode().lower()
-            if 0 < len(raw) <= _LONGEST:
+            if raw:
                 found.add(raw)
     return sorted(found)
 
@@ -58,7 +57,7 @@ class Lattice:
         left = np.repeat(offsets[1:], self.sizes) - np.arange(n)
         at, key = np.arange(n), np.zeros(n, np.uint64)
         starts, lengths, ids = [], [], []
-        for size in range(1, _LONGEST + 1):
+        for size in range(1, pieces.longest + 1):
             keep = left[at] >= size
             at, key = at[keep], key[keep]
             if not len(at):
@@ -83,43 +82,84 @@ class Lattice:
         self.last = self.head + self.sizes
         behind = within[self.start] + self.length if n else np.zeros(0, np.int64)
         self.by_end = np.argsort(behind * (n + len(self.sizes) + 1) + self.end, kind="stable")
-        self.end_steps = np.searchsorted(behind[self.by_end], np.arange(1, _STRETCH + 2))
+        longest = int(self.sizes.max(initial=0))
+        self.end_steps = np.searchsorted(behind[self.by_end], np.arange(1, longest + 2))
         before = within[self.start] if n else np.zeros(0, np.int64)
         self.by_begin = np.argsort(before * (n + len(self.sizes) + 1) + self.begin, kind="stable")
-        self.begin_steps = np.searchsorted(before[self.by_begin], np.arange(0, _STRETCH + 1))
+        self.begin_steps = np.searchsorted(before[self.by_begin], np.arange(0, longest + 1))
 
-    def _pass(self, order, steps, into, out_of, seeds, p) -> np.ndarray:
-        sums = np.zeros((self.n + len(self.sizes), p.shape[1]))
-        sums[seeds] = 1
+    def _pass(self, order, steps, into, out_of, seeds, p, logs: bool) -> np.ndarray:
+        """Sums of products of p (of logs: of its logarithms, and logarithms of sums) along all ways from the seeds."""
+        sums = np.full((self.n + len(self.sizes), p.shape[1]), -np.inf if logs else 0.0)
+        sums[seeds] = 0.0 if logs else 1.0
         for a, z in steps:
             if a < z:
                 e = order[a:z]
-                terms = sums[out_of[e]] * p[self.piece[e]]
+                terms = sums[out_of[e]] + p[self.piece[e]] if logs else sums[out_of[e]] * p[self.piece[e]]
                 to = into[e]
-                heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                sums[to[heads]] += np.add.reduceat(terms, heads, axis=0)
+                new = np.r_[True, to[1:] != to[:-1]]
+                heads = np.flatnonzero(new)
+                if logs:
+                    top = np.maximum.reduceat(terms, heads, axis=0)
+                    sums[to[heads]] = top + np.log(np.add.reduceat(np.exp(terms - top[np.cumsum(new) - 1]), heads, axis=0))
+                else:
+                    sums[to[heads]] += np.add.reduceat(terms, heads, axis=0)
         return sums
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
+    def forward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
         """Sums over segmentations up to each position; p has a row a piece and a column a language."""
-        return self._pass(self.by_end, list(zip(self.end_steps, [*self.end_steps[1:], len(self.by_end)])), self.end, self.begin, self.head, p)
+        return self._pass(self.by_end, list(zip(self.end_steps, [*self.end_steps[1:], len(self.by_end)])), self.end, self.begin, self.head, p, logs)
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
+    def backward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
         pairs = list(zip(self.begin_steps, [*self.begin_steps[1:], len(self.by_begin)]))
-        return self._pass(self.by_begin, pairs[::-1], self.begin, self.end, self.last, p)
+        return self._pass(self.by_begin, pairs[::-1], self.begin, self.end, self.last, p, logs)
 
-    def log_probability(self, p: np.ndarray) -> np.ndarray:
+    @property
+    def _logs(self) -> bool:
+        return int(self.sizes.max(initial=0)) > _SHORT
+
+    def log_probability(self, p: np.ndarray, log_p: np.ndarray | None = None) -> np.ndarray:
+        if self._logs:
+            return self.forward(np.log(p) if log_p is None else log_p, True)[self.last]
         return np.log(np.maximum(self.forward(p)[self.last], 1e-300))
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in the words of each language; counts has a row a word."""
-        ahead, back = self.forward(p), self.backward(p)
         word = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.start]
-        share = counts / np.maximum(ahead[self.last], 1e-300)
-        uses = ahead[self.begin] * p[self.piece] * back[self.end] * share[word]
+        if self._logs:
+            log_p = np.log(p)
+            ahead, back = self.forward(log_p, True), self.backward(log_p, True)
+            uses = np.exp(ahead[self.begin] + log_p[self.piece] + back[self.end] - ahead[self.last][word]) * counts[word]
+        else:
+            ahead, back = self.forward(p), self.backward(p)
+            share = counts / np.maximum(ahead[self.last], 1e-300)
+            uses = ahead[self.begin] * p[self.piece] * back[self.end] * share[word]
         return np.stack([np.bincount(self.piece, uses[:, k], len(p)) for k in range(p.shape[1])], axis=1)
 
 
+def _portions(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of words to be worked on together: short ones, then long ones by size, each portion of bounded bytes."""
+    order = np.argsort(np.where(sizes <= _SHORT, 0, sizes), kind="stable")
+    cut = int((sizes <= _SHORT).sum())
+    for a in range(0, cut, _AT_ONCE):
+        yield order[a : min(a + _AT_ONCE, cut)]
+    first, held = cut, 0
+    for k in range(cut, len(order)):
+        if held and held + sizes[order[k]] > _BYTES_AT_ONCE:
+            yield order[first:k]
+            first, held = k, 0
+        held += int(sizes[order[k]])
+    if first < len(order):
+        yield order[first:]
+
+
+def _gathered(body: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of some words end to end, and where each begins (one more at the end)."""
+    offsets = np.r_[0, np.cumsum(sizes)]
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, sizes)
+    return _LOWER[body[at]], offsets
+
+
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(w) for w in words], np.int64)
     return np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum(sizes)]
@@ -130,6 +170,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces))
         self.full, self.part = {}, {}
         for k, piece in enumerate(pieces):
             self.full.setdefault(len(piece), []).append((self._key(piece), k))
@@ -160,6 +201,11 @@ class Pieces:
         return np.where(at >= 0, ids[at], -1)
 
 
+@functools.lru_cache(1)
+def _index_of(pieces: tuple[bytes, ...]) -> Pieces:
+    return Pieces(list(pieces))
+
+
 def _place(keys: np.ndarray | None, wanted: np.ndarray) -> np.ndarray:
     if keys is None:
         return np.full(len(wanted), -1)
@@ -179,7 +225,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.index = model, Pieces(model.pieces)
+        self.model, self.index, self.log_p = model, Pieces(model.pieces), np.log(model.p)
 
     def texts(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log probability of each text in each language, and its number of words."""
@@ -198,26 +244,12 @@ class Scorer:
 
     def words(self, body: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         out = np.zeros((len(first), len(self.model.langs)))
-        for a in range(0, len(first), _AT_ONCE):
-            owner, words = stretches(body, first[a : a + _AT_ONCE], last[a : a + _AT_ONCE])
-            got = Lattice(self.index, words).log_probability(self.model.p)
-            for k in range(out.shape[1]):
-                out[a : a + _AT_ONCE, k] = np.bincount(owner, got[:, k], len(first[a : a + _AT_ONCE]))
+        for at in _portions(last - first):
+            lattice = Lattice(self.index, _gathered(body, first[at], (last - first)[at]))
+            out[at] = lattice.log_probability(self.model.p, self.log_p)
         return out
 
 
-def stretches(body: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Words in stretches of 48 bytes at most: whose each is, and their lower-cased bytes end to end."""
-    parts = -(-(last - first) // _STRETCH)
-    owner = np.repeat(np.arange(len(first)), parts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = first[owner] + nth * _STRETCH
-    sizes = np.minimum(begin + _STRETCH, last[owner]) - begin
-    offsets = np.r_[0, np.cumsum(sizes)]
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, sizes)
-    return owner, (_LOWER[body[at]], offsets)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(1).to_pylist()
@@ -241,19 +273,15 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
     The fit takes a bounded sample: about rows_per_lang rows of each language, chosen by a hash of
     key_col and the text, and all words of those rows. Each language is fitted by itself, in one task, and
     only its probabilities reach the driver. Rows with a null text or language are passed over. Without any labelled row
-    there is no model (None). More than 500 languages are refused, as the model is sent to every task.
+    there is no model (None). The model has a number for each piece and language, and goes to every task.
     """
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("h")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(501).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    if len(sizes) > 500:
-        raise ValueError("more than 500 languages")
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, rows_per_lang / n)).otherwise(share)
-    sample = rows.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).select("text", "lang")
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_per_lang / n))])
+    sample = rows.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.element_at(shares, F.col("lang"))).select("text", "lang")
     counts = sample.mapInArrow(trimmed(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs, pieces = sorted(sizes), public_pieces(vocabulary)
     fitted = counts.groupBy("lang").applyInArrow(_fit_language(pieces, rounds), "lang string, p array<double>").toArrow()
@@ -274,14 +302,14 @@ def _fit_language(pieces: list[bytes], rounds: int):
 
 
 def _maximise(pieces: list[bytes], words: list[bytes], counts: np.ndarray, rounds: int) -> np.ndarray:
-    index, sizes = Pieces(pieces), np.array([len(p) for p in pieces])
+    index, sizes = _index_of(tuple(pieces)), np.array([len(p) for p in pieces])
+    body, offsets = _joined(words)
+    lengths = np.diff(offsets)
     p = np.repeat((0.1**sizes / np.sum(0.1**sizes))[:, None], counts.shape[1], axis=1)
     for _ in range(rounds if words else 0):
         uses = np.full(p.shape, 0.01)
-        for a in range(0, len(words), _AT_ONCE):
-            body, offsets = _joined(words[a : a + _AT_ONCE])
-            owner, parts = stretches(body, offsets[:-1], offsets[1:])
-            uses += Lattice(index, parts).expected(p, counts[a : a + _AT_ONCE][owner])
+        for at in _portions(lengths):
+            uses += Lattice(index, _gathered(body, offsets[at], lengths[at])).expected(p, counts[at])
         p = uses / uses.sum(0)
     return p
 
@@ -292,7 +320,7 @@ def _predict(model: Model | None):
 
         def label(texts: pa.Array) -> list[pa.Array]:
             body, offsets = text_bytes(texts)
-            lettered = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts], bool)
+            lettered = np.array([t.is_valid and any(map(str.isalpha, t.as_py())) for t in texts], bool)
             langs = np.full(len(texts), UNKNOWN, object)
             score = np.zeros(len(texts))
             if scorer and lettered.any():
@@ -313,7 +341,7 @@ def _predict(model: Model | None):
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Add the predicted language of every whole text, and its posterior probability (0 to 1).
 
-    A text that is null or has no letter is "und" with score 0; so is every text without a model. Equal
+    A text that is null or has no letter (Unicode category L) is "und" with score 0; so is every text without a model. Equal
     probabilities go to the first language by name. All rows and columns stay (repeated rows, ties, null
     ids); an empty table stays empty. A column called pred_col or score_col gives way.
     """

@@ -3,12 +3,13 @@
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from matchloom.llm import queries
-from matchloom.llm.langid import Lattice, Model, Pieces, _joined, _maximise, fit, predict
+from matchloom.llm.langid import Lattice, Model, Pieces, Scorer, _joined, _maximise, fit, predict
 from matchloom.llm.textbytes import words_of
 
 
@@ -35,6 +36,44 @@ def test_forward_sums_all_segmentations():
     assert np.allclose((uses * lengths[:, None]).sum(0), sum(map(len, words)))
 
 
+def test_words_of_any_length():
+    rng = random.Random(8)
+    pieces = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30))) for _ in range(60)} | {b"a", b"b", b"c"})
+    p = np.random.default_rng(2).random((len(pieces), 2)) / 50
+    words = [b"".join(rng.choice(pieces) for _ in range(200))[:n] for n in (49, 64, 130, 300, 500)]
+    lattice = Lattice(Pieces(pieces), _joined(words))
+    got = lattice.log_probability(p)
+    for w, row in zip(words, got):
+        for k in range(2):
+            of, sums = dict(zip(pieces, (Fraction(x) for x in p[:, k]))), [Fraction(1)]
+            for end in range(1, len(w) + 1):
+                sums.append(sum(sums[end - size] * of[w[end - size : end]] for size in range(1, min(end, 30) + 1) if w[end - size : end] in of))
+            want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert math.isclose(row[k], want, rel_tol=1e-9)
+    uses = lattice.expected(p, np.ones((len(words), 2)))
+    lengths = np.array([len(x) for x in pieces])
+    assert np.allclose((uses * lengths[:, None]).sum(0), sum(map(len, words)))
+    # portions of short and long words give each word what it has by itself
+    scorer = Scorer(Model(["x", "y"], pieces, p))
+    every = [*words, b"abc", b"", b"cab" * 3, b"a" * 48]
+    body, offsets = _joined(every)
+    alone = [Lattice(Pieces(pieces), _joined([w])).log_probability(p)[0] for w in every]
+    assert np.allclose(scorer.words(body, offsets[:-1], offsets[1:]), alone)
+
+
+def test_letters_are_those_of_category_l(spark):
+    rows = [(1, "½"), (2, "² ²"), (3, "Ⅷ"), (4, "ª"), (5, "１２"), (6, "x½"), (7, "你好世界" * 200), (8, "_ 7")]
+    model = fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr"), (3, "你好 世界", "zh")], "doc_id long, text string, lang string"), queries.PIECE_BPE)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[k] == ("und", 0.0) for k in (1, 2, 3, 5, 8)) and all(got[k][0] != "und" for k in (4, 6)) and got[7][0] == "zh"
+
+
+def test_many_languages(spark):
+    rows = [(k, f"word{k} " * 3, f"l{k:04}") for k in range(505)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), queries.PIECE_BPE, rounds=1)
+    assert len(model.langs) == 505
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
