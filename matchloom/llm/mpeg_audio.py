@@ -4,10 +4,12 @@ A built stream is an ID3v2.4 tag, an Info frame with the table of a variable-bit
 III frames (44.1 kHz, mono, 192 kbit/s, with CRC) whose side information is all zero, so that they play as
 silence. Each carries one unit of 576 payload bytes as ancillary data behind its side information.
 
-The parser takes any MPEG 1, 2 or 2.5 stream of Layers I to III: it skips tags, resynchronises on frame
+The parser takes any bytes, and MPEG 1, 2 or 2.5 streams of Layers I to III: it resynchronises on frame
 headers (one counts only if another header, a tag or the end follows where it says), reads Xing, Info and
-VBRI tables with their seek entries, and verifies the CRC of every frame that has one. Free-format frames
-(without a bitrate in their header) are not read.
+VBRI tables with their seek entries, and verifies the CRC of every frame that has one. Of tags it reads text
+frames of ID3v2.2 to 2.4 and the fields of ID3v1; compressed and encrypted tag frames are passed over.
+Free-format frames (without a bitrate in their header) are not read. What a damaged stream does not give is
+null; it never stops a job.
 """
 
 from __future__ import annotations
@@ -203,22 +205,39 @@ class Stream:
         return int(self.offsets[k]), int(ends[k] - self.samples[k])
 
 
+# Fixed values of the format: the fields of an ID3v1 tag, with their places.
+_V1 = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97), "comment": (97, 127)}
+
+
+def _v1(raw: bytes, found: dict[str, str]) -> None:
+    """Read an ID3v1 tag (its 128 bytes); fields that are empty are left out."""
+    for name, (a, z) in _V1.items():
+        if value := raw[a:z].split(b"\0")[0].decode("latin-1").strip():
+            found.setdefault(f"id3v1.{name}", value)
+
+
 def _tags(raw: bytes, at: int, found: dict[str, str]) -> int:
     """Read an ID3v2 tag's text frames; the place behind the tag, or the same place if there is none."""
     if raw[at : at + 3] != b"ID3" or at + 10 > len(raw):
         return at
-    major, end = raw[at + 3], at + 10 + _unsyncsafe(raw[at + 6 : at + 10])
-    k = at + 10
-    while major >= 3 and k + 10 <= min(end, len(raw)) and raw[k]:
-        name = raw[k : k + 4].decode("latin-1")
-        size = _unsyncsafe(raw[k + 4 : k + 8]) if major >= 4 else int.from_bytes(raw[k + 4 : k + 8])
-        body = raw[k + 10 : k + 10 + size]
-        if name[0] == "T" and body:
+    major, flags, end = raw[at + 3], raw[at + 5], at + 10 + _unsyncsafe(raw[at + 6 : at + 10])
+    held = raw[at + 10 : end]
+    if flags & 0x80 and major < 4:
+        held = held.replace(b"\xff\0", b"\xff")
+    k, wide = 0, 6 if major == 2 else 10
+    if flags & 0x40 and major > 2:  # an extended header
+        k = _unsyncsafe(held[:4]) if major >= 4 else 4 + int.from_bytes(held[:4])
+    while 2 <= major <= 4 and k + wide <= len(held) and held[k]:
+        name = held[k : k + (3 if major == 2 else 4)].decode("latin-1")
+        size = int.from_bytes(held[k + 3 : k + 6]) if major == 2 else _unsyncsafe(held[k + 4 : k + 8]) if major == 4 else int.from_bytes(held[k + 4 : k + 8])
+        body = held[k + wide : k + wide + size]
+        packed = major > 2 and held[k + 9] & (0x0C if major == 4 else 0xC0)
+        if name[0] == "T" and body and not packed:
             kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8")
             key, _, value = body[1:].decode(kind, "replace").partition("\0")
-            found |= {key: value.rstrip("\0")} if name == "TXXX" else {name: key}
-        k += 10 + size
-    return min(end + 10 * bool(raw[at + 5] & 0x10), len(raw))
+            found |= {key: value.rstrip("\0")} if name in ("TXXX", "TXX") else {name: key}
+        k += wide + size
+    return min(end + 10 * bool(flags & 0x10), len(raw))
 
 
 def _vbr(raw: bytes, at: int, head: Header, out: Stream) -> bool:
@@ -250,6 +269,7 @@ def parse(raw: bytes) -> Stream:
     at = _tags(raw, 0, out.tags)
     if raw[-128:-125] == b"TAG" and end - 128 >= at:
         end -= 128
+        _v1(raw[end:], out.tags)
     body = np.frombuffer(raw, np.uint8)
     runs: list[tuple[int, int, Header]] = []
     lost = False
@@ -293,14 +313,19 @@ def parse(raw: bytes) -> Stream:
     return out
 
 
-def payload(raw: bytes, stream: Stream) -> bytes:
-    """The bytes that build() put into the frames of a stream, padding included."""
-    unit = int(stream.tags["unit"])
+def _number(tags: dict[str, str], key: str) -> int | None:
+    value = tags.get(key, "")
+    return int(value) if value.isascii() and value.isdigit() and len(value) <= 18 else None
+
+
+def payload(raw: bytes, stream: Stream) -> bytes | None:
+    """The bytes that build() put into the frames of a stream, padding included; None if they are not there whole."""
+    unit, said = _number(stream.tags, "unit"), _number(stream.tags, "crc32")
+    if not unit or said is None or stream.wrong or not len(stream.offsets) or _BODY + unit > int(stream.sizes.min()):
+        return None
     at = stream.offsets[:, None] + np.arange(_BODY, _BODY + unit)
     found = np.frombuffer(raw, np.uint8)[at].tobytes()
-    if zlib.crc32(found) != int(stream.tags["crc32"]) or stream.wrong:
-        raise ValueError("the stored stream is damaged")
-    return found
+    return found if zlib.crc32(found) == said else None
 
 
 def feature(stream: Stream) -> str:
@@ -344,12 +369,13 @@ def _probe(seek_every: int):
                     continue
                 raw = media.as_py()
                 got = parse(raw)
-                held = payload(raw, got) if "unit" in got.tags else None
+                held, size = payload(raw, got), _number(got.tags, "bytes")
+                damaged = got.wrong > 0 or ("unit" in got.tags and held is None)
                 rows.append((
-                    doc, int(got.tags["bytes"]) if "bytes" in got.tags else None,
+                    doc, size if held is not None and size is not None and size <= len(held) else None,
                     *((None,) * 3 if held is None else (len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]))),
                     len(raw), hashlib.sha256(raw).hexdigest(), feature(got), len(got.offsets),
-                    float(got.seconds * 1000), got.wrong == 0 if got.checked else None, got.offsets[::seek_every].tolist(),
+                    float(got.seconds * 1000), False if damaged else True if got.checked else None, got.offsets[::seek_every].tolist(),
                 ))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64())]
             names = [f.split()[0] for f in _PROBED.split(", ")]
@@ -362,9 +388,10 @@ def _probe(seek_every: int):
 def probe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 1) -> DataFrame:
     """Parse stored streams: what is in them, exact durations, checksums, and frame seek offsets.
 
-    seek_offsets has the byte offset of every frame, or of every seek_every-th. Streams that
-    build() did not make have null payload columns; crc_ok is null where no frame has a checksum; null media give nulls; bytes without any frame give
-    no frames and a duration of 0.
+    seek_offsets has the byte offset of every frame, or of every seek_every-th. n_bytes and the payload
+    columns are null where build() did not make the stream or its payload is not there whole. crc_ok is false
+    where a frame's checksum is wrong or a payload is damaged, and null where nothing could be checked. Null media
+    give nulls; bytes without any frame give no frames and a duration of 0. Every row gives one row.
     """
     prepare(media.sparkSession)
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(_probe(seek_every), _PROBED)

@@ -1,13 +1,14 @@
 """Streams built, damaged and parsed."""
 
 import hashlib
+import random
 import struct
 import zlib
 from fractions import Fraction
 
 import pytest
 
-from matchloom.llm.mpeg_audio import build, crc16, encode, header_at, parse, payload, probe
+from matchloom.llm.mpeg_audio import build, crc16, encode, feature, header_at, parse, payload, probe
 
 
 @pytest.mark.parametrize("data", [b"", b"a", b"\xff" * 576, b"\xff\xfa\xb0\xc0" * 700, bytes(range(256)) * 9])
@@ -34,8 +35,7 @@ def test_resynchronises_after_junk_and_finds_damage():
     bad = bytearray(raw)
     bad[cut + 8] ^= 1
     assert parse(bytes(bad)).wrong == 1
-    with pytest.raises(ValueError):
-        payload(bytes(bad), parse(bytes(bad)))
+    assert payload(bytes(bad), parse(bytes(bad))) is None
 
 
 def test_other_streams():
@@ -124,3 +124,69 @@ def test_every_frame_can_be_sought(spark):
     raw = b"".join(frames)
     row = probe(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, media binary")).collect()[0]
     assert row.n_frames == 100 and row.seek_offsets == [sum(map(len, frames[:k])) for k in range(100)]
+
+
+def frame(name, text, size):
+    return name + size(len(text)) + bytes(2 if len(name) == 4 else 0) + text
+
+
+def test_tags_of_all_versions():
+    sound = build(b"x")
+    sound = sound[sound.index(b"\xff\xfa") :]
+    safe = lambda n: bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
+    big = lambda n: n.to_bytes(4)
+    small = lambda n: n.to_bytes(3)
+
+    def tag(major, body, flags=0):
+        return b"ID3" + bytes([major, 0, flags]) + safe(len(body)) + body
+
+    v22 = tag(2, frame(b"TT2", b"\0Song", small) + frame(b"TXX", b"\0key\0value", small) + b"\0" * 9)
+    assert parse(v22 + sound).tags == {"TT2": "Song", "key": "value"}
+    wide = "Çok".encode("utf-16")
+    v23 = tag(3, (frame(b"TIT2", b"\x01" + wide, big) + frame(b"APIC", b"\xff" * 9, big)).replace(b"\xff", b"\xff\0"), 0x80)
+    assert parse(v23 + sound).tags == {"TIT2": "Çok"}
+    v24 = tag(4, safe(6) + b"\x01\0" + frame(b"TIT2", b"\x03\xc3\xa7", safe), 0x40)
+    assert parse(v24 + sound).tags == {"TIT2": "ç"}
+    v1 = b"TAG" + b"Name".ljust(30, b"\0") + b"Who".ljust(30) + bytes(30) + b"1999" + bytes(31)
+    got = parse(sound + v1)
+    assert got.tags == {"id3v1.title": "Name", "id3v1.artist": "Who", "id3v1.year": "1999"} and len(got.offsets) == 1 and got.skipped == 0
+
+
+def test_damaged_and_foreign_streams_beside_good_ones(spark):
+    def noted(raw, old, new):
+        assert old in raw
+        return raw.replace(old, new)
+
+    good = build(b"hello" * 300)
+    side = bytearray(good)
+    side[int(parse(good).offsets[1]) + 9] ^= 4
+    body = bytearray(good)
+    body[int(parse(good).offsets[1]) + 100] ^= 4
+    rows = {
+        1: good, 2: bytes(side), 3: bytes(body), 4: noted(good, b"unit\x00576", b"unit\x00mmm"), 5: noted(good, b"unit\x00576", b"unit\x00999"), 6: noted(good, b"crc32", b"crc99"),
+        7: noted(good, b"bytes\x001500", b"bytes\x00n/a0"), 8: good[:400], 9: good[: len(good) - 300], 10: b"", 11: None, 12: b"\xff" * 5000, 13: noted(good, b"bytes\x001500", b"bytes\x009999"), 14: good[200:],
+    }
+    got = {r.doc_id: r for r in probe(spark.createDataFrame(list(rows.items()), "doc_id long, media binary").repartition(2)).collect()}
+    assert len(got) == 14 and got[1].n_bytes == 1500 and got[1].crc_ok and got[1].payload_bytes == 1728
+    for k in (2, 3, 4, 5, 6, 9):
+        assert got[k].payload_sha256 is None and got[k].n_bytes is None and got[k].crc_ok is False, k
+    for k in (7, 13):
+        assert got[k].n_bytes is None and got[k].crc_ok and got[k].payload_sha256 == got[1].payload_sha256
+    assert got[10].n_frames == got[12].n_frames == 0 and got[10].duration_ms == 0 and got[12].crc_ok is None
+    assert got[11].media_bytes is None and got[14].n_bytes is None
+
+
+def test_any_bytes_are_parsed():
+    rng = random.Random(4)
+    raw = build(b"some bytes" * 200)
+    for _ in range(400):
+        bad = bytearray(raw)
+        for _ in range(rng.randint(1, 12)):
+            at = rng.randrange(rng.choice([60, 200, len(bad)]))
+            bad[at : at + rng.randint(0, 3)] = bytes(rng.randrange(256) for _ in range(rng.randint(0, 3)))
+        got = parse(bytes(bad))
+        payload(bytes(bad), got), feature(got)
+    for _ in range(100):
+        head = bytes([0xFF, 0xE0 | rng.randrange(32), rng.randrange(256), rng.randrange(256)])
+        got = parse((head + bytes(rng.randrange(256) for _ in range(rng.randint(0, 700)))) * 3)
+        assert len(got.offsets) == len(got.sizes)
