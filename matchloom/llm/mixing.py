@@ -2,14 +2,17 @@
 
 The documents of a source, shuffled by a hash, lie end to end on a tape; going round it again gives
 repeats. The tape is cut into blocks of equally many words. Slot i of the mix is the golden-ratio point
-frac(i / phi), mapped through the cumulative targets to a source; a source's r-th slot takes the r-th
-block of its tape. A source takes its target of words and no more: slots beyond are left out, and what
-the schedule leaves open at its end is filled in order.
+frac(i / phi) (or the van der Corput point of i), mapped through the cumulative targets to a source; a
+source's r-th slot takes the r-th block of its tape. So every stretch of slots has the sources in their
+shares, but for the sequence's discrepancy. The schedule decides the order of the mix: which slots a document
+is in, and where a written mix has it. A source gives its target of words to the word: slots beyond are
+left out, and the few that the schedule leaves open at its end are filled in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,8 @@ _MOST_SOURCES = 1_000_000
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """doc_id, source, size (words; null text: 0) mixed, the hash that shuffles documents, and text_hash."""
-    key = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))
+    # rows without an id are told apart by their texts, so that they don't all fall in one part of the tape
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.xxhash64(text_col, source_col).cast("string"))))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.md5(key.cast("binary")).alias("mixed"), F.xxhash64(text_col).alias("text_hash"))
 
@@ -84,30 +88,44 @@ def golden_points(first: int, n: int) -> np.ndarray:
     return np.arange(first, first + n, dtype=np.uint64) * _GOLDEN
 
 
-def _edges(shares: list[float]) -> np.ndarray:
-    ends = np.cumsum(np.array(shares, np.float64))
-    return np.minimum(ends / ends[-1] * 2.0**64, 2.0**64 - 2048).astype(np.uint64)[:-1]
+def van_der_corput_points(first: int, n: int) -> np.ndarray:
+    """The bits of i behind the binary point in reverse order, for i from first, as 64-bit fractions."""
+    x = np.arange(first, first + n, dtype=np.uint64)
+    for k in range(6):
+        width = np.uint64(1 << k)
+        mask = np.uint64(sum(((1 << (1 << k)) - 1) << at for at in range(0, 64, 2 << k)))
+        x = (x >> width & mask) | (x & mask) << width
+    return x
 
 
-def _counts(edges: np.ndarray, slots: int):
+SEQUENCES = {"golden": golden_points, "van_der_corput": van_der_corput_points}
+
+
+def _edges(quotas: list[int]) -> np.ndarray:
+    """Where each source but the first begins, as 64-bit fractions of all quotas."""
+    ends, total = list(itertools.accumulate(quotas)), sum(quotas)
+    return np.array([min((e << 64) // total, 2**64 - 1) for e in ends[:-1]], np.uint64)
+
+
+def _counts(edges: np.ndarray, slots: int, points: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
                 first = chunk * _CHUNK
-                found = np.searchsorted(edges, golden_points(first, min(_CHUNK, slots - first)), side="right")
+                found = np.searchsorted(edges, points(first, min(_CHUNK, slots - first)), side="right")
                 source, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(source.astype(np.int32)), pa.array(n.astype(np.int64))], ["chunk", "source_no", "n"])
 
     return run
 
 
-def _ranks(edges: np.ndarray, slots: int):
+def _ranks(edges: np.ndarray, slots: int, points: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ahead in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 first = chunk * _CHUNK
                 n = min(_CHUNK, slots - first)
-                source = np.searchsorted(edges, golden_points(first, n), side="right")
+                source = np.searchsorted(edges, points(first, n), side="right")
                 before = {r["source_no"]: r["before"] for r in ahead}
                 order = np.argsort(source, kind="stable")
                 own = source[order]
@@ -118,7 +136,7 @@ def _ranks(edges: np.ndarray, slots: int):
     return run
 
 
-def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS, sequence: str = "golden") -> DataFrame:
     """slot, source_no, rank: the source of each slot, and which of its blocks it takes (from 0).
 
     Slots are ranked by chunks of 8192: counts in each chunk, sums over chunks, ranks within. The targets
@@ -132,12 +150,12 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     slots = sum(quotas) // block_words
     need = wanted.select("source_no", F.ceil(F.floor("target") / block_words).cast("long").alias("need"))
     if slots:
-        edges = _edges(rows)
+        edges, points = _edges(quotas), SEQUENCES[sequence]
         chunks = spark.range(0, -(-slots // _CHUNK))
-        counts = chunks.mapInArrow(_counts(edges, slots), "chunk long, source_no int, n long")
+        counts = chunks.mapInArrow(_counts(edges, slots, points), "chunk long, source_no int, n long")
         ahead = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         before = counts.select("chunk", F.struct("source_no", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")).alias("b"))
-        ranks = before.groupBy("chunk").agg(F.collect_list("b").alias("b")).mapInArrow(_ranks(edges, slots), "slot long, source_no int, rank long")
+        ranks = before.groupBy("chunk").agg(F.collect_list("b").alias("b")).mapInArrow(_ranks(edges, slots, points), "slot long, source_no int, rank long")
         had = counts.groupBy("source_no").agg(F.sum("n").alias("had"))
         planned = ranks.join(F.broadcast(need), "source_no").filter("rank < need").drop("need")
         tail = need.join(had, "source_no", "left").withColumn("had", F.coalesce("had", F.lit(0)))
@@ -148,7 +166,7 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return tail if planned is None else planned.unionByName(tail)
 
 
-def mix(tape: DataFrame, wanted: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
+def mix(tape: DataFrame, wanted: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST_REPEATS, sequence: str = "golden") -> DataFrame:
     """The mix itself: slot, source_no, start (of the document on its tape), first_word, n_words, lap.
 
     A row says that a slot takes n_words words of a document from its first_word on, in which lap of the
@@ -162,7 +180,7 @@ def mix(tape: DataFrame, wanted: DataFrame, block_words: int = BLOCK_WORDS, most
     begin = F.greatest("low", F.col("rank") * block_words)
     end = F.least("high", (F.col("rank") + 1) * block_words)
     pieces = pieces.select("source_no", "rank", "start", (begin - F.col("low")).alias("first_word"), (end - begin).alias("n_words"), "lap")
-    return pieces.join(schedule(wanted, block_words), ["source_no", "rank"])
+    return pieces.join(schedule(wanted, block_words, sequence), ["source_no", "rank"])
 
 
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_REPEATS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -175,25 +193,31 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return tape, wanted
 
 
-def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, **names) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document: the words that the mix takes of it.
+def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, sequence: str = "golden", **names) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot and last_slot of every document.
 
-    A null or empty text has size 0 and none is taken of it. A null source is a source of its own. Rows
-    that repeat, or share an id, are documents of their own. An empty table gives no row; other columns
-    are left out, whatever their names.
+    taken are the words that the mix takes of it; first_slot and last_slot are where the schedule has the
+    first and the last of them (null where none is taken). A null or empty text has size 0 and none is taken
+    of it. A null source is a source of its own. Rows that repeat, or share an id, are documents of their
+    own. An empty table gives no row; other columns are left out, whatever their names.
     """
     tape, wanted = prepared(docs, **names)
     most = names.get("most", MOST_REPEATS)
-    got = mix(tape, wanted, block_words, most).groupBy("source_no", "start").agg(F.sum("n_words").alias("got"))
+    got = mix(tape, wanted, block_words, most, sequence).groupBy("source_no", "start").agg(F.sum("n_words").alias("got"), F.min("slot").alias("first"), F.max("slot").alias("last"))
     out = tape.join(got, ["source_no", "start"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).alias("taken"))
+    some = F.col("size") > 0
+    return out.select(
+        "doc_id", "size", "source_size", "target", F.when(some, F.coalesce("got", F.lit(0))).otherwise(0).alias("taken"),
+        F.when(some, F.col("first")).alias("first_slot"), F.when(some, F.col("last")).alias("last_slot"),
+    )
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The documents of the mix, whole: each as often as the mix takes its first word.
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", sequence: str = "golden", **names) -> DataFrame:
+    """The documents of the mix, whole, in the order of its slots: each as often as the mix takes its first word.
 
-    So a source gives its target to within one document. A document without words goes with the words
-    behind it on the tape. Rows and columns are otherwise as they were.
+    So a source gives its target to within one document. Written as it is, the table's files have the mix in
+    order. A document without words goes with the words behind it on the tape. Rows and columns are
+    otherwise as they were.
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(columns))])
@@ -201,13 +225,14 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
     of_id, of_text, of_source = at.values()
     tape, wanted = prepared(plain, of_id, of_text, of_source, **names)
     most = names.get("most", MOST_REPEATS)
-    whole = mix(tape, wanted, block_words, most).filter("first_word = 0").groupBy("source_no", "start").agg(F.count(F.lit(1)).alias("got"))
-    laps = F.size(F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.col("start") + k * F.col("source_size") < F.floor("target")))
-    copies = tape.join(whole, ["source_no", "start"], "left").select("doc_id", "text_hash", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(laps).alias("copies"))
     # rows that share an id and a text are told apart by their number among those
-    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("row_id"), "text_hash"]
-    counted = copies.select(*key, "copies").withColumn("nth", F.row_number().over(Window.partitionBy("row_id", "text_hash").orderBy("copies")))
-    rows = plain.select("*", F.coalesce(F.col(of_id).cast("long"), F.lit(-(2**63))).alias("row_id"), F.xxhash64(of_text).alias("text_hash"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("row_id", "text_hash").orderBy(of_source)))
-    kept = rows.join(counted, ["row_id", "text_hash", "nth"]).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    same, low_id = Window.partitionBy("row_id", "text_hash"), F.lit(-(2**63))
+    laps = tape.withColumn("row_id", F.coalesce("doc_id", low_id)).withColumn("nth", F.row_number().over(same.orderBy("source_no", "start")))
+    laps = laps.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("low", F.col("start") + F.col("lap") * F.col("source_size"))
+    laps = laps.filter(F.col("low") < F.floor("target")).withColumn("rank", F.floor(F.col("low") / block_words))
+    places = laps.join(schedule(wanted, block_words, sequence), ["source_no", "rank"]).select("row_id", "text_hash", "nth", "slot", "low")
+    rows = plain.select("*", F.coalesce(F.col(of_id).cast("long"), low_id).alias("row_id"), F.xxhash64(of_text).alias("text_hash"))
+    rows = rows.withColumn("nth", F.row_number().over(same.orderBy(F.col(of_source).asc_nulls_last())))
+    order = ["slot", "low", "row_id", "text_hash"]
+    kept = rows.join(places, ["row_id", "text_hash", "nth"]).repartitionByRange(*order).sortWithinPartitions(*order)
     return kept.select(*plain.columns).toDF(*columns)

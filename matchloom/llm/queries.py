@@ -59,10 +59,22 @@ l AS (SELECT arg_min((total - stopped) / rest, r) FILTER (WHERE 3 * source_size
 t AS (SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), lev * w), 0.0) AS target FROM c, l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
              CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY mixed, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(start + size, quota % source_size) - start) END AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+slices AS (SELECT source, no, quota, least(CAST(sum(quota) OVER (ORDER BY no) AS UHUGEINT) * 18446744073709551616::UHUGEINT // CAST(sum(quota) OVER () AS UHUGEINT), 18446744073709551615::UHUGEINT) AS high,
+                  coalesce(CAST(sum(quota) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS UHUGEINT) * 18446744073709551616::UHUGEINT // CAST(sum(quota) OVER () AS UHUGEINT), 0::UHUGEINT) AS low
+           FROM (SELECT source, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no, CAST(floor(target) AS BIGINT) AS quota FROM t) WHERE (SELECT sum(floor(target)) FROM t) > 0),
+n AS (SELECT CAST(sum(quota) AS BIGINT) // 8192 AS slots FROM slices),
+points AS (SELECT i, (CAST(i AS UHUGEINT) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS point FROM (SELECT unnest(generate_series(0, slots - 1)) AS i FROM n)),
+drawn AS (SELECT i AS slot, source, no, quota, row_number() OVER (PARTITION BY no ORDER BY i) - 1 AS rank FROM points JOIN slices ON point >= low AND (point < high OR no = (SELECT max(no) FROM slices))),
+had AS (SELECT s.source, s.no, CAST(ceil(quota / 8192) AS BIGINT) AS need, (SELECT count(*) FROM drawn d WHERE d.no = s.no) AS had FROM slices s),
+left_open AS (SELECT source, no, unnest(generate_series(had, need - 1)) AS rank FROM had WHERE need > had),
+planned AS (SELECT source, rank, slot FROM drawn WHERE rank * 8192 < quota
+            UNION ALL SELECT source, rank, row_number() OVER (ORDER BY rank, no) - 1 + (SELECT slots FROM n) FROM left_open),
+g AS (SELECT p.*, d.source, CASE WHEN p.size > 0 THEN (quota // p.source_size) * p.size + greatest(0, least(start + p.size, quota % p.source_size) - start) ELSE 0 END AS taken,
+             CASE WHEN start < quota % p.source_size THEN quota // p.source_size ELSE quota // p.source_size - 1 END AS lap FROM p JOIN d USING (doc_id)),
+e AS (SELECT *, start // 8192 AS first_rank, (least(lap * source_size + start + size, quota) - 1) // 8192 AS last_rank FROM g)
+SELECT doc_id, e.size, source_size, target, taken, CASE WHEN taken > 0 THEN a.slot END AS first_slot, CASE WHEN taken > 0 THEN z.slot END AS last_slot
+FROM e LEFT JOIN planned a ON a.source IS NOT DISTINCT FROM e.source AND a.rank = first_rank LEFT JOIN planned z ON z.source IS NOT DISTINCT FROM e.source AND z.rank = last_rank
 """
 
 

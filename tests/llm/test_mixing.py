@@ -68,6 +68,33 @@ def test_schedule_is_spread_and_whole(spark):
     assert max(np.diff(np.sort(u))) < 3 / 1000
 
 
+def test_the_schedule_decides_the_order(spark):
+    rows, df = table(spark)
+    golden, other = ({(r.doc_id, r.size, r.first_slot, r.last_slot) for r in mixing.taken(df, block_words=16, sequence=q).collect()} for q in ("golden", "van_der_corput"))
+    assert golden != other and {x[:2] for x in golden} == {x[:2] for x in other}
+    bits = mixing.van_der_corput_points(0, 8) >> np.uint64(61)
+    assert bits.tolist() == [0, 4, 2, 6, 1, 5, 3, 7]
+    # any beginning of the written mix has the sources in their shares
+    tape, wanted = mixing.prepared(df)
+    names = {r.source: r.target for r in wanted.collect()}
+    total = sum(int(t) for t in names.values())
+    for sequence in ("golden", "van_der_corput"):
+        words, seen = defaultdict(int), 0
+        for r in mixing.mixed_documents(df, block_words=16, sequence=sequence).collect():
+            n = len((r.text or "").split())
+            words[r.source] += n
+            seen += n
+            if seen > 200:
+                assert all(abs(words[s] - seen * t / total) <= 6 * 16 + 38 for s, t in names.items())
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {k} of many", "a") for k in range(3000)], "doc_id long, text string, source string")
+    tape, _ = mixing.prepared(df)
+    parts = tape.groupBy(F.substring("mixed", 1, 3)).count().agg(F.max("count")).first()[0]
+    assert parts < 20
+
+
 def test_mixed_documents(spark):
     rows, df = table(spark)
     out = mixing.mixed_documents(df, block_words=64)
