@@ -1,9 +1,12 @@
 """Line dedup with levelled sorted runs of line hashes, on DataFrame functions alone.
 
-A run is a table of line hashes, sorted, with the number of documents that hold each line and the largest
-id of them. A batch of documents is merge-anti-joined with the runs to tell new lines from known ones and
-adds a run of its own; when a level has as many runs as the fan-out, they are compacted into one of the
-next level. Lines of enough documents are then dropped from all documents but the one with the largest id.
+Documents come in batches of descending ids. A run is a table of line hashes, bucketed and sorted by hash,
+with the document that keeps each line. A batch is merge-anti-joined with the runs: lines that no run has
+yet are new, the largest id that holds them is in this batch, and they make a run of their own. When a
+level has as many runs as the fan-out, they are merged into one of the next level. All runs and batches
+are bucketed alike, so neither the anti-joins nor the merges move rows between tasks.
+
+Lines of enough documents are then dropped from all documents but the one that their run names.
 """
 
 from __future__ import annotations
@@ -11,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import remove, scratch, written
+from .storage import Buckets, remove, scratch, written
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RUN = "h1 long, h2 long, n_docs long, keeper long, fresh boolean"
 HASH = ["h1", "h2"]
 
 
@@ -33,88 +35,87 @@ def line_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs, in the shared folder."""
+    """The levelled runs: tables of h1, h2 and keeper, each line in one run only. Batches are tables of self.buckets."""
 
     def __init__(self, spark: SparkSession, fan_out: int = 2):
-        self.spark, self.fan_out = spark, fan_out
+        self.spark, self.fan_out, self.buckets = spark, fan_out, Buckets(spark, HASH)
         self.levels: list[list[str]] = [[]]
 
-    def _write(self, df: DataFrame) -> str:
-        path = scratch(self.spark, "run")
-        df.sortWithinPartitions(*HASH).write.option("compression", "zstd").parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(*paths)
-
     @property
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    def split(self, batch: DataFrame) -> DataFrame:
-        """The batch with fresh: whether no run has the line yet."""
-        if not self.paths:
-            return batch.withColumn("fresh", F.lit(True))
-        known = self._read(self.paths).filter("fresh").select(*HASH)
-        new = batch.join(known, HASH, "left_anti").withColumn("fresh", F.lit(True))
-        return new.unionByName(batch.join(known, HASH, "left_semi").withColumn("fresh", F.lit(False)))
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The lines of a batch that no run has."""
+        for name in self.names:
+            batch = batch.join(self.spark.table(name).hint("merge"), HASH, "left_anti")
+        return batch
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch: h1, h2, n_docs, keeper, each line once. Full levels are compacted."""
-        self.levels[0].append(self._write(self.split(batch).select("h1", "h2", "n_docs", "keeper", "fresh")))
+        """Add a batch (h1, h2, keeper, each line once) of lower ids than those before. Full levels are merged."""
+        self.levels[0].append(self.buckets.write(self.fresh(batch).select(*HASH, "keeper"), aligned=bool(self.names)))
         for k in range(len(self.levels)):
             if len(self.levels[k]) < self.fan_out:
                 break
             if k + 1 == len(self.levels):
                 self.levels.append([])
             old, self.levels[k] = self.levels[k], []
-            self.levels[k + 1].append(self._write(self._merged(self._read(old))))
-            for path in old:
-                remove(self.spark, path)
+            self.levels[k + 1].append(self.buckets.write(self._merged(old), aligned=True))
+            self.buckets.drop(old)
 
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        # a line is fresh in one run at most
-        return runs.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
+    def _merged(self, names: list[str]) -> DataFrame:
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnRenamed("keeper", "later").hint("merge")
+            out = out.join(other, HASH, "full_outer").select(*HASH, F.coalesce("later", "keeper").alias("keeper"))
+        return out
 
     def lines(self) -> DataFrame:
-        """Every line hash once, with n_docs and keeper over all batches."""
-        return self._merged(self._read(self.paths)) if self.paths else self.spark.createDataFrame([], _RUN)
+        """Every line with its keeper."""
+        out = self.spark.createDataFrame([], "h1 long, h2 long, keeper long")
+        for name in self.names:
+            out = out.unionByName(self.spark.table(name))
+        return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batch_bits: int = 2, fan_out: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan_out: int = 2) -> DataFrame:
     """id_col (as doc_id), n_lines, n_dropped and kept_text of every document.
 
     A line's key is the line without white space at both ends, ASCII letters lower-cased. Keys of at least
     min_chars code points that at least min_docs documents hold are dropped from all of them but the one
-    with the largest id. A null or empty text is one empty line. Each row counts as a document; rows that
-    share the largest id all keep the line, and a null id is below all others. An empty table gives no
-    row, and other columns are left out, whatever their names.
-
-    Texts are read once for the runs (2 ** batch_bits batches, by a hash of the id) and once for the drop,
-    and shuffled once, by document. A line's rows are counted before the shuffle, so a line that a third of
-    all documents hold costs a row a task; the join that finds its places is one that can be split by skew.
+    with the largest id. A null or empty text is one empty line. Rows that share an id count as one document;
+    those that share the largest id all keep the line. Null is an id below all others. An empty table gives
+    no row, and other columns are left out, whatever their names.
+
+    Texts are read once for the runs (in batches of about equally many rows by id) and once for the drop,
+    and shuffled once, by document. A line's documents are counted before the shuffle by line, so a line
+    that a third of all documents hold costs a row a task; the join that finds its places is one that can be
+    split by skew.
     """
     spark = docs.sparkSession
     low = F.lit(-(2**63))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    held = F.coalesce("doc_id", low)
+    # any bounds will do: all rows of an id are in one batch, and batches go from the largest ids down
+    bounds = rows.agg(F.percentile_approx(held, [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    batch = sum((F.when(held <= b, 1).otherwise(0) for b in bounds or []), F.lit(0))
     known = rows.select(
-        F.coalesce("doc_id", low).alias("keeper"),
-        F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - batch_bits).cast("int").alias("batch"),
+        held.alias("keeper"),
+        batch.alias("batch"),
         F.explode(F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars))).alias("key"),
     )
-    counted = known.select("keeper", "batch", line_hash(F.col("key")).alias("h")).groupBy("batch", "h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("keeper").alias("keeper"))
-    path = scratch(spark, "lines")
-    counted.write.option("compression", "zstd").partitionBy("batch").parquet(path)
-    batches = spark.read.schema("h1 long, h2 long, n_docs long, keeper long, batch int").parquet(path)
+    each = known.select("keeper", "batch", line_hash(F.col("key")).alias("h")).select("batch", "h.h1", "h.h2", "keeper").distinct()
+    counted = each.groupBy("batch", *HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("keeper").alias("keeper"))
     runs = LineRuns(spark, fan_out)
-    for k in range(2**batch_bits):
-        runs.add(batches.filter(F.col("batch") == k).drop("batch"))
-    remove(spark, path)
+    batched = runs.buckets.write(counted, "batch")
+    for k in range(batches):
+        runs.add(spark.table(batched).filter(F.col("batch") == k).select(*HASH, "keeper"))
+    often = spark.table(batched).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).select(*HASH)
 
     # written first: a join of two tables as they are can be split where a line is in very many documents
-    dropped, _ = written(runs.lines().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "dropped")
-    row = [F.coalesce("doc_id", low).alias("row_id"), F.xxhash64("text").alias("row_hash")]
+    dropped, _ = written(often.join(runs.lines(), HASH), "dropped")
+    runs.buckets.drop([batched, *runs.names])
+    row = [held.alias("row_id"), F.xxhash64("text").alias("row_hash")]
     placed = rows.select(*row, F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("at", "key")).filter(F.char_length("key") >= min_chars)
     placed = placed.select("row_id", "row_hash", "at", line_hash(F.col("key")).alias("h")).select("row_id", "row_hash", "at", "h.h1", "h.h2")
     gone = placed.join(dropped, HASH).filter(F.col("row_id") < F.col("keeper"))

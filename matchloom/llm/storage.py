@@ -66,6 +66,31 @@ def written(df: DataFrame, name: str, sort: list[str] | None = None) -> tuple[Da
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Buckets:
+    """Scratch tables bucketed and sorted by the same columns, which join each other without an exchange."""
+
+    def __init__(self, spark: SparkSession, columns: list[str]):
+        self.spark, self.columns, self.paths = spark, columns, {}
+        self.count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(self, df: DataFrame, *parts: str, aligned: bool = False) -> str:
+        """Write a table (in partitions by the columns parts as well); its name for spark.table().
+
+        aligned: df is a join or an aggregation of such tables, and needs no exchange.
+        """
+        name = f"bucketed_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, name)
+        dealt = df if aligned else df.repartition(self.count, *self.columns)
+        out = dealt.write.option("path", self.paths[name]).option("compression", "zstd")
+        (out.partitionBy(*parts) if parts else out).bucketBy(self.count, *self.columns).sortBy(*self.columns).saveAsTable(name)
+        return name
+
+    def drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, self.paths.pop(name))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nothing refers to any more."""
     gc.collect()

@@ -3,8 +3,10 @@
 import re
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
+from matchloom.llm import queries
 from matchloom.llm.line_dedup import LineRuns, dedup_lines, line_hash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -12,11 +14,11 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 def brute(rows):
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x).translate(LOW)
-    held = defaultdict(list)
+    held = defaultdict(set)
     for doc, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
             if len(k) >= 40:
-                held[k].append(float("-inf") if doc is None else doc)
+                held[k].add(float("-inf") if doc is None else doc)
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
@@ -33,22 +35,46 @@ def test_against_plain(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"at": F.lit(1), "keeper": F.lit(2), "key": F.lit("k")})
     got = sorted([tuple(r) for r in dedup_lines(df).collect()], key=repr)
     assert got == brute(rows)
-    assert sorted([tuple(r) for r in dedup_lines(df, batch_bits=3, fan_out=3).collect()], key=repr) == got
+    assert sorted([tuple(r) for r in dedup_lines(df, batches=7, fan_out=3).collect()], key=repr) == got
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_count_once(spark):
+    rows = [(k, "w" * 45) for k in (1, 1, 2, 3, 4)] + [(k, "v" * 45) for k in (1, 2, 3, 4, 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in dedup_lines(df).collect()], key=repr)
+    assert got == brute(rows) and sum(r[2] for r in got) == 4
+    # as the registered SQL has it: rows that share an id are one document there
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[2] for r in con.sql(queries.ORACLES["op5_line_dedup"]).fetchall()}
+    for doc, dropped in want.items():
+        assert sum(r[2] for r in got if r[0] == doc) == dropped
+
+
+def test_the_anti_join_decides(spark, monkeypatch):
+    rows = [(k, "x" * 50 + f"\nown {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in dedup_lines(df).collect()], key=repr)
+    assert got == brute(rows)
+    monkeypatch.setattr(LineRuns, "fresh", lambda self, batch: batch)
+    assert sorted([tuple(r) for r in dedup_lines(df).collect()], key=repr) != got
+
+
 def test_runs(spark):
     runs = LineRuns(spark, fan_out=2)
-    total, paths = defaultdict(int), []
+    keeper, levels = {}, []
     for k in range(5):
         lines = [f"line {j}" for j in range(k, k + 10)]
         for x in lines:
-            total[x] += 1
-        batch = spark.createDataFrame([(x,) for x in lines], "x string").select(line_hash(F.col("x")).alias("h")).select("h.h1", "h.h2", F.lit(1).cast("long").alias("n_docs"), F.lit(k).cast("long").alias("keeper"))
-        fresh = runs.split(batch).filter("fresh").count()
-        assert fresh == (10 if k == 0 else 1)
+            keeper.setdefault(x, 100 - k)
+        batch = spark.createDataFrame([(x,) for x in lines], "x string").select(line_hash(F.col("x")).alias("h")).select("h.h1", "h.h2", F.lit(100 - k).cast("long").alias("keeper"))
+        batch = spark.table(runs.buckets.write(batch))
+        fresh = runs.fresh(batch)
+        assert fresh.count() == (10 if k == 0 else 1)
+        assert "Exchange" not in fresh._jdf.queryExecution().executedPlan().toString()
         runs.add(batch)
-        paths.append(len(runs.paths))
-    assert paths == [1, 1, 2, 1, 2]
-    got = runs.lines()
-    assert got.count() == len(total) and got.agg(F.sum("n_docs")).first()[0] == 50 and got.filter("fresh").count() == len(total)
+        levels.append(len(runs.names))
+    assert levels == [1, 1, 2, 1, 2]
+    assert sorted(r.keeper for r in runs.lines().collect()) == sorted(keeper.values())
