@@ -21,7 +21,7 @@ def check(spark, rows, extra=()):
     convs = {}
     for c, t, r, x in rows:
         convs.setdefault(c, []).append((t is not None, t if t is not None else 0, r or "", x or ""))
-    assert {r.conv_id for r in out} == set(convs)
+    assert {r.conv_id for r in out} == set(convs) and all(r.exact for r in out)
     for r in out:
         want = [(role, text) for *_, role, text in sorted(convs[r.conv_id])]
         assert [(t.role, t.text) for t in r.turns] == want
