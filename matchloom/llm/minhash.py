@@ -1,17 +1,17 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and verification.
 
-Shingles are five consecutive words. Each shingle of a text is a Poisson process of rate 1, however often
-it stands there: its arrivals, from a generator seeded by its hash, each fall on one register of the
-signature, and a register keeps the shingle with the earliest arrival. A shingle stops as soon as its next
-arrival is later than all registers hold. Two signatures agree in a register with the probability
-Jaccard similarity of their shingles, which for equal weights is the Jaccard similarity of the sets: what
-candidates are searched by is what links are verified by. Documents that agree in all registers of a band
-are candidates; a link is verified on the whole shingle sets.
-
-Documents with the same shingles are one node from the start. A bucket of candidates is not paired out:
-its members are checked against one hub, the member that shares most buckets with others. Buckets whose
-members are still in several classes after that are checked in blocks, in which members of one class are
-not compared again.
+Shingles are five consecutive words, each with a weight: 1, or how often it stands in the text. A shingle is
+a Poisson process of that rate: its arrivals, from a generator seeded by its hash, each fall on one register
+of the signature, and a register keeps the shingle with the earliest arrival. A shingle stops as soon as its
+next arrival is later than all registers hold. Two signatures agree in a register with the probability
+Jaccard similarity of their weighted shingles, which for equal weights is the Jaccard similarity of the sets.
+What candidates are searched by is what links are verified by. Documents that agree in all registers of a
+band are candidates; a link is verified on all shingles.
+
+Documents with the same weighted shingles are one node from the start. A bucket of candidates is not paired
+out: its members are checked against one hub, the member that shares most buckets with others. Of a bucket
+that is still in several classes after that, only the members outside its largest class are compared again,
+with the members of other classes, in small blocks that are dealt out evenly.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .textbytes import chunks, mixed, text_bytes, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
-_BLOCK = 512
+_BLOCK = 128
 _BINS = 512
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -100,15 +100,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sign(bands: int, rows: int, size: int):
+def _sign(bands: int, rows: int, size: int, counted: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = text_bytes(batch.column(2))
             for a, z in chunks(offsets, 8 << 20):
                 part = batch.slice(a, z - a)
-                keys, text, _ = shingles(part.column(2), size)
-                signed = signatures(keys, text, np.ones(len(keys)), z - a, bands * rows)
-                cuts, raw = np.searchsorted(text, np.arange(z - a + 1)) * 8, keys.tobytes()
+                keys, text, counts = shingles(part.column(2), size)
+                signed = signatures(keys, text, counts.astype(float) if counted else np.ones(len(keys)), z - a, bands * rows)
+                own = np.stack([keys, counts.astype(np.uint64)], 1) if counted else keys
+                cuts, raw = np.searchsorted(text, np.arange(z - a + 1)) * (16 if counted else 8), own.tobytes()
                 node = [hashlib.blake2b(raw[x:y], digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:])]
                 found = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a) * bands + 1, bands, dtype=np.int32)), pa.array(band_keys(signed, bands, rows).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.binary()), found], ["doc_id", "text_hash", "node", "bands"])
@@ -129,83 +130,120 @@ def jaccard(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return common / np.maximum(union, 1)
 
 
-def _verify(least: float, size: int):
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """The probability Jaccard similarity of shingles a of weights x and b of weights y (both ascending).
+
+    That is the sum over common shingles i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). In order of
+    x / y, the first of the two is the larger one from i on, the second before it.
+    """
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    x, y = x.astype(float), y.astype(float)
+    order = np.argsort(x[i] / y[j])
+    xs, ys = x[i][order], y[j][order]
+    below = np.r_[0, np.cumsum(ys)[:-1]]
+    above = np.cumsum(xs[::-1])[::-1]
+    # shingles of one side alone count with their own weights
+    return float((1 / ((above + x.sum() - xs.sum()) / xs + (below + y.sum() - ys.sum()) / ys)).sum()) if len(xs) else 0.0
+
+
+def similarities(left: pa.Array, right: pa.Array, size: int = SHINGLE, counted: bool = False) -> np.ndarray:
+    """The similarity of pairs of texts that a signature estimates."""
+    if not counted:
+        return jaccard(left, right, size)
+    (a, at, x), (b, bt, y) = shingles(left, size), shingles(right, size)
+    ends = np.arange(len(left) + 1)
+    ac, bc = np.searchsorted(at, ends), np.searchsorted(bt, ends)
+    return np.array([probability_jaccard(a[p:q], x[p:q], b[r:s], y[r:s]) for p, q, r, s in zip(ac, ac[1:], bc, bc[1:])], float)
+
+
+def _verify(least: float, size: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                good = pa.array(jaccard(part.column(2), part.column(3), size) >= least)
+                good = pa.array(similarities(part.column(2), part.column(3), size, counted) >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
 
     return run
 
 
-def linked_in_block(texts: pa.Array, classes: list, side: list[int], least: float, size: int) -> list[tuple[int, int]]:
-    """Links between texts of different classes, as places; side 0 is compared with side 1, or 2 with itself.
+def linked_in_block(texts: pa.Array, classes: list, asks: list[bool], least: float, size: int, counted: bool = False) -> list[tuple[int, int]]:
+    """Links between texts that ask and the others, of different classes, as places.
 
-    Classes that a link joins are not compared again, nor is the largest class with itself. A text is first
-    compared with all others by sketches: the smallest hash in each of 512 bins. Pairs whose estimate is
-    more than six standard deviations under the similarity asked for are passed over; of the rest, the
-    shingle sets are compared.
+    Classes that a link joins are not compared again. With weights of 1, a text is first compared with the
+    others by sketches: the smallest hash in each of 512 bins. Pairs whose estimate over the bins that either
+    fills is more than six standard deviations under the similarity asked for are passed over; of the rest,
+    all shingles are compared.
     """
-    keys, text, _ = shingles(texts, size)
-    n, sides = len(texts), np.array(side)
+    keys, text, counts = shingles(texts, size)
+    n, asking = len(texts), np.array(asks, bool)
     cuts = np.searchsorted(text, np.arange(n + 1))
     sizes = np.diff(cuts)
     sketch = np.full((n, _BINS), 0xFFFFFFFF, np.uint32)
     np.minimum.at(sketch, (text, (keys % np.uint64(_BINS)).astype(np.int64)), (keys >> np.uint64(32)).astype(np.uint32))
     filled = sketch != 0xFFFFFFFF
-    floor = least - 6 * np.sqrt(least * (1 - least) / _BINS)
     names: dict = {}
     group = np.array([names.setdefault(c, len(names)) for c in classes])
-    largest = np.bincount(group).argmax()
     links = []
-    for k in np.flatnonzero(group != largest).tolist() if (sides == 2).all() else np.flatnonzero(sides == 0).tolist():
-        far = (group != group[k]) & (sizes * least <= sizes[k]) & (sizes >= sizes[k] * least)
-        if sides[k] != 2:
-            far &= sides == 1
+    for k in np.flatnonzero(asking).tolist():
+        far = (group != group[k]) & ~asking
+        if not counted:
+            far &= (sizes * least <= sizes[k]) & (sizes >= sizes[k] * least)
         others = np.flatnonzero(far)
         if not len(others):
             continue
-        both = filled[others] | filled[k]
-        alike = ((sketch[others] == sketch[k]) & both).sum(1) / np.maximum(both.sum(1), 1)
-        others = others[alike >= floor]
-        mine = keys[cuts[k] : cuts[k + 1]]
-        for j in others[np.argsort(-alike[alike >= floor], kind="stable")].tolist():
+        bins = np.maximum((filled[others] | filled[k]).sum(1), 1)
+        alike = ((sketch[others] == sketch[k]) & filled[k]).sum(1) / bins
+        if not counted:
+            good = alike >= least - 6 * np.sqrt(least * (1 - least) / bins)
+            others, alike = others[good], alike[good]
+        mine, own = keys[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]
+        for j in others[np.argsort(-alike, kind="stable")].tolist():
             if group[j] == group[k]:
                 continue
             theirs = keys[cuts[j] : cuts[j + 1]]
-            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-            common = int((mine[at] == theirs).sum())
-            if common >= least * (len(mine) + len(theirs) - common):
+            if counted:
+                linked = probability_jaccard(mine, own, theirs, counts[cuts[j] : cuts[j + 1]]) >= least
+            else:
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                common = int((mine[at] == theirs).sum())
+                linked = common >= least * (len(mine) + len(theirs) - common)
+            if linked:
                 links.append((k, j))
                 group[group == group[j]] = group[k]
     return links
 
 
-def _blocks(least: float, size: int):
+def _blocks(least: float, size: int, counted: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         nodes = table.column("node").to_pylist()
-        found = linked_in_block(table.column("text").combine_chunks(), table.column("root").to_pylist(), table.column("side").to_pylist(), least, size)
+        found = linked_in_block(table.column("text").combine_chunks(), table.column("root").to_pylist(), table.column("asks").to_pylist(), least, size, counted)
         return pa.table({"a": pa.array([nodes[k] for k, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "one") -> DataFrame:
     """doc_id, text_hash, node and root of every document: documents of one class share a root.
 
-    Two documents are linked if their sets of shingles have a Jaccard similarity of at least least; classes
-    are the connected components of links. Documents whose shingles are equal are linked. A document of
-    fewer words has one shingle, all its words; one without words has its text, so empty texts are copies of
-    each other. A null text is a class of its own (root is null). Every row gives one row: repeated rows,
-    shared and null ids are fine, an empty table gives none, and other columns are left out.
+    Two documents are linked if the similarity of their shingles is at least least; classes are the
+    connected components of links. With weights "one" it is the Jaccard similarity of the sets of shingles,
+    with "count" the probability Jaccard similarity of shingles weighted by how often they stand in a text.
+    Documents whose weighted shingles are equal are linked. A document of fewer words has one shingle, all its
+    words; one without words has its text, so empty texts are copies of each other. A null text is a class of
+    its own (root is null). Every row gives one row: repeated rows, shared and null ids are fine, an empty
+    table gives none, and other columns are left out.
 
     With 28 bands of 5 registers, a pair of similarity 0.8 fails to meet in a bucket with a probability of
-    1.5e-5, whatever repeats within the two texts; a node's buckets follow from its shingles alone. No bucket, class or number of partners is capped. Texts are shuffled once, to bring together
-    those in buckets of two or more; these are kept in the shared folder.
+    1.5e-5, whatever the texts are; a node's buckets follow from its weighted shingles alone. No bucket, class
+    or number of partners is capped. Texts are shuffled once, to bring together those in buckets of two or
+    more; these are kept in the shared folder. A bucket of n members that has m outside its largest class after
+    the check against its hub takes n * ceil(m / 128) + m * ceil(n / 128) rows of comparison.
     """
+    if weights not in ("one", "count"):
+        raise ValueError("weights are one or count")
+    counted = weights == "count"
     prepare(docs.sparkSession)
     paths: list[str] = []
 
@@ -215,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return table
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed, _ = written(plain.mapInArrow(trimmed(_sign(bands, rows, size)), "doc_id long, text_hash long, node binary, bands array<long>"), "signed")
+    signed, _ = written(plain.mapInArrow(trimmed(_sign(bands, rows, size, counted)), "doc_id long, text_hash long, node binary, bands array<long>"), "signed")
     nodes = signed.filter("node is not null").dropDuplicates(["node"])
     banded = kept(nodes.select("node", F.explode("bands").alias("bucket")), "banded")
     # tables that a join meets by bucket are written first: a join of tables as they are can be split by skew
@@ -232,18 +270,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = kept(texts, "texts")
     held = pairs.join(texts, "node").withColumnRenamed("text", "near")
     held = held.join(texts.withColumnRenamed("node", "hub"), "hub").select("node", "hub", "near", "text")
-    links = kept(held.mapInArrow(trimmed(_verify(least, size)), "a binary, b binary"), "verified")
+    links = kept(held.mapInArrow(trimmed(_verify(least, size, counted)), "a binary, b binary"), "verified")
 
     # buckets that are still in several classes, each set of members once
     roots = components(links)
     seen = dense.join(roots, "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
     torn = seen.groupBy("bucket", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
     torn = kept(torn.filter("n > 2 and low <> high").groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "torn")
-    parts = F.ceil(F.col("n") / _BLOCK)
-    split = seen.join(torn.select("bucket"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), parts))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    block = split.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "root", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = block.join(texts, "node").groupBy("bucket", "p", "q").applyInArrow(_blocks(least, size), "a binary, b binary")
+    of_torn = kept(seen.join(torn.select("bucket"), "bucket"), "of_torn")
+    per = of_torn.groupBy("bucket", "n", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = kept(per.groupBy("bucket", "n").agg(F.max(F.struct("size", "root")).alias("top")).select("bucket", F.col("top.root").alias("main"), (F.col("n") - F.col("top.size")).alias("outside")), "largest")
+    members = of_torn.join(largest, "bucket").select("bucket", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("outside") / _BLOCK).alias("askers"), F.ceil(F.col("n") / _BLOCK).alias("parts"))
+    deal = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    asked = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("p"), deal(1, "parts").alias("q"), "node", "root", F.lit(False).alias("asks"))
+    asking = members.filter("asks").select("bucket", deal(2, "askers").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), "node", "root", "asks")
+    more = asked.unionByName(asking).join(texts, "node").groupBy("bucket", "p", "q").applyInArrow(_blocks(least, size, counted), "a binary, b binary")
     more = kept(more, "more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))

@@ -1,14 +1,15 @@
 """Signatures against their expectation, and classes against all pairs."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from matchloom.llm import queries
 from matchloom.llm.components import components
-from matchloom.llm.minhash import _sign, classes, jaccard, keep_one, linked_in_block, near_duplicates, shingles, signatures
+from matchloom.llm.minhash import _sign, classes, jaccard, keep_one, linked_in_block, near_duplicates, probability_jaccard, shingles, signatures
 from matchloom.llm.textbytes import words_of
 
 
@@ -43,6 +44,71 @@ def test_signatures_estimate_probability_jaccard():
     assert (signed[0] == signed[1]).mean() == pytest.approx(want, abs=0.03)
 
 
+def plain_probability(x, y):
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in {*x, *y}) for i in x.keys() & y.keys())
+
+
+def test_probability_jaccard():
+    rng = random.Random(5)
+    for _ in range(60):
+        x, y = ({rng.randrange(30): rng.randint(1, 9) for _ in range(rng.randint(1, 25))} for _ in range(2))
+        a, b = (sorted(z) for z in (x, y))
+        got = probability_jaccard(np.array(a, np.uint64), np.array([x[k] for k in a]), np.array(b, np.uint64), np.array([y[k] for k in b]))
+        assert got == pytest.approx(plain_probability(x, y))
+        assert probability_jaccard(np.array(a, np.uint64), np.ones(len(a)), np.array(b, np.uint64), np.ones(len(b))) == pytest.approx(len({*a} & {*b}) / len({*a, *b}))
+
+
+def test_weighted_classes(spark):
+    words = [f"w{k}" for k in range(60)]
+    head, tail = " ".join(words[:40]), " ".join(words[40:])
+    texts = [f"{head} {tail}", f"{head} {tail} {tail}", " ".join([head] + [tail] * 30), " ".join([head] + [tail] * 31), " ".join([head] * 30 + [tail])]
+    bags = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(words_of, texts)]
+    want = {(a, b) for a in range(5) for b in range(a) if plain_probability(bags[a], bags[b]) >= 0.8}
+    got = {r.doc_id: r.class_id for r in classes(near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights="count")).collect()}
+    assert (3, 2) in want and (4, 2) not in want
+    for a, b in want:
+        assert got[a] == got[b]
+    assert got[4] != got[2] and got[0] != got[2]
+    plain = {r.doc_id: r.class_id for r in classes(near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert set(plain.values()) == {0}
+
+
+def test_recall_on_the_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    got = {r.doc_id: r.class_id for r in queries.op8_minhash_near_dedup(spark, d).collect()}
+    sets = sets_of([r.text for r in rows])
+    postings = defaultdict(list)
+    for k, own in enumerate(sets):
+        for x in own:
+            postings[x].append(k)
+    links = found = 0
+    for k, own in enumerate(sets):
+        for j, common in Counter(j for x in own for j in postings[x] if j != k).items():
+            if common >= 0.8 * (len(own) + len(sets[j]) - common):
+                links += 1
+                found += got[rows[k].doc_id] == got[rows[j].doc_id]
+    assert links > 100 and found == links
+
+
+def test_large_torn_buckets(spark):
+    rng = random.Random(12)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for _ in range(420):  # near copies that are often no links of each other
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            w[at] = f"n{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    got = classes(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.class_id].append(r.doc_id)
+    assert sorted(sorted(map(str, g)) for g in groups.values()) == all_pairs(rows)
+
+
 def variants(rng, base, n):
     out = []
     for _ in range(n):
@@ -130,7 +196,9 @@ def test_odd_tables(spark):
 def test_blocks_find_links_between_classes():
     rng = random.Random(3)
     texts = variants(rng, [f"a{k}" for k in range(60)], 10) + variants(rng, [f"b{k}" for k in range(60)], 10)
-    links = linked_in_block(pa.array(texts), list(range(20)), [2] * 20, 0.8, 5)
+    # every text asks, and every text is asked
+    links = linked_in_block(pa.array(texts * 2), list(range(20)) * 2, [True] * 20 + [False] * 20, 0.8, 5)
+    links = [(a % 20, b % 20) for a, b in links]
     root = list(range(20))
     for a, b in links:
         ra, rb = root[a], root[b]
