@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +13,20 @@ from .storage import read, scratch, written
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+def public_file(name: str) -> str:
+    """The place of a public tokenizer's file; its package is only needed by the queries that read one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def piece_bpe() -> str:
+    return public_file("piece_bpe_32k.model")
+
+
+def word_bpe() -> str:
+    return public_file("word_bpe_49k.json")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +117,12 @@ FROM e GROUP BY conv_id
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_BPE)
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), word_bpe())
 
 
 def language_model(docs: DataFrame) -> langid.Model | None:
     """A model of the labelled documents outside the held-out quarter."""
-    return langid.fit(docs.filter(_quarter() != 2), PIECE_BPE)
+    return langid.fit(docs.filter(_quarter() != 2), piece_bpe())
 
 
 def _quarter() -> Column:
@@ -161,7 +172,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as directly addressable codes, and read back."""
     path = scratch(spark, "tokens")
-    token_output.write_tokens(read(spark, sf_dir, "documents"), path, WORD_BPE)
+    token_output.write_tokens(read(spark, sf_dir, "documents"), path, word_bpe())
     return token_output.read_tokens(spark, path)
 
 

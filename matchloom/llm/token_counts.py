@@ -106,15 +106,15 @@ class Counter:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.automaton = Automaton(pieces_of(model["vocab"], model.get("end_of_word_suffix") or ""))
-        self.model = encoder(path).model
+        self.model, self.known_split = encoder(path).model, encoder(path).known_split
         self.letters = byte_alphabet()
         self.known: dict[bytes, int] = {}
 
     def words(self, text: str) -> list[bytes]:
-        if _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
+        if self.known_split and _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
             # beyond ASCII, bytes.lower leaves letters alone; the file's normalizer lowers them as str.lower does here
             return _PIECE.findall(text.lower().encode())
-        normal = self.model.normalizer.normalize_str(text)
+        normal = self.model.normalizer.normalize_str(text) if self.model.normalizer else text
         return [bytes(self.letters[c] for c in piece) for piece, _ in self.model.pre_tokenizer.pre_tokenize_str(normal)]
 
     def count(self, text: str) -> tuple[int, int, int]:

@@ -10,6 +10,7 @@ ascending doc_id order, the documents' ids and where each begins.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -35,12 +36,27 @@ _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x00-\x20
 _MOST_KNOWN = 300_000
 
 
+# The normalizer and pre-tokenizer of the files whose words _PIECE finds.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_alike(path: str) -> bool:
+    """Whether a tokenizers file normalises and splits texts in the way that _PLAIN and _PIECE know."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    parts = [whole.get(k) or {} for k in ("normalizer", "pre_tokenizer")]
+    known = parts[0].get("normalizers") == _NORMALIZERS and parts[1].get("pretokenizers") == [_SPLIT, _BYTES]
+    return known and whole["model"]["type"] == "BPE" and not whole["model"].get("dropout") and not whole.get("post_processor")
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file; pieces seen before are looked up.
 
-    The pre-tokenizer of the file must be the word pattern that _PIECE states (lower case, white space
-    dropped). Other characters than _PLAIN, and the file's own control strings, take the library's way
-    from end to end.
+    That holds for files whose normalizer and pre-tokenizer are those known here (splits_alike), and texts of
+    the characters of _PLAIN without the file's own control strings. All else takes the library's way from
+    end to end.
     """
 
     def __init__(self, path: str):
@@ -48,6 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.known_split = splits_alike(path)
         self.control = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was known before known grew too large
@@ -85,7 +102,7 @@ class Encoder:
         ]
 
     def _plain(self, text: str) -> bool:
-        return bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(c in text for c in self.control)
+        return self.known_split and bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(c in text for c in self.control)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]

@@ -63,14 +63,14 @@ def test_words_of_any_length():
 
 def test_letters_are_those_of_category_l(spark):
     rows = [(1, "½"), (2, "² ²"), (3, "Ⅷ"), (4, "ª"), (5, "１２"), (6, "x½"), (7, "你好世界" * 200), (8, "_ 7")]
-    model = fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr"), (3, "你好 世界", "zh")], "doc_id long, text string, lang string"), queries.PIECE_BPE)
+    model = fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr"), (3, "你好 世界", "zh")], "doc_id long, text string, lang string"), queries.piece_bpe())
     got = {r.doc_id: (r.lang_pred, r.score) for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert all(got[k] == ("und", 0.0) for k in (1, 2, 3, 5, 8)) and all(got[k][0] != "und" for k in (4, 6)) and got[7][0] == "zh"
 
 
 def test_many_languages(spark):
     rows = [(k, f"word{k} " * 3, f"l{k:04}") for k in range(505)]
-    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), queries.PIECE_BPE, rounds=1)
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), queries.piece_bpe(), rounds=1)
     assert len(model.langs) == 505
 
 
@@ -86,11 +86,11 @@ def test_held_out_accuracy(spark):
 def test_nulls_empty_long_and_clashing(spark):
     rows = [(1, "the cat and the dog", "en", 1), (2, "le chat et le chien", "fr", 2), (None, None, None, 3), (4, "", "en", 4), (5, "12 !?", None, 5), (6, "the " * 50_000, None, 6), (6, "x" * 100_000, None, 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int").withColumn("c0", F.lit("kept"))
-    model = fit(df, queries.PIECE_BPE)
+    model = fit(df, queries.piece_bpe())
     got = predict(df, model).collect()
     assert [r.lang_pred for r in got][:3] == ["en", "fr", "und"] and [r.lang_pred for r in got if r.n in (4, 5)] == ["und"] * 2
     assert all(r.c0 == "kept" for r in got) and len(got) == 7 and {r.lang_pred for r in got if r.n == 6} <= {"en", "fr"}
-    assert fit(df.limit(0), queries.PIECE_BPE) is None
+    assert fit(df.limit(0), queries.piece_bpe()) is None
     assert {r.lang_pred for r in predict(df, None).collect()} == {"und"}
     assert isinstance(model, Model) and predict(df.limit(0), model).count() == 0
 
@@ -101,7 +101,7 @@ def test_a_rare_language_keeps_its_words_beside_large_ones(spark):
     texts = [" ".join(word("abcdefgh") for _ in range(4000)) for _ in range(15)] * 2 + [" ".join(word("abcdefgh") for _ in range(4000)) for _ in range(13)]
     rare = [" ".join(word("qrstuvwx") for _ in range(60))]
     rows = [(k, t, "aa") for k, t in enumerate(texts)] + [(1000, rare[0], "zz")]
-    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.PIECE_BPE)
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.piece_bpe())
     assert model.langs == ["aa", "zz"]
     for k, held in enumerate((texts, rare)):
         counts = Counter(w.encode() for t in held for w in words_of(t))

@@ -1,16 +1,10 @@
 """The pipeline against plain versions of its stages."""
 
-import zlib
-from collections import Counter
-
 import duckdb
-import numpy as np
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 import corpus_pipeline
-from matchloom.llm.queries import ORACLES, QUERIES, WORD_BPE
-from matchloom.llm.token_output import Codes, encoder, pack, read_tokens, token_at, write_tokens
+from matchloom.llm.queries import ORACLES, QUERIES
 from matchloom.llm.textbytes import words_of
 
 
@@ -51,39 +45,6 @@ def test_stages_in_turn(spark, sf_dir):
     assert docs.count() > 0
 
 
-def test_tokens_equal_the_library(spark, sf_dir, tmp_path):
-    texts = ["Plain Text's don't 12", "", None, "東京 <|endoftext|> é̃ ½ İ", "ÀÖ ß ŁÓDŹ", "tab\tnew\nline  ", "a" * 3000, "привет Мир", "\x00\x1c!!\x85x", "ה שׁ! x"]
-    rows = [(k % 7 if k < 9 else None, t) for k, t in enumerate(texts)] + [(3, "same"), (3, "same")]
-    df = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, salt string")
-    path = f"file://{tmp_path}/tokens"
-    write_tokens(df, path, WORD_BPE)
-    got = sorted(read_tokens(spark, path).collect(), key=lambda r: r.start)
-    model = Tokenizer.from_file(WORD_BPE)
-    ids = {t: model.encode(t or "", add_special_tokens=False).ids + [1] for t in [*texts, "same"]}
-    want = Counter((d, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for d, t in rows)
-    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
-    at = 0
-    for r in got:
-        assert r.start == at
-        at += r.n_tokens
-    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda d: -1 if d is None else d)
-    assert token_at(spark, path, at - 1) == 1
-    empty = f"file://{tmp_path}/none"
-    write_tokens(df.limit(0), empty, WORD_BPE)
-    assert read_tokens(spark, empty).count() == 0
-    assert encoder(WORD_BPE).encode("the the").tolist() == model.encode("the the", add_special_tokens=False).ids
-
-
-def test_codes_give_any_token():
-    rng = np.random.default_rng(1)
-    for n, most in ((0, 5), (1, 5), (1, 2**32), (511, 300), (512, 70_000), (5000, 2**32)):
-        ids = rng.integers(0, most, n).astype(np.uint32)
-        codes = Codes(pack(ids))
-        assert len(codes) == n and codes.all().tolist() == ids.tolist()
-        for k in rng.integers(0, n, 60) if n else ():
-            assert codes[int(k)] == ids[k]
-
-
 def test_every_operator_has_a_query():
     assert [any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [True] * 10
 
@@ -111,7 +72,7 @@ def test_queries_against_sql(spark, sf_dir):
     for name, function in QUERIES.items():
         df = function(spark, sf_dir)
         rows = [tuple(r[c] for c in sorted(df.columns)) for r in df.collect()]
-        assert rows and "doc_id" in df.columns or "conv_id" in df.columns
+        assert rows and ("doc_id" in df.columns or "conv_id" in df.columns)
         if name in ORACLES:
             want = con.sql(ORACLES[name])
             at = [want.columns.index(c) for c in sorted(df.columns)]

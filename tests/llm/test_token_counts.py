@@ -42,8 +42,8 @@ def test_counts_of_whole_tables(spark, sf_dir):
     letters = {v: k for k, v in c.letters.items()}
     rows = docs.collect()
     assert len(got) == len(rows)
-    for r in rows[:60]:
-        words = c.model.pre_tokenizer.pre_tokenize_str(c.model.normalizer.normalize_str(r.text))
+    for r in rows:
+        words = c.model.pre_tokenizer.pre_tokenize_str(c.model.normalizer.normalize_str(r.text or ""))
         words = [bytes(c.letters[x] for x in w) for w, _ in words]
         for w in words:
             if w not in known:
@@ -52,6 +52,15 @@ def test_counts_of_whole_tables(spark, sf_dir):
     assert len(letters) == 256
 
 
+def test_another_tokenizer_file():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c, text = Counter(path), "Don't  stop 12 é\n"
+    with open(path, encoding="utf-8") as f:
+        pieces = set(pieces_of(json.load(f)["model"]["vocab"], ""))
+    words = [bytes(c.letters[x] for x in w) for w, _ in c.model.pre_tokenizer.pre_tokenize_str(text)]
+    assert c.words(text) == words and c.count(text)[:2] == (len(words), sum(greedy(w, pieces, ()) for w in words))
+
+
 def test_nulls_odd_texts_and_clashing_columns(spark):
     rows = [(1, None, 1), (2, "", 2), (None, "don't İstanbul 東京 ½ é <|endoftext|>", 3), (3, "x" * 200_000, 4), (3, "x" * 200_000, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
