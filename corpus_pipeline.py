@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontaminate, langid, minhash, mixing, token_output
-from matchloom.llm.queries import PIECE_BPE, WORD_BPE
+from matchloom.llm.queries import piece_bpe, word_bpe
 from matchloom.llm.storage import prepare, read, scratch, written
 
 #: Documents whose language is less sure than this are rejected.
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     of = {c: f"c{names.index(c)}" for c in ("doc_id", "text", "lang")}
-    model = langid.fit(plain, PIECE_BPE, of["text"], of["lang"], of["doc_id"])
+    model = langid.fit(plain, piece_bpe(), of["text"], of["lang"], of["doc_id"])
     if model is None:
         kept = plain.filter(F.col(of["text"]).rlike("\\p{L}"))
     else:
@@ -48,7 +48,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it."""
+    """The documents of the mix, each as often as the mix takes it, in the order of the mix's slots."""
     prepare(spark)
     return mixing.mixed_documents(docs)
 
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the written token files hold of every document."""
     path = scratch(spark, "tokens")
-    token_output.write_tokens(docs, path, WORD_BPE)
+    token_output.write_tokens(docs, path, word_bpe())
     return token_output.read_tokens(spark, path)
 
 
