@@ -1,31 +1,38 @@
 """Benchmark decontamination by suffix arrays of the training documents.
 
-A batch of documents is a shard. Its words become numbers (those of the benchmark's words; any other is a
-break), and a suffix array is built over the stretches in which each two neighbouring words also
-neighbour each other in the benchmark: no other suffix shares two words with a benchmark suffix. Each
-benchmark suffix is then found by binary search in every shard. Its neighbours there give its longest
-verbatim match and where that is; the suffixes that begin with a window of the benchmark are a range.
+Documents come in shards of a few megabytes. A shard's suffix array is built over all words of its documents,
+whatever the benchmark is, each document ended by a code of its own. Every benchmark suffix is then found by
+binary search in every shard. What a suffix of 2h words matches is a range inside that of its first h words,
+in the order of what follows them, and its bounds are those of the range of its other h words; so ranges
+double, no text is compared, and an item's length adds only its logarithm.
+
+The ranges give each benchmark suffix's longest verbatim match in the shard and where it is, each
+document's longest match, and all occurrences of the benchmark's windows. Occurrences are then checked
+word by word.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import add_columns
-from .storage import prepare
-from .suffixes import search, shared_words, suffix_array
-from .textbytes import text_bytes, word_hashes, words_hashed, words_of
+from .storage import prepare, remove, written
+from .suffixes import common_prefixes, suffix_array
+from .textbytes import chunks, text_bytes, word_hashes, words_hashed, words_of
 
 WINDOW = 10
-#: Most words of benchmark items that are sent to the tasks at once; more go in several blocks.
-BLOCK_WORDS = 2_000_000
+#: Most words of benchmark items that go to the tasks at once (one longer item goes by itself).
+BLOCK_WORDS = 250_000
+#: Bytes of text in a shard (one longer document is a shard of its own).
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
@@ -33,200 +40,286 @@ class Block:
     """Some benchmark items, ready to be searched for."""
 
     items: list[str]
-    words: dict[str, int]  # from 1
-    hashes: np.ndarray  # of the words, ascending
-    numbers: np.ndarray  # of the words in that order
-    codes: np.ndarray  # all items' words end to end, a 0 behind each item
+    hashes: np.ndarray  # of all items' words end to end, and of nothing behind each item
     item: np.ndarray  # the item of each of them
     left: np.ndarray  # words from each to the end of its item
-    order: np.ndarray  # the suffixes in order
-    pairs: np.ndarray  # neighbours as one number each, ascending
-    starts: np.ndarray  # where windows begin
-    sizes: np.ndarray  # and how long they are
+    windows: list[tuple[str, ...]]  # each once, however many items have it
+    at: np.ndarray  # where each begins in one item that has it
+    list_of: np.ndarray  # which list of items has it
+    lists: list[np.ndarray]
 
 
 def block_of(items: list[tuple[str, str]], window: int = WINDOW) -> Block:
-    numbered: dict[str, int] = {}
-    codes, item, left, starts, sizes = [], [], [], [], []
+    every, item, left, holders, at = [], [], [], {}, {}
     for k, (_, text) in enumerate(items):
         words = words_of(text)
-        at, n = len(codes), len(words)
-        codes += [numbered.setdefault(w, len(numbered) + 1) for w in words] + [0]
+        base, n = len(every), len(words)
+        every += [*words, ""]
         item += [k] * (n + 1)
         left += range(n, -1, -1)
         wide = min(window, n)
-        starts += range(at, at + n - wide + 1) if n else []
-        sizes += [wide] * (n - wide + 1) if n else []
-    names = list(numbered)
-    hashes = words_hashed(names)
-    order = np.argsort(hashes)
-    if len(np.unique(hashes)) != len(names):
-        raise ValueError("two benchmark words share a hash")
-    code, rest = np.array(codes, np.int64), np.array(left, np.int64)
-    inner = np.flatnonzero(rest > 1)
-    pairs = np.unique(code[inner] * (len(names) + 1) + code[inner + 1])
-    suffixes, _ = suffix_array(code, int(rest.max(initial=0)) + 1)
-    suffixes = suffixes[code[suffixes] > 0]
-    return Block([k for k, _ in items], numbered, hashes[order], order + 1, code, np.array(item, np.int64), rest, suffixes, pairs, np.array(starts, np.int64), np.array(sizes, np.int64))
-
-
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int = BLOCK_WORDS) -> list[Block]:
-    """All items in blocks of at most so many words (or one longer item). The benchmark is read row by row."""
-    blocks, held, size = [], [], 0
+        for i in range(n - wide + 1) if n else ():
+            own = tuple(words[i : i + wide])
+            at.setdefault(own, base + i)
+            held = holders.setdefault(own, [])
+            if not held or held[-1] != k:
+                held.append(k)
+    rest = np.array(left, np.int64)
+    hashes = np.zeros(len(every), np.uint64)
+    hashes[rest > 0] = words_hashed([w for w in every if w])
+    numbers: dict[tuple[int, ...], int] = {}
+    list_of = [numbers.setdefault(tuple(held), len(numbers)) for held in holders.values()]
+    return Block([k for k, _ in items], hashes, np.array(item, np.int64), rest, list(holders), np.array([at[w] for w in holders], np.int64), np.array(list_of, np.int64), [np.array(x, np.int64) for x in numbers])
+
+
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int = BLOCK_WORDS) -> Iterator[Block]:
+    """All items in blocks of at most so many words, one at a time. The benchmark is read row by row."""
+    held, size, made = [], 0, False
     for key, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator():
         n = len(words_of(text))
         if held and size + n > most:
-            blocks.append(block_of(held, window))
-            held, size = [], 0
+            yield block_of(held, window)
+            held, size, made = [], 0, True
         if n:
             held.append((key, text))
             size += n
-    return [*blocks, block_of(held, window)] if held or not blocks else blocks
+    if held or not made:
+        yield block_of(held, window)
+
+
+class Shard:
+    """The suffix array of some documents' words."""
+
+    def __init__(self, hashes: np.ndarray, before: np.ndarray):
+        docs = len(before) - 1
+        self.known, number = np.unique(hashes, return_inverse=True)
+        doc = np.repeat(np.arange(docs), np.diff(before))
+        self.codes = np.zeros(len(hashes) + docs, np.int64)
+        self.position = np.full(len(self.codes), -1)
+        slot = np.arange(len(hashes)) + doc
+        self.codes[slot], self.position[slot] = number.ravel() + 1, np.arange(len(hashes))
+        self.codes[before[1:] + np.arange(docs)] = len(self.known) + 1 + np.arange(docs)
+        top = len(self.known) + docs + 1
+        self.order, self.ranks = suffix_array(self.codes, len(self.codes) + 1, 3 if top < 1 << 21 else 2 if top < 1 << 32 else 1)
+        self.first = self.codes[self.order]
+
+    def range_of_word(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that begin with each of some words."""
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        code = np.where(self.known[at] == hashes, at + 1, 0)
+        return np.searchsorted(self.first, code), np.searchsorted(self.first, code, side="right")
+
+    def narrowed(self, low: np.ndarray, high: np.ndarray, shift: np.ndarray | int, to_low: np.ndarray, to_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the suffixes from low to high, which share their first shift words: those that go on within to_low to to_high."""
+        shift = np.broadcast_to(shift, low.shape)
+
+        def bound(target: np.ndarray) -> np.ndarray:
+            a, z = low.copy(), high.copy()
+            live = np.flatnonzero(a < z)
+            while len(live):
+                mid = (a[live] + z[live]) // 2
+                less = self.ranks[self.order[mid] + shift[live]] < target[live]
+                a[live[less]] = mid[less] + 1
+                z[live[~less]] = mid[~less]
+                live = live[a[live] < z[live]]
+            return a
+
+        return bound(to_low), bound(to_high)
+
+    def search(self, block: Block) -> "Matches":
+        return Matches(self, block)
+
+
+class Matches:
+    """The ranges of all suffixes of a block: levels[k] has those of their first 2 ** k words (empty: none)."""
+
+    def __init__(self, shard: Shard, block: Block):
+        self.shard, self.block = shard, block
+        low, high = shard.range_of_word(block.hashes)
+        none = block.left == 0
+        low[none] = high[none] = 0
+        self.levels, half = [(low, high)], 1
+        while True:
+            live = np.flatnonzero((block.left >= 2 * half) & (high > low))
+            live = live[high[live + half] > low[live + half]]
+            next_low, next_high = np.zeros_like(low), np.zeros_like(high)
+            if len(live):
+                next_low[live], next_high[live] = shard.narrowed(low[live], high[live], half, low[live + half], high[live + half])
+            if not (next_high > next_low).any():
+                break
+            low, high, half = next_low, next_high, 2 * half
+            self.levels.append((low, high))
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each suffix: the words of its longest match, and the range of shard suffixes that have it."""
+        left = self.block.left
+        words, low, high = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), np.full(len(left), len(self.shard.order))
+        for k in reversed(range(len(self.levels))):
+            self._go_on(k, np.flatnonzero(left - words >= 1 << k), words, low, high)
+        return words, low, high
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The range of shard suffixes that begin with each window."""
+        at = self.block.at
+        size = np.array([len(w) for w in self.block.windows], np.int64)
+        words, low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), len(self.shard.order))
+        for k in reversed(range(int(size.max(initial=0)).bit_length())):
+            if k < len(self.levels):
+                self._go_on(k, np.flatnonzero(size >> k & 1), words, low, high, at)
+        whole = words == size
+        return np.where(whole, low, 0), np.where(whole, high, 0)
+
+    def _go_on(self, k: int, which: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray | None = None) -> None:
+        """Take 2 ** k more words into the matches of some suffixes, where they have them."""
+        base = which if start is None else start[which]
+        to_low, to_high = (x[base + words[which]] for x in self.levels[k])
+        some = to_high > to_low
+        which, to_low, to_high = which[some], to_low[some], to_high[some]
+        begun = words[which] > 0
+        new_low, new_high = to_low.copy(), to_high.copy()
+        new_low[begun], new_high[begun] = self.shard.narrowed(low[which[begun]], high[which[begun]], words[which[begun]], to_low[begun], to_high[begun])
+        found = new_high > new_low
+        which = which[found]
+        words[which] += 1 << k
+        low[which], high[which] = new_low[found], new_high[found]
+
+    def longest_by_document(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each document: the words of its longest match with the block, the item, and the word where it begins."""
+        shard, docs = self.shard, len(before) - 1
+        best, item, at = np.zeros(docs, np.int64), np.full(docs, -1), np.full(docs, -1)
+        low, high = self.levels[0]
+        one = np.flatnonzero(high > low)
+        one = one[np.unique(low[one], return_index=True)[1]]
+        self._take(before, np.ones(int((high - low)[one].sum()), np.int64), np.repeat(one, (high - low)[one]), _ranges(low[one], high[one]), best, item, at)
+        if len(self.levels) == 1:
+            return best, item, at
+        low, high = self.levels[1]
+        two = np.flatnonzero(high > low)
+        two = two[np.unique(low[two], return_index=True)[1]]
+        places = _ranges(low[two], high[two])
+        words, seed, _ = self.longest()
+        # a suffix of the shard shares with a benchmark suffix what all suffixes between the two in order share
+        link = common_prefixes(shard.codes, shard.order, shard.ranks, int(words.max()))[places].astype(np.int64)
+        link[np.cumsum((high - low)[two])[:-1]] = 0
+        link[0] = 0
+        asked = np.flatnonzero(words > 1)
+        asked = asked[np.lexsort((asked, -words[asked], seed[asked]))]
+        asked = asked[np.unique(seed[asked], return_index=True)[1]]
+        value, who = np.zeros(len(places), np.int64), np.full(len(places), -1)
+        spot = np.searchsorted(places, seed[asked])
+        value[spot], who[spot] = words[asked], asked
+        ahead = _spread(value, who, link)
+        back = [x[::-1] for x in _spread(value[::-1], who[::-1], np.r_[0, link[:0:-1]])]
+        better = back[0] > ahead[0]
+        value, who = np.where(better, back[0], ahead[0]), np.where(better, back[1], ahead[1])
+        self._take(before, value, who, places, best, item, at)
+        return best, item, at
+
+    def _take(self, before, value, who, places, best, item, at) -> None:
+        """Keep, of each document, the longest of some matches (the first of those) if it beats what is there."""
+        where = self.shard.position[self.shard.order[places]]
+        doc = np.searchsorted(before, where, side="right") - 1
+        rank = np.lexsort((where, -value, doc))
+        lead = rank[np.r_[True, doc[rank][1:] != doc[rank][:-1]]] if len(rank) else rank
+        lead = lead[value[lead] > best[doc[lead]]]
+        best[doc[lead]], item[doc[lead]], at[doc[lead]] = value[lead], self.block.item[who[lead]], where[lead] - before[doc[lead]]
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows occur (the number of the word in the shard), and which."""
+        low, high = self.windows()
+        which = np.repeat(np.arange(len(low)), high - low)
+        return self.shard.position[self.shard.order[_ranges(low, high)]], which
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    n = high - low
+    return np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+
+
+def _spread(value: np.ndarray, who: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest of each value and those before it, each no more than the least link on the way, and whose it is.
+
+    Steps double: after each, a place knows the best of twice as many places before it, and the least link
+    of as many.
+    """
+    value, who, link, step = value.copy(), who.copy(), link.copy(), 1
+    while step < len(value) and link[step:].any():
+        come = np.minimum(value[:-step], link[step:])
+        better = np.flatnonzero(come > value[step:])
+        come, source = come[better], who[better]
+        less = np.minimum(link[step:], link[:-step])
+        value[better + step], who[better + step] = come, source
+        link[step:] = less
+        step *= 2
+    return value, who
 
 
-@dataclass
-class Found:
-    """What a shard holds of a block: occurrences of windows, and the longest match of each document."""
-
-    position: np.ndarray
-    size: np.ndarray
-    item: np.ndarray
-    longest: np.ndarray  # of each document, in words
-    longest_item: np.ndarray
-    longest_at: np.ndarray
-
-
-def _numbered(block: Block, hashes: np.ndarray) -> np.ndarray:
-    if not len(block.hashes):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(block.hashes, hashes), len(block.hashes) - 1)
-    return np.where(block.hashes[at] == hashes, block.numbers[at], 0)
-
-
-def match_shard(block: Block, numbers: np.ndarray, before: np.ndarray) -> Found:
-    """Search a shard: numbers of its words (0: not in the benchmark), and words before each document."""
-    docs = len(before) - 1
-    none = np.zeros(0, np.int64)
-    out = Found(none, none, none, np.zeros(docs, np.int64), np.full(docs, -1), np.full(docs, -1))
-    if not len(numbers) or not len(block.order):
-        return out
-    # a document's first benchmark word is its match where no stretch gives two words
-    known = np.flatnonzero(numbers)
-    doc = np.searchsorted(before, known, side="right") - 1
-    known = known[np.r_[True, doc[1:] != doc[:-1]]] if len(known) else known
-    doc = np.searchsorted(before, known, side="right") - 1
-    heads = block.order[np.searchsorted(block.codes[block.order], numbers[known])]
-    out.longest[doc], out.longest_item[doc], out.longest_at[doc] = 1, block.item[heads], known - before[doc]
-    last = np.zeros(len(numbers) + 1, bool)
-    last[before[1:]] = True
-    keep = np.zeros(len(numbers), bool)
-    both = (numbers[:-1] > 0) & (numbers[1:] > 0) & ~last[1:-1]
-    at = np.flatnonzero(both)
-    pair = numbers[at] * (len(block.words) + 1) + numbers[at + 1]
-    if len(block.pairs):
-        near = np.minimum(np.searchsorted(block.pairs, pair), len(block.pairs) - 1)
-        at = at[block.pairs[near] == pair]
-        keep[at] = keep[at + 1] = True
-    joined = np.zeros(len(numbers), bool)  # to the next word
-    joined[at] = True
-    single = np.unique(block.codes[block.starts[block.sizes == 1]])
-    if len(single):
-        keep |= np.isin(numbers, single)
-    kept = np.flatnonzero(keep)
-    if not len(kept):
-        return out
-    # stretches end to end, a 0 behind each
-    ends = ~joined[kept]
-    slot = np.arange(len(kept)) + np.cumsum(ends) - ends
-    codes = np.zeros(len(kept) + int(ends.sum()), np.int64)
-    codes[slot] = numbers[kept]
-    position = np.full(len(codes), -1)
-    position[slot] = kept
-    depth = int(block.left.max())
-    order, _ = suffix_array(codes, depth)
-    order = order[codes[order] > 0]
-
-    # each benchmark suffix's place among those of the shard; the longest match of a suffix of the shard
-    # is with the benchmark suffix next before or after it
-    tests = np.concatenate([block.codes, np.full(depth, -1)])
-    places, per = np.zeros(len(block.order), np.int64), max(1, (8 << 20) // depth)
-    for a in range(0, len(block.order), per):
-        part = block.order[a : a + per]
-        places[a : a + per] = search(codes, order, tests[part[:, None] + np.arange(depth)], block.left[part], False)
-    behind = np.searchsorted(places, np.arange(len(order)), side="right")
-    longest, which = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    for side in (behind - 1, behind):
-        ok = (side >= 0) & (side < len(block.order))
-        near = block.order[np.clip(side, 0, len(block.order) - 1)]
-        shared = shared_words(codes, order, block.codes, near) * ok
-        better = shared > longest
-        longest[better], which[better] = shared[better], near[better]
-    where = position[order]
-    doc = np.searchsorted(before, where, side="right") - 1
-    rank = np.lexsort((where, -longest, doc))
-    lead = rank[np.r_[True, doc[rank][1:] != doc[rank][:-1]]]
-    lead = lead[longest[lead] > 1]
-    out.longest[doc[lead]], out.longest_item[doc[lead]] = longest[lead], block.item[which[lead]]
-    out.longest_at[doc[lead]] = where[lead] - before[doc[lead]]
-
-    # all occurrences of each window: a range of the suffix array
-    wide = int(block.sizes.max())
-    for a in range(0, len(block.starts), (8 << 20) // wide):
-        starts, sizes = block.starts[a : a + (8 << 20) // wide], block.sizes[a : a + (8 << 20) // wide]
-        rows = tests[starts[:, None] + np.arange(wide)]
-        low, high = search(codes, order, rows, sizes, False), search(codes, order, rows, sizes, True)
-        n = high - low
-        which = np.repeat(np.arange(len(n)), n)
-        found = order[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-        out.position = np.concatenate([out.position, position[found]])
-        out.size = np.concatenate([out.size, sizes[which]])
-        out.item = np.concatenate([out.item, block.item[starts][which]])
-    return out
+COLUMNS = "n_words long, n_hit long, items array<string>, longest_match long, longest_item string, longest_at long, hit_spans array<int>"
+
 
+def _search(sent: Broadcast, further: bool) -> Callable:
+    """Search for one block; further: on top of what was found for those before."""
 
-def _search(blocks: list, window: int) -> Callable:
     def start() -> Callable:
-        def shard(texts: pa.Array) -> list[pa.Array]:
-            body, offsets = text_bytes(texts)
-            hashes, first, last, before = word_hashes(body, offsets)
-            docs = len(texts)
-            hit = np.zeros(len(hashes) + 1, np.int64)
-            items: list[set] = [set() for _ in range(docs)]
-            longest, longest_item, longest_at = np.zeros(docs, np.int64), np.full(docs, None, object), np.full(docs, -1)
-            for sent in blocks:
-                block: Block = sent.value
-                numbers = _numbered(block, hashes)
-                found = match_shard(block, numbers, before)
-                if len(found.position):
-                    # exact check of the documents that were hit: word numbers from the words themselves
-                    wrong = False
-                    for d in np.unique(np.searchsorted(before, found.position, side="right") - 1):
-                        true = [block.words.get(w, 0) for w in words_of(texts[int(d)].as_py())]
-                        if numbers[before[d] : before[d + 1]].tolist() != true:
-                            numbers[before[d] : before[d + 1]], wrong = true, True
-                    if wrong:
-                        found = match_shard(block, numbers, before)
-                np.add.at(hit, found.position, 1)
-                np.add.at(hit, found.position + found.size, -1)
-                doc = np.searchsorted(before, found.position, side="right") - 1
-                for d, k in np.unique(np.stack([doc, found.item], 1), axis=0):
-                    items[d].add((block.items[k], id(block), int(k)))
-                better = found.longest > longest
-                longest[better], longest_at[better] = found.longest[better], found.longest_at[better]
-                longest_item[better] = [block.items[k] for k in found.longest_item[better]]
-            covered = np.r_[0, np.cumsum(np.cumsum(hit[:-1]) > 0)]
-            names = [sorted(x for x, *_ in s) for s in items]
-            return [
-                pa.array(np.diff(before), pa.int64()), pa.array(covered[before[1:]] - covered[before[:-1]], pa.int64()), pa.array(names, pa.list_(pa.string())),
-                pa.array(longest), pa.array(longest_item, pa.string()), pa.array(longest_at),
-            ]
-
-        return shard
+        block: Block = sent.value
+
+        def batch(texts: pa.Array, *held: pa.Array) -> list[pa.Array]:
+            _, offsets = text_bytes(texts)
+            rows = [row for a, z in chunks(offsets, SHARD_BYTES) for row in _found(block, texts.slice(a, z - a))]
+            if further:
+                rows = [_both(row, old) for row, old in zip(rows, zip(*(h.to_pylist() for h in held)))]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32())]
+            return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+
+        return batch
 
     return start
 
 
-COLUMNS = "n_words long, n_hit long, items array<string>, longest_match long, longest_item string, longest_at long"
+def _found(block: Block, texts: pa.Array) -> list[tuple]:
+    """A row of COLUMNS for each text of a shard."""
+    body, offsets = text_bytes(texts)
+    hashes, _, _, before = word_hashes(body, offsets)
+    docs = len(texts)
+    spans: list[list[int]] = [[] for _ in range(docs)]
+    items: list[list[str]] = [[] for _ in range(docs)]
+    best, which, at = np.zeros(docs, np.int64), np.full(docs, -1), np.full(docs, -1)
+    if len(hashes) and block.items:
+        matches = Shard(hashes, before).search(block)
+        best, which, at = matches.longest_by_document(before)
+        position, window = matches.occurrences()
+        order = np.argsort(position, kind="stable")
+        position, window = position[order], window[order]
+        cuts = np.searchsorted(position, before)
+        for d in np.flatnonzero(np.diff(cuts)).tolist():
+            words, lists = words_of(texts[d].as_py()), set()
+            for p, w in zip((position[cuts[d] : cuts[d + 1]] - before[d]).tolist(), window[cuts[d] : cuts[d + 1]].tolist()):
+                own = block.windows[w]
+                if tuple(words[p : p + len(own)]) != own:  # another word of the same hash
+                    continue
+                lists.add(int(block.list_of[w]))
+                if spans[d] and p <= spans[d][-1]:
+                    spans[d][-1] = max(spans[d][-1], p + len(own))
+                else:
+                    spans[d] += [p, p + len(own)]
+            if lists:
+                items[d] = sorted(block.items[k] for k in np.unique(np.concatenate([block.lists[x] for x in lists])).tolist())
+    return [
+        (n, sum(s[1::2]) - sum(s[::2]), i, b, block.items[k] if k >= 0 else None, a, s)
+        for n, s, i, b, k, a in zip(np.diff(before).tolist(), spans, items, best.tolist(), which.tolist(), at.tolist())
+    ]
+
+
+def _both(new: tuple, old: tuple) -> tuple:
+    """What two blocks have found of a text, put together."""
+    spans: list[int] = []
+    for a, z in sorted([*zip(new[6][::2], new[6][1::2]), *zip(old[6][::2], old[6][1::2])]):
+        if spans and a <= spans[-1]:
+            spans[-1] = max(spans[-1], z)
+        else:
+            spans += [a, z]
+    longest = new[3:6] if new[3] > old[3] else old[3:6]
+    return (new[0], sum(spans[1::2]) - sum(spans[::2]), sorted([*new[2], *old[2]]), *longest, spans)
 
 
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -236,16 +329,29 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     shorter item is one window). items: ids, as sorted strings, of the items with such windows (repeated
     rows of the benchmark count each; a null id is ""). longest_match: words of the longest verbatim match
     with any item, with longest_item and longest_at (the word of the document where it begins; -1: none).
+    hit_spans: first word and word after the last of each stretch of words that are hit, in turn.
 
     Null and empty texts have no words and no hit, items without words no window. Every row and column
-    stays; an empty table or benchmark is fine. The benchmark is a stated query set: its words go to the
-    tasks in blocks of bounded size, and each shard is searched for every block. A shard is one Arrow
-    batch, so nothing is shuffled and a lost task is simply run again.
+    stays; an empty table or benchmark is fine. Nothing is shuffled, and a lost task is simply run again.
+
+    The benchmark is a stated query set. Its words go to the tasks in blocks of bounded size, and no more
+    than one block is on the driver or in a task at a time: where there are several, the documents with what was found so
+    far are written to the shared folder between blocks.
     """
     prepare(docs.sparkSession)
-    blocks = blocks_of(benchmark, item_col, item_text_col, window, block_words)
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    return add_columns(docs, [text_col], _search(sent, window), COLUMNS)
+    added = [f.split()[0] for f in COLUMNS.split(", ")]
+    out, held_at, last = docs, None, None
+    for block in blocks_of(benchmark, item_col, item_text_col, window, block_words):
+        if last is not None:
+            out, at = written(out, "searched")
+            last.unpersist()
+            if held_at:
+                remove(docs.sparkSession, held_at)
+            held_at = at
+        inputs = [text_col] if last is None else [text_col, *added]
+        last, first = docs.sparkSession.sparkContext.broadcast(block), last is None
+        out = add_columns(out, inputs, _search(last, not first), COLUMNS)
+    return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

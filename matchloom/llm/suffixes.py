@@ -112,16 +112,3 @@ def search(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray, sizes: np
         high[live[~less]] = mid[~less]
         live = live[low[live] < high[live]]
     return low
-
-
-def shared_words(codes: np.ndarray, at: np.ndarray, others: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Codes that codes from at and others from where share, place by place, up to the first 0."""
-    shared = np.zeros(len(at), np.int64)
-    live, k = np.arange(len(at)), 0
-    while len(live):
-        a, b = at[live] + k, where[live] + k
-        live, a, b = (x[(a < len(codes)) & (b < len(others))] for x in (live, a, b))
-        live = live[(codes[a] == others[b]) & (codes[a] > 0)]
-        shared[live] += 1
-        k += 1
-    return shared

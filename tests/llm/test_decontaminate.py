@@ -1,11 +1,13 @@
 """Suffix arrays and decontamination against plain searches."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from matchloom.llm.decontaminate import items_digest, remove_contaminated, search_benchmark
+from matchloom.llm.decontaminate import _found, block_of, items_digest, remove_contaminated, search_benchmark
 from matchloom.llm.suffixes import common_prefixes, search, suffix_array
 from matchloom.llm.textbytes import text_bytes, word_hashes, words_hashed, words_of
 
@@ -44,8 +46,6 @@ def test_search():
 
 def test_words_by_bytes():
     texts = ["Ab c-d", None, "", "é9É x", "  ", "Z" * 5000, "tail"]
-    import pyarrow as pa
-
     for cut in (0, 2):
         column = pa.array(texts)[cut:]
         body, offsets = text_bytes(column)
@@ -111,3 +111,33 @@ def test_single_words_are_matches_of_one(spark, block_words):
     assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 0, 3: 1, 4: 2, 5: 0, 6: 1}
     assert got[1] == (1, 1, "1", 0) and got[2] == (0, -1, None, 0) and got[4][1:3] == (1, "1") and got[6] == (1, 1, "3", 0)
     assert got[3][3] == 1 and got[3][1:3] in ((1, "2"), (2, "3"))
+
+
+def test_a_very_long_item(spark):
+    rng = random.Random(6)
+    item = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    docs = [(1, " ".join(["x"] * 5 + item + ["y"] * 5)), (2, " ".join(item[7000:9000])), (3, " ".join(item[:9])), (4, " ".join(item[100:400] + ["q"] + item[400:900]))]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in search_benchmark(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert time.perf_counter() - began < 30
+    assert [(got[k].n_hit, got[k].longest_match, got[k].longest_at) for k in (1, 2, 3, 4)] == [(20_000, 20_000, 5), (2000, 2000, 0), (0, 9, 0), (800, 500, 301)]
+    assert got[4].hit_spans == [0, 300, 301, 801]
+
+
+def test_many_items_with_one_preamble(spark):
+    preamble = " ".join(f"p{k}" for k in range(40))
+    bench = [(k, f"{preamble} own {k} words {k * 7}") for k in range(10_000)]
+    docs = [(1, f"{preamble} " * 20), (2, "own 5 words 35 and " * 3), (3, f"{preamble} own 5 words 35")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in search_benchmark(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), b).collect()}
+    assert time.perf_counter() - began < 90
+    assert len(got[1]["items"]) == len(got[3]["items"]) == 10_000 and got[1].n_hit == 800 and got[2].n_hit == 0
+    assert got[3].longest_match == 44 and got[3].longest_item == "5" and got[2].longest_match == 4
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    block = block_of([("1", "one two three"), ("2", "four")])
+    block.hashes[:] = np.where(block.left > 0, words_hashed(["same"])[0], np.uint64(0))
+    rows = _found(block, pa.array(["same same same", "x"]))
+    assert [r[1:3] for r in rows] == [(0, []), (0, [])]
