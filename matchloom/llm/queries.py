@@ -164,11 +164,40 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(minhash.near_duplicates(read(spark, sf_dir, "documents")))
 
 
+# all pairs of texts by the shingles they share, and the connected components of those alike
+ORACLES["op8_minhash_near_dedup"] = r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+s AS (SELECT DISTINCT id, CASE WHEN len(w) = 0 THEN 'text ' || text ELSE 'words ' || array_to_string(w[i : i + 4], ' ') END AS shingle FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM t)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.8),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM t UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+class AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a),
+every AS (SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN t USING (text) LEFT JOIN class USING (id))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM every
+"""
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 200-byte strings that are found elsewhere."""
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+# all windows of 200 bytes, as pieces of hexadecimal text
+ORACLES["op9_suffix_array_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, 1000 * k AS base, substr(h, 2000 * k + 1, 2398) AS part FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2000)) AS k FROM d)),
+w AS (SELECT r, base + j AS i, md5(substr(part, 2 * j + 1, 400)) AS win FROM (SELECT *, unnest(generate_series(0, least(999, length(part) // 2 - 200))) AS j FROM p WHERE length(part) >= 400)),
+hit AS (SELECT r, i FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)),
+step AS (SELECT r, i, CASE WHEN i - lag(i) OVER o <= 200 THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY r ORDER BY i)),
+run AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM step) GROUP BY r, k),
+cut AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM run),
+kept AS (SELECT d.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS k, sum(z - a) AS n_removed, count(*) AS n_spans FROM cut JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as directly addressable codes, and read back."""
     path = scratch(spark, "tokens")
