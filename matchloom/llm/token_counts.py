@@ -18,20 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import prepare
-from .token_output import _MOST_KNOWN, _PIECE, _PLAIN, encoder
+from .token_output import _MOST_KNOWN, _PIECE, _PLAIN, byte_alphabet, encoder
 
 _END = 256
 _ROOT = 0
 _NONE = -1
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 is itself, the rest follow at 256."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def pieces_of(vocabulary: dict[str, int], suffix: str = "</w>") -> list[tuple[int, ...]]:
     """A byte-level vocabulary's pieces as bytes, with the end mark where a piece ends a word."""
     known, out = byte_alphabet(), []

@@ -16,6 +16,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,13 @@ _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 is itself, the rest follow at 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def splits_alike(path: str) -> bool:
     """Whether a tokenizers file normalises and splits texts in the way that _PLAIN and _PIECE know."""
     with open(path, encoding="utf-8") as f:
@@ -66,22 +74,16 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.known_split = splits_alike(path)
         self.control = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_alphabet().items()}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was known before known grew too large
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces that are not known, many in one call; each is a word of its own to the library."""
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
-            got = self.model.encode(b" ".join(part).decode(), add_special_tokens=False)
-            words = np.array(got.word_ids, np.int64)
-            if len(words) and words[-1] + 1 == len(part):
-                raw = np.array(got.ids, "<u4").tobytes()
-                cuts = (np.searchsorted(words, np.arange(len(part) + 1)) * 4).tolist()
-                self.known.update((p, raw[a:z]) for p, a, z in zip(part, cuts, cuts[1:]))
-            else:
-                for p in part:
-                    self.known[p] = np.array(self.model.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        """Encode pieces that are not known. A piece is a word to the file's model, so it needs no splitting again."""
+        tokenize, letters = self.model.model.tokenize, self.letters
+        for p in pieces:
+            word = p if p.isascii() else p.decode().lower().encode()
+            self.known[p] = array("I", [t.id for t in tokenize(word.decode("latin-1").translate(letters))]).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. What is not known yet is encoded for all of them together."""
