@@ -5,13 +5,14 @@ those, if several). Equal windows have their anchors at the same place, so they
 hash wherever they are. Consecutive windows with one anchor form a segment; a window is in one segment.
 
 1. Segments are read off every document, as hashes. Anchors that occur once are done with.
-2. Segments that are equal as wholes are counted together. All their windows are repeated.
-3. The others, and those they may share windows with, are brought together by anchor into shards. A shard
-   builds a suffix array of its distinct stretches (Larsson and Sadakane's refinement), takes common
-   prefixes (Kasai), and windows whose prefix of 200 bytes a neighbour shares are repeated. An anchor with
-   very many different segments goes to several shards; each two of these are merged by binary search of
-   one's windows in the other's suffix array.
-4. Repeated windows go back to their documents, whose bytes are cut in one pass.
+2. Segments with equal hashes (128 bits) are of one kind. The bytes of a kind are cut from two of its places,
+   its first and its last, or from the only one.
+3. These bytes are brought together by anchor into shards. A shard builds a suffix array of its distinct
+   stretches (Larsson and Sadakane's refinement), takes common prefixes (Kasai), and windows whose prefix
+   of 200 bytes a neighbour shares are repeated, as are those of a stretch that is there twice, byte for
+   byte. An anchor with very many kinds goes to several shards; each two of these are merged by binary
+   search of one's windows in the other's suffix array.
+4. Repeated windows go back to all places of their kind, whose documents' bytes are cut in one pass.
 """
 
 from __future__ import annotations
@@ -115,15 +116,14 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                rows = {"anchor": [], "seg": [], "weight": [], "body": []}
+                rows = {"anchor": [], "seg": [], "body": []}
                 for text, found in zip(batch.column(0)[k : k + 256], batch.column(1)[k : k + 256]):
                     raw = text.as_py().encode()
                     for s in found.as_py():
                         rows["anchor"].append(s["anchor"])
                         rows["seg"].append(s["seg"])
-                        rows["weight"].append(s["weight"])
                         rows["body"].append(raw[s["first"] : s["first"] + s["n"] - 1 + window])
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("weight", pa.int64()), ("body", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(rows, pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("body", pa.binary())]))
 
     return run
 
@@ -246,7 +246,8 @@ def _search_shard(window: int):
             marks = repeated_between(parts[0][1], parts[1][1]) if len(parts) == 2 else [np.zeros(len(parts[0][1].key), bool)]
         rows = []
         for (mine, shard), mark in zip(parts, marks):
-            mark &= (mine.column("weight").to_numpy() == 1)[shard.owner]  # of equal segments, all windows are known
+            if len(marks) == 2:  # what is there twice is found in its own shard
+                mark &= (mine.column("weight").to_numpy() == 1)[shard.owner]
             w = np.flatnonzero(mark)
             if not len(w):
                 continue
@@ -264,8 +265,8 @@ def _search_shard(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, text_hash, begin, end: spans of bytes that repeated windows cover (they may overlap).
 
-    docs has doc_id, text_hash and text. Only hashes of segments are shuffled for all text; bytes are for
-    segments that share an anchor with a different segment.
+    docs has doc_id, text_hash and text. Only hashes of segments are shuffled for all text, and bytes of two
+    places at most for each kind whose anchor occurs again.
     """
     spark = docs.sparkSession
     every, every_at = written(docs.select("doc_id", "text_hash", "text").mapInArrow(trimmed(_read_off(window, gram)), _SEGMENT), "segments")
@@ -274,39 +275,41 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     remove(spark, every_at)
     remove(spark, often_at)
     release(spark)
-    distinct, distinct_at = written(met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")), "distinct")
+    place = F.struct("doc_id", "text_hash", "first", "n")
+    distinct, distinct_at = written(met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("low"), F.max(place).alias("high")), "distinct")
     # written first, so that the join can be split where an anchor has very many kinds
-    many, many_at = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("weight").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds"), "many")
+    many, many_at = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "many")
     asked, asked_at = written(distinct.join(many, "anchor"), "asked")
     release(spark)
 
-    # bytes of the segments in question, cut from one document that has them
-    by_doc = asked.groupBy(F.col("at.doc_id").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(F.struct("anchor", "seg", "weight", "at.first", "at.n")).alias("found"))
-    # a row that is there twice gives its bytes twice, but then its segments weigh 2 and are not asked about
+    # bytes of every kind, cut from the first and the last document that has it
+    ends = asked.withColumn("at", F.explode(F.array_distinct(F.array("low", "high"))))
+    by_doc = ends.groupBy(F.col("at.doc_id").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(F.struct("anchor", "seg", "at.first", "at.n")).alias("found"))
     texts = docs.select("doc_id", "text_hash", "text")
     cut = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["own"]) & (texts["text_hash"] == by_doc["own_hash"])).select("text", "found")
-    bodies, bodies_at = written(cut.mapInArrow(_cut(window), "anchor long, seg long, weight long, body binary"), "bodies")
+    # a row that is there many times gives its bytes as often: two of them stay, which differ if any do
+    pieces = cut.mapInArrow(_cut(window), "anchor long, seg long, body binary").groupBy("anchor", "seg").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    bodies, bodies_at = written(pieces.join(asked.select("anchor", "seg", "weight", "kinds"), ["anchor", "seg"]), "bodies")
     release(spark)
-    shards = max(1, -(-asked.count() // shard))
-    sized = bodies.join(asked.select("anchor", "seg", "kinds"), ["anchor", "seg"])
+    shards = max(1, -(-2 * asked.count() // shard))
     parts = F.ceil(F.col("kinds") / shard)
-    placed = sized.withColumn("part", F.pmod(F.xxhash64("seg"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    copies = F.when(F.col("weight") > 1, F.array("least", "most")).otherwise(F.array("least"))
+    placed = bodies.withColumn("body", F.explode(copies)).withColumn("part", F.pmod(F.xxhash64("seg"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.select(
         F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")).alias("shard"), (parts > 1).alias("hot"),
         F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
         F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
         "anchor", "seg", "weight", "body",
     )
-    found, found_at = written(placed.groupBy("shard", "hot", "p", "q").applyInArrow(_search_shard(window), _FOUND), "found")
+    marks, marks_at = written(placed.groupBy("shard", "hot", "p", "q").applyInArrow(_search_shard(window), _FOUND), "marks")
+    # written as well, so that the join can be split where a kind has very many places
+    found, found_at = written(marks.distinct(), "found")
     remove(spark, bodies_at)
     release(spark)
 
-    single = distinct.filter("weight = 1").select("anchor", "seg", "at.doc_id", "at.text_hash", "at.first").join(found, ["anchor", "seg"])
-    equal, equal_at = written(distinct.filter("weight > 1").select("anchor", "seg"), "equal")
-    copies = met.join(equal, ["anchor", "seg"]).select("doc_id", "text_hash", F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + window).alias("end"))
-    single = single.select("doc_id", "text_hash", (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high") + window).alias("end"))
-    spans, _ = written(copies.unionByName(single), "spans")
-    for path in (met_at, distinct_at, asked_at, many_at, found_at, equal_at):
+    begin, end = F.col("first") + F.col("low"), F.col("first") + F.col("high") + window
+    spans, _ = written(met.join(found, ["anchor", "seg"]).select("doc_id", "text_hash", begin.alias("begin"), end.alias("end")), "spans")
+    for path in (met_at, distinct_at, asked_at, many_at, marks_at, found_at):
         remove(spark, path)
     release(spark)
     return spans

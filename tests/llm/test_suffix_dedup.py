@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from matchloom.llm.suffix_dedup import Shard, remove_repeats, repeated_between, repeated_within, segments
+from matchloom.llm.suffix_dedup import Shard, _search_shard, remove_repeats, repeated_between, repeated_within, segments
 from matchloom.llm.textbytes import text_bytes
 
 SCHEMA = "doc_id long, text string"
@@ -85,3 +85,24 @@ def test_shards_within_and_between():
     for got, mine, theirs in zip(repeated_between(*shards), (texts[::2], texts[1::2]), (texts[1::2], texts[::2])):
         times = count(theirs)
         assert got.tolist() == [times[r[k : k + 64]] > 0 for r in (t.encode() for t in mine) for k in range(max(0, len(r) - 63))]
+
+
+def test_a_kind_is_repeated_only_if_its_bytes_are():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    one, other = (bytes(rng.randrange(256) for _ in range(90)) for _ in range(2))
+    found = {}
+    for name, bodies in (("equal", [one, one]), ("collision", [one, other]), ("partly", [one, one[:70] + other[70:]])):
+        table = pa.table({"side": [2, 2], "anchor": [5, 5], "seg": [6, 6], "weight": [2, 2], "body": bodies})
+        rows = _search_shard(64)(table).to_pylist()
+        found[name] = {(r["anchor"], r["seg"], r["low"], r["high"]) for r in rows}
+    assert found == {"equal": {(5, 6, 0, 26)}, "collision": set(), "partly": {(5, 6, 0, 6)}}
+
+
+def test_many_repeated_rows_and_places(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcd ") for _ in range(700))
+    rows = [(1, text)] * 40 + [(k, text[:300]) for k in range(2, 30)] + [(30, text[50:] + "x" * 250), (None, text)]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA), shard=3).drop("kept").collect()
+    assert sorted([tuple(r) for r in got], key=repr) == brute(rows, 200)
