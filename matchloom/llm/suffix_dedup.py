@@ -280,6 +280,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     # written first, so that the join can be split where an anchor has very many kinds
     many, many_at = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "many")
     asked, asked_at = written(distinct.join(many, "anchor"), "asked")
+    remove(spark, distinct_at)
+    remove(spark, many_at)
     release(spark)
 
     # bytes of every kind, cut from the first and the last document that has it
@@ -289,11 +291,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     cut = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["own"]) & (texts["text_hash"] == by_doc["own_hash"])).select("text", "found")
     # a row that is there many times gives its bytes as often: two of them stay, which differ if any do
     pieces = cut.mapInArrow(_cut(window), "anchor long, seg long, body binary").groupBy("anchor", "seg").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    pieces = pieces.withColumn("most", F.when(F.col("most") != F.col("least"), F.col("most")))
     bodies, bodies_at = written(pieces.join(asked.select("anchor", "seg", "weight", "kinds"), ["anchor", "seg"]), "bodies")
+    remove(spark, asked_at)
     release(spark)
-    shards = max(1, -(-2 * asked.count() // shard))
+    shards = max(1, -(-2 * bodies.count() // shard))
     parts = F.ceil(F.col("kinds") / shard)
-    copies = F.when(F.col("weight") > 1, F.array("least", "most")).otherwise(F.array("least"))
+    copies = F.when(F.col("weight") > 1, F.array("least", F.coalesce("most", "least"))).otherwise(F.array("least"))
     placed = bodies.withColumn("body", F.explode(copies)).withColumn("part", F.pmod(F.xxhash64("seg"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.select(
         F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")).alias("shard"), (parts > 1).alias("hot"),
@@ -309,7 +313,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 
     begin, end = F.col("first") + F.col("low"), F.col("first") + F.col("high") + window
     spans, _ = written(met.join(found, ["anchor", "seg"]).select("doc_id", "text_hash", begin.alias("begin"), end.alias("end")), "spans")
-    for path in (met_at, distinct_at, asked_at, many_at, marks_at, found_at):
+    for path in (met_at, marks_at, found_at):
         remove(spark, path)
     release(spark)
     return spans
