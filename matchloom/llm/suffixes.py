@@ -64,7 +64,8 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, places: np.ndarray, mo
     shared = np.zeros(n, np.int32)
     if n < 2:
         return shared
-    padded = np.concatenate([codes.astype(np.int32), -1 - np.arange(1)])
+    span = np.arange(64)
+    padded = np.concatenate([codes.astype(np.int32), np.full(len(span), -1, np.int32)])
     length = np.zeros(-(-n // lane), np.int64)
     heads = np.arange(0, n, lane)
     for step in range(lane):
@@ -78,13 +79,15 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, places: np.ndarray, mo
         before = order[place - 1]
         length = np.maximum(length - 1, 0)
         live = np.flatnonzero((place > 0) & (length < most))
+        # most lanes end within a few codes; longer stretches are compared in rows
+        width = 1
         while len(live):
             a, b = at[live] + length[live], before[live] + length[live]
-            ok = (a < n) & (b < n)
-            ok[ok] = padded[a[ok]] == padded[b[ok]]
-            live = live[ok]
-            length[live] += 1
-            live = live[length[live] < most]
+            differs = padded[a[:, None] + span[:width]] != padded[b[:, None] + span[:width]]
+            more = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+            length[live] = np.minimum(length[live] + more, most)
+            live = live[(more == width) & (length[live] < most)]
+            width = min(16 * width, len(span))
         length[place == 0] = 0
         shared[place] = length
     return shared
