@@ -6,6 +6,7 @@ bytes of such characters are 128 or more, so words can be found byte by byte.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,9 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 _CODES = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_SHORT = 128
 
 
 def lower_ascii(text: str) -> str:
@@ -54,15 +57,6 @@ def chunks(offsets: np.ndarray, size: int = _CHUNK) -> Iterator[tuple[int, int]]
         first = last
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        more = np.full(max(n, 2 * len(_powers), 64), _STEP, np.uint64)
-        more[0] = 1
-        _powers = np.multiply.accumulate(more)
-    return _powers
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element."""
     x = x ^ (x >> np.uint64(30))
@@ -72,15 +66,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of these texts: hash, first byte, byte after the last; and words before each text."""
+def word_hashes(body: np.ndarray, offsets: np.ndarray, spaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all words of these texts: hash, first byte, byte after the last; and words before each text.
+
+    spaced: words are whatever stands between ASCII white space, as it is.
+    """
     hashes, firsts, lasts = [], [], []
     for a, z in chunks(offsets):
         low, high = offsets[a], offsets[z]
         if low == high:
             continue
-        part = _LOWER[body[low:high]]
-        inside = _IN_WORD[part]
+        part = body[low:high] if spaced else _LOWER[body[low:high]]
+        inside = ~_SPACES[part] if spaced else _IN_WORD[part]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
@@ -91,11 +88,7 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         if not len(first):
             continue
-        sizes = last - first
-        heads = np.cumsum(sizes) - sizes
-        within = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(heads.astype(np.int32), sizes)
-        codes = _CODES[part[inside]] * powers(int(sizes.max()))[within]
-        hashes.append(mixed(np.add.reduceat(codes, heads) ^ sizes.astype(np.uint64)))
+        hashes.append(_hashed(part, first, last - first))
         firsts.append(first + low)
         lasts.append(last + low)
     if not hashes:
@@ -105,6 +98,27 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), first, np.concatenate(lasts), np.searchsorted(first, offsets)
 
 
+def _hashed(part: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes: eight bytes at a time, each step a bijection; long ones by BLAKE2b.
+
+    So stretches of one length and up to eight bytes never share a hash, and no regular pattern of letters
+    makes longer ones do so.
+    """
+    padded = np.concatenate([part, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(part) + 1, "<u8", padded, 0, (1,))
+    h = mixed(sizes.astype(np.uint64) * _STEP)
+    rest, done = np.flatnonzero(sizes <= _SHORT), 0
+    while len(rest):
+        left = np.minimum(sizes[rest] - done, 8).astype(np.uint64)
+        code = eight[first[rest] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[rest] = mixed((h[rest] ^ code) + _STEP)
+        done += 8
+        rest = rest[sizes[rest] > done]
+    for k in np.flatnonzero(sizes > _SHORT).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(part[first[k] : first[k] + sizes[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words_hashed(words: list[str]) -> np.ndarray:
     """The hash of each of these words, the same as word_hashes gives."""
     if not words:

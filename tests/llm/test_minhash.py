@@ -224,3 +224,12 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[k] == find(k) for k in got) and {x for a, b in links if a != b for x in (a, b)} == set(got)
+
+
+def test_words_of_a_regular_pattern_are_not_alike(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(k, " ".join(f"{w}{x}" for x in range(20))) for k, w in enumerate((a, b, a[:100], b[:100], a[:8], b[:8]))]
+    got = classes(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == [(k, k, 1) for k in range(6)]
