@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, minhash, mixing, mpeg_audio, suffix_dedup, token_counts, token_output
+from . import centroids, chat, decontaminate, langid, line_dedup, minhash, mixing, mpeg_audio, ranked_search, reference_parse, suffix_dedup, token_counts, token_output
 from .storage import read, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +205,73 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+stat AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT k, item_id, term, count(*) AS times FROM b GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, stat GROUP BY term),
+s AS (SELECT k, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l)))) AS BIGINT) AS score FROM asked JOIN p USING (term) JOIN df USING (term), stat GROUP BY k, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 13 words or more that an earlier document holds."""
+    return reference_parse.remove_repeated_passages(read(spark, sf_dir, "documents")).drop("kept")
+
+
+# all windows of 13 words
+ORACLES["op12_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+first AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 12)) AS j FROM win JOIN first USING (h) WHERE least < doc_id),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS k, count(*) AS n FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector."""
+    done = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments and centroids round by round, over rows of single components."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS (SELECT vec_id, c, dist FROM (SELECT vec_id, c, CAST(sum((e.q - m.q) * (e.q - m.q)) AS BIGINT) AS dist FROM e JOIN m{k} m USING (j) GROUP BY vec_id, c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, c) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT c, j, CAST(sum(q) AS BIGINT) AS s, count(*) AS n FROM a{k} JOIN e USING (vec_id) GROUP BY c, j),
+m{k + 1} AS (SELECT c, j, CASE WHEN n IS NULL THEN q ELSE (s - ((s % n) + n) % n) // n END AS q FROM m{k} LEFT JOIN s{k} USING (c, j))""")
+    return ",".join(steps)
+
+
+ORACLES["op13_centroid_clustering"] = f"""
+WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS q FROM kept),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM kept QUALIFY c < 16),
+m0 AS (SELECT c, j, q FROM seeds JOIN e USING (vec_id)),{_rounds_sql(3)},
+digest AS (SELECT c, sha256(string_agg(CAST(q AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM m3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN digest USING (c)
+"""
+
+
 QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 QUERIES["op2_source_mix"] = op2_source_mix
 QUERIES["op3_chat_formatting"] = op3_chat_formatting
@@ -215,3 +282,6 @@ QUERIES["op7_mpeg_audio"] = op7_mpeg_audio
 QUERIES["op8_minhash_near_dedup"] = op8_minhash_near_dedup
 QUERIES["op9_suffix_array_dedup"] = op9_suffix_array_dedup
 QUERIES["op10_token_output"] = op10_token_output
+QUERIES["op11_ranked_search"] = op11_ranked_search
+QUERIES["op12_substring_dedup"] = op12_substring_dedup
+QUERIES["op13_centroid_clustering"] = op13_centroid_clustering
