@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import passthrough
-from ..functions.text import match_key, round3
-from ..sources.catalogue import Catalogue, key_sizes
-from .matching import PAIR, distinct_pairs, near_keys, small, with_parameters
+from ..functions.text import round3
+from ..sources.catalogue import Catalogue
+from .matching import Asked
+from .near import PAIR, NearIndex, near_keys, small
 
 # Fixed value: the question that goes with an ambiguous category.
 QUESTION = "К какой категории относится деталь?"
@@ -37,18 +38,25 @@ def index_meta(index: DataFrame) -> DataFrame:
     return words.join(index.agg(F.array_sort(F.collect_set("category")).alias("categories")))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct stretches of three characters of a text."""
+    ends = F.greatest(F.length(text) - LEAST_CONTAINED + 1, F.lit(0))
+    grams = F.transform(F.sequence(F.lit(1), ends), lambda k: F.substring(text, k, F.lit(LEAST_CONTAINED)))
+    return F.when(F.length(text) >= LEAST_CONTAINED, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+
 def contained(keys: DataFrame, grouped: DataFrame, rows: int) -> DataFrame:
     """key and the categories of all index keys that contain it (keys of three characters or more).
 
-    The first three characters of a key are one of an index key's trigrams, so the two meet by trigram and
-    are then compared as wholes; no key is held against the whole index.
+    Whatever contains a key has all its trigrams. So a key meets only the index keys that have the rarest
+    of them (by the number of index keys it is in; the first of those equally rare), and is then looked for as a whole. A key with a trigram
+    that the index has not is in none. rows: index rows by trigram, at most.
     """
-    ends = F.greatest(F.length("found") - LEAST_CONTAINED + 1, F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), ends), lambda k: F.substring("found", k, F.lit(LEAST_CONTAINED)))
-    index = grouped.select(F.col("key").alias("found"), "categories").filter(F.length("found") >= LEAST_CONTAINED)
-    index = index.withColumn("gram", F.explode(F.array_distinct(grams)))
-    asked = keys.filter(F.length("key") >= LEAST_CONTAINED).select("key", F.substring("key", 1, LEAST_CONTAINED).alias("gram")).distinct()
-    met = asked.join(small(index, rows), "gram").filter(F.contains("found", "key"))
+    index = grouped.select(F.col("key").alias("found"), "categories", F.explode(_grams(F.col("key"))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = keys.select("key").distinct().select("key", F.explode(_grams(F.col("key"))).alias("gram"))
+    rare = asked.join(small(often, rows), "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    met = rare.filter("least.n > 0").select("key", F.col("least.gram").alias("gram")).join(small(index, rows), "gram").filter(F.contains("found", "key"))
     return met.select("key", F.explode("categories").alias("category")).groupBy("key").agg(F.array_sort(F.collect_set("category")).alias("contained"))
 
 
@@ -58,20 +66,29 @@ def resolve_categories(words: DataFrame, index: DataFrame, pairs: DataFrame | No
     words has qid and word, and may have raw_text and threshold; index has key and category. An exact key
     decides, then the nearest keys at the threshold, then all keys that contain the word. What only
     contains the word is always ambiguous, even with one category. Null words are unknown.
+
+    All columns stay, whatever their names; only those named result give way to the new one. raw_text and threshold are there as
+    they were used.
     """
-    rows = with_parameters(words).withColumn("key", match_key(F.coalesce("word", F.lit("")))).drop("restrict_category")
+    asked = Asked(words, "word")
+    out = resolved(asked, index, asked.pairs() if pairs is None else pairs)
+    return asked.put_back(out, {"raw_text": None, "threshold": None, "result": "category_result"})
+
+
+def resolved(asked: Asked, index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of asked with category_result."""
     grouped = grouped_index(index)
-    size = tuple(key_sizes(grouped).first()[1:])
-    pairs = distinct_pairs(words, "word") if pairs is None else pairs
-    exact = pairs.join(small(grouped, size[0]), "key").select(*PAIR, F.lit(1.0).alias("score"), "categories")
-    rest = pairs.join(small(grouped.select("key"), size[0]), "key", "left_anti")
-    found = near_keys(rest, grouped.select("key", F.lit(0).alias("key_ord"), F.lit(3).alias("tier")), size).join(small(grouped.withColumnRenamed("key", "found"), size[0]), "found")
+    near_index = NearIndex(grouped.select("key", F.lit(0).alias("key_ord"), F.lit(3).alias("tier")))
+    rows, _, longest, *_ = near_index.sizes()
+    exact = pairs.join(small(grouped, rows), "key").select(*PAIR, F.lit(1.0).alias("score"), "categories")
+    rest = pairs.join(small(grouped.select("key"), rows), "key", "left_anti")
+    found = near_keys(rest, near_index, asked.deep(near_index)).join(small(grouped.withColumnRenamed("key", "found"), rows), "found")
     near = found.select(*PAIR, "score", F.explode("categories").alias("category")).groupBy(*PAIR, "score").agg(F.array_sort(F.collect_set("category")).alias("categories"))
     # what contains a key counts only where nothing is near it
-    inexact = rest.join(near, PAIR, "left").join(contained(rest, grouped, size[0] * max(1, size[2])), "key", "left")
+    inexact = rest.join(near, PAIR, "left").join(contained(rest, grouped, rows * max(1, longest)), "key", "left")
     known = exact.unionByName(inexact.select(*PAIR, "score", F.coalesce("categories", "contained").alias("categories")).filter("categories is not null"))
-    out = rows.join(known, PAIR, "left")
-    cats, by_score = F.when(F.col("word").isNotNull(), F.col("categories")), F.col("score").isNotNull()
+    out = asked.rows.join(known, PAIR, "left")
+    cats, by_score = F.when(F.col("phrase").isNotNull(), F.col("categories")), F.col("score").isNotNull()
     one = by_score & (F.size(cats) == 1)
     several = cats.isNotNull() & ~one
     result = F.struct(
@@ -79,11 +96,11 @@ def resolve_categories(words: DataFrame, index: DataFrame, pairs: DataFrame | No
         F.when(one, F.get(cats, F.lit(0))).alias("category"),
         F.when(several, cats).alias("candidates"),
         F.when(several, F.lit(QUESTION)).alias("question"),
-        passthrough(F.col("word"), F.col("raw_text")).alias("raw_text_passthrough"),
+        passthrough(F.col("phrase"), F.col("raw_text")).alias("raw_text_passthrough"),
         F.when(cats.isNotNull(), round3(F.col("score"))).alias("match_score"),
         F.when(several & ~by_score, F.lit("containment")).alias("matched_by"),
     )
-    return out.withColumn("result", result).drop("key", "categories", "score")
+    return out.withColumn("category_result", result).drop("categories", "score")
 
 
 def resolve_one(index: DataFrame, word: str, raw_text: str | None = None, threshold: float = 0.90) -> dict:

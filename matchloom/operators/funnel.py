@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalogue import Catalogue
-from .categories import resolve_categories
-from .matching import distinct_pairs, match
+from .categories import resolved
+from .matching import USED, Asked, matched
 
 EVENTS = ("cat", "cat-other", "part", "part-other", "side", "pos", "restart")
 
@@ -28,12 +28,14 @@ def funnel(phrases: DataFrame, catalogue: Catalogue, index: DataFrame) -> DataFr
     """Add category_result, result and next_question to a table of phrases.
 
     An unresolved word is matched without a restriction, a resolved one within its category, and where the
-    category is ambiguous the question comes first (the match within no category is still there).
+    category is ambiguous the question comes first (the match within no category is still there). All other columns stay,
+    whatever their names; restrict_category is the category that was resolved, and tier that of match().
     """
-    pairs = distinct_pairs(phrases)
-    layer = resolve_categories(phrases.withColumn("word", F.col("phrase")).drop("restrict_category"), index, pairs).withColumnRenamed("result", "category_result")
-    found = match(layer.drop("word").withColumn("restrict_category", F.col("category_result")["category"]), catalogue, pairs)
-    return found.withColumn("next_question", next_question(F.col("category_result"), F.col("result")))
+    asked = Asked(phrases, "phrase")
+    pairs = asked.pairs()
+    rows = resolved(asked, index, pairs).withColumn("restrict_category", F.col("category_result.category"))
+    out = matched(asked, rows, catalogue, pairs).withColumn("next_question", next_question(F.col("category_result"), F.col("result")))
+    return asked.put_back(out, dict.fromkeys((*USED, "category_result", "result", "tier", "next_question")))
 
 
 def fold_answers(answers: DataFrame) -> DataFrame:
@@ -70,15 +72,15 @@ def answered(phrases: DataFrame, catalogue: Catalogue, state: DataFrame, index:
     Adds category_result, result, chosen (a part_id) and next_question: "category" while the category is
     ambiguous and nothing was said of it, "phrase" once all parts were refused (another phrase is needed),
     then "part", "side", "position", "none". A category that was chosen restricts the match, as does one
-    that is resolved; after "cat-other" nothing does.
+    that is resolved; after "cat-other" nothing does. All other columns stay, whatever their names.
     """
-    said = state.select("session", F.col("category").alias("said_category"), "part_id", F.col("side").alias("said_side"), F.col("position").alias("said_position"), "category_said", "part_refused")
-    pairs = distinct_pairs(phrases)
-    layer = resolve_categories(phrases.withColumn("word", F.col("phrase")).drop("restrict_category"), index, pairs).withColumnRenamed("result", "category_result")
-    rows = layer.drop("word").join(said, "session", "left")
+    asked = Asked(phrases, "phrase")
+    pairs, session = asked.pairs(), asked.column("session")
+    said = state.select(F.col("session").alias("of"), F.col("category").alias("said_category"), F.col("part_id").alias("said_part"), F.col("side").alias("said_side"), F.col("position").alias("said_position"), "category_said", "part_refused")
+    rows = resolved(asked, index, pairs).withColumn("session", session).join(said, F.col("session") == F.col("of"), "left")
     category = F.when(F.col("category_said"), F.col("said_category")).otherwise(F.col("category_result.category"))
-    out = match(rows.withColumn("restrict_category", category), catalogue, pairs)
-    pick = F.filter(F.col("result.candidates"), lambda c: c["part_id"] == F.col("part_id"))
+    out = matched(asked, rows.withColumn("restrict_category", category), catalogue, pairs)
+    pick = F.filter(F.col("result.candidates"), lambda c: c["part_id"] == F.col("said_part"))
     single = (F.col("result.status") == "single_match") | (F.size(pick) == 1)
     chosen = F.when(F.col("result.status") == "single_match", F.col("result.part_id")).otherwise(F.get(pick, F.lit(0))["part_id"])
     flags = catalogue.parts.select(F.col("part_id").alias("chosen"), "side_flag", "position_flag")
@@ -88,4 +90,5 @@ def answered(phrases: DataFrame, catalogue: Catalogue, state: DataFrame, index:
     question = F.when(open_category, "category").when(F.coalesce("part_refused", F.lit(False)), "phrase")
     question = question.when(F.col("chosen").isNull() & (F.col("result.status") == "ambiguous"), "part")
     question = question.when(ask("side_flag", "said_side", "result.attributes.side"), "side").when(ask("position_flag", "said_position", "result.attributes.position"), "position")
-    return out.withColumn("next_question", question.otherwise("none")).drop("side_flag", "position_flag", "said_category")
+    out = out.withColumn("next_question", question.otherwise("none"))
+    return asked.put_back(out, dict.fromkeys((*USED, "category_result", "result", "tier", "chosen", "next_question")))

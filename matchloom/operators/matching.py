@@ -9,107 +9,69 @@ one exchange, which Spark reuses, so streams and repeated calls leave nothing be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import position, search_space, side
-from ..functions.text import match_key, round3, similarity
+from ..functions.text import match_key, round3
 from ..sources.catalogue import Catalogue, ordinals
+from .columns import Apart
+from .near import PAIR, may_be_deep, near_keys, small
 
 THRESHOLD = 0.90
-#: Rows of a catalogue table up to which it is sent to all tasks; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
-PAIR = ["key", "threshold"]
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A table with a broadcast hint if its rows, as counted, allow it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def with_parameters(phrases: DataFrame) -> DataFrame:
-    """qid, phrase, raw_text, threshold, restrict_category: what is not there takes its default."""
+    """raw_text, threshold and restrict_category added where they are not there; a null threshold takes its default."""
     kinds = {"raw_text": "string", "threshold": "double", "restrict_category": "string"}
     out = phrases.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in phrases.columns])
     return out.withColumn("threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(THRESHOLD)))
 
 
-def _pieces(n: Column, count: Column, k: Column) -> tuple[Column, Column]:
-    """Where piece k (from 0) of a key of n characters begins (from 0), and its length; longer pieces come last."""
-    short, longer = F.floor(n / count).cast("int"), (n % count).cast("int")
-    ahead = F.greatest(F.lit(0), k - (count - longer))
-    return k * short + ahead, short + (k >= count - longer).cast("int")
-
-
-def near_keys(pairs: DataFrame, index: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """key, threshold, tier, found, key_ord, score: the index keys most similar to each key, ties kept.
-
-    pairs are distinct (key, threshold); index has key, key_ord and tier, and size its rows and the lengths of
-    its shortest and longest key. The lowest tier that reaches the threshold decides.
-
-    A key of n characters can only reach the threshold t with one of t * n to n / t, and with at most e edits.
-    An index key cut into e + 1 pieces then has a piece that stands in the key unchanged, so the two meet by
-    length, number of edits, number of the piece, and the piece itself. That piece can be chosen to have
-    at most as many edits before it as its number, and no more behind it than are left, which bounds the
-    places it is looked for at. Where e is not below the length (low thresholds, short keys) all keys of that length
-    meet. Bands and e are one wider than need be; the similarity itself decides.
-    """
-    keys = index.select(F.col("key").alias("found"), "key_ord", "tier").withColumn("m", F.length("found"))
-    rows, least, longest_key = size
-    n, m, t, e = F.length("key"), F.col("m"), F.col("threshold"), F.col("e")
-    low = F.when(t > 0, F.greatest(F.lit(least), F.ceil(n * t).cast("int") - 1)).otherwise(F.lit(least))
-    high = F.when(t > 0, F.least(F.lit(float(longest_key)), F.floor(n / F.nullif(t, F.lit(0.0))) + 1).cast("int")).otherwise(F.lit(longest_key))
-    bands = pairs.select(*PAIR, low.alias("low"), high.alias("high")).filter("low <= high").withColumn("m", F.explode(F.sequence("low", "high")))
-    # beyond this many edits the threshold is out of reach, and counting them can stop
-    longest = F.greatest(n, m)
-    most = F.when(t > 0, F.least(longest, F.floor(longest * (1 - t) + 1e-9).cast("int"))).otherwise(longest)
-    bands = bands.withColumn("most", F.greatest(most, F.lit(0))).filter(F.abs(n - m) <= F.col("most")).withColumn("e", F.least("most", "m"))
-    whole = e >= m
-
-    pieces = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), e))
-    square = max(1, longest_key * longest_key // 2)  # no more (m, e), nor pieces of one key, than that
-    cut = keys.join(small(bands.select("m", "e").distinct(), square), "m").withColumn("piece", F.explode(pieces))
-    at, wide = _pieces(m, e + 1, F.col("piece"))
-    cut = cut.withColumn("part", F.when(whole, F.lit("")).otherwise(F.substring("found", at + 1, wide)))
-
-    asked = bands.withColumn("piece", F.explode(pieces))
-    longer = n - m
-    first = F.greatest(F.lit(0), at - F.col("piece"), at + longer - (e - F.col("piece")))
-    last = F.least(n - wide, at + F.col("piece"), at + longer + (e - F.col("piece")))
-    starts = F.when(whole, F.array(F.lit(0))).when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    asked = asked.withColumn("start", F.explode(starts)).withColumn("part", F.when(whole, F.lit("")).otherwise(F.substring("key", F.col("start") + 1, wide)))
-    met = asked.join(small(cut, rows * square), ["m", "e", "piece", "part"])
-    met = met.withColumn("distance", F.call_function("levenshtein", F.col("key"), F.col("found"), F.col("most")))
-    scored = met.filter("distance >= 0").withColumn("score", similarity(F.col("key"), F.col("found"), F.col("distance"))).filter("score >= threshold")
-    scored = scored.select(*PAIR, "tier", "score", "found", "key_ord").distinct()
-    # equal scores are equal doubles: a quotient of whole numbers is rounded one way
-    best = F.rank().over(Window.partitionBy(*PAIR).orderBy("tier", F.desc("score")))
-    return scored.withColumn("best", best).filter("best = 1").drop("best")
-
-
-def hits(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """key, threshold, tier (1 to 4), score, part_id, at (the order of candidates)."""
+def hits(pairs: DataFrame, catalogue: Catalogue, deep: bool | None = None) -> DataFrame:
+    """key, threshold, tier (1 to 4), score, part_id, at (the order of candidates). deep: as in near_keys."""
     sizes = catalogue.sizes()
-    lookup = small(catalogue.lookup, sizes["lookup"][0])
+    lookup = small(catalogue.lookup, sizes["lookup"])
     exact = pairs.join(lookup, "key").select(*PAIR, "tier", F.lit(1.0).alias("score"), "part_id", "at")
-    rest = pairs.join(small(catalogue.lookup.select("key"), sizes["lookup"][0]), "key", "left_anti")
+    rest = pairs.join(small(catalogue.lookup.select("key"), sizes["lookup"]), "key", "left_anti")
     # both near tiers in one pass: a pair's hits are those of the lower tier that has any
-    near = near_keys(rest, catalogue.near_index, sizes["near_index"]).join(small(catalogue.near_refs, sizes["near_refs"][0]), ["found", "tier"])
+    near = near_keys(rest, catalogue.near, deep).join(small(catalogue.near_refs, sizes["near_refs"]), ["found", "tier"])
     return exact.unionByName(near.select(*PAIR, "tier", "score", "part_id", ordinals("key_ord", "ref_ord", "pos")))
 
 
-def candidates(pairs: DataFrame, catalogue: Catalogue) -> DataFrame:
+def candidates(pairs: DataFrame, catalogue: Catalogue, deep: bool | None = None) -> DataFrame:
     """key, threshold, tier, score, parts: each pair's candidates in order, each part once, with its columns."""
-    found = hits(pairs, catalogue).groupBy(*PAIR, "tier", "score", "part_id").agg(F.min("at").alias("at"))
-    full = found.join(small(catalogue.parts, catalogue.sizes()["parts"][0]), "part_id")
+    found = hits(pairs, catalogue, deep).groupBy(*PAIR, "tier", "score", "part_id").agg(F.min("at").alias("at"))
+    full = found.join(small(catalogue.parts, catalogue.sizes()["parts"]), "part_id")
     fields = ["at", "part_id", "name_ru", "name_az", "category", "subcategory", "side_flag", "position_flag"]
     return full.groupBy(*PAIR, "tier", "score").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
 
 
+#: Columns of parameters, which come out as they were used.
+USED = ("raw_text", "threshold", "restrict_category")
+
+
+class Asked(Apart):
+    """Phrases or words with their parameters, and the distinct pairs that are to be looked up."""
+
+    def __init__(self, table: DataFrame, column: str):
+        super().__init__(table)
+        threshold = F.coalesce(self.get("threshold", "double"), F.lit(THRESHOLD))
+        text = self.column(column)
+        self.rows = self.plain.withColumns({"phrase": text, "raw_text": self.get("raw_text", "string"), "threshold": threshold, "restrict_category": self.get("restrict_category", "string"), "key": match_key(F.coalesce(text, F.lit("")))})
+        self.said = self.rows.filter("phrase is not null").select(*PAIR)
+
+    def pairs(self) -> DataFrame:
+        return self.said.distinct()
+
+    def deep(self, catalogue_index) -> bool:
+        """Whether a row needs more of an index than its pieces."""
+        return may_be_deep(self.said, F.col("key"), F.col("threshold"), catalogue_index)
+
+
 def distinct_pairs(phrases: DataFrame, column: str = "phrase") -> DataFrame:
     """The distinct (key, threshold) of a table of phrases."""
-    rows = with_parameters(phrases).filter(F.col(column).isNotNull())
-    return rows.select(match_key(F.col(column)).alias("key"), "threshold").distinct()
+    return Asked(phrases, column).pairs()
 
 
 def match(phrases: DataFrame, catalogue: Catalogue, pairs: DataFrame | None = None) -> DataFrame:
@@ -117,16 +79,24 @@ def match(phrases: DataFrame, catalogue: Catalogue, pairs: DataFrame | None = No
 
     phrases has qid and phrase, and may have raw_text, threshold (0.9) and restrict_category. The
     restriction comes after the choice of the tier: a phrase whose tier has no part of the category is
-    no_match. Null phrases match nothing. Every row stays, repeated qids too. pairs are those of
+    no_match. Null phrases match nothing, and so do thresholds above 1 or NaN, except exactly. Every row stays, repeated qids too. pairs are those of
     distinct_pairs(), if they are known already.
+
+    All columns stay, whatever their names; only those named result or tier give way to the new ones. raw_text, threshold and
+    restrict_category are there as they were used.
     """
-    rows = with_parameters(phrases).withColumn("key", match_key(F.coalesce("phrase", F.lit(""))))
-    pairs = distinct_pairs(phrases) if pairs is None else pairs
-    joined = rows.join(candidates(pairs, catalogue), PAIR, "left")
+    asked = Asked(phrases, "phrase")
+    out = matched(asked, asked.rows, catalogue, asked.pairs() if pairs is None else pairs)
+    return asked.put_back(out, dict.fromkeys(USED) | {"result": "result", "tier": "tier"})
+
+
+def matched(asked: Asked, rows: DataFrame, catalogue: Catalogue, pairs: DataFrame) -> DataFrame:
+    """The rows of asked (which may have more columns by now) with result and tier."""
+    joined = rows.join(candidates(pairs, catalogue, asked.deep(catalogue.near)), PAIR, "left")
     empty = F.array().cast(joined.schema["parts"].dataType)
     wanted = F.filter("parts", lambda p: F.col("restrict_category").isNull() | (p["category"] == F.col("restrict_category")))
     chosen = joined.withColumn("parts", F.when(F.col("phrase").isNull(), empty).otherwise(F.coalesce(wanted, empty)))
-    return chosen.withColumn("result", _result()).withColumn("tier", F.when(F.size("parts") > 0, F.col("tier"))).drop("key", "parts", "score")
+    return chosen.withColumn("result", _result()).withColumn("tier", F.when(F.size("parts") > 0, F.col("tier"))).drop("parts", "score")
 
 
 def _result() -> Column:

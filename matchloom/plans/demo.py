@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key
 from ..sources.catalogue import Catalogue
+from ..sources.files import shared_path
 
 HEAVY = ("anvil", "plate", "gear")
 SMALL = ("bolt", "ring")
@@ -21,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The catalogue over a folder's part table, written to the shared folder once for a session and read from there."""
+    held = spark.__dict__.setdefault("_matchloom_catalogues", {})
+    if sf_dir not in held:
+        path = shared_path(spark, "catalogue")
+        derived(spark, sf_dir).save(path)
+        held[sf_dir] = Catalogue.load(spark, path)
+    return held[sf_dir]
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Catalogue:
     """The names come from one distinct over the part table; all else follows from these few rows."""
     names = table(spark, sf_dir, "part").select("p_name").filter("p_name is not null").distinct()
     noun = F.split_part("p_name", F.lit(" "), F.lit(2))
@@ -37,7 +48,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
     own = parts.groupBy("leaf_code").agg(F.min("part_ord").alias("ref_ord")).select(F.col("leaf_code").alias("key"), "leaf_code", F.col("ref_ord").alias("key_ord"), "ref_ord")
     more = leaves.select("leaf_code", "leaf_ord").join(spark.createDataFrame([("old", "bolt"), ("old", "ring"), ("steel widget", "gear"), ("red bolt", "anvil")], "key string, leaf_code string"), "leaf_code")
     more = more.select("key", "leaf_code", F.when(F.col("key") == "old", 1000).when(F.col("key") == "steel widget", 1001).otherwise(1002).alias("key_ord"), F.col("leaf_ord").alias("ref_ord"))
-    return Catalogue(parts, leaves, members, keys, own.unionByName(more)).persist()
+    return Catalogue(parts, leaves, members, keys, own.unionByName(more))
 
 
 #: The same tables in DuckDB.

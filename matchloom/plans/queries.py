@@ -308,7 +308,7 @@ _INDEX_SQL = f"WITH {CATALOGUE_SQL}, words AS (SELECT key, string_agg(category,
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories.category_index(catalogue(spark, sf_dir)).persist()
+    return categories.category_index(catalogue(spark, sf_dir))
 
 
 @query("category_index", f"{_INDEX_SQL} SELECT key, categories FROM words")

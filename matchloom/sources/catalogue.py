@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.text import match_key
 from ..functions.variants import SPACE, name_variants, stripped, subcategory_of
 
+if TYPE_CHECKING:
+    from ..operators.near import NearIndex
+
 # The grammar's marks.
 MARKER = "ДЕТАЛИЗАЦИЯ"
 CATEGORY = f"(?U)^#{{6,}}[{SPACE}]*(.+?)[{SPACE}]*#{{6,}}[{SPACE}]*$"
@@ -43,16 +47,38 @@ class Catalogue:
 
     def persist(self) -> Catalogue:
         """Keep all tables until unpersist(); nothing else here persists anything."""
-        for table in self._tables():
+        for table in self._tables().values():
             table.persist()
+        self.near.persist()
         return self
 
     def unpersist(self) -> None:
-        for table in self._tables():
+        for table in self._tables().values():
             table.unpersist()
-
-    def _tables(self) -> list[DataFrame]:
-        return [self.parts, self.leaves, self.members, self.names, self.synonyms, self.lookup, self.near_index, self.near_refs]
+        self.near.unpersist()
+
+    def _tables(self) -> dict[str, DataFrame]:
+        own = {"parts": self.parts, "leaves": self.leaves, "members": self.members, "names": self.names, "synonyms": self.synonyms}
+        return own | {"lookup": self.lookup, "near_refs": self.near_refs}
+
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """Write the catalogue to a folder, with all that matching derives from it and its near index (buckets: NearIndex.save)."""
+        for name, table in self._tables().items():
+            table.write.parquet(f"{path}/{name}")
+        self.near.save(f"{path}/near", buckets)
+        spark = self.parts.sparkSession
+        spark.createDataFrame(list(self.sizes().items()), "name string, rows long").coalesce(1).write.parquet(f"{path}/sizes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Catalogue:
+        """A catalogue that save() has written. (Rejected lines are not kept.)"""
+        from ..operators.near import NearIndex
+
+        own = ("parts", "leaves", "members", "names", "synonyms")
+        found = cls(*[spark.read.parquet(f"{path}/{name}") for name in own])
+        found._derived = {name: spark.read.parquet(f"{path}/{name}") for name in ("lookup", "near_refs")}
+        found._derived |= {"near": NearIndex.load(spark, f"{path}/near"), "sizes": dict(map(tuple, spark.read.parquet(f"{path}/sizes").collect()))}
+        return found
 
     def _once(self, name: str, make: Callable):
         if name not in self._derived:
@@ -83,6 +109,13 @@ class Catalogue:
         of = lambda table, tier: table.select("key", "key_ord", F.lit(tier).alias("tier"))
         return self._once("near_index", lambda: of(self.names, 3).unionByName(of(self.synonyms, 4)).distinct())
 
+    @property
+    def near(self) -> NearIndex:
+        """The keys of near_index with their pieces."""
+        from ..operators.near import NearIndex
+
+        return self._once("near", lambda: NearIndex(self.near_index))
+
     @property
     def near_refs(self) -> DataFrame:
         """found (a key), tier, part_id, ref_ord, pos: the parts that a near key stands for."""
@@ -94,13 +127,13 @@ class Catalogue:
 
         return self._once("near_refs", make)
 
-    def sizes(self) -> dict[str, tuple[int, int, int]]:
-        """Rows, and shortest and longest key, of each table; one job, run once for a catalogue."""
+    def sizes(self) -> dict[str, int]:
+        """Rows of the tables that are joined to phrases; one job, run once for a catalogue."""
 
         def make() -> dict:
-            tables = {"parts": self.parts, "lookup": self.lookup, "near_index": self.near_index, "near_refs": self.near_refs}
-            rows = [key_sizes(df, name) for name, df in tables.items()]
-            return {r[0]: tuple(r[1:]) for r in reduce(DataFrame.union, rows).collect()}
+            tables = {"parts": self.parts, "lookup": self.lookup, "near_refs": self.near_refs}
+            rows = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")) for name, df in tables.items()]
+            return dict(map(tuple, reduce(DataFrame.union, rows).collect()))
 
         return self._once("sizes", make)
 
@@ -117,12 +150,6 @@ def ordinals(*parts: Column | str) -> Column:
     return F.array(*[c.cast("long") for c in columns]).alias("at")
 
 
-def key_sizes(table: DataFrame, name: str = "") -> DataFrame:
-    """One row: name, rows, and the lengths of the shortest and the longest key (0 and -1 without keys)."""
-    length = F.length("key") if "key" in table.columns else F.lit(None).cast("int")
-    return table.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.min(length), F.lit(0)).alias("least"), F.coalesce(F.max(length), F.lit(-1)).alias("most"))
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no and line of a catalogue file, line ends as in the grammar."""
     return _lines(spark.read.text(path, wholetext=True).select("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,13 +13,24 @@ _INDEX = "index map<string,array<string>>"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; without one, on a local master, in a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of spark.checkpoint.dir (without one, on a local master, in a temporary folder), removed when the driver ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_matchloom_files", None)
     if found is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
-    return f"{found}/{name}-{uuid.uuid4().hex}"
+        found = spark._matchloom_files = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
+    path = f"{found}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing happens if the session or the path is gone."""
+    jsc = getattr(spark.sparkContext, "_jsc", None)
+    if jsc is None or jsc.sc().isStopped():
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_category_index(index: DataFrame, path: str) -> None:

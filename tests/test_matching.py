@@ -14,7 +14,8 @@ from matchloom.functions.text import AZ_LOWER, AZ_UPPER, match_key, round3, simi
 from matchloom.functions.variants import name_variants, slash_expansion, subcategory_of
 from matchloom.operators.categories import ambiguous_words, category_index, index_meta, resolve_categories, resolve_one
 from matchloom.operators.funnel import answered, fold_answers, funnel
-from matchloom.operators.matching import match, match_one, near_keys
+from matchloom.operators.matching import match, match_one
+from matchloom.operators.near import NearIndex, near_keys
 from matchloom.operators.quality import collisions, require, stale
 from matchloom.plans.reports import canonical_lines, canonical_names, export, index_document
 from matchloom.sources.catalogue import parse_file, parse_text
@@ -298,7 +299,7 @@ def test_near_keys_against_all_pairs(spark):
     pairs = spark.createDataFrame(sorted(set(asked)), "key string, threshold double")
     index = spark.createDataFrame([(k, n, 3 + n % 2) for n, k in enumerate(keys)], "key string, key_ord int, tier int")
     got = {}
-    for r in near_keys(pairs, index, (len(keys), 1, 14)).collect():
+    for r in near_keys(pairs, NearIndex(index)).collect():
         got.setdefault((r.key, r.threshold), set()).add((r.tier, r.score, r.found))
     for key, t in set(asked):
         hits = [(3 + n % 2, alike(key, k), k) for n, k in enumerate(keys) if alike(key, k) >= t]
