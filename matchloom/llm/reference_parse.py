@@ -7,7 +7,7 @@ window repeats is found where its anchor is. Consecutive windows with one anchor
 1. Anchors of all documents are counted by document; only those of two documents or more go on.
 2. Their segments are read off, each with a 128-bit BLAKE2b digest of its words. Segments of one digest are one kind,
    which belongs to the first document that holds it; all later documents repeat it as a whole.
-3. The words of each kind, cut from its first place, go to reference blocks by anchor. A block is indexed by a
+3. The words of each kind that is not alone with its anchor, cut from its first place, go to reference blocks by anchor. A block is indexed by a
    suffix array of its words, and each of its segments is parsed greedily against what the block holds of earlier
    documents: the longest factor, the longest from there on, and so on. Factors of 13 words or more
    are repeated. A window that straddles the end of a factor may be repeated as well, so these are
@@ -113,6 +113,7 @@ def _read_off(window: int, gram: int):
 
 
 _SEGMENT = "anchor long, hi long, lo long, doc long, text_hash long, first int, n int"
+_PIECE = "anchor long, hi long, lo long, doc long, hot boolean, body string"
 KIND = ["anchor", "hi", "lo"]
 
 
@@ -122,14 +123,18 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                rows: dict[str, list] = {"anchor": [], "hi": [], "lo": [], "body": []}
-                for text, found in zip(batch.column(0)[k : k + 256], batch.column(1)[k : k + 256]):
+                part = batch.slice(k, 256)
+                found, bodies = part.column(1), []
+                each = found.flatten()
+                spans = zip(each.field("first").to_pylist(), each.field("n").to_pylist())
+                sizes = found.value_lengths().to_numpy()
+                for text, size in zip(part.column(0), sizes.tolist()):
                     words = text.as_py().encode().split()
-                    for s in found.as_py():
-                        for c in KIND:
-                            rows[c].append(s[c])
-                        rows["body"].append(b" ".join(words[s["first"] : s["first"] + s["n"] - 1 + window]).decode())
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([("anchor", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("body", pa.string())]))
+                    for _ in range(size):
+                        first, n = next(spans)
+                        bodies.append(b" ".join(words[first : first + n - 1 + window]))
+                doc = part.column(2).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([*(each.field(c) for c in KIND), doc, each.field("hot"), pa.array(bodies, pa.binary()).cast(pa.string())], [*KIND, "doc", "hot", "body"])
 
     return run
 
@@ -266,8 +271,8 @@ def _single_windows(bodies: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """doc, text_hash and found: the spans of words (begin, end) that repeated windows cover; they may overlap.
 
-    docs has doc (not null), text_hash and text. All segments are shuffled once, as digests; words of
-    a segment only once for each kind whose anchor two documents share.
+    docs has doc (not null), text_hash and text; the first two tell rows with different texts apart. All segments are
+    shuffled once, as digests; words of a segment only once for each kind whose anchor has others.
     """
     spark = docs.sparkSession
     seen = docs.select("doc", "text_hash", "text").mapInArrow(trimmed(_anchors(window, gram)), "anchor long, doc long")
@@ -278,20 +283,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     remove(spark, shared_at)
     release(spark)
     kinds, kinds_at = written(met.groupBy(*KIND).agg(F.min(F.struct("doc", "text_hash", "first", "n")).alias("at")), "kinds")
-    # written first, so that joins can be split where an anchor has very many kinds
-    many, many_at = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > block).select("anchor", F.lit(True).alias("hot")), "many")
-
-    by_doc = kinds.groupBy(F.col("at.doc").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(F.struct(*KIND, "at.first", "at.n")).alias("found"))
+    release(spark)
+    # written first, so that the join can be split where an anchor has very many kinds
+    # a kind that is alone with its anchor shares a window with no other
+    many, many_at = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor", (F.col("kinds") > block).alias("hot")), "many")
+    fields = F.struct(*KIND, "at.first", "at.n", "hot")
+    by_doc = kinds.join(many, "anchor").groupBy(F.col("at.doc").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(fields).alias("found"))
     wanted, wanted_at = written(by_doc, "wanted")
-    cut = docs.join(wanted, (docs["doc"] == wanted["own"]) & (docs["text_hash"] == wanted["own_hash"])).select("text", "found")
+    release(spark)
+    cut = docs.join(wanted, (docs["doc"] == wanted["own"]) & (docs["text_hash"] == wanted["own_hash"])).select("text", "found", "doc")
     # rows that are there many times give their words as often
-    pieces = cut.mapInArrow(trimmed(_cut(window)), "anchor long, hi long, lo long, body string").groupBy(*KIND).agg(F.min("body").alias("body"))
-    named, named_at = written(pieces.join(kinds.select(*KIND, "at.doc"), KIND).join(many, "anchor", "left"), "bodies")
+    pieces = cut.mapInArrow(trimmed(_cut(window)), _PIECE).groupBy(*KIND, "doc", "hot").agg(F.min("body").alias("body"))
+    named, named_at = written(pieces, "bodies")
     for path in (wanted_at, many_at):
         remove(spark, path)
     release(spark)
     blocks = max(1, -(-2 * named.count() // block))
-    cold = named.filter("hot is null").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).applyInArrow(_parse_block(window), _FOUND)
+    cold = named.filter("not hot").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).applyInArrow(_parse_block(window), _FOUND)
     found, found_at = written(cold.unionByName(_single_windows(named.filter("hot"), window)), "found")
     remove(spark, named_at)
     release(spark)
@@ -348,7 +356,10 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     names = docs.columns
     named = docs.toDF(*[f"c{k}" for k in range(len(names))])
     doc, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
-    plain = named.select(doc.cast("long").alias("doc_id"), F.coalesce(doc.cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    place = F.coalesce(doc.cast("long"), F.lit(_LAST)).alias("doc")
+    # where rows share ids, a hash of the text tells them apart
+    again = named.select(place).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    plain = named.select(doc.cast("long").alias("doc_id"), place, (F.xxhash64(text) if again else F.lit(0).cast("long")).alias("text_hash"), text.alias("text"))
     spans = repeated_spans(plain.filter("text is not null").select("doc", "text_hash", "text"), window, gram, block).withColumnsRenamed({"doc": "own", "text_hash": "own_hash"})
     both = plain.join(spans, (plain["doc"] == spans["own"]) & (plain["text_hash"] == spans["own_hash"]), "left").select("doc_id", "text", "found")
     return both.mapInArrow(trimmed(_remove), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
