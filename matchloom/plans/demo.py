@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
-from ..sources.catalogue import Catalogue
+from ..sources.catalogue import MARKER, Catalogue
 from ..sources.files import shared_path
 
 HEAVY = ("anvil", "plate", "gear")
@@ -129,3 +129,44 @@ c AS (SELECT *, CASE WHEN noun IN ('anvil', 'plate', 'gear') THEN 'heavy' WHEN n
 k AS (SELECT *, row_number() OVER (ORDER BY category, noun, p_name) AS k FROM c),
 file_parts AS (SELECT 'PA-' || lpad(CAST(k AS VARCHAR), 5, '0') AS part_id, 'RU ' || p_name AS name_ru, p_name AS name_az, category, upper(left(noun, 1)) || substr(noun, 2) AS subcategory, noun AS leaf_code,
                 noun IN ('anvil', 'plate', 'gear') AS side_flag, noun IN ('gear', 'ring') AS position_flag, k FROM k)"""
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file and value: catalogue texts of 500 rows of part each, with all that a catalogue can have wrong.
+
+    Ten rows make a block: a category, a leaf (codes come again), parts (ids come again), synonyms (some empty), and a
+    line that means nothing. In each fourth block a second category comes before the last part and the synonyms, which
+    so have no leaf. A text's first twenty lines come before its section, whose mark is the twenty-first.
+    """
+    k, name = F.col("p_partkey"), F.col("p_name")
+    text = lambda x: x.cast("string")
+    block, step, word = F.floor(k / 10), F.pmod(k, F.lit(10)), lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    category = F.concat(F.lit("###### Cat "), text(F.pmod(block, F.lit(7))), F.lit(" ######"))
+    part = F.concat(F.lit("  PA-"), text(F.floor(k / 3)), F.lit("  Имя "), name, F.lit(" | "), name, F.lit(" "), text(step), F.lit("  [side:"), text(step == 3), F.lit("|position:"), text(step == 4), F.lit("]"))
+    line = (
+        F.when(F.pmod(k, F.lit(500)) == 20, F.lit(f"=== {MARKER} ==="))
+        .when(step == 0, category)
+        .when((step == 5) & (F.pmod(block, F.lit(4)) == 0), category)
+        .when(step == 1, F.concat(F.lit("▸ "), name, F.lit(" / Деталь ["), word(2), F.lit("-"), text(F.pmod(block, F.lit(5))), F.lit("]")))
+        .when(step == 7, F.concat(F.lit("  синонимы: "), word(2), F.lit(",, "), word(1), F.lit(" (x), ?!")))
+        .when(step == 8, F.lit("  nothing here"))
+        .otherwise(part)
+    )
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 500).alias("file"), k.alias("k"), line.alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("k", "line")))
+    return rows.groupBy("file").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("value"))
+
+
+#: Those lines and what is in force at each, in DuckDB.
+TEXTS_SQL = """
+WITH t AS (SELECT p_partkey AS k, p_partkey // 500 AS file, p_partkey // 10 AS block, p_partkey % 10 AS step, p_name, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two,
+                  row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS line_no FROM part),
+said AS (SELECT *, CASE WHEN step = 0 OR step = 5 AND block % 4 = 0 THEN 'category' WHEN step = 1 THEN 'leaf' WHEN step = 7 THEN 'synonyms' WHEN step <> 8 THEN 'part' END AS kind,
+                   (file << 32) + line_no AS place FROM t WHERE k % 500 > 20 AND EXISTS (SELECT 1 FROM t m WHERE m.file = t.file AND m.k % 500 = 20)),
+told AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'category' THEN 'Cat ' || (block % 7) END IGNORE NULLS) OVER o, '') AS category,
+                nullif(last_value(CASE WHEN kind = 'category' THEN '-' WHEN kind = 'leaf' THEN two || '-' || (block % 5) END IGNORE NULLS) OVER o, '-') AS leaf_code
+         FROM said WINDOW o AS (PARTITION BY file ORDER BY k ROWS UNBOUNDED PRECEDING)),
+kept_leaves AS (SELECT leaf_code, arg_min(category, place) AS category, arg_min(p_name, place) AS subcategory, min(place) AS leaf_ord FROM told WHERE kind = 'leaf' GROUP BY leaf_code),
+kept_parts AS (SELECT 'PA-' || (k // 3) AS part_id, 'Имя ' || p_name AS name_ru, p_name || ' ' || step AS name_az, leaf_code, step, place FROM told WHERE kind = 'part' AND leaf_code IS NOT NULL),
+kept_names AS (SELECT lower(n) AS key, part_id FROM (SELECT part_id, unnest([name_ru, name_az]) AS n FROM kept_parts)),
+kept_synonyms AS (SELECT key, leaf_code, (place << 15) + nth AS spot FROM (SELECT leaf_code, place, unnest([two, one || ' x']) AS key, unnest([0, 2]) AS nth FROM told WHERE kind = 'synonyms' AND leaf_code IS NOT NULL))"""

@@ -15,10 +15,10 @@ from ..functions.text import match_key, similarity, words
 from ..functions.variants import name_variants, slash_expansion, subcategory_of
 from ..operators import categories, funnel, matching, quality
 from .. import commands
-from ..sources.catalogue import classified, parse, parse_file, text_lines
+from ..sources.catalogue import classified, parse_file, parse_texts, text_lines
 from ..sources.files import read_category_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
 from . import reports
-from .demo import CATALOGUE_SQL, KEYED_SQL, LINES_SQL, PHRASES_SQL, catalogue, catalogue_lines, phrases, table
+from .demo import CATALOGUE_SQL, KEYED_SQL, LINES_SQL, PHRASES_SQL, TEXTS_SQL, catalogue, catalogue_lines, phrases, table, texts
 from .registry import ORACLES, QUERIES
 
 
@@ -218,29 +218,14 @@ def subcategories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(leaf.alias("leaf")).distinct().select("leaf", subcategory_of(F.col("leaf")).alias("subcategory"))
 
 
-_CATALOGUE_TEXT = """intro
-ДЕТАЛИЗАЦИЯ
-▸ Loose [loose]
-  LO-001  Раз | Bir  [side:false|position:false]
-###### Cat A ######
-  ZZ-001  Нет | Yox  [side:false|position:false]
-▸ First / Первый [one]
-  AA-001  Два | Iki  [side:true|position:false]
-  AA-002  Три | Üç (3/III)  [side:false|position:true]
-  синонимы: two, Three,, two
-###### Cat B ######
-▸ Second [two]
-  BB-001  Четыре | Dörd  [side:false|position:false]
-▸ Other name [one]
-  AA-003  Пять | Beş/Altı say  [side:false|position:false]
-  AA-001  Два снова | Iki yeni  [side:false|position:false]
-  синонимы: three, five
-"""
-
-
-@query("catalogue_parse", "SELECT * FROM (VALUES ('LO-001', 'Раз', 'Bir', '', 'Loose', 'loose', false, false, 3), ('AA-001', 'Два снова', 'Iki yeni', 'Cat A', 'First', 'one', false, false, 7), ('AA-002', 'Три', 'Üç (3/III)', 'Cat A', 'First', 'one', false, true, 8), ('BB-001', 'Четыре', 'Dörd', 'Cat B', 'Second', 'two', false, false, 12), ('AA-003', 'Пять', 'Beş/Altı say', 'Cat A', 'First', 'one', false, false, 14)) t(part_id, name_ru, name_az, category, subcategory, leaf_code, side_flag, position_flag, part_ord)")
+@query(
+    "catalogue_parse",
+    f"""{TEXTS_SQL} SELECT part_id, arg_max(name_ru, place) AS name_ru, arg_max(name_az, place) AS name_az, any_value(l.category) AS category, any_value(l.subcategory) AS subcategory, any_value(l.leaf_code) AS leaf_code,
+       arg_max(step = 3, place) AS side_flag, arg_max(step = 4, place) AS position_flag, min(place) AS part_ord
+FROM (SELECT *, last_value(leaf_code) OVER (PARTITION BY part_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS own FROM kept_parts) p JOIN kept_leaves l ON l.leaf_code = p.own GROUP BY part_id""",
+)
 def catalogue_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).parts
+    return parse_texts(texts(spark, sf_dir)).parts
 
 
 def _file_catalogue(spark: SparkSession, sf_dir: str) -> str:
@@ -274,27 +259,30 @@ def cli_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "phrase string, status string, part_id string, category string, side string")
 
 
-_LINES_SQL = "WITH l AS (SELECT k - 1 AS line_no, line FROM (SELECT unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS k FROM (SELECT '" + _CATALOGUE_TEXT + "' AS x)))"
-
-
-@query("fill_down", f"{_LINES_SQL}, e AS (SELECT line_no, CASE WHEN line LIKE '######%' THEN 'category' WHEN line LIKE '▸%' THEN 'leaf' WHEN regexp_matches(line, '^ *[A-Z]{{2,3}}-') THEN 'part' WHEN line LIKE '%синонимы:%' THEN 'synonyms' END AS kind, line FROM l WHERE line_no > 1), g AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'category' THEN regexp_extract(line, '#+ (.*) #+', 1) END IGNORE NULLS) OVER w, '') AS category, max(CASE WHEN kind IN ('category', 'leaf') THEN line_no END) OVER w AS head FROM e WINDOW w AS (ORDER BY line_no)) SELECT CAST(g.line_no AS INTEGER) AS line_no, g.kind, g.category, CASE WHEN h.kind = 'leaf' THEN regexp_extract(h.line, '\\[([a-z0-9-]+)\\]', 1) END AS leaf_code FROM g LEFT JOIN g h ON h.line_no = g.head")
+@query("fill_down", f"{TEXTS_SQL} SELECT file, line_no, place, kind, category, leaf_code FROM told")
 def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(text_lines(spark, _CATALOGUE_TEXT)).drop("line")
+    return classified(text_lines(texts(spark, sf_dir)), 64).drop("line")
 
 
-@query("leaf_first_wins", "SELECT * FROM (VALUES ('loose', '', 'Loose'), ('one', 'Cat A', 'First'), ('two', 'Cat B', 'Second')) t(leaf_code, category, subcategory)")
+@query("leaf_first_wins", f"{TEXTS_SQL} SELECT leaf_code, category, subcategory, leaf_ord FROM kept_leaves")
 def leaf_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).leaves.drop("leaf_ord")
+    return parse_texts(texts(spark, sf_dir)).leaves
 
 
-@query("part_last_wins", "SELECT * FROM (VALUES ('ıki', 'AA-001'), ('ıki yeni', 'AA-001'), ('bir', 'LO-001'), ('üç 3 ııı', 'AA-002'), ('3 ııı', 'AA-002'), ('3', 'AA-002'), ('ııı', 'AA-002'), ('dörd', 'BB-001'), ('beş altı say', 'AA-003'), ('beş say', 'AA-003'), ('altı say', 'AA-003'), ('раз', 'LO-001'), ('два', 'AA-001'), ('два снова', 'AA-001'), ('три', 'AA-002'), ('четыре', 'BB-001'), ('пять', 'AA-003')) t(key, part_id)")
+@query("part_last_wins", f"{TEXTS_SQL} SELECT DISTINCT key, part_id FROM kept_names")
 def part_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).names.select("key", "part_id")
+    return parse_texts(texts(spark, sf_dir)).names.select("key", "part_id")
 
 
-@query("synonym_index", "SELECT * FROM (VALUES ('two', 'one', 1, 1), ('three', 'one', 2, 1), ('five', 'one', 3, 1)) t(key, leaf_code, key_ord, ref_ord)")
+@query("synonym_index", f"{TEXTS_SQL} SELECT DISTINCT key, leaf_code, min(spot) OVER (PARTITION BY key) AS key_ord, min(spot) OVER (PARTITION BY key, leaf_code) AS ref_ord FROM kept_synonyms")
 def synonym_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(text_lines(spark, _CATALOGUE_TEXT)).synonyms
+    return parse_texts(texts(spark, sf_dir)).synonyms
+
+
+@query("orphan_lines", f"{TEXTS_SQL} SELECT file, line_no, kind FROM told WHERE kind IS NULL OR kind IN ('part', 'synonyms') AND leaf_code IS NULL")
+def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.contains("line", F.lit("синонимы")), "synonyms").when(F.contains("line", F.lit("[side:")), "part")
+    return parse_texts(texts(spark, sf_dir)).rejects.select("file", "line_no", kind.alias("kind"))
 
 
 @query("catalogue_counts", f"WITH {CATALOGUE_SQL} SELECT (SELECT count(*) FROM parts) AS n_parts, (SELECT count(*) FROM leaves) AS n_leaves, (SELECT count(DISTINCT category) FROM leaves) AS n_categories")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key
 from ..functions.variants import SPACE, name_variants, stripped, subcategory_of
+from .files import shared_path
 
 if TYPE_CHECKING:
     from ..operators.near import NearIndex
@@ -25,16 +26,19 @@ CATEGORY = f"(?U)^#{{6,}}[{SPACE}]*(.+?)[{SPACE}]*#{{6,}}[{SPACE}]*$"
 LEAF = f"(?U)^[{SPACE}]*▸[{SPACE}]*(.+?)[{SPACE}]*\\[([a-z0-9-]+)\\]"
 PART = f"(?U)^[{SPACE}]*([A-Z]{{2,3}}-\\d+)[{SPACE}]+(.+?)[{SPACE}]+\\|[{SPACE}]+(.+?)[{SPACE}]+\\[side:(true|false)\\|position:(true|false)\\][{SPACE}]*$"
 SYNONYMS = f"(?U)^[{SPACE}]*синонимы:[{SPACE}]*(.+)$"
-_LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: Line ends other than a line feed.
+_OTHER_END = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: Lines of a split.
+SPLIT = 10_000
 
 
 @dataclass
 class Catalogue:
     """parts(part_id, name_ru, name_az, category, subcategory, leaf_code, side_flag, position_flag, part_ord),
     leaves(leaf_code, category, subcategory, leaf_ord), members(leaf_code, part_id, pos),
-    names(key, part_id, key_ord, ref_ord), synonyms(key, leaf_code, key_ord, ref_ord), rejects(line_no, line).
+    names(key, part_id, key_ord, ref_ord), synonyms(key, leaf_code, key_ord, ref_ord), rejects(file, line_no, line).
 
-    Ordinals are line numbers, or structs that begin with one; only their order matters.
+    Ordinals are whole numbers that follow the order of lines; only their order matters.
     """
 
     parts: DataFrame
@@ -150,82 +154,118 @@ def ordinals(*parts: Column | str) -> Column:
     return F.array(*[c.cast("long") for c in columns]).alias("at")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and line of a catalogue file, line ends as in the grammar."""
-    return _lines(spark.read.text(path, wholetext=True).select("value"))
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line_no and line of catalogue files, line ends as in the grammar; files are numbered by their paths.
 
+    Files are read in splits. Lines are counted split by split, and a split's first line has the number of all before it.
+    """
+    text = spark.read.text(path, lineSep="\n")
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    # a carriage return before the line feed belongs to it; other line ends may be within
+    lines = rows.select("path", "block", "row", F.posexplode(F.split(F.regexp_replace("value", "\\r\\z", ""), _OTHER_END, -1)).alias("nth", "line"))
+    split = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    base = split.select("path", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    files = split.select("path").distinct().select("path", (F.rank().over(Window.orderBy("path")) - 1).cast("long").alias("file"))  # a row a file
+    order = Window.partitionBy("path", "block").orderBy("row", "nth")
+    numbered = lines.withColumn("at", F.row_number().over(order)).join(base, ["path", "block"]).join(F.broadcast(files), "path")
+    return numbered.select("file", (F.col("base") + F.col("at") - 1).alias("line_no"), "line")
 
-def text_lines(spark: SparkSession, text: str) -> DataFrame:
-    return _lines(spark.createDataFrame([(text,)], "value string"))
 
+def text_lines(texts: DataFrame) -> DataFrame:
+    """file, line_no and line of a table of catalogue texts (file: a number, value)."""
+    return texts.select(F.col("file").cast("long").alias("file"), F.posexplode(F.split("value", f"\r\n|\n|{_OTHER_END}", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
-def _lines(whole: DataFrame) -> DataFrame:
-    return whole.select(F.posexplode(F.split("value", _LINE_END, -1)).alias("line_no", "line"))
 
+def classified(lines: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Lines of the detail sections with place, kind, category and leaf_code, filled down from the headings.
 
-def classified(lines: DataFrame) -> DataFrame:
-    """Lines of the detail section with kind, category and leaf_code, filled down from the headings.
+    lines has line_no and line, and may have file, a number: each file has its own section and headings. A
+    category heading leaves no current leaf; a leaf heading keeps the category. place orders all lines: file, then line_no.
 
-    A category heading leaves no current leaf; a leaf heading keeps the category. A catalogue is one file
-    in one order, so its lines go through one window; tables of phrases never do.
+    Headings are carried in two passes: of each split of so many lines, the last ones are gathered, and a scan over the
+    splits of a file gives every split those that are in force where it begins. So a file's lines are never in one
+    task, only a row for each of its splits.
     """
     line = F.col("line")
-    marker = F.contains(line, F.lit(MARKER))
-    ordered = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = lines.withColumns({"marker": marker, "inside": F.max(marker).over(ordered)}).filter("inside and not marker")
+    file = F.col("file").cast("long") if "file" in lines.columns else F.lit(0).cast("long")
+    rows = lines.select(file.alias("file"), F.col("line_no").cast("long").alias("line_no"), "line").withColumn("marker", F.contains(line, F.lit(MARKER)))
+    gates = rows.filter("marker").groupBy("file").agg(F.min("line_no").alias("gate"))
+    inside = rows.join(gates, "file").filter("line_no > gate and not marker")
     kind = F.when(line.rlike(CATEGORY), "category").when(line.rlike(LEAF), "leaf").when(line.rlike(PART), "part").when(line.rlike(SYNONYMS), "synonyms")
-    heading = stripped(F.replace(F.regexp_extract("line", CATEGORY, 1), F.lit("🆕")))
+    heading = F.when(F.col("kind") == "category", stripped(F.replace(F.regexp_extract("line", CATEGORY, 1), F.lit("🆕"))))
     code = F.when(F.col("kind") == "leaf", F.regexp_extract("line", LEAF, 2))
-    known = inside.select("line_no", "line", kind.alias("kind"))
     event = F.when(F.col("kind").isin("category", "leaf"), F.struct(code.alias("leaf_code")))
-    category = F.coalesce(F.last(F.when(F.col("kind") == "category", heading), ignorenulls=True).over(ordered), F.lit(""))
-    return known.select("*", category.alias("category"), F.last(event, ignorenulls=True).over(ordered)["leaf_code"].alias("leaf_code"))
+    known = inside.select("file", "line_no", "line", kind.alias("kind")).withColumns({"split": F.floor(F.col("line_no") / split), "heading": heading, "event": event})
+
+    ends = known.groupBy("file", "split").agg(F.max_by("heading", F.when(F.col("heading").isNotNull(), F.col("line_no"))).alias("heading"), F.max_by("event", F.when(F.col("event").isNotNull(), F.col("line_no"))).alias("event"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "split", F.last("heading", ignorenulls=True).over(before).alias("old_heading"), F.last("event", ignorenulls=True).over(before).alias("old_event"))
+    so_far = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    category = F.coalesce(F.last("heading", ignorenulls=True).over(so_far), "old_heading", F.lit(""))
+    leaf = F.coalesce(F.last("event", ignorenulls=True).over(so_far), "old_event")["leaf_code"]
+    place = F.shiftleft("file", 32) + F.col("line_no")
+    return known.join(carried, ["file", "split"]).select("file", "line_no", place.alias("place"), "line", "kind", category.alias("category"), leaf.alias("leaf_code"))
 
 
-def parse(lines: DataFrame) -> Catalogue:
-    """The tables of a catalogue's lines.
+def parse(lines: DataFrame, split: int = SPLIT) -> Catalogue:
+    """The tables of a catalogue's lines (line_no, line, and file where there are several).
 
     A leaf code that comes again keeps its first category and name; a part id that comes again keeps its
     last definition, and the names of both. Parts and synonyms without a current leaf are left out, and so
-    is every line that the grammar does not know (those in the section are in rejects).
+    is every line that the grammar does not know (those in a section are in rejects). The lines with what is
+    in force at each are written to the shared folder once; all tables are read off them.
     """
-    known = classified(lines)
-    leaf = known.filter("kind = 'leaf'").select("leaf_code", "line_no", "category", subcategory_of(F.regexp_extract("line", LEAF, 1)).alias("subcategory"))
-    leaves = leaf.groupBy("leaf_code").agg(F.min(F.struct("line_no", "category", "subcategory")).alias("first")).select("leaf_code", "first.category", "first.subcategory", F.col("first.line_no").alias("leaf_ord"))
+    spark, path = lines.sparkSession, shared_path(lines.sparkSession, "lines")
+    told = classified(lines, split)
+    told.write.parquet(path)
+    return tables_of(spark.read.schema(told.schema).parquet(path))
+
+
+def tables_of(known: DataFrame) -> Catalogue:
+    """The tables of classified lines."""
+    leaf = known.filter("kind = 'leaf'").select("leaf_code", "place", "category", subcategory_of(F.regexp_extract("line", LEAF, 1)).alias("subcategory"))
+    leaves = leaf.groupBy("leaf_code").agg(F.min(F.struct("place", "category", "subcategory")).alias("first")).select("leaf_code", "first.category", "first.subcategory", F.col("first.place").alias("leaf_ord"))
 
     group = {"id": 1, "ru": 2, "az": 3, "side": 4, "pos": 5}
     got = {k: F.regexp_extract("line", PART, n) for k, n in group.items()}
     rows = known.filter("kind = 'part' and leaf_code is not null").select(
-        "line_no", "leaf_code", got["id"].alias("part_id"), stripped(got["ru"]).alias("name_ru"), stripped(got["az"]).alias("name_az"),
+        "place", "leaf_code", got["id"].alias("part_id"), stripped(got["ru"]).alias("name_ru"), stripped(got["az"]).alias("name_az"),
         (got["side"] == "true").alias("side_flag"), (got["pos"] == "true").alias("position_flag"),
     )
-    fields = ["line_no", "leaf_code", "name_ru", "name_az", "side_flag", "position_flag"]
-    last = rows.groupBy("part_id").agg(F.max(F.struct(*fields)).alias("last"), F.min("line_no").cast("int").alias("part_ord"))
+    fields = ["place", "leaf_code", "name_ru", "name_az", "side_flag", "position_flag"]
+    last = rows.groupBy("part_id").agg(F.max(F.struct(*fields)).alias("last"), F.min("place").alias("part_ord"))
     parts = last.select("part_id", *[f"last.{c}" for c in fields[1:]], "part_ord").join(leaves.drop("leaf_ord"), "leaf_code")
     parts = parts.select("part_id", "name_ru", "name_az", "category", "subcategory", "leaf_code", "side_flag", "position_flag", "part_ord")
-    members = rows.select("leaf_code", "part_id", F.col("line_no").alias("pos"))
-
-    both = rows.select("line_no", "part_id", F.posexplode(F.array("name_ru", "name_az")).alias("which", "name"))
-    keys = both.select("part_id", "line_no", "which", F.posexplode(name_variants(F.col("name"))).alias("nth", "variant"))
-    keys = keys.select(match_key(F.col("variant")).alias("key"), F.col("part_id").alias("ref"), F.struct("line_no", "which", "nth").alias("at")).filter("key <> ''")
-    split = known.filter("kind = 'synonyms' and leaf_code is not null").select("line_no", "leaf_code", F.posexplode(F.split(F.regexp_extract("line", SYNONYMS, 1), ",")).alias("nth", "synonym"))
-    said = split.select(match_key(F.col("synonym")).alias("key"), F.col("leaf_code").alias("ref"), F.struct("line_no", "nth").alias("at")).filter("key <> ''")
-    rejects = known.filter("kind is null and line rlike '\\\\S' or kind in ('part', 'synonyms') and leaf_code is null").select("line_no", "line")
+    members = rows.select("leaf_code", "part_id", F.col("place").alias("pos"))
+
+    both = rows.select("place", "part_id", F.posexplode(F.array("name_ru", "name_az")).alias("which", "name"))
+    keys = both.select("part_id", "place", "which", F.posexplode(name_variants(F.col("name"))).alias("nth", "variant"))
+    # the place, one bit for the language, and the number of the variant
+    at = F.shiftleft("place", 15) + F.shiftleft(F.col("which").cast("long"), 14) + F.col("nth")
+    keys = keys.select(match_key(F.col("variant")).alias("key"), F.col("part_id").alias("ref"), at.alias("at")).filter("key <> ''")
+    split = known.filter("kind = 'synonyms' and leaf_code is not null").select("place", "leaf_code", F.posexplode(F.split(F.regexp_extract("line", SYNONYMS, 1), ",")).alias("nth", "synonym"))
+    said = split.select(match_key(F.col("synonym")).alias("key"), F.col("leaf_code").alias("ref"), (F.shiftleft("place", 15) + F.col("nth")).alias("at")).filter("key <> ''")
+    rejects = known.filter("kind is null and line rlike '\\\\S' or kind in ('part', 'synonyms') and leaf_code is null").select("file", "line_no", "line")
     return Catalogue(parts, leaves, members, indexed(keys).withColumnRenamed("ref", "part_id"), indexed(said).withColumnRenamed("ref", "leaf_code"), rejects)
 
 
 def indexed(rows: DataFrame) -> DataFrame:
     """key, ref, key_ord, ref_ord: each pair once, and where keys, and refs under a key, first came."""
-    pairs = rows.groupBy("key", "ref").agg(F.min("at").alias("at"))
-    keys = rows.groupBy("key").agg(F.min("at").alias("first"))
-    key_ord = F.dense_rank().over(Window.orderBy("first"))
-    ref_ord = F.row_number().over(Window.partitionBy("key").orderBy("at"))
-    return pairs.join(keys, "key").select("key", "ref", key_ord.alias("key_ord"), ref_ord.alias("ref_ord"))
+    pairs = rows.groupBy("key", "ref").agg(F.min("at").alias("ref_ord"))
+    keys = rows.groupBy("key").agg(F.min("at").alias("key_ord"))
+    return pairs.join(keys, "key").select("key", "ref", "key_ord", "ref_ord")
 
 
-def parse_file(spark: SparkSession, path: str) -> Catalogue:
+def parse_file(spark: SparkSession, path: str | list[str]) -> Catalogue:
+    """The catalogue of one file, or of several in the order of their paths."""
     return parse(read_lines(spark, path))
 
 
 def parse_text(spark: SparkSession, text: str) -> Catalogue:
-    return parse(text_lines(spark, text))
+    return parse_texts(spark.createDataFrame([(0, text)], "file long, value string"))
+
+
+def parse_texts(texts: DataFrame) -> Catalogue:
+    """The catalogue of a table of texts (file, a number that orders them, and value)."""
+    return parse(text_lines(texts))
