@@ -17,6 +17,8 @@ from ..operators import categories, funnel, matching, quality
 from .. import commands
 from ..sources.catalogue import classified, parse_file, parse_texts, text_lines
 from ..sources.files import read_category_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
+from ..streaming import sessions
+from ..streaming.phrases import match_to, read_matched
 from . import reports
 from .demo import CATALOGUE_SQL, KEYED_SQL, LINES_SQL, PHRASES_SQL, TEXTS_SQL, catalogue, catalogue_lines, phrases, table, texts
 from .registry import ORACLES, QUERIES
@@ -125,7 +127,10 @@ _KEPT_SQL = _MATCH_SQL.format(keep="k.restrict_category IS NULL OR m.category =
 
 def _matched(spark: SparkSession, sf_dir: str, restricted: bool = False) -> DataFrame:
     rows = phrases(spark, sf_dir)
-    found = matching.match(rows if restricted else rows.drop("restrict_category"), catalogue(spark, sf_dir))
+    return _flat(matching.match(rows if restricted else rows.drop("restrict_category"), catalogue(spark, sf_dir)))
+
+
+def _flat(found: DataFrame) -> DataFrame:
     ids = F.when(F.col("result.status") == "single_match", F.col("result.part_id")).otherwise(_joined("result.candidates.part_id"))
     return found.select(
         "qid", "result.status", ids.alias("ids"), F.round("result.match_score", 3).alias("match_score"), "tier",
@@ -413,11 +418,85 @@ def funnel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", F.col("category_result.status").alias("category_status"), "category_result.category", "result.status", "next_question")
 
 
-@query("funnel_answers", "WITH a AS (SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'cat' WHEN 1 THEN 'part' WHEN 2 THEN 'side' WHEN 3 THEN 'restart' ELSE 'other' END AS e FROM events), m AS (SELECT user_id, count(*) AS n_answers, max(event_id) FILTER (WHERE e = 'cat') AS c, max(event_id) FILTER (WHERE e = 'part') AS p, max(event_id) FILTER (WHERE e = 'side') AS s, max(event_id) FILTER (WHERE e = 'restart') AS r FROM a GROUP BY user_id) SELECT user_id, CASE WHEN c > coalesce(r, -1) THEN CAST(c AS VARCHAR) END AS category, CASE WHEN p > greatest(coalesce(r, -1), coalesce(c, -1)) THEN CAST(p AS VARCHAR) END AS part_id, CASE WHEN s > greatest(coalesce(r, -1), coalesce(c, -1), coalesce(p, -1)) THEN CAST(s AS VARCHAR) END AS side, n_answers FROM m")
+_EVENTS_SQL = "e AS (SELECT user_id, event_id, [" + ", ".join(f"'{x}'" for x in funnel.EVENTS) + "][event_id % 7 + 1] AS e, CAST(event_id AS VARCHAR) AS v FROM events)"
+
+
+def _last_sql(sets: str, clears: str, flag: bool = False) -> str:
+    """What the last event that sets or clears a field leaves in it."""
+    which = f"FILTER (WHERE e IN ({sets}, {clears}))"
+    held = f"coalesce(arg_max(e IN ({sets}), event_id) {which}, FALSE)"
+    return held if flag else f"CASE WHEN {held} THEN arg_max(v, event_id) {which} END"
+
+
+_FOLD_SQL = f"""SELECT user_id AS session, {_last_sql("'cat'", "'cat-other', 'restart'")} AS category, {_last_sql("'part'", "'part-other', 'cat', 'cat-other', 'restart'")} AS part_id,
+       {_last_sql("'side'", "'part', 'part-other', 'cat', 'cat-other', 'restart'")} AS side, {_last_sql("'pos'", "'part', 'part-other', 'cat', 'cat-other', 'restart'")} AS position,
+       {_last_sql("'cat', 'cat-other'", "'restart'", True)} AS category_said, {_last_sql("'part-other'", "'part', 'cat', 'cat-other', 'restart'", True)} AS part_refused, count(*) AS n_answers FROM e GROUP BY user_id"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, funnel.EVENTS)), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), kind.alias("event"), F.col("event_id").cast("string").alias("value"))
+
+
+@query("funnel_answers", f"WITH {_EVENTS_SQL} {_FOLD_SQL}")
 def funnel_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, ["cat", "part", "side", "restart", "other"])), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
-    answers = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), kind.alias("event"), F.col("event_id").cast("string").alias("value"))
-    return funnel.fold_answers(answers).select(F.col("session").alias("user_id"), "category", "part_id", "side", "n_answers")
+    return funnel.fold_answers(_answers(spark, sf_dir))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, by: str, files: int = 4) -> DataFrame:
+    """A table as a stream of files, two at a time."""
+    path = shared_path(spark, "stream")
+    rows.repartition(files, by).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("funnel_answers_stream", f"WITH {_EVENTS_SQL} {_FOLD_SQL}")
+def funnel_answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, path = _answers(spark, sf_dir), shared_path(spark, "sessions")
+    sessions.fold_to(_streamed(spark, answers, "step"), path, shared_path(spark, "checkpoint")).awaitTermination()
+    return sessions.read_sessions(answers, path)
+
+
+@query("stream_match", f"{_KEPT_SQL} SELECT {_RESULT} FROM res")
+def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found, path = phrases(spark, sf_dir), catalogue(spark, sf_dir), shared_path(spark, "matched")
+    match_to(_streamed(spark, rows, "qid"), found, path, shared_path(spark, "checkpoint")).awaitTermination()
+    return _flat(read_matched(rows, found, path)).drop("threshold")
+
+
+# what each session has said, by p_partkey % 8: (event, value) in turn; $ is the row's p_name
+_SAID_EVENTS = {0: [("cat", "heavy")], 1: [("cat-other", None)], 2: [("part", "$")], 3: [("part-other", None)], 4: [("side", "sol")], 5: [("cat", "small"), ("part", "$")], 6: [("part", "$"), ("restart", None)]}
+
+_ANSWERED_SQL = _MATCH_SQL.format(keep="k.only_category IS NULL OR m.category = k.only_category").replace("FROM keyed k JOIN hits", "FROM cat k JOIN hits").replace(
+    "cand AS (",
+    f"""{_CATEGORY_SQL},
+told AS (SELECT p_partkey AS qid, p_partkey % 8 IN (0, 1, 5) AS category_said, CASE p_partkey % 8 WHEN 0 THEN 'heavy' WHEN 5 THEN 'small' END AS said_category,
+                CASE WHEN p_partkey % 8 IN (2, 5) THEN p_name END AS said_part, p_partkey % 8 = 3 AS part_refused, CASE WHEN p_partkey % 8 = 4 THEN 'sol' END AS said_side FROM part),
+cat AS (SELECT k.*, told.* EXCLUDE (qid), CASE WHEN m IS NULL THEN 'category_unknown' WHEN m = 1 AND how IS NULL THEN 'category_resolved' ELSE 'category_ambiguous' END AS category_status,
+               CASE WHEN category_said THEN said_category WHEN m = 1 AND how IS NULL THEN categories END AS only_category FROM keyed k JOIN told USING (qid) LEFT JOIN u USING (key, threshold)),
+cand AS (""",
+)
+
+
+@query(
+    "funnel_answered",
+    f"""{_ANSWERED_SQL},
+pick AS (SELECT qid, category_status, only_category, status, side, position, category_said, part_refused, said_side, CASE WHEN status = 'single_match' THEN ids WHEN list_contains(string_split(ids, ','), said_part) THEN said_part END AS chosen FROM res JOIN cat USING (qid))
+SELECT qid, category_status, only_category AS category, status, chosen,
+       CASE WHEN category_status = 'category_ambiguous' AND NOT category_said THEN 'category' WHEN part_refused THEN 'phrase' WHEN chosen IS NULL AND status = 'ambiguous' THEN 'part'
+            WHEN side_flag AND said_side IS NULL AND side IS NULL THEN 'side' WHEN position_flag AND position IS NULL THEN 'position' ELSE 'none' END AS next_question
+FROM pick LEFT JOIN parts ON part_id = chosen""",
+)
+def funnel_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrases(spark, sf_dir).drop("restrict_category").withColumn("session", F.col("qid"))
+    none = F.array().cast("array<struct<event:string,value:string>>")
+    said = F.lit(None)
+    for k, events in _SAID_EVENTS.items():
+        each = F.array(*[F.struct(F.lit(e).alias("event"), (F.col("p_name") if v == "$" else F.lit(v).cast("string")).alias("value")) for e, v in events])
+        said = F.when(F.pmod("p_partkey", F.lit(8)) == k, each).otherwise(said)
+    answers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("session"), F.posexplode(F.coalesce(said, none)).alias("step", "said")).select("session", "step", "said.*")
+    found = funnel.answered(rows, catalogue(spark, sf_dir), funnel.fold_answers(answers), _index(spark, sf_dir))
+    return found.select("qid", F.col("category_result.status").alias("category_status"), F.col("restrict_category").alias("category"), "result.status", "chosen", "next_question")
 
 
 # --- audits and reports -------------------------------------------------------------------------------
@@ -455,15 +534,39 @@ def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_report(spark, path).drop("part_ord")
 
 
-@query("report_is_fresh", f"WITH {CATALOGUE_SQL} SELECT 'as written' AS held, (SELECT count(*) FROM index) <> (SELECT count(*) FROM index) AS stale UNION ALL SELECT 'without one word', (SELECT count(*) FROM index WHERE key <> (SELECT min(key) FROM index)) <> (SELECT count(*) FROM index)")
-def report_is_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
+_HELD_SQL = f"""{_INDEX_SQL},
+held AS (SELECT key, CASE WHEN ascii(key) % 3 = 1 THEN categories || ',more' ELSE categories END AS categories FROM words WHERE ascii(key) % 5 <> 0 UNION ALL SELECT 'kept ' || key, categories FROM words WHERE ascii(key) % 5 = 0)"""
+
+
+def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An index file as it was once written, and the index as it is now: some words are gone from it, some new, some of other categories."""
+    fresh = _index(spark, sf_dir)
+    odd = F.ascii("key")
+    more = fresh.filter(odd % 3 == 1).select("key", F.lit("more").alias("category"))
+    old = fresh.unionByName(more).withColumn("key", F.when(odd % 5 == 0, F.concat(F.lit("kept "), "key")).otherwise(F.col("key"))).filter((odd % 5 != 0) | (F.col("category") != "more"))
     path = shared_path(spark, "index")
-    write_category_index(index, path)
-    held = read_category_index(spark, path)
-    less = held.join(held.agg(F.min("key").alias("key")), "key", "left_anti")
-    rows = [("as written", quality.stale(held, index)), ("without one word", quality.stale(less, index))]
-    return spark.createDataFrame(rows, "held string, stale boolean")
+    write_category_index(old.distinct(), path)
+    joined = lambda index: categories.grouped_index(index).select("key", _joined("categories").alias("categories"))
+    return joined(read_category_index(spark, path)), joined(fresh)
+
+
+@query(
+    "report_changes",
+    f"""{_HELD_SQL} SELECT coalesce(h.key, w.key) AS key, CASE WHEN h.key IS NULL THEN 'added' WHEN w.key IS NULL THEN 'lost' ELSE 'changed' END AS change
+FROM held h FULL JOIN words w USING (key) WHERE h.categories IS DISTINCT FROM w.categories""",
+)
+def report_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.changes(*_held(spark, sf_dir), ["key"])
+
+
+@query(
+    "report_is_fresh",
+    f"""{_HELD_SQL}, differ AS (SELECT count(*) AS n FROM ((SELECT key, categories FROM held EXCEPT SELECT key, categories FROM words) UNION ALL (SELECT key, categories FROM words EXCEPT SELECT key, categories FROM held)))
+SELECT 'as written' AS held, (SELECT count(*) FROM (SELECT key, categories FROM words EXCEPT SELECT key, string_agg(category, ',' ORDER BY category) FROM index GROUP BY key)) > 0 AS stale UNION ALL SELECT 'as it was', n > 0 FROM differ""",
+)
+def report_is_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, fresh = _held(spark, sf_dir)
+    return quality.staleness(fresh, fresh, ["key"]).select(F.lit("as written").alias("held"), "stale").unionByName(quality.staleness(held, fresh, ["key"]).select(F.lit("as it was").alias("held"), "stale"))
 
 
 _JSON_SQL = f"""{_KEPT_SQL},
