@@ -16,6 +16,7 @@ from ..functions.variants import name_variants, slash_expansion, subcategory_of
 from ..operators import categories, funnel, matching, quality
 from .. import commands
 from ..sources.catalogue import classified, parse_file, parse_texts, text_lines
+from ..sources.deltas import Store
 from ..sources.files import read_category_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
 from ..streaming import sessions
 from ..streaming.phrases import match_to, read_matched
@@ -284,6 +285,19 @@ def synonym_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_texts(texts(spark, sf_dir)).synonyms
 
 
+@query(
+    "catalogue_deltas",
+    f"""{TEXTS_SQL}, spots AS (SELECT lower(n) AS key, part_id, (place << 15) + (which << 14) AS spot FROM (SELECT part_id, place, unnest([name_ru, name_az]) AS n, unnest([0, 1]) AS which FROM kept_parts WHERE place >> 32 <> 1))
+SELECT DISTINCT key, part_id, min(spot) OVER (PARTITION BY key) AS key_ord, min(spot) OVER (PARTITION BY key, part_id) AS ref_ord FROM spots""",
+)
+def catalogue_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, store = texts(spark, sf_dir), Store(spark, shared_path(spark, "store"))
+    store.apply(whole.filter("file % 2 = 1").unionByName(whole.filter("file = 0").withColumn("value", F.substring("value", 1, 9000))))
+    store.apply(whole.filter("file % 2 = 0"))
+    store.apply(spark.range(1, 2).select(F.col("id").alias("file"), F.lit(None).cast("string").alias("value")))
+    return store.catalogue().names
+
+
 @query("orphan_lines", f"{TEXTS_SQL} SELECT file, line_no, kind FROM told WHERE kind IS NULL OR kind IN ('part', 'synonyms') AND leaf_code IS NULL")
 def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.contains("line", F.lit("синонимы")), "synonyms").when(F.contains("line", F.lit("[side:")), "part")

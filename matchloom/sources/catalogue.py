@@ -227,27 +227,40 @@ def tables_of(known: DataFrame) -> Catalogue:
     leaf = known.filter("kind = 'leaf'").select("leaf_code", "place", "category", subcategory_of(F.regexp_extract("line", LEAF, 1)).alias("subcategory"))
     leaves = leaf.groupBy("leaf_code").agg(F.min(F.struct("place", "category", "subcategory")).alias("first")).select("leaf_code", "first.category", "first.subcategory", F.col("first.place").alias("leaf_ord"))
 
-    group = {"id": 1, "ru": 2, "az": 3, "side": 4, "pos": 5}
-    got = {k: F.regexp_extract("line", PART, n) for k, n in group.items()}
-    rows = known.filter("kind = 'part' and leaf_code is not null").select(
-        "place", "leaf_code", got["id"].alias("part_id"), stripped(got["ru"]).alias("name_ru"), stripped(got["az"]).alias("name_az"),
-        (got["side"] == "true").alias("side_flag"), (got["pos"] == "true").alias("position_flag"),
-    )
+    rows = part_lines(known)
     fields = ["place", "leaf_code", "name_ru", "name_az", "side_flag", "position_flag"]
     last = rows.groupBy("part_id").agg(F.max(F.struct(*fields)).alias("last"), F.min("place").alias("part_ord"))
     parts = last.select("part_id", *[f"last.{c}" for c in fields[1:]], "part_ord").join(leaves.drop("leaf_ord"), "leaf_code")
     parts = parts.select("part_id", "name_ru", "name_az", "category", "subcategory", "leaf_code", "side_flag", "position_flag", "part_ord")
     members = rows.select("leaf_code", "part_id", F.col("place").alias("pos"))
 
-    both = rows.select("place", "part_id", F.posexplode(F.array("name_ru", "name_az")).alias("which", "name"))
-    keys = both.select("part_id", "place", "which", F.posexplode(name_variants(F.col("name"))).alias("nth", "variant"))
+    rejects = known.filter("kind is null and line rlike '\\\\S' or kind in ('part', 'synonyms') and leaf_code is null").select("file", "line_no", "line")
+    return Catalogue(parts, leaves, members, indexed(name_keys(known)).withColumnRenamed("ref", "part_id"), indexed(synonym_keys(known)).withColumnRenamed("ref", "leaf_code"), rejects)
+
+
+def part_lines(known: DataFrame) -> DataFrame:
+    """The parts of classified lines, each line by itself."""
+    group = {"id": 1, "ru": 2, "az": 3, "side": 4, "pos": 5}
+    got = {k: F.regexp_extract("line", PART, n) for k, n in group.items()}
+    return known.filter("kind = 'part' and leaf_code is not null").select(
+        "file", "place", "leaf_code", got["id"].alias("part_id"), stripped(got["ru"]).alias("name_ru"), stripped(got["az"]).alias("name_az"),
+        (got["side"] == "true").alias("side_flag"), (got["pos"] == "true").alias("position_flag"),
+    )
+
+
+def name_keys(known: DataFrame) -> DataFrame:
+    """file, key, ref (a part) and at of every name of classified lines."""
+    both = part_lines(known).select("file", "place", "part_id", F.posexplode(F.array("name_ru", "name_az")).alias("which", "name"))
+    keys = both.select("file", "part_id", "place", "which", F.posexplode(name_variants(F.col("name"))).alias("nth", "variant"))
     # the place, one bit for the language, and the number of the variant
     at = F.shiftleft("place", 15) + F.shiftleft(F.col("which").cast("long"), 14) + F.col("nth")
-    keys = keys.select(match_key(F.col("variant")).alias("key"), F.col("part_id").alias("ref"), at.alias("at")).filter("key <> ''")
-    split = known.filter("kind = 'synonyms' and leaf_code is not null").select("place", "leaf_code", F.posexplode(F.split(F.regexp_extract("line", SYNONYMS, 1), ",")).alias("nth", "synonym"))
-    said = split.select(match_key(F.col("synonym")).alias("key"), F.col("leaf_code").alias("ref"), (F.shiftleft("place", 15) + F.col("nth")).alias("at")).filter("key <> ''")
-    rejects = known.filter("kind is null and line rlike '\\\\S' or kind in ('part', 'synonyms') and leaf_code is null").select("file", "line_no", "line")
-    return Catalogue(parts, leaves, members, indexed(keys).withColumnRenamed("ref", "part_id"), indexed(said).withColumnRenamed("ref", "leaf_code"), rejects)
+    return keys.select("file", match_key(F.col("variant")).alias("key"), F.col("part_id").alias("ref"), at.alias("at")).filter("key <> ''")
+
+
+def synonym_keys(known: DataFrame) -> DataFrame:
+    """file, key, ref (a leaf) and at of every synonym of classified lines."""
+    said = known.filter("kind = 'synonyms' and leaf_code is not null").select("file", "place", "leaf_code", F.posexplode(F.split(F.regexp_extract("line", SYNONYMS, 1), ",")).alias("nth", "synonym"))
+    return said.select("file", match_key(F.col("synonym")).alias("key"), F.col("leaf_code").alias("ref"), (F.shiftleft("place", 15) + F.col("nth")).alias("at")).filter("key <> ''")
 
 
 def indexed(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from matchloom.sources.catalogue import MARKER, classified, parse, parse_file, parse_text, parse_texts, read_lines, text_lines
+from matchloom.sources.deltas import Store
 from tests.catalogues import MIRRORS, WIDGETS
 
 
@@ -88,3 +89,24 @@ def test_several_texts_keep_their_sections_apart(spark):
     order = [r.part_id for r in both.parts.orderBy("part_ord").collect()]
     assert order.index("XX-001") > order.index("AS-017")
     assert parse(text_lines(spark.createDataFrame([], "file long, value string"))).parts.count() == 0
+
+
+def test_deltas_equal_one_parse(spark, tmp_path):
+    rng = random.Random(3)
+    store, texts = Store(spark, f"file://{tmp_path}/store"), {}
+    assert store.catalogue().parts.count() == 0
+    for n in range(4):
+        delta = {k: None if rng.random() < 0.3 else "\n".join(text_of(10 * n + k, 40)) for k in rng.sample(range(4), 2)}
+        real = store.ledger.enter
+        if n == 2:  # lost before it is entered: nothing has changed, and it can be applied again
+            store.ledger.enter = lambda version: None
+            store.apply(spark.createDataFrame(list(delta.items()), "file long, value string"))
+            store.ledger.enter = real
+            assert store.versions() == [0, 1]
+        assert store.apply(spark.createDataFrame(list(delta.items()), "file long, value string")) == n
+        texts |= delta
+        whole = parse_texts(spark.createDataFrame([(k, t) for k, t in texts.items() if t is not None], "file long, value string"))
+        got = store.catalogue()
+        for name in ("parts", "leaves", "members", "names", "synonyms", "rejects"):
+            one, other = getattr(whole, name), getattr(got, name)
+            assert sorted(map(tuple, one.select(sorted(one.columns)).collect()), key=repr) == sorted(map(tuple, other.select(sorted(other.columns)).collect()), key=repr), name
