@@ -1,4 +1,4 @@
-"""python -m matchloom PHRASE | audit | names | index: see commands."""
+"""python -m matchloom PHRASE | category | audit | names | index: see commands."""
 
 import sys
 

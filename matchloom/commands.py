@@ -1,4 +1,4 @@
-"""What `python -m matchloom` does: match one phrase, audit a catalogue, and write or check its derived files."""
+"""What `python -m matchloom` does: match one phrase, resolve one word, audit a catalogue, and write or check its derived files."""
 
 from __future__ import annotations
 
@@ -22,6 +22,16 @@ def _match(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _category(spark: SparkSession, args: argparse.Namespace) -> int:
+    from .session import CategoryMatcher
+    from .sources.catalogue import parse_file
+
+    found = CategoryMatcher.from_file(spark, args.index) if args.index else CategoryMatcher.from_catalogue(parse_file(spark, args.path))
+    print(json.dumps(found.resolve(args.word, args.raw, args.threshold), ensure_ascii=False, indent=2))
+    found.close()
+    return 0
+
+
 def _audit(spark: SparkSession, args: argparse.Namespace) -> int:
     from .operators.quality import collisions
     from .sources.catalogue import parse_file
@@ -65,6 +75,12 @@ def _parser() -> argparse.ArgumentParser:
     match.add_argument("--threshold", type=float, default=0.90, help="least similarity of a near match; 1.0 is exact only")
     match.add_argument("--category", help="keep candidates of this category only")
     match.set_defaults(run=_match)
+    category = commands.add_parser("category", parents=[common], help="one word's category as JSON")
+    category.add_argument("word")
+    category.add_argument("--raw", help="raw text that is passed on")
+    category.add_argument("--threshold", type=float, default=0.90, help="least similarity of a near word; 1.0 is exact only")
+    category.add_argument("--index", help="a category index as JSON, instead of the catalogue")
+    category.set_defaults(run=_category)
     commands.add_parser("audit", parents=[common], help="fail if a name is a synonym of another leaf").set_defaults(run=_audit)
     for name, out in (("names", "data/canonical_names.md"), ("index", "data/category_index.json")):
         derived = commands.add_parser(name, parents=[common], help=f"write {out}")
@@ -76,7 +92,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str]) -> int:
     """The exit code of a command line. A line that begins with no command is a phrase to match."""
-    if argv and argv[0] not in ("match", "audit", "names", "index", "-h", "--help"):
+    if argv and argv[0] not in ("match", "category", "audit", "names", "index", "-h", "--help"):
         argv = ["match", *argv]
     args = _parser().parse_args(argv)
     return args.run(SparkSession.builder.getOrCreate(), args)

@@ -15,9 +15,10 @@ from ..functions.text import match_key, similarity, words
 from ..functions.variants import name_variants, slash_expansion, subcategory_of
 from ..operators import categories, funnel, matching, quality
 from .. import commands
+from ..session import register
 from ..sources.catalogue import classified, parse_file, parse_texts, text_lines
 from ..sources.deltas import Store
-from ..sources.files import read_category_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
+from ..sources.files import read_category_index, read_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
 from ..streaming import sessions
 from ..streaming.phrases import match_to, read_matched
 from . import reports
@@ -374,6 +375,30 @@ def index_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_category_index(spark, path)
 
 
+@query(
+    "index_whole_document",
+    f"""{_INDEX_SQL} SELECT 'index' AS part, key, category FROM index UNION ALL SELECT 'ambiguous_words', key, category FROM index JOIN words USING (key) WHERE n > 1
+UNION ALL SELECT DISTINCT 'meta', (SELECT count(*) FROM words) || ' ' || (SELECT count(*) FROM words WHERE n > 1), category FROM index""",
+)
+def index_whole_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "index")
+    write_category_index(_index(spark, sf_dir), path)
+    found = read_index(spark, path)
+    meta = found.meta.select(F.lit("meta").alias("part"), F.concat_ws(" ", "total_words", "ambiguous_count").alias("key"), "category")
+    rows = [df.select(F.lit(part).alias("part"), "key", "category") for part, df in (("index", found.index), ("ambiguous_words", found.ambiguous))]
+    wrong = found.mismatches().select(F.lit("mismatch").alias("part"), F.col("what").alias("key"), F.col("said").alias("category"))
+    return rows[0].unionByName(rows[1]).unionByName(meta).unionByName(wrong)
+
+
+@query("sql_functions", f"""{_HITS_SQL}, asked AS (SELECT qid, key, raw_text FROM keyed)
+SELECT qid, key, h.part_id, h.tier, CASE WHEN raw_text LIKE '%sol%' THEN 'sol' WHEN raw_text LIKE '%Right%' THEN 'sağ' END AS side, CASE WHEN raw_text LIKE '%arxa%' THEN 'arxa' WHEN raw_text LIKE '%front%' THEN 'ön' END AS position
+FROM asked LEFT JOIN (SELECT DISTINCT key, part_id, tier FROM hits WHERE tier <= 2) h USING (key)""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, catalogue(spark, sf_dir))
+    phrases(spark, sf_dir).createOrReplaceTempView("matchloom_phrases")
+    return spark.sql("SELECT p.qid, match_key(p.phrase) AS key, e.part_id, e.tier, side_of(p.raw_text) AS side, position_of(p.raw_text) AS position FROM matchloom_phrases p LEFT JOIN LATERAL exact_parts(p.phrase) e")
+
+
 _ASKED_SQL = "phrases AS (SELECT * FROM (VALUES (1, 'Steel widget', 'sol', 0.9::DOUBLE, NULL::VARCHAR), (2, 'old', NULL, 0.9, NULL), (3, 'no such thing', NULL, 0.9, NULL), (4, 'bolts', NULL, 0.75, NULL)) t(qid, phrase, raw_text, threshold, restrict_category)), " + KEYED_SQL
 _ASKED = [("Steel widget", "sol", 0.9), ("old", None, 0.9), ("no such thing", None, 0.9), ("bolts", None, 0.75)]
 
