@@ -5,9 +5,9 @@ r"""Chat formatting with a round trip through a grammar, on DataFrame functions
 
 A backslash escapes a control string ("###", "</turn>") or another backslash in a text; in a role, a colon
 is written "\;" as well. A text is first rendered as it is. Where the parser would not give it back
-(control strings, or backslashes that read as escapes), it is escaped, and read back once more. The whole
-output is then parsed again and compared with the source, role by role and text by text, in full; exact says
-whether they are the same.
+(control strings, or backslashes that read as escapes), it is escaped. The whole output is then parsed and compared
+with the source, role by role and text by text, in full. Where they differ, all of the conversation's texts are escaped,
+and it is parsed and compared once more; exact says whether they are the same in the end.
 """
 
 from __future__ import annotations
@@ -59,8 +59,9 @@ def parse(formatted: Column) -> Column:
 def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, formatted, loss_spans (start, length in code points) of the assistant's texts in it, and exact.
 
-    exact: the parser gives all turns back as they were. No text is known for which it is false; such a
-    conversation is returned all the same, marked.
+    exact: the parser gives all turns back as they were. A conversation that it does not give back as it was
+    rendered first has every text escaped. No text is known for which exact is false then; such a conversation is
+    returned all the same, marked.
 
     Turns go by turn_col (null first); ties go by role and text, and repeated rows are repeated turns. A
     null text or role is empty; rows with a null conversation id form one conversation. An empty table
@@ -72,22 +73,31 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
     turns = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     head = F.concat(F.lit("### "), _role(F.col("role")), F.lit(": "))
-    body = F.when(_reads_back(F.col("text")), F.col("text")).otherwise(escape(F.col("text")))
-    turns = turns.select("*", head.alias("head"), body.alias("body"))
+    safe = escape(F.col("text"))
+    body = F.when(_reads_back(F.col("text")), F.col("text")).otherwise(safe)
+    turns = turns.select("*", head.alias("head"), body.alias("body")).withColumn("safe", F.when(safe != F.col("body"), safe))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.coalesce(F.sum(F.length("head") + F.length("body") + len(_END)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def span(body: Column) -> Column:
+        size = F.length("head") + F.length(body) + len(_END)
+        before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return F.when(F.col("role") == ASSISTANT, F.struct((before + F.length("head")).cast("long").alias("start"), F.length(body).cast("long").alias("length")))
+
+    line = lambda body: F.concat("head", body, F.lit(_END))
     lines = turns.select(
         "conv_id",
         F.struct(
-            F.row_number().over(order).alias("k"),
-            F.concat("head", "body", F.lit(_END)).alias("line"),
-            F.struct("role", "text").alias("turn"),
-            F.when(F.col("role") == ASSISTANT, F.struct((before + F.length("head")).cast("long").alias("start"), F.length("body").cast("long").alias("length"))).alias("span"),
+            F.row_number().over(order).alias("k"), line("body").alias("line"), F.struct("role", "text").alias("turn"), span(F.col("body")).alias("span"),
+            line("safe").alias("safe"), span(F.coalesce("safe", "body")).alias("safe_span"),
         ).alias("t"),
-    )
+    )
     whole = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    out = whole.select("conv_id", F.array_join("t.line", "").alias("formatted"), F.filter("t.span", lambda s: s.isNotNull()).alias("loss_spans"), F.col("t.turn").alias("turns"))
-    return out.select("conv_id", "formatted", "loss_spans", F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False)).alias("exact"))
+    same = lambda formatted: F.coalesce(parse(formatted) == F.col("t.turn"), F.lit(False))
+    first = whole.withColumn("formatted", F.array_join("t.line", "")).withColumn("first", same(F.col("formatted")))
+    again = F.array_join(F.transform("t", lambda x: F.coalesce(x["safe"], x["line"])), "")
+    out = first.withColumn("formatted", F.when(F.col("first"), F.col("formatted")).otherwise(again))
+    spans = F.filter(F.when(F.col("first"), F.col("t.span")).otherwise(F.col("t.safe_span")), lambda s: s.isNotNull())
+    return out.select("conv_id", "formatted", spans.alias("loss_spans"), (F.col("first") | same(F.col("formatted"))).alias("exact"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from matchloom.llm import chat
 from matchloom.llm.chat import format_conversations, loss_text, parse
 
 HARD = ["", None, "\\", "\\\\", "###", "####", "\\### Assistant: </turn> ok", " </turn>\n", "### user: x </turn>\n", "</turn", "a\\</turn>", "\\;", ":", ": ", "\n", "é😀 ###", "</turn></turn>", "\\\\###", "$1 \\1"]
@@ -52,3 +53,17 @@ def test_known_output(spark):
     assert out.formatted == "### user: hi </turn>\n### assistant: \\\\\\### Assistant: \\</turn> ok </turn>\n"
     assert hashlib.sha256(out.loss.encode()).hexdigest() == hashlib.sha256(b"\\### Assistant: </turn> ok").hexdigest()
     assert random.Random(1).random() and out.loss_spans[0].start == len("### user: hi </turn>\n### assistant: ")
+
+
+def test_what_the_comparison_finds_is_escaped(spark, monkeypatch):
+    """Texts that are rendered as they are though they conflict: the comparison has them escaped."""
+    monkeypatch.setattr(chat, "_reads_back", lambda text: F.lit(True))
+    rows = [(k, t, role, text) for k, text in enumerate(HARD) for t, role in enumerate(["user", "assistant", "assistant"])]
+    check(spark, rows + [(99, 0, "assistant", "plain"), (99, 1, "assistant", "a ### b"), (99, 2, "user", "\\###")])
+
+
+def test_what_no_escape_mends_is_marked(spark, monkeypatch):
+    monkeypatch.setattr(chat, "_reads_back", lambda text: F.lit(True))
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    out = {r.conv_id: r.exact for r in format_conversations(spark.createDataFrame([(1, 0, "user", "a </turn>\nb"), (2, 0, "user", "plain")], SCHEMA)).collect()}
+    assert out == {1: False, 2: True}
