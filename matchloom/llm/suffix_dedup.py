@@ -5,8 +5,8 @@ those, if several). Equal windows have their anchors at the same place, so they
 hash wherever they are. Consecutive windows with one anchor form a segment; a window is in one segment.
 
 1. Segments are read off every document, as hashes. Anchors that occur once are done with.
-2. Segments with equal hashes (128 bits) are of one kind. The bytes of a kind are cut from two of its places,
-   its first and its last, or from the only one.
+2. Segments of one 128-bit BLAKE2b digest are of one kind, and so are equal byte for byte. The bytes of a kind are cut
+   from two of its places, its first and its last, or from the only one.
 3. These bytes are brought together by anchor into shards. A shard builds a suffix array of its distinct
    stretches (Larsson and Sadakane's refinement), takes common prefixes (Kasai), and windows whose prefix
    of 200 bytes a neighbour shares are repeated, as are those of a stretch that is there twice, byte for
@@ -56,14 +56,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(body: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of some texts end to end: anchor hash, segment hash, text, first window in it, number of windows."""
+    """Of some texts end to end: anchor hash, text, first window in it, number of windows."""
     none = np.zeros(0, np.int64)
     grams = gram_hashes(body, gram)
     width = window - gram + 1
     sizes = np.diff(offsets)
     long = np.flatnonzero(sizes >= window)
     if not len(long):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none
     # the hash's upper half, and below it the place, later places first
     key = (grams & ~_LOW) | (_LOW - np.arange(len(grams), dtype=np.uint64))
     anchor = (_LOW - (_sliding_min(key, width) & _LOW)).astype(np.int64)
@@ -76,18 +76,15 @@ def segments(body: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     first = np.flatnonzero(new)
     n = np.diff(np.r_[first, len(start)])
     begin, at = start[first], at[first]
-    end = begin + n - 1 + window
     text = np.searchsorted(offsets, begin, side="right") - 1
-    # grams that cover the segment from end to end, the anchor's place, and the length
-    seg = ((at - begin) * 4096 + n).astype(np.uint64)
-    step, place = 0, begin
-    while True:
-        place = np.minimum(begin + step, end - gram)
-        seg = mixed(seg * np.uint64(3) + grams[place])
-        step += gram
-        if (place == end - gram).all():
-            break
-    return grams[at], seg, text, begin - offsets[text], n
+    return grams[at], text, begin - offsets[text], n
+
+
+def _digests(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each stretch of bytes, as two integers."""
+    raw = memoryview(np.ascontiguousarray(body))
+    out = [hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(begin.tolist(), end.tolist())]
+    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
 
 
 def _read_off(window: int, gram: int):
@@ -97,17 +94,21 @@ def _read_off(window: int, gram: int):
             doc, text_hash = batch.column(0), batch.column(1)
             for a, z in chunks(offsets, 4 << 20):
                 low = offsets[a]
-                anchor, seg, text, first, n = segments(body[low : offsets[z]], offsets[a : z + 1] - low, window, gram)
+                raw, inner = body[low : offsets[z]], offsets[a : z + 1] - low
+                anchor, text, first, n = segments(raw, inner, window, gram)
+                begin = inner[text] + first
+                digest = _digests(raw, begin, begin + n - 1 + window)
                 at = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), doc.take(at), text_hash.take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["anchor", "seg", "doc_id", "text_hash", "first", "n"],
+                    [pa.array(anchor.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), doc.take(at), text_hash.take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["anchor", "seg", "seg2", "doc_id", "text_hash", "first", "n"],
                 )
 
     return run
 
 
-_SEGMENT = "anchor long, seg long, doc_id long, text_hash long, first int, n int"
+_SEGMENT = "anchor long, seg long, seg2 long, doc_id long, text_hash long, first int, n int"
+KIND = ["anchor", "seg", "seg2"]
 
 
 def _cut(window: int):
@@ -116,14 +117,14 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                rows = {"anchor": [], "seg": [], "body": []}
+                rows: dict[str, list] = {c: [] for c in (*KIND, "body")}
                 for text, found in zip(batch.column(0)[k : k + 256], batch.column(1)[k : k + 256]):
                     raw = text.as_py().encode()
                     for s in found.as_py():
-                        rows["anchor"].append(s["anchor"])
-                        rows["seg"].append(s["seg"])
+                        for c in KIND:
+                            rows[c].append(s[c])
                         rows["body"].append(raw[s["first"] : s["first"] + s["n"] - 1 + window])
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("body", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(rows, pa.schema([*((c, pa.int64()) for c in KIND), ("body", pa.binary())]))
 
     return run
 
@@ -229,7 +230,7 @@ def repeated_between(left: Shard, right: Shard) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-_FOUND = "anchor long, seg long, low int, high int"
+_FOUND = "anchor long, seg long, seg2 long, low int, high int"
 
 
 def _search_shard(window: int):
@@ -256,8 +257,8 @@ def _search_shard(window: int):
             last = w[np.r_[new[1:], True]]
             own = shard.owner[first]
             at = pa.array(own)
-            rows.append(pa.table([mine.column("anchor").take(at), mine.column("seg").take(at), pa.array((first - shard.heads[own]).astype(np.int32)), pa.array((last - shard.heads[own]).astype(np.int32))], ["anchor", "seg", "low", "high"]))
-        return pa.concat_tables(rows) if rows else pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]).empty_table()
+            rows.append(pa.table([*(mine.column(c).take(at) for c in KIND), pa.array((first - shard.heads[own]).astype(np.int32)), pa.array((last - shard.heads[own]).astype(np.int32))], [*KIND, "low", "high"]))
+        return pa.concat_tables(rows) if rows else pa.schema([*((c, pa.int64()) for c in KIND), ("low", pa.int32()), ("high", pa.int32())]).empty_table()
 
     return run
 
@@ -276,24 +277,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     remove(spark, often_at)
     release(spark)
     place = F.struct("doc_id", "text_hash", "first", "n")
-    distinct, distinct_at = written(met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("low"), F.max(place).alias("high")), "distinct")
+    distinct, distinct_at = written(met.groupBy(*KIND).agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("low"), F.max(place).alias("high")), "distinct")
     # written first, so that the join can be split where an anchor has very many kinds
     many, many_at = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "many")
     asked, asked_at = written(distinct.join(many, "anchor"), "asked")
     remove(spark, distinct_at)
     remove(spark, many_at)
-    release(spark)
 
     # bytes of every kind, cut from the first and the last document that has it
     ends = asked.withColumn("at", F.explode(F.array_distinct(F.array("low", "high"))))
-    by_doc = ends.groupBy(F.col("at.doc_id").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(F.struct("anchor", "seg", "at.first", "at.n")).alias("found"))
+    by_doc = ends.groupBy(F.col("at.doc_id").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(F.struct(*KIND, "at.first", "at.n")).alias("found"))
     texts = docs.select("doc_id", "text_hash", "text")
-    cut = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["own"]) & (texts["text_hash"] == by_doc["own_hash"])).select("text", "found")
+    wanted, wanted_at = written(by_doc, "wanted")
+    release(spark)
+    cut = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["own"]) & (texts["text_hash"] == wanted["own_hash"])).select("text", "found")
     # a row that is there many times gives its bytes as often: two of them stay, which differ if any do
-    pieces = cut.mapInArrow(_cut(window), "anchor long, seg long, body binary").groupBy("anchor", "seg").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    pieces = cut.mapInArrow(_cut(window), "anchor long, seg long, seg2 long, body binary").groupBy(*KIND).agg(F.min("body").alias("least"), F.max("body").alias("most"))
     pieces = pieces.withColumn("most", F.when(F.col("most") != F.col("least"), F.col("most")))
-    bodies, bodies_at = written(pieces.join(asked.select("anchor", "seg", "weight", "kinds"), ["anchor", "seg"]), "bodies")
+    bodies, bodies_at = written(pieces.join(asked.select(*KIND, "weight", "kinds"), KIND), "bodies")
     remove(spark, asked_at)
+    remove(spark, wanted_at)
     release(spark)
     shards = max(1, -(-2 * bodies.count() // shard))
     parts = F.ceil(F.col("kinds") / shard)
@@ -303,7 +306,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")).alias("shard"), (parts > 1).alias("hot"),
         F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
         F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
-        "anchor", "seg", "weight", "body",
+        *KIND, "weight", "body",
     )
     marks, marks_at = written(placed.groupBy("shard", "hot", "p", "q").applyInArrow(_search_shard(window), _FOUND), "marks")
     # written as well, so that the join can be split where a kind has very many places
@@ -312,7 +315,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     release(spark)
 
     begin, end = F.col("first") + F.col("low"), F.col("first") + F.col("high") + window
-    spans, _ = written(met.join(found, ["anchor", "seg"]).select("doc_id", "text_hash", begin.alias("begin"), end.alias("end")), "spans")
+    spans, _ = written(met.join(found, KIND).select("doc_id", "text_hash", begin.alias("begin"), end.alias("end")), "spans")
     for path in (met_at, marks_at, found_at):
         remove(spark, path)
     release(spark)
@@ -357,7 +360,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < gram < window or gram & (gram - 1) or window < 2 * gram:
         raise ValueError("gram must be a power of two, of half the window at most")
     prepare(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    # where rows share ids, a hash of the text tells them apart
+    again = docs.select(F.col(id_col).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    text_hash = F.xxhash64(text_col) if again else F.lit(0).cast("long")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     spans = repeated_spans(plain, window, gram, shard).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("found"))
     spans = spans.withColumnsRenamed({"doc_id": "own", "text_hash": "own_hash"})
     both = plain.join(spans, plain["doc_id"].eqNullSafe(spans["own"]) & (plain["text_hash"] == spans["own_hash"]), "left").select("doc_id", "text", "found")
