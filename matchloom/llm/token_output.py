@@ -5,7 +5,9 @@ bitmap beside it says which ids go on to level k + 1. A rank directory (ones bef
 finds an id's place on the next level, so any id is read by one step a level, and no block is decoded.
 
 A file is a Parquet table of segments; a segment is a row with the codes of some whole documents in
-ascending doc_id order, the documents' ids and where each begins.
+ascending doc_id order, the documents' ids and where each begins. Files are not compressed, their rows are in
+order of position, and pages are small, so the page index leads from a position to the one page with its
+segment: reading an id reads that page and inflates nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from .memory import trimmed
 from .storage import prepare
 
 END_ID = 1
-_SEGMENT = 1 << 20
-_SEGMENT_SCHEMA = "part int, segment int, first long, n_ids long, doc_ids array<bigint>, starts array<bigint>, codes binary"
+#: Ids of a segment (one longer document at least), and bytes of a page.
+_SEGMENT = 1 << 14
+_PAGE = 1 << 16
+_SEGMENT_SCHEMA = "part int, first long, last long, doc_ids array<bigint>, starts array<bigint>, codes binary"
 #: Texts of these characters alone split into pieces the same way whether seen whole or piece by piece.
 _PLAIN = re.compile("[\\x20-\\x7e\\n\\t\\rÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ԯ]*")
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x00-\x200-9a-z\x80-\xff]+")
@@ -179,14 +183,14 @@ class Codes:
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, number, done = encoder(path), TaskContext.get().partitionId(), 0, 0
+        model, part, done = encoder(path), TaskContext.get().partitionId(), 0
         docs, starts, held, size = [], [], [], 0
         end = np.array([end_id], "<u4")
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([pack(np.concatenate(held))], pa.binary())],
-                ["part", "segment", "first", "n_ids", "doc_ids", "starts", "codes"],
+                [pa.array([part], pa.int32()), pa.array([done], pa.int64()), pa.array([done + size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([pack(np.concatenate(held))], pa.binary())],
+                ["part", "first", "last", "doc_ids", "starts", "codes"],
             )
 
         for batch in batches:
@@ -199,7 +203,7 @@ def _segments(path: str, end_id: int):
                     size += len(got) + 1
                     if size >= _SEGMENT:
                         yield flush()
-                        number, done = number + 1, done + size
+                        done += size
                         docs, starts, held, size = [], [], [], 0
         if docs:
             yield flush()
@@ -215,20 +219,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     writes no segment. Other columns are left out, whatever their names.
 
     Rows are dealt by range of (id, hash of text), so one id that many rows share is split as well. A
-    task holds one segment of about a million ids (or one longer document) at a time.
+    task holds one segment of about 16,000 ids (or one longer document) at a time.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", "salt", "text"]
     dealt = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange("doc_id", "salt").sortWithinPartitions(*order)
     out = dealt.select("doc_id", "text").mapInArrow(trimmed(_segments(tokenizer, end_id)), _SEGMENT_SCHEMA)
-    out.write.option("compression", "zstd").parquet(path)
+    layout = {"compression": "none", "parquet.page.size": str(_PAGE), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+    out.write.options(**layout).parquet(path)
 
 
 def part_offsets(segments: DataFrame) -> dict[int, int]:
     """Ids before each part. One row a writing task comes to the driver, whatever the documents."""
     out, before = {}, 0
-    for part, n in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+    for part, n in segments.groupBy("part").agg(F.sum(F.col("last") - F.col("first")).alias("n")).orderBy("part").collect():
         out[part] = before
         before += n
     return out
@@ -262,10 +267,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:
-    """The id at a position among all ids, from the one segment that holds it."""
+    """The id at a position among all ids, from the one page that holds it."""
+    return tokens_at(spark, path, [position])[0]
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> list[int]:
+    """The ids at some positions (a list from the caller), each by a read of its own page.
+
+    One pass over part, first and last alone, which are a few bytes a segment, gives where each part begins.
+    """
     segments = spark.read.schema(_SEGMENT_SCHEMA).parquet(path)
-    before = part_offsets(segments)
-    part = max(p for p, n in before.items() if n <= position)
-    inner = position - before[part]
-    raw = segments.filter((F.col("part") == part) & (F.col("first") <= inner) & (F.col("first") + F.col("n_ids") > inner)).select("first", "codes").first()
-    return Codes(bytes(raw["codes"]))[inner - raw["first"]]
+    before, out = part_offsets(segments), []
+    for position in positions:
+        part = max((p for p, n in before.items() if n <= position), default=None)
+        inner = position - before.get(part, 0)
+        here = segments.filter((F.col("part") == part) & (F.col("first") <= inner) & (F.col("last") > inner)).select("first", "codes").first() if part is not None and position >= 0 else None
+        if here is None:
+            raise IndexError(f"no id at {position}")
+        out.append(Codes(bytes(here["codes"]))[inner - here["first"]])
+    return out

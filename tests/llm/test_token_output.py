@@ -1,13 +1,15 @@
 """Written token ids against the library, and codes against the ids they hold."""
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from matchloom.llm.queries import public_file, word_bpe
-from matchloom.llm.token_output import Codes, encoder, pack, read_tokens, splits_alike, token_at, write_tokens
+from matchloom.llm.token_output import Codes, encoder, pack, read_tokens, splits_alike, token_at, tokens_at, write_tokens
 
 
 def test_tokens_equal_the_library(spark, sf_dir, tmp_path):
@@ -54,3 +56,29 @@ def test_another_tokenizer_file(spark, sf_dir, tmp_path):
     write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), at, path, end_id=50256)
     want = {k: zlib.crc32(np.array(model.encode(t or "", add_special_tokens=False).ids + [50256], "<u4").tobytes()) for k, t in enumerate(texts)}
     assert {r.doc_id: r.ids_crc32 for r in read_tokens(spark, at).collect()} == want
+
+
+def test_one_id_reads_one_page(spark, tmp_path):
+    """Bytes that the file system gives for one id, of files of several megabytes that are not compressed."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 6000))) for _ in range(300)]
+    path = f"file://{tmp_path}/tokens"
+    write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, word_bpe())
+    ids = [x for t in texts for x in [*encoder(word_bpe()).encode(t).tolist(), 1]]
+    files = [x for x in (tmp_path / "tokens").iterdir() if x.suffix == ".parquet"]
+    size = sum(x.stat().st_size for x in files)
+    assert size > 1.9 * len(ids)
+    stats = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    read = lambda: stats.getLong("bytesRead")
+    at = [0, len(ids) - 1, *rng.sample(range(len(ids)), 6)]
+    token_at(spark, path, 5)
+    before = read()
+    tokens_at(spark, path, [])
+    base = read() - before
+    before = read()
+    assert tokens_at(spark, path, at) == [ids[k] for k in at]
+    assert (read() - before - base) / len(at) < 0.1 * size
+    for wrong in (-1, len(ids)):
+        with pytest.raises(IndexError):
+            token_at(spark, path, wrong)
