@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.attributes import passthrough, position, search_space, side
+from ..functions.attributes import FRONT, LEFT, REAR, RIGHT, passthrough, position, search_space, side
 from ..functions.text import match_key, similarity, words
 from ..functions.variants import name_variants, slash_expansion, subcategory_of
 from ..operators import categories, funnel, matching, quality
+from ..operators.near import NearIndex, near_keys
 from .. import commands
 from ..session import register
 from ..sources.catalogue import classified, parse_file, parse_texts, text_lines
@@ -173,6 +174,36 @@ def needs_clarification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, True).groupBy("needs").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LOW = "CASE p_partkey % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 ELSE 0.9 END", "CASE p_partkey % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.0 ELSE -1.0 END"
+
+
+@query("low_threshold_match", f"{_ALL_SQL.replace(*_LOW)} SELECT {_RESULT} FROM res")
+def low_threshold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.pmod("qid", F.lit(3))
+    rows = phrases(spark, sf_dir).drop("restrict_category").withColumn("threshold", F.when(kind == 0, 0.3).when(kind == 1, 0.0).otherwise(-1.0))
+    return _flat(matching.match(rows, catalogue(spark, sf_dir))).drop("threshold")
+
+
+_NAMES_SQL = """named AS (SELECT DISTINCT lower(p_name || ' ' || p_brand || ' ' || p_partkey) AS name, p_partkey AS id FROM part UNION SELECT lower(s_name || ' ' || s_suppkey), s_suppkey FROM supplier
+UNION SELECT lower(c_name || ' ' || c_mktsegment), c_custkey FROM customer), keys AS (SELECT DISTINCT name AS found FROM named), asked AS (SELECT DISTINCT substr(name, 2) || 'x' AS key FROM named WHERE id % 50 = 0)"""
+
+
+@query(
+    "near_index_match",
+    f"""WITH {_NAMES_SQL} SELECT key, found, round(score, 6) AS score FROM (SELECT key, found, 1.0::DOUBLE - CAST(levenshtein(key, found) AS DOUBLE) / greatest(length(key), length(found)) AS score FROM asked, keys)
+WHERE score >= 0.85 QUALIFY rank() OVER (PARTITION BY key ORDER BY score DESC) = 1""",
+)
+def near_index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with two edits against the names of three tables, by an index that is written and read again."""
+    part, supplier, customer = (table(spark, sf_dir, t) for t in ("part", "supplier", "customer"))
+    named = part.select(F.concat_ws(" ", "p_name", "p_brand", "p_partkey").alias("name"), F.col("p_partkey").alias("id"))
+    named = named.unionByName(supplier.select(F.concat_ws(" ", "s_name", "s_suppkey").alias("name"), F.col("s_suppkey").alias("id"))).unionByName(customer.select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("name"), F.col("c_custkey").alias("id")))
+    named, path = named.withColumn("name", F.lower("name")).distinct(), shared_path(spark, "near")
+    NearIndex(named.select(F.col("name").alias("key"), F.lit(0).alias("key_ord"), F.lit(3).alias("tier")).distinct()).save(path, 8)
+    asked = named.filter("id % 50 = 0").select(F.concat(F.expr("substring(name, 2)"), F.lit("x")).alias("key"), F.lit(0.85).alias("threshold")).distinct()
+    return near_keys(asked, NearIndex.load(spark, path)).select("key", "found", F.round("score", 6).alias("score"))
+
+
 # --- attributes ---------------------------------------------------------------------------------------
 
 _SAID = {0: "sol ön", 1: "SAĞ tərəf, left", 2: "on ədəd", 3: "RIGHT", 4: "слева сзади", 5: ""}
@@ -197,6 +228,23 @@ def attributes_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir).select("o_orderkey", position(F.col("text")).alias("position"))
 
 
+# every direction word, with another one
+_WORDS = [*LEFT, *RIGHT, *FRONT, *REAR]
+_PLACES_SQL = f"SELECT o_orderkey, {_WORDS}[o_orderkey % {len(_WORDS)} + 1] || ', ' || {_WORDS}[o_orderkey * 5 // 3 % {len(_WORDS)} + 1] AS text FROM orders"
+
+
+def _direction_sql(first: list[str], one: str, second: list[str], two: str) -> str:
+    return f"CASE WHEN list_has_any(w, {first}) AND list_has_any(w, {second}) THEN '{one},{two}' WHEN list_has_any(w, {first}) THEN '{one}' WHEN list_has_any(w, {second}) THEN '{two}' END"
+
+
+@query("attributes_every_word", f"SELECT o_orderkey, {_direction_sql(LEFT, 'sol', RIGHT, 'sağ')} AS side, {_direction_sql(FRONT, 'ön', REAR, 'arxa')} AS position FROM (SELECT o_orderkey, string_split(text, ', ') AS w FROM ({_PLACES_SQL}))")
+def attributes_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*map(F.lit, _WORDS))
+    word = lambda k: F.get(said, F.pmod(k, F.lit(len(_WORDS))).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(word(F.col("o_orderkey")), F.lit(", "), word(F.floor(F.col("o_orderkey") * 5 / 3))).alias("text"))
+    return rows.select("o_orderkey", side(F.col("text")).alias("side"), position(F.col("text")).alias("position"))
+
+
 @query("passthrough", "SELECT p_partkey, coalesce(nullif(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_brand END, ''), p_name) AS forwarded FROM part")
 def passthrough_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.pmod("p_partkey", F.lit(3)) == 0, "").when(F.pmod("p_partkey", F.lit(3)) == 1, F.col("p_brand"))
@@ -219,6 +267,38 @@ def expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(name.alias("name")).distinct().select("name", F.explode(slash_expansion(F.col("name"))).alias("variant"))
 
 
+_ALTERNATIVES = [str(n) for n in range(1, 17)]
+_SHAPES_SQL = f"""WITH t AS (SELECT DISTINCT p_partkey % 6 AS s, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_brand AS g FROM part),
+n AS (SELECT *, CASE s WHEN 0 THEN a || '/x ' || b || '/y q/z r/w' WHEN 1 THEN a || '/{'/'.join(_ALTERNATIVES)} ' || b WHEN 2 THEN a || '/{'/'.join(_ALTERNATIVES[:15])} ' || b
+                       WHEN 3 THEN a || ' (' || g || '/' || b || ' x)' WHEN 4 THEN a || '/' || g || ' ' || b || ' (x)' ELSE a || ' (' || b || ') (' || g || ')' END AS name FROM t),
+v AS (SELECT name, name AS variant FROM n
+      UNION ALL SELECT name, p || ' ' || q || ' ' || x || ' ' || y FROM n, LATERAL (SELECT unnest([a, 'x']) AS p), LATERAL (SELECT unnest([b, 'y']) AS q), (SELECT unnest(['q', 'z']) AS x), (SELECT unnest(['r', 'w']) AS y) WHERE s = 0
+      UNION ALL SELECT name, unnest(list_prepend(a, {_ALTERNATIVES[:15]})) || ' ' || b FROM n WHERE s = 2
+      UNION ALL SELECT name, unnest([g || '/' || b || ' x', g, b || ' x']) FROM n WHERE s = 3 UNION ALL SELECT name, unnest(['x', a || ' ' || b, g || ' ' || b]) FROM n WHERE s = 4 UNION ALL SELECT name, unnest([b, g]) FROM n WHERE s = 5)"""
+
+
+# 16 combinations are expanded and 17 are not; slashes within brackets, beside them, and several brackets
+@query("name_shapes", f"{_SHAPES_SQL} SELECT DISTINCT name, variant FROM v")
+def name_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, g = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_brand")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shapes = [text(a, "/x ", b, "/y q/z r/w"), text(a, "/" + "/".join(_ALTERNATIVES) + " ", b), text(a, "/" + "/".join(_ALTERNATIVES[:15]) + " ", b), text(a, " (", g, "/", b, " x)"), text(a, "/", g, " ", b, " (x)"), text(a, " (", b, ") (", g, ")")]
+    name = F.get(F.array(*shapes), F.pmod("p_partkey", F.lit(6)).cast("int"))
+    return table(spark, sf_dir, "part").select(name.alias("name")).distinct().select("name", F.explode(name_variants(F.col("name"))).alias("variant"))
+
+
+# the new mark; Cyrillic in the middle stays, and so does a first segment; a slash without spaces separates nothing
+@query(
+    "subcategory_shapes",
+    """SELECT DISTINCT unnest(['🆕 ' || p_name || ' / деталь', p_name || ' / деталь / ' || p_brand, 'деталь / запчасть / ' || p_name || ' часть', p_name || '/' || p_brand || ' / x / ы 🆕', p_name]) AS leaf,
+       unnest([p_name, p_name || ' / деталь / ' || p_brand, 'деталь', p_name || '/' || p_brand || ' / x', p_name]) AS subcategory FROM part""",
+)
+def subcategory_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, brand = F.col("p_name"), F.col("p_brand")
+    shapes = [F.concat(F.lit("🆕 "), name, F.lit(" / деталь")), F.concat(name, F.lit(" / деталь / "), brand), F.concat(F.lit("деталь / запчасть / "), name, F.lit(" часть")), F.concat(name, F.lit("/"), brand, F.lit(" / x / ы 🆕")), name]
+    return table(spark, sf_dir, "part").select(F.explode(F.array(*shapes)).alias("leaf")).distinct().select("leaf", subcategory_of(F.col("leaf")).alias("subcategory"))
+
+
 @query("subcategory_of", "SELECT DISTINCT p_name || ' / ' || p_brand || ' / деталь' AS leaf, p_name || ' / ' || p_brand AS subcategory FROM part")
 def subcategories(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = F.concat("p_name", F.lit(" / "), "p_brand", F.lit(" / деталь"))

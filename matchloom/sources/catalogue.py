@@ -6,6 +6,7 @@ Order means something in a catalogue (candidates come in it), so every table car
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import TYPE_CHECKING
@@ -67,11 +68,13 @@ class Catalogue:
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Write the catalogue to a folder, with all that matching derives from it and its near index (buckets: NearIndex.save)."""
-        for name, table in self._tables().items():
-            table.write.parquet(f"{path}/{name}")
-        self.near.save(f"{path}/near", buckets)
         spark = self.parts.sparkSession
-        spark.createDataFrame(list(self.sizes().items()), "name string, rows long").coalesce(1).write.parquet(f"{path}/sizes")
+        tables = {**self._tables(), "sizes": spark.createDataFrame(list(self.sizes().items()), "name string, rows long").coalesce(1)}
+        jobs: list[Callable] = [lambda name=name, table=table: table.write.parquet(f"{path}/{name}") for name, table in tables.items()]
+        # small tables, written side by side
+        with ThreadPoolExecutor(len(jobs) + 1) as pool:
+            for done in [*map(pool.submit, jobs), pool.submit(self.near.save, f"{path}/near", buckets)]:
+                done.result()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalogue:
