@@ -17,7 +17,8 @@ from ..operators import categories, funnel, matching, quality
 from ..operators.near import NearIndex, near_keys
 from .. import commands
 from ..session import register
-from ..sources.catalogue import classified, parse_file, parse_texts, text_lines
+from ..sources.catalogue import classified, parse, parse_file, parse_texts, text_lines
+from ..sources.datasource import read_catalogue, write_catalogue
 from ..sources.deltas import Store
 from ..sources.files import read_category_index, read_index, read_report, result_json, shared_path, write_category_index, write_results, write_text
 from ..streaming import sessions
@@ -326,6 +327,13 @@ def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_file(spark, _file_catalogue(spark, sf_dir)).parts.drop("part_ord")
 
 
+@query("catalogue_source", f"{LINES_SQL} SELECT part_id, name_ru, name_az, category, subcategory, leaf_code, side_flag, position_flag FROM file_parts")
+def catalogue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "source")
+    write_catalogue(catalogue_lines(spark, sf_dir), path, 3)
+    return parse(read_catalogue(spark, path, 2000)).parts.drop("part_ord")
+
+
 @query("catalogue_file_keys", f"{LINES_SQL} SELECT key, ref, kind FROM (SELECT p_name AS key, 'PA-' || lpad(CAST(k AS VARCHAR), 5, '0') AS ref, 'name' AS kind FROM k UNION ALL SELECT 'ru ' || p_name, 'PA-' || lpad(CAST(k AS VARCHAR), 5, '0'), 'name' FROM k UNION ALL SELECT DISTINCT noun, noun, 'synonym' FROM k UNION ALL SELECT DISTINCT 'a ' || noun, noun, 'synonym' FROM k)")
 def catalogue_file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parse_file(spark, _file_catalogue(spark, sf_dir))
