@@ -107,14 +107,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = known.select("keeper", "batch", line_hash(F.col("key")).alias("h")).select("batch", "h.h1", "h.h2", "keeper").distinct()
     counted = each.groupBy("batch", *HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("keeper").alias("keeper"))
     runs = LineRuns(spark, fan_out)
-    batched = runs.buckets.write(counted, "batch")
-    for k in range(batches):
-        runs.add(spark.table(batched).filter(F.col("batch") == k).select(*HASH, "keeper"))
-    often = spark.table(batched).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).select(*HASH)
-
-    # written first: a join of two tables as they are can be split where a line is in very many documents
-    dropped, _ = written(often.join(runs.lines(), HASH), "dropped")
-    runs.buckets.drop([batched, *runs.names])
+    try:
+        batched = runs.buckets.write(counted, "batch")
+        for k in range(batches):
+            runs.add(spark.table(batched).filter(F.col("batch") == k).select(*HASH, "keeper"))
+        often = spark.table(batched).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).select(*HASH)
+        # written first: a join of two tables as they are can be split where a line is in very many documents
+        dropped, _ = written(often.join(runs.lines(), HASH), "dropped")
+    finally:  # no table name is left behind, whatever failed
+        runs.buckets.drop(list(runs.buckets.paths))
     row = [held.alias("row_id"), F.xxhash64("text").alias("row_hash")]
     placed = rows.select(*row, F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("at", "key")).filter(F.char_length("key") >= min_chars)
     placed = placed.select("row_id", "row_hash", "at", line_hash(F.col("key")).alias("h")).select("row_id", "row_hash", "at", "h.h1", "h.h2")

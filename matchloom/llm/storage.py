@@ -87,7 +87,7 @@ class Buckets:
 
     def drop(self, names: list[str]) -> None:
         for name in names:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(self.spark, self.paths.pop(name))
 
 

@@ -4,9 +4,10 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import queries
+from matchloom.llm import line_dedup, queries
 from matchloom.llm.line_dedup import LineRuns, dedup_lines, line_hash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,3 +79,18 @@ def test_runs(spark):
         levels.append(len(runs.names))
     assert levels == [1, 1, 2, 1, 2]
     assert sorted(r.keeper for r in runs.lines().collect()) == sorted(keeper.values())
+
+
+def test_a_failed_run_leaves_no_tables(spark, monkeypatch):
+    def lost(self, names):
+        raise RuntimeError("lost")
+
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = spark.createDataFrame([(k, "the same line that is long enough to count as one here") for k in range(8)], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup.LineRuns, "_merged", lost)
+        with pytest.raises(RuntimeError):
+            line_dedup.dedup_lines(rows)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert line_dedup.dedup_lines(rows).filter("n_dropped = 1").count() == 7
+    assert {t.name for t in spark.catalog.listTables()} == before
