@@ -113,14 +113,14 @@ def test_deltas_equal_one_parse(spark, tmp_path):
             assert sorted(map(tuple, one.select(sorted(one.columns)).collect()), key=repr) == sorted(map(tuple, other.select(sorted(other.columns)).collect()), key=repr), name
 
 
-@pytest.mark.parametrize("split", [1, 40, 1 << 20])
+@pytest.mark.parametrize("split", [40, 1 << 20])
 def test_data_source(spark, tmp_path, split):
     texts = ["\n".join(text_of(k, 60)) + end for k, end in enumerate(["", "\n", "\r\nx\x85y z\r"])]
     (tmp_path / "in").mkdir()
     for k, text in enumerate(texts):
         (tmp_path / "in" / f"{k}.txt").write_bytes(text.encode())
     got = {}
-    for r in read_catalogue(spark, f"file://{tmp_path}/in", split if split > 1 else 40).collect():
+    for r in read_catalogue(spark, f"file://{tmp_path}/in", split).collect():
         got.setdefault(r.file, []).append((r.line_no, r.line))
     for k, text in enumerate(texts):
         assert [x for _, x in sorted(got[k])] == text.splitlines()
@@ -128,7 +128,7 @@ def test_data_source(spark, tmp_path, split):
     for parts in (5, 1):  # the second one takes the place of the first
         write_catalogue(lines, f"file://{tmp_path}/out", parts)
         (tmp_path / "out" / "lost-1-1.part").write_text("▸ Lost [lost]")  # of a writer that never committed
-        back = parse(read_catalogue(spark, f"file://{tmp_path}/out", split if split > 1 else 1000))
+        back = parse(read_catalogue(spark, f"file://{tmp_path}/out", max(split, 1000)))
         whole = parse(lines)
         for name, columns in (("parts", ["part_id", "name_az", "category", "leaf_code", "side_flag"]), ("names", ["key", "part_id"]), ("synonyms", ["key", "leaf_code"]), ("rejects", ["line"])):
             assert sorted(map(tuple, getattr(back, name).select(columns).collect()), key=repr) == sorted(map(tuple, getattr(whole, name).select(columns).collect()), key=repr) != []
