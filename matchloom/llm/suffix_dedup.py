@@ -6,7 +6,7 @@ hash wherever they are. Consecutive windows with one anchor form a segment; a wi
 
 1. Segments are read off every document, as hashes. Anchors that occur once are done with.
 2. Segments of one 128-bit BLAKE2b digest are of one kind, and so are equal byte for byte. The bytes of a kind are cut
-   from two of its places, its first and its last, or from the only one.
+   from its first place; those of a kind with more places are taken twice.
 3. These bytes are brought together by anchor into shards. A shard builds a suffix array of its distinct
    stretches (Larsson and Sadakane's refinement), takes common prefixes (Kasai), and windows whose prefix
    of 200 bytes a neighbour shares are repeated, as are those of a stretch that is there twice, byte for
@@ -109,6 +109,8 @@ def _read_off(window: int, gram: int):
 
 _SEGMENT = "anchor long, seg long, seg2 long, doc_id long, text_hash long, first int, n int"
 KIND = ["anchor", "seg", "seg2"]
+_CARRIED = [*KIND, "weight", "kinds"]
+_PIECE = "anchor long, seg long, seg2 long, weight long, kinds long, body binary"
 
 
 def _cut(window: int):
@@ -117,14 +119,14 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                rows: dict[str, list] = {c: [] for c in (*KIND, "body")}
+                rows: dict[str, list] = {c: [] for c in (*_CARRIED, "body")}
                 for text, found in zip(batch.column(0)[k : k + 256], batch.column(1)[k : k + 256]):
                     raw = text.as_py().encode()
                     for s in found.as_py():
-                        for c in KIND:
+                        for c in _CARRIED:
                             rows[c].append(s[c])
                         rows["body"].append(raw[s["first"] : s["first"] + s["n"] - 1 + window])
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([*((c, pa.int64()) for c in KIND), ("body", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(rows, pa.schema([*((c, pa.int64()) for c in _CARRIED), ("body", pa.binary())]))
 
     return run
 
@@ -266,8 +268,8 @@ def _search_shard(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, text_hash, begin, end: spans of bytes that repeated windows cover (they may overlap).
 
-    docs has doc_id, text_hash and text. Only hashes of segments are shuffled for all text, and bytes of two
-    places at most for each kind whose anchor occurs again.
+    docs has doc_id, text_hash and text; the first two tell rows with different texts apart. Only digests of segments are
+    shuffled for all text, and bytes of one place for each kind whose anchor occurs again.
     """
     spark = docs.sparkSession
     every, every_at = written(docs.select("doc_id", "text_hash", "text").mapInArrow(trimmed(_read_off(window, gram)), _SEGMENT), "segments")
@@ -277,30 +279,28 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     remove(spark, often_at)
     release(spark)
     place = F.struct("doc_id", "text_hash", "first", "n")
-    distinct, distinct_at = written(met.groupBy(*KIND).agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("low"), F.max(place).alias("high")), "distinct")
+    distinct, distinct_at = written(met.groupBy(*KIND).agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("at")), "distinct")
     # written first, so that the join can be split where an anchor has very many kinds
     many, many_at = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "many")
     asked, asked_at = written(distinct.join(many, "anchor"), "asked")
     remove(spark, distinct_at)
     remove(spark, many_at)
 
-    # bytes of every kind, cut from the first and the last document that has it
-    ends = asked.withColumn("at", F.explode(F.array_distinct(F.array("low", "high"))))
-    by_doc = ends.groupBy(F.col("at.doc_id").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(F.struct(*KIND, "at.first", "at.n")).alias("found"))
-    texts = docs.select("doc_id", "text_hash", "text")
+    # bytes of every kind, cut from the first document that has it
+    fields = F.struct(*KIND, "at.first", "at.n", "weight", "kinds")
+    by_doc = asked.groupBy(F.col("at.doc_id").alias("own"), F.col("at.text_hash").alias("own_hash")).agg(F.collect_list(fields).alias("found"))
     wanted, wanted_at = written(by_doc, "wanted")
     release(spark)
-    cut = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["own"]) & (texts["text_hash"] == wanted["own_hash"])).select("text", "found")
-    # a row that is there many times gives its bytes as often: two of them stay, which differ if any do
-    pieces = cut.mapInArrow(_cut(window), "anchor long, seg long, seg2 long, body binary").groupBy(*KIND).agg(F.min("body").alias("least"), F.max("body").alias("most"))
-    pieces = pieces.withColumn("most", F.when(F.col("most") != F.col("least"), F.col("most")))
-    bodies, bodies_at = written(pieces.join(asked.select(*KIND, "weight", "kinds"), KIND), "bodies")
+    cut = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own"]) & (docs["text_hash"] == wanted["own_hash"])).select("text", "found")
+    # a row that is there many times gives its bytes as often
+    pieces = cut.mapInArrow(trimmed(_cut(window)), _PIECE).groupBy(*KIND, "weight", "kinds").agg(F.min("body").alias("body"))
+    bodies, bodies_at = written(pieces, "bodies")
     remove(spark, asked_at)
     remove(spark, wanted_at)
     release(spark)
     shards = max(1, -(-2 * bodies.count() // shard))
     parts = F.ceil(F.col("kinds") / shard)
-    copies = F.when(F.col("weight") > 1, F.array("least", F.coalesce("most", "least"))).otherwise(F.array("least"))
+    copies = F.when(F.col("weight") > 1, F.array("body", "body")).otherwise(F.array("body"))
     placed = bodies.withColumn("body", F.explode(copies)).withColumn("part", F.pmod(F.xxhash64("seg"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.select(
         F.when(parts == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")).alias("shard"), (parts > 1).alias("hot"),
