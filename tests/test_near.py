@@ -73,6 +73,24 @@ def test_high_thresholds_need_no_deepening(spark):
     assert gathered(near_keys(pairs, index, False).collect()) == all_pairs(keys, asked)
 
 
+def test_names_that_share_most_of_their_letters(spark, tmp_path, monkeypatch):
+    keys = [f"customer#{n:09d} {'machinery' if n % 2 else 'furniture'}" for n in range(600)]
+    asked = [(k[1:] + "x", 0.85) for k in keys[::60]] + [(keys[77][:9] + keys[77][11:], 0.9), (keys[78].replace("c", "k").replace("t", "d"), 0.8), ("customer#00000 furni", 0.6), ("q" * 28, 0.85)]
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 0)
+    NearIndex(spark.createDataFrame([(k, n, 3 + n % 2) for n, k in enumerate(keys)], INDEX)).save(f"file://{tmp_path}/names", 3)
+    index = NearIndex.load(spark, f"file://{tmp_path}/names")
+    pairs = spark.createDataFrame(asked, "key string, threshold double")
+    assert gathered(near_keys(pairs, index).collect()) == all_pairs(keys, asked)
+    high = pairs.filter("threshold >= 0.85")
+    lazy = near_keys(high, index, False)
+    assert gathered(lazy.collect()) == all_pairs(keys, [a for a in asked if a[1] >= 0.85])
+    assert "SelectedBucketsCount: 3 out of 3" in lazy._jdf.queryExecution().executedPlan().toString()
+    # a piece of equal length is one that all keys share; one cut by rarity is not
+    shared = lambda df, *by: df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    assert shared(index.pieces.filter("e = 2"), "piece", "part") == len(keys)
+    assert shared(index.rare(), "slot") <= len(keys) // 4
+
+
 def test_empty_index(spark):
     index = NearIndex(spark.createDataFrame([], INDEX))
     assert near_keys(spark.createDataFrame([("a", 0.0)], "key string, threshold double"), index).count() == 0
